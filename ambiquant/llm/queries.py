@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambiquant.llm import bpe, chat, mixing, quality, token_counts
+from ambiquant.llm import bpe, chat, mixing, quality, suffix_dedup, token_counts
 from ambiquant.llm.sql import CHAT_SQL, MIX_SQL, QUALITY_SQL
 
 
@@ -15,6 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_read(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after three edits that follow from its length and id."""
     d = _read(spark, sf_dir, "documents")
@@ -51,7 +55,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_bpe, op4_quality, op5_mix, op9_chat)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_quality, op5_mix, op9_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
