@@ -17,8 +17,8 @@ transforms (BWT):
    suffixes: at first each shard's suffixes follow those of the shard before; after t
    rounds the interleave is sorted by the first t symbols.  A round reads, in the order
    of the interleave, the symbols that precede the suffixes, deals the suffixes by them
-   stably and follows LF.  No suffix is sorted or compared again; two symbols are taken
-   in a round.  Places where neighbours differ are carried along, so after SPAN symbols
+   stably and follows LF.  No suffix is compared again; a round takes two symbols, then
+   four at a time.  Places where neighbours differ are carried along, so after SPAN symbols
    the intervals between them are the repeated SPAN-byte strings (common prefixes of at
    least SPAN), and the smallest document of each is known.
 4. Answers.  A bit for each suffix goes back to the block, which covers bytes, merges
@@ -44,14 +44,16 @@ from pyspark.sql import functions as F
 
 from ambiquant.llm.blocks import aligned, ask, bodies, bucket_cuts, group_starts, in_blocks, mix64, number_of_blocks, ordered
 
+#: Length of a repeated string; 2 more than a multiple of 4.
 SPAN = 50
-#: Bytes of an anchor.  A window holds SPAN - K + 1 of them.
-K = 16
+#: Bytes of an anchor, a multiple of 8.  A window holds SPAN - K + 1 of them.
+K = 24
 #: Documents from which on an anchor's windows are dealt by the anchor alone.
 HOT = 128
 #: Windows in a string at most; longer runs are cut, and overlap by SPAN - 1 bytes.
 LONGEST = 4096
-STEP = 1 << 21
+#: Bytes that are hashed at a time; their arrays stay in a core's cache.
+STEP = 1 << 15
 
 
 def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,9 +76,10 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         words = np.ascontiguousarray(eight).view(np.uint64).ravel()
         n = hi - lo + inside - 1
         h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-        h += words[8 : 8 + n]
-        h *= np.uint64(0xBF58476D1CE4E5B9)
+        for k in range(8, K, 8):
+            h ^= h >> np.uint64(31)
+            h += words[k : k + n]
+            h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
@@ -194,8 +197,10 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         symbol = padded[k : k + n]
         key = (key << np.uint64(8)) | np.where(open_, symbol, 0).astype(np.uint64)
         open_ &= symbol != 0
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key, done = key[order], ~open_[order]
+    ended = np.nonzero(done)[0]  # suffixes that end within 8 symbols: equal ones by place
+    order[ended] = order[ended][np.lexsort((order[ended], sorted_key[ended]))]
     first = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]) | done
     rank = np.empty(n, np.int64)
     place = np.maximum.accumulate(np.where(first, np.arange(n), 0))
@@ -206,7 +211,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     while len(todo):
         items = order[todo]
         pair = rank[items] * np.int64(n + 1) + rank[items + width]
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         items, pair = items[by], pair[by]
         order[todo] = items
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
@@ -238,8 +243,10 @@ def repeated(shards: list[tuple[bytes, np.ndarray]]) -> list[np.ndarray]:
     for o, n in zip(offsets.tolist(), sizes.tolist()):
         back[o + np.argsort(bwt[o : o + n], kind="stable")] = np.arange(o, o + n, dtype=np.int32)
     twice = back[back]
-    pair = bwt[back].astype(np.uint16) << np.uint16(8) | bwt
-    ends = (bwt == 0) | (bwt[back] == 0)
+    pair = bwt[back].astype(np.uint32) << np.uint32(8) | bwt
+    quad, fourth = pair[twice] << np.uint32(16) | pair, twice[twice]
+    ends2 = (pair & np.uint32(0xFF) == 0) | (pair >> np.uint32(8) == 0)
+    ends4 = ends2 | ends2[twice]
     # places and strings of all suffixes, by walking LF from the ends of all strings at once
     where, owner = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int32)
     counts = np.array([len(d) for _, d in shards])
@@ -257,24 +264,28 @@ def repeated(shards: list[tuple[bytes, np.ndarray]]) -> list[np.ndarray]:
         step += 1
     string_at = np.cumsum(steps + 1) - (steps + 1)
     # the refinement: `now` lists suffixes in the order of the interleave
-    now, group = np.nonzero(~ends)[0].astype(np.int32), None
+    now = np.nonzero(~ends2)[0].astype(np.int32)
     group = np.zeros(len(now), np.int32)
-    for left in range(SPAN // 2, 0, -1):
-        symbols = pair[now]
-        by = np.argsort(symbols, kind="stable")
-        symbols, group = symbols[by], group[by]
-        new = np.empty(len(by), dtype=bool)
-        if not len(new):
+    low = np.uint64(0xFFFFFFFF)
+    for at in range(2, SPAN + 1, 4):
+        symbols, longer = (pair, twice) if at == 2 else (quad, fourth)
+        if not len(now):
             break
+        # symbols above, order so far below: sorting these deals the suffixes stably
+        dealt = np.sort(symbols[now].astype(np.uint64) << np.uint64(32) | np.arange(len(now), dtype=np.uint64))
+        by = (dealt & low).astype(np.int64)
+        dealt >>= np.uint64(32)
+        group = group[by]
+        new = np.empty(len(by), dtype=bool)
         new[0] = True
-        np.not_equal(symbols[1:], symbols[:-1], out=new[1:])
+        np.not_equal(dealt[1:], dealt[:-1], out=new[1:])
         new[1:] |= group[1:] != group[:-1]
-        now = twice[now[by]]
         # a suffix that is alone in its group, or has no symbols before it, can repeat no more
         keep = ~new
         keep[:-1] |= ~new[1:]
-        if left > 1:
-            keep &= ~ends[now]
+        now = longer[now[by]]
+        if at < SPAN:
+            keep &= ~ends4[now]
         group = np.cumsum(new, dtype=np.int32)[keep]
         now = now[keep]
     bits = np.zeros(len(bwt), dtype=bool)
