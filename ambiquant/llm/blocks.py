@@ -61,6 +61,21 @@ def group_starts(x: np.ndarray) -> np.ndarray:
     return np.nonzero(np.concatenate([[True], x[1:] != x[:-1]]))[0] if len(x) else np.zeros(0, np.int64)
 
 
+def short_keys(keys: np.ndarray) -> np.ndarray:
+    """The 48 high bits of keys, which are what blocks ask by."""
+    return keys & np.uint64(0xFFFF_FFFF_FFFF_0000)
+
+
+def _short(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _long(body: bytes) -> np.ndarray:
+    out = np.zeros((len(body) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(body, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def ask(
     blocks: DataFrame,
     keys_of: Callable[[list, list[str]], tuple[np.ndarray, np.ndarray]],
@@ -68,11 +83,12 @@ def ask(
     n: int,
     kind: int,
     replies: DataFrame | None = None,
+    note: type = np.uint32,
 ) -> DataFrame:
     """Replies (block, kind, bucket, body) to what the blocks ask.
 
     keys_of: of a block's ids and texts (and its replies so far), its sorted distinct keys
-    (uint64) and a uint32 note for each.  answer: of the keys' group starts, the notes and
+    (uint64, low 16 bits 0: 48 bits are sent) and a note for each.  answer: of the keys' group starts, the notes and
     the entries' order, an answer for each group, a numpy array of a fixed type.  The body
     of a reply holds an answer for each key sent, in the order sent.
     """
@@ -85,8 +101,8 @@ def ask(
             {
                 "bucket": pa.array(at, pa.int32()),
                 "block": pa.array([block] * len(at), pa.int32()),
-                "keys": pa.array([keys[cuts[i] : cuts[i + 1]].tobytes() for i in at], pa.binary()),
-                "notes": pa.array([notes[cuts[i] : cuts[i + 1]].astype(np.uint32).tobytes() for i in at], pa.binary()),
+                "keys": pa.array([_short(keys[cuts[i] : cuts[i + 1]]) for i in at], pa.binary()),
+                "notes": pa.array([notes[cuts[i] : cuts[i + 1]].astype(note).tobytes() for i in at], pa.binary()),
             }
         )
 
@@ -105,8 +121,8 @@ def ask(
         sent = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(later, schema)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        notes = [np.frombuffer(x, np.uint32) for x in table.column("notes").to_pylist()]
+        keys = [_long(x) for x in table.column("keys").to_pylist()]
+        notes = [np.frombuffer(x, note) for x in table.column("notes").to_pylist()]
         sizes = np.array([len(k) for k in keys])
         keys, notes = np.concatenate(keys), np.concatenate(notes)
         order = np.argsort(keys, kind="stable")

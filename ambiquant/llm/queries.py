@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambiquant.llm import bpe, chat, mixing, quality, suffix_dedup, token_counts
+from ambiquant.llm import bpe, chat, jaccard_join, mixing, quality, suffix_dedup, token_counts
 from ambiquant.llm.sql import CHAT_SQL, MIX_SQL, QUALITY_SQL
 
 
@@ -42,6 +42,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_read(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     own = spark.range(2).select(
@@ -55,7 +59,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_quality, op5_mix, op9_chat)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_quality, op5_mix, op7_jaccard_join, op9_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

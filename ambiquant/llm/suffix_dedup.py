@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambiquant.llm.blocks import aligned, ask, bodies, bucket_cuts, group_starts, in_blocks, mix64, number_of_blocks, ordered
+from ambiquant.llm.blocks import aligned, ask, bodies, bucket_cuts, group_starts, in_blocks, mix64, number_of_blocks, ordered, short_keys
 
 #: Length of a repeated string; 2 more than a multiple of 4.
 SPAN = 50
@@ -83,6 +83,7 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
+        h = short_keys(h)
         width = 1
         while 2 * width <= inside:
             h = np.minimum(h[:-width], h[width:])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ambiquant.llm import bpe, mixing, quality, suffix_dedup
+from ambiquant.llm import bpe, jaccard_join, mixing, quality, suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,6 +18,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs.select(*COLUMNS))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs.select(*COLUMNS))
+
+
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_documents(docs.select(*COLUMNS))
 
@@ -32,6 +36,7 @@ def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
     ("suffix_dedup", suffix_dedup_stage),
     ("mix_sources", mix_sources),
     ("bpe_tokens", bpe_tokens),
