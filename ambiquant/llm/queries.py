@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambiquant.llm import bpe, chat, jaccard_join, mixing, quality, suffix_dedup, token_counts
-from ambiquant.llm.sql import CHAT_SQL, MIX_SQL, QUALITY_SQL
+from ambiquant.llm import bpe, chat, jaccard_join, mixing, quality, suffix_dedup, token_counts, topk
+from ambiquant.llm.sql import CHAT_SQL, MIX_SQL, QUALITY_SQL, TOPK_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_read(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     own = spark.range(2).select(
@@ -59,8 +63,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_quality, op5_mix, op7_jaccard_join, op9_chat)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_quality, op5_mix, op7_jaccard_join, op8_topk, op9_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY_SQL, "op5_mix": MIX_SQL, "op9_chat": CHAT_SQL}
+    return {"op4_quality": QUALITY_SQL, "op5_mix": MIX_SQL, "op8_topk": TOPK_SQL, "op9_chat": CHAT_SQL}
