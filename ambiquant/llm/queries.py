@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambiquant.llm import bpe, chat, jaccard_join, mixing, quality, suffix_dedup, token_counts, topk
+from ambiquant.llm import bpe, chat, jaccard_join, licenses, mixing, quality, suffix_dedup, token_counts, topk, toxicity
 from ambiquant.llm.sql import CHAT_SQL, MIX_SQL, QUALITY_SQL, TOPK_SQL
 
 
@@ -42,6 +42,12 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model, cuts = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, cuts)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_read(spark, sf_dir, "documents"))
 
@@ -62,8 +68,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_quality, op5_mix, op7_jaccard_join, op8_topk, op9_chat)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_quality, op5_mix, op6_toxicity, op7_jaccard_join, op8_topk, op9_chat, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
