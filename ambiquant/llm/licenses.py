@@ -9,8 +9,8 @@ similarity with it, J, and the number of bands makes 1 - (1 - J) ** bands at lea
 `recall`, for the worst template of the class.  A retrieved template is a match if the
 window holds 75% of its shingles, counted exactly.
 
-A document can share a shingle with a template only if it holds a word of a hitting set,
-a word for every shingle of all templates; other documents are passed over first, which
+A document can share a shingle with a template only if it holds a pair of a hitting set,
+two neighbouring words for every shingle of all templates; other documents are passed over first, which
 loses nothing.  There is no shuffle: a document is scanned by itself.
 
 Defined results: null and empty texts match nothing; repeated rows and any doc_id, null
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -52,8 +53,9 @@ def template_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+def normal(text: Column) -> Column:
+    """Words of a text, each followed by one space."""
+    return F.concat(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
 
 
 def shingles_of(words: str) -> Column:
@@ -63,16 +65,17 @@ def shingles_of(words: str) -> Column:
     return F.when(n >= WORDS, F.transform(F.sequence(F.lit(0), n - WORDS), gram)).otherwise(F.array().cast("array<bigint>"))
 
 
-def hitting_words(templates: dict[str, list[str]]) -> list[str]:
-    """A small set of words of which every shingle of every template holds one."""
+def hitting_pairs(templates: dict[str, list[str]]) -> list[str]:
+    """A small set of pairs of neighbouring words of which every shingle of every template holds one."""
     open_ = {tuple(w[i : i + WORDS]) for w in templates.values() for i in range(max(0, len(w) - WORDS + 1))}
+    pairs = lambda s: {f"{a} {b} " for a, b in zip(s, s[1:])}
     out = []
     while open_:
-        every = sorted({w for s in open_ for w in s})
-        # long words first among equals: they are rarer in other text
-        best = max(every, key=lambda w: (sum(w in s for s in open_) * (len(w) > 3), len(w), w))
+        every = sorted(set().union(*map(pairs, open_)))
+        # long pairs first, as short ones are common in other text
+        best = max(every, key=lambda p: (min(len(p), 14), sum(p in pairs(s) for s in open_), p))
         out.append(best)
-        open_ = {s for s in open_ if best not in s}
+        open_ = {s for s in open_ if best not in pairs(s)}
     return out
 
 
@@ -112,11 +115,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, recall: float
     if words:
         t = spark.createDataFrame(list(words.items()), "name string, words array<string>")
         hashed = {r["name"]: r["s"] for r in t.select("name", F.array_distinct(shingles_of("words")).alias("s")).collect()}
-    d = docs.select(F.col("doc_id").alias("doc_id"), F.lower(F.col("text")).alias("_text"))
-    hit = F.lit(False)
-    for w in hitting_words(words):
-        hit = hit | F.contains("_text", F.lit(w))
-    d = d.filter(hit).withColumn("_words", words_of(F.col("_text"))).drop("_text")
+    # the normal form is bound to a variable, so it is made once for all pairs
+    pairs = hitting_pairs(words)
+    hit = F.exists(F.array(normal(F.col("text"))), lambda t: reduce(lambda a, p: a | F.contains(t, F.lit(p)), pairs, F.lit(False)))
+    d = docs.select("doc_id", "text").filter(hit)
+    d = d.select("doc_id", F.filter(F.split(normal(F.col("text")), " "), lambda w: w != "").alias("_words"))
     d = d.withColumn("_grams", shingles_of("_words")).drop("_words")
     found = F.array().cast("array<struct<license:string,containment:double>>")
     signed = lambda x: int(np.int64(np.uint64(x)))
