@@ -1,11 +1,11 @@
 """Blocks of documents and keyed exchanges between them.
 
-Documents are dealt to blocks by a hash of doc_id.  A block can ask, for sorted keys of
+Documents are dealt to blocks by a hash of their text, so copies meet.  A block can ask, for sorted keys of
 its own, a question that needs all blocks ("how many documents hold this key?"): it sends
 its distinct keys, packed, to buckets by key, each bucket merges what all blocks sent,
 and answers come back aligned with what was sent.  What a block sends of one key is one
 entry, however many of its documents hold the key, so a key in a third of all documents
-costs one entry a block and no more.  A bucket holds about as many entries as a block.
+costs one entry a block and no more.  A bucket holds about half as many entries as a block.
 """
 
 from __future__ import annotations
@@ -17,19 +17,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of one text from which on they are dealt over all blocks, and how many such texts may be broadcast.
+HOT_COPIES, HOT_TEXTS = 256, 100_000
 REPLY = "block int, kind int, bucket int, body binary"
 
 
 def number_of_blocks(df: DataFrame) -> int:
-    """Blocks (and buckets): twice the number of shuffle partitions that the session is set to."""
-    return 2 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Blocks: the number of shuffle partitions that the session is set to.  Of buckets there are twice as many."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, text, block; partitioned by block."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
-    return d.repartition(max(1, blocks // 2), "block")
+    """doc_id, text, block; partitioned by block, equal texts in one block.
+
+    Texts that HOT_COPIES rows or more share are dealt over all blocks by doc_id too, so
+    no block gets a large group of copies.  Their hashes are broadcast if there are at
+    most HOT_TEXTS of them, and joined otherwise.
+    """
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("_h"))
+    hot = d.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= HOT_COPIES).select(F.col("_h").alias("_hot"))
+    few = hot.limit(HOT_TEXTS + 1).count() <= HOT_TEXTS
+    d = d.join(F.broadcast(hot) if few else hot, F.col("_h") == F.col("_hot"), "left")
+    spread = F.xxhash64("_h", F.when(F.col("_hot").isNotNull(), F.xxhash64("doc_id")).otherwise(F.lit(0)))
+    d = d.select("doc_id", "text", F.pmod(spread, F.lit(blocks)).cast("int").alias("block"))
+    return d.repartition(blocks, "block")
 
 
 def ordered(table: pa.Table) -> tuple[list, list[str]]:

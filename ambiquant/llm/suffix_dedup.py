@@ -117,15 +117,26 @@ class Block:
     """A block's documents, with what its windows' anchors are."""
 
     def __init__(self, ids: list, texts: list[str]):
-        self.ids, self.texts = ids, [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        # equal texts take part once, as the smallest document's; rows: id, place, whether it is another document's copy
+        seen: dict[bytes, int] = {}
+        self.ids: list = []
+        self.texts: list[bytes] = []
+        self.rows: list[tuple] = []
+        for i, t in zip(ids, raw):
+            k = seen.setdefault(t, len(self.ids)) if i is not None else len(self.ids)
+            if k == len(self.ids):
+                self.ids.append(i)
+                self.texts.append(t)
+            self.rows.append((i, k, i != self.ids[k]))
         self.flat, self.begins, self.start, self.length, self.anchor = runs_of(self.texts)
         doc = np.searchsorted(self.begins, self.start, side="right") - 1
-        known = np.array([i is not None for i in ids], dtype=bool)
+        known = np.array([i is not None for i in self.ids], dtype=bool)
         if len(doc) and not known.all():
             good = known[doc]
             self.start, self.length, self.anchor, doc = self.start[good], self.length[good], self.anchor[good], doc[good]
         self.doc = doc
-        self.number = np.array([i or 0 for i in ids], dtype=np.int64)
+        self.number = np.array([i or 0 for i in self.ids], dtype=np.int64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors; the note is a label of the documents (31 bits) and whether there are several.
@@ -305,11 +316,12 @@ def _strings_keys(ids: list, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _covered(docs: DataFrame, result, schema: str) -> DataFrame:
     n = number_of_blocks(docs)
     blocks = in_blocks(docs, n)
-    keys = ask(blocks, _strings_keys, _count, n, 1)
+    buckets = 2 * n
+    keys = ask(blocks, _strings_keys, _count, buckets, 1)
 
     def shards(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
         block = Block(*ordered(table))
-        by, texts, places = block.strings(bodies(said).get(1, {}), n)
+        by, texts, places = block.strings(bodies(said).get(1, {}), buckets)
         rows = []
         for home in sorted(by):
             owners = [block.number[np.searchsorted(block.begins, places[i][0], side="right") - 1] for i in by[home]]
@@ -341,77 +353,86 @@ def _covered(docs: DataFrame, result, schema: str) -> DataFrame:
 
     def cover(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
         block, got = Block(*ordered(table)), bodies(said)
-        by, texts, places = block.strings(got.get(1, {}), n)
-        change = np.zeros(len(block.flat) + SPAN + 1, dtype=np.int32)
+        by, texts, places = block.strings(got.get(1, {}), buckets)
+        hit = np.zeros(len(block.flat) + 1, dtype=bool)  # windows that are removed
         for home, members in by.items():
-            mask = np.unpackbits(np.frombuffer(got[2][home], np.uint8)).astype(bool)
-            at = 0
-            for i in members:
-                windows = len(texts[i]) - SPAN + 1
-                hit = np.nonzero(mask[at : at + windows])[0]
-                at += len(texts[i]) + 1
-                own = block.number[np.searchsorted(block.begins, places[i][0], side="right") - 1]
-                for p in places[i]:
-                    # a string of several documents of this block: all but the smallest lose it
-                    many = len(places[i]) > 1 and block.number[np.searchsorted(block.begins, p, side="right") - 1] != own
-                    if many:
-                        change[p] += 1
-                        change[p + len(texts[i])] -= 1
-                    elif len(hit):
-                        change[hit + p] += 1
-                        change[hit + p + SPAN] -= 1
-        gone = np.cumsum(change[: len(block.flat)]) > 0
+            mask = np.unpackbits(np.frombuffer(got[2][home], np.uint8)).view(bool)
+            sizes = np.array([len(texts[i]) + 1 for i in members])
+            ats = np.cumsum(sizes) - sizes
+            found = np.nonzero(mask)[0]
+            which = np.searchsorted(ats, found, side="right") - 1
+            hit[found - ats[which] + np.array([places[i][0] for i in members])[which]] = True
+            for at, i in zip(ats.tolist(), members):
+                if len(places[i]) > 1:
+                    # a string of several places of this block: other documents than the first lose it
+                    windows = len(texts[i]) - SPAN + 1
+                    own = block.number[np.searchsorted(block.begins, places[i], side="right") - 1]
+                    for p, number in zip(places[i][1:], own[1:]):
+                        hit[p : p + windows] = True if number != own[0] else mask[at : at + windows]
+        total = np.concatenate([np.zeros(SPAN, np.int32), np.cumsum(hit[:-1], dtype=np.int32)])
+        gone = total[SPAN:] > total[: len(block.flat)]
         return result(block, gone)
 
     replies = keys.unionByName(bits)
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cover, schema)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes) and kept_text.
+def _marks(block: Block, gone: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+    """Of each row: the bytes of its text, and a mask of what is removed."""
+    ends = block.begins + np.array([len(t) for t in block.texts], dtype=np.int64)
+    out = []
+    for _, k, other in block.rows:
+        raw = block.texts[k]
+        out.append((raw, np.full(len(raw), len(raw) >= SPAN) if other else gone[block.begins[k] : ends[k]]))
+    return out
 
-    kept_text is what is left as text; a character that lost some of its bytes is left out.
-    """
 
-    def result(block: Block, gone: np.ndarray) -> pa.Table:
-        rows = []
-        for b, raw in zip(block.begins.tolist(), block.texts):
-            mask = gone[b : b + len(raw)]
-            edge = np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))
-            spans = list(zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist()))
-            kept = np.frombuffer(raw, np.uint8)[~mask].tobytes() if spans else raw
-            rows.append((len(raw), int(mask.sum()), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), [{"start": s, "end": e} for s, e in spans]))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"]
-        return pa.table({"doc_id": pa.array(block.ids, pa.int64())} | {c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, kinds))})
+def _row(raw: bytes, mask: np.ndarray) -> tuple[int, np.ndarray, bytes]:
+    """Bytes removed, span edges (starts and ends in turn), and the bytes left."""
+    n = int(np.count_nonzero(mask))
+    if not n:
+        return 0, np.zeros(0, np.int64), raw
+    edges = np.nonzero(np.diff(np.concatenate([[False], mask, [False]]).view(np.int8)))[0]
+    return n, edges, np.frombuffer(raw, np.uint8)[~mask].tobytes()
+
+
+def _table(block: Block, columns: dict[str, tuple[pa.DataType, list]]) -> pa.Table:
+    ids = pa.array([r[0] for r in block.rows], pa.int64())
+    return pa.table({"doc_id": ids} | {c: pa.array(v, t) for c, (t, v) in columns.items()})
 
-    return _covered(
-        docs, result,
-        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string, spans array<struct<start:bigint,end:bigint>>",
-    )
+
+DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, without sending the kept bytes anywhere."""
 
+    def result(block: Block, gone: np.ndarray) -> pa.Table:
+        rows = [(len(raw), n, len(e) // 2, hashlib.sha256(kept).hexdigest()) for raw, m in _marks(block, gone) for n, e, kept in [_row(raw, m)]]
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        return _table(block, {c: (pa.string() if k == 3 else pa.int64(), [r[k] for r in rows]) for k, c in enumerate(names)})
+
+    return _covered(docs, result, DIGEST)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """The columns of `digest`, spans (start, end in bytes) and kept_text.
+
+    kept_text is what is left as text; a character that lost some of its bytes is left out.
+    """
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def result(block: Block, gone: np.ndarray) -> pa.Table:
         rows = []
-        total = np.concatenate([[0], np.cumsum(gone)])
-        rises = np.nonzero(gone & ~np.concatenate([[False], gone[:-1]]))[0] if len(gone) else np.zeros(0, np.int64)
-        for b, raw in zip(block.begins.tolist(), block.texts):
-            e = b + len(raw)
-            n = int(total[e] - total[b])
-            if not n:
-                rows.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
-                continue
-            mask = gone[b:e]
-            lo, hi = np.searchsorted(rises, [b, e])
-            spans = int(hi - lo) + (1 if mask[0] and not (lo < len(rises) and rises[lo] == b) else 0)
-            rows.append((len(raw), n, spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~mask].tobytes()).hexdigest()))
-        names, kinds = ["n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return pa.table({"doc_id": pa.array(block.ids, pa.int64())} | {c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, kinds))})
-
-    return _covered(docs, result, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+        for raw, m in _marks(block, gone):
+            n, e, kept = _row(raw, m)
+            spans = [{"start": a, "end": b} for a, b in e.reshape(-1, 2).tolist()]
+            rows.append((len(raw), n, len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), spans))
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span]
+        return _table(block, {c: (kinds[k], [r[k] for r in rows]) for k, c in enumerate(names)})
+
+    return _covered(docs, result, DIGEST + ", kept_text string, spans array<struct<start:bigint,end:bigint>>")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
