@@ -31,8 +31,11 @@ empty tables give empty results; extra columns are ignored by `components` and k
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,13 +248,16 @@ def _pivot_keys(ids: list, texts: list[str], got: dict) -> tuple[np.ndarray, np.
     return Block(ids, texts).pivot_keys(got.get(1, {}))
 
 
+PLACED = "cell bigint, doc bigint, n bigint, root bigint, shingles binary"
+
+
 def _placed(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
-    """Rows of a block: (doc, n), (doc, root) for copies, and (doc, cell, set) for what joins a region."""
+    """Rows of a block: (doc, n, root) of every document, where root is set for copies, and (cell, doc, set)."""
     block, got = Block(*ordered(table)), bodies(said)
     doc: list = list(block.ids)
     n: list = [len(s) for s in block.sets]
     root: list = [None if c < 0 else block.ids[c] for c in block.copy_of]
-    cell: list = [None] * len(doc)
+    cell: list = [d or 0 for d in doc]
     sets: list = [None] * len(doc)
     found = block.prefixes(got.get(1, {}))
     if found:
@@ -268,19 +274,37 @@ def _placed(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
                 sets.append(block.sets[i].tobytes())
     return pa.table(
         {
-            "doc": pa.array(doc, pa.int64()), "n": pa.array(n, pa.int64()), "root": pa.array(root, pa.int64()),
-            "cell": pa.array(cell, pa.int64()), "shingles": pa.array(sets, pa.binary()),
+            "cell": pa.array(cell, pa.int64()), "doc": pa.array(doc, pa.int64()), "n": pa.array(n, pa.int64()),
+            "root": pa.array(root, pa.int64()), "shingles": pa.array(sets, pa.binary()),
         }
     )
 
 
-def _region(key: tuple, table: pa.Table) -> pa.Table:
-    table = table.sort_by("doc")
-    docs = table.column("doc").to_pylist()
-    roots = Region([np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]).join() if len(docs) > 1 else [0] * len(docs)
-    linked = {r for i, r in enumerate(roots) if r != i}
-    rows = [(docs[i], docs[r]) for i, r in enumerate(roots) if r in linked]
-    return pa.table({"doc": pa.array([a for a, _ in rows], pa.int64()), "root": pa.array([b for _, b in rows], pa.int64())})
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by cell: documents as they come, and links (doc, root) of each region's sets."""
+    names = ["doc", "n", "root"]
+    cell: int | None = None
+    held: list[tuple[int, bytes]] = []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            held.sort()
+            roots = Region([np.frombuffer(s, np.uint64) for _, s in held]).join()
+            rows = [(held[i][0], held[r][0]) for i, r in enumerate(roots) if r != i]
+            cols = [pa.array([a for a, _ in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([b for _, b in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        rest = t.filter(pc.is_null(t.column("shingles"))).select(names).combine_chunks().to_batches()
+        yield from rest
+        own = t.filter(pc.is_valid(t.column("shingles")))
+        for c, d, s in zip(own.column("cell").to_pylist(), own.column("doc").to_pylist(), own.column("shingles").to_pylist()):
+            if c != cell:
+                yield from links()
+                cell, held = c, []
+            held.append((d, s))
+    yield from links()
 
 
 def labels(stars: DataFrame) -> DataFrame:
@@ -301,17 +325,15 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     n = number_of_blocks(docs)
     blocks = in_blocks(docs, n)
-    counts = ask(blocks, _count_keys, _sum, n, 1, note=np.uint8)
-    pivots = ask(blocks, _pivot_keys, _least, n, 2, replies=counts, note=np.uint64)
+    counts = ask(blocks, _count_keys, _sum, 2 * n, 1, note=np.uint8)
+    pivots = ask(blocks, _pivot_keys, _least, 2 * n, 2, replies=counts, note=np.uint64)
     replies = counts.unionByName(pivots)
-    placed = checkpointed(
-        blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_placed, "doc bigint, n bigint, root bigint, cell bigint, shingles binary")
-    )
-    regions = placed.filter("cell is not null").select("cell", "doc", "shingles")
-    found = regions.groupBy("cell").applyInArrow(_region, "doc bigint, root bigint")
-    copies = placed.filter("root is not null").select("doc", "root")
-    label = labels(found.union(copies)).withColumnRenamed("doc", "_doc")
-    each = placed.filter("n is not null")
+    placed = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_placed, PLACED)
+    # sets go to their regions and nowhere else; what is kept is a row for each document and link
+    dealt = placed.repartition("cell").sortWithinPartitions("cell")
+    found = checkpointed(dealt.mapInArrow(_regions, "doc bigint, n bigint, root bigint"))
+    label = labels(found.filter("root is not null").select("doc", "root")).withColumnRenamed("doc", "_doc")
+    each = found.filter("n is not null")
     return each.join(label, F.col("doc") == F.col("_doc"), "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "doc").alias("component_id")
     )
