@@ -1,14 +1,14 @@
 """Exact top-k by inner product on an impact-ordered, score-at-a-time index.
 
-Components are quantised to floor(scale * x).  Vectors are indexed in blocks; in a block
-each dimension's postings are cut into segments by quantised impact (sign and the high
-bits of the component).  A query processes a block's segments in descending order of
-what they can add, |query component| times impact, and adds impacts to accumulators:
-every vector of a segment gets the segment's middle impact, so after each batch of
-segments the true score is known within a margin: the sum of what is unread and of half
-a segment's width for what is read.  Reading stops only when the margin proves that no
-vector outside the possible members can reach the k-th best lower bound; the possible
-members are rescored with exact integers.
+Components are quantised to floor(scale * x).  Vectors are indexed in blocks; a block's
+postings are cut into segments by dimension and quantised impact (the bit length of the
+component), and segments of one impact form a level, kept as a matrix with zeros for what
+is in other levels.  Queries read levels in descending impact, all dimensions and a batch
+of queries at a time, and add components to accumulators.  After a level, what is unread
+of a vector is worth at most the sum of |query component| over its unread dimensions,
+times the largest impact left.  A query stops only when these margins prove that all but
+a few vectors are below its k-th best lower bound; those possible members, or at the end
+of the index all that reach the bound, are rescored with exact integers.
 
 Queries are dealt in chunks and meet every block of vectors in its own task, so neither
 side is broadcast, and a task holds one block and one chunk; a block gives k rows a query,
@@ -31,72 +31,59 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block, and queries of a chunk.
 BLOCK, CHUNK = 4096, 2048
-#: Low bits of a component that a segment leaves open.
-OPEN_BITS = 4
-#: Segments that are read between two proofs.
-BATCH = 64
+#: Queries whose accumulators are held at a time, and possible members a query is stopped at, as a multiple of k.
+BATCH, FEW = 128, 8
 
 
 class Index:
-    """Postings of a block of quantised vectors, in segments by impact."""
+    """Levels of a block of quantised vectors, by descending impact."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        level = vectors >> OPEN_BITS
-        n, dims = vectors.shape
-        key = (level + (1 << 40)) + np.arange(dims, dtype=np.int64) * (1 << 42)
-        flat = key.ravel()
-        order = np.argsort(flat, kind="stable")
-        at = np.nonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))[0]
-        self.rows = (order // dims).astype(np.int64)
-        self.start, self.end = at, np.concatenate([at[1:], [len(flat)]])
-        first = order[at]
-        self.dim = first % dims
-        # twice the middle of the segment's impacts, so that it is an integer
-        self.middle = (level.ravel()[first] << (OPEN_BITS + 1)) + (1 << OPEN_BITS) - 1
-        self.biggest = np.abs(vectors).max(axis=0) if n else np.zeros(dims, np.int64)
-        self.half = (1 << OPEN_BITS) - 1  # twice the largest distance to the middle
-
-    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best, but for rows with the id `own`."""
-        gain = np.abs(q[self.dim] * self.middle)
-        order = np.argsort(-gain, kind="stable")
-        order = order[q[self.dim[order]] != 0]
+        size = np.abs(vectors)
+        bits = np.where(size > 0, np.frexp(size.astype(np.float64))[1], 0)
+        self.levels = []
+        for b in sorted(set(bits.ravel().tolist()) - {0}, reverse=True):
+            # components of this impact; 1 where a smaller one is still unread; the largest that is
+            segment = np.where(bits == b, vectors, 0).astype(np.float64).T.copy()
+            unread = ((bits < b) & (bits > 0)).astype(np.float64).T.copy()
+            self.levels.append((segment, unread, float((1 << (b - 1)) - 1)))
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ids and scores of the k best rows with another id than its own."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo in range(0, len(queries), BATCH):
+            out += self._batch(own[lo : lo + BATCH], queries[lo : lo + BATCH], k)
+        return out
+
+    def _batch(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         n = len(self.ids)
-        twice = np.zeros(n, np.int64)
-        other = self.ids != own
-        weight = np.abs(q)
-        # what segments of a dimension that are not read can add, at most, twice
-        read = np.zeros(n, np.int64)
-        rest_gain = np.append(gain[order], 0)
-        total = int(weight.sum()) * self.half
-        possible = np.nonzero(other)[0]
-        for lo in range(0, len(order), BATCH):
-            batch = order[lo : lo + BATCH]
-            sizes = self.end[batch] - self.start[batch]
-            posts = np.repeat(self.start[batch] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-            rows = self.rows[posts]
-            worth = np.repeat(q[self.dim[batch]] * self.middle[batch], sizes)
-            twice += np.bincount(rows, weights=worth, minlength=n).astype(np.int64)
-            read += np.bincount(rows, minlength=n)
-            if lo + BATCH >= len(order):
+        found: list = [None] * len(queries)
+        active = np.arange(len(queries))
+        q = queries.astype(np.float64)
+        score = np.zeros((len(queries), n))
+        for segment, unread, largest in self.levels:
+            score += q @ segment
+            margin = np.abs(q) @ unread * largest
+            low, high = score - margin, score + margin
+            same = own[active][:, None] == self.ids[None, :]
+            low[same] = high[same] = -np.inf
+            bound = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
+            possible = (high >= bound[:, None]) & ~same
+            done = possible.sum(axis=1) <= FEW * k
+            if largest == 0:
+                done[:] = True
+            for row in np.nonzero(done)[0]:
+                found[active[row]] = self._exact(np.nonzero(possible[row])[0], queries[active[row]], k)
+            active, q, score = active[~done], q[~done], score[~done]
+            if not len(active):
                 break
-            # each dimension not read yet adds at most the next gain and half a segment's width
-            unread = (np.count_nonzero(q) - read) * int(rest_gain[lo + BATCH])
-            low, high = twice - unread - total, twice + unread + total
-            if len(possible) <= k:
-                break
-            bound = np.partition(low[possible], len(possible) - k)[len(possible) - k]
-            possible = possible[high[possible] >= bound]
-            if len(possible) <= 4 * k:
-                break
-        else:
-            possible = np.nonzero(other)[0] if not len(order) else possible
-        if len(order) and len(possible) > 4 * k:
-            low, high = twice - total, twice + total
-            bound = np.partition(low[possible], len(possible) - k)[len(possible) - k]
-            possible = possible[high[possible] >= bound]
-        scores = self.vectors[possible] @ q
+        for i in active:  # a block of zero vectors has no levels, others end with nothing unread
+            found[i] = self._exact(np.nonzero(self.ids != own[i])[0], queries[i], k)
+        return found
+
+    def _exact(self, possible: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = self.vectors[possible] @ query
         best = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible][best], scores[best]
 
@@ -165,9 +152,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
             values = np.pad(values, ((0, 0), (0, width - values.shape[1])))
             wanted = np.pad(wanted, ((0, 0), (0, width - wanted.shape[1])))
             index = Index(ids, values)
-            for number, vector in zip(numbers.tolist(), wanted):
-                found, scores = index.search(number, vector, k)
-                out.append((number, found, scores))
+            out = [(i, f, s) for i, (f, s) in zip(numbers.tolist(), index.search(numbers, wanted, k))]
         counts = [len(f) for _, f, _ in out]
         return pa.table(
             {
