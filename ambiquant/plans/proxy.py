@@ -1,3 +1,474 @@
-def entry(spark, d): return spark.range(1)
-def queries(): return {}
-def oracle_sql(): return {}
+"""The operators on the driver's tables: orders stand for reads, brands for features.
+
+Bindings: read = order, feature = brand, group (gene) = type, sample = order priority,
+mismatches = discount in percent, insert size = quantity, trace = values of a user's
+events.  SQL of the same results is in proxy_sql.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ambiquant.functions import sequences as sq
+from ambiquant.functions.statistics import bayes_factor, effective_lengths, posterior_probability, sokal_udf
+from ambiquant.operators import alignments as al
+from ambiquant.operators import classes as cl
+from ambiquant.operators import intervals as iv
+from ambiquant.operators import summaries as sm
+from ambiquant.plans import abundance, collapse, comparison
+from ambiquant.sources import sequences as src
+
+EXPECTED, THRESHOLD = 25, 20
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def alignments(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("read"), "l_partkey", F.col("l_quantity").cast("int").alias("isize"), F.round(F.col("l_discount") * 100).cast("int").alias("nm"),
+        (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("ordinal"), "l_linenumber", "l_suppkey", "l_extendedprice",
+    )
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("transcript"), F.col("p_type").alias("gene"))
+    return li.join(part, "l_partkey")
+
+
+def reads(spark: SparkSession, d: str) -> DataFrame:
+    return al.read_sets(alignments(spark, d))
+
+
+def classes(spark: SparkSession, d: str) -> DataFrame:
+    return cl.equivalence_classes(reads(spark, d))
+
+
+def lengths(spark: SparkSession, d: str) -> DataFrame:
+    """transcript, l: rounded mean price of a brand, in thousands."""
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("transcript")).agg((F.round(F.avg("p_retailprice")) / 1000).alias("l"))
+
+
+def trace(spark: SparkSession, d: str, n: int = 32) -> DataFrame:
+    """feature, gene, iter, value: the first n events of users who have as many."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").withColumn("iter", F.row_number().over(w) - 1).filter(F.col("iter") < n)
+    full = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == n).select("user_id")
+    e = e.join(full, "user_id")
+    return e.select(F.col("user_id").alias("feature"), (F.col("user_id") % 10).alias("gene"), "iter", (F.abs("value") + 0.5).alias("value"))
+
+
+def samples_long(spark: SparkSession, d: str) -> DataFrame:
+    """feature, sample, y, e, uh by brand and order priority."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("read"), F.col("o_orderpriority").alias("sample"))
+    g = alignments(spark, d).join(o, "read").groupBy(F.col("transcript").alias("feature"), "sample")
+    return g.agg(F.round(F.log(F.sum("l_extendedprice")), 6).alias("y"), F.round(F.stddev_samp("l_extendedprice") / F.avg("l_extendedprice") / 10, 6).alias("e"), F.count_if(F.col("nm") == 0).alias("uh"))
+
+
+def joined(c: str = "members"):
+    return F.array_join(c, ",")
+
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    Q[f.__name__] = f
+    return f
+
+
+@query
+def read_sets(s, d):
+    return reads(s, d).select("read", joined("transcripts").alias("transcripts"))
+
+
+@query
+def eq_classes(s, d):
+    return classes(s, d).select(joined().alias("members"), "k")
+
+
+@query
+def class_size_hist(s, d):
+    return classes(s, d).groupBy(F.size("members").alias("size")).agg(F.sum("k").alias("reads"), F.count(F.lit(1)).alias("classes"))
+
+
+@query
+def flag_filter(s, d):
+    return al.mapped_pairs(alignments(s, d).withColumn("flag", F.col("l_linenumber") * 3)).groupBy("transcript").agg(F.count(F.lit(1)).alias("n"))
+
+
+COLS = ["read", "transcript", "isize", "nm", "ordinal"]
+
+
+@query
+def best_stratum(s, d):
+    return al.best_stratum(alignments(s, d)).select(COLS)
+
+
+@query
+def repetitive_filter(s, d):
+    return al.one_per_feature(alignments(s, d), EXPECTED).select(COLS)
+
+
+@query
+def deviation_filter(s, d):
+    return al.near_expected(alignments(s, d), EXPECTED, THRESHOLD).select(COLS)
+
+
+@query
+def filter_pipeline(s, d):
+    return al.pipeline(alignments(s, d), EXPECTED, THRESHOLD).select("read", joined("transcripts").alias("transcripts"))
+
+
+@query
+def stage_counts(s, d):
+    return al.stage_counts(alignments(s, d), EXPECTED, THRESHOLD)
+
+
+@query
+def mate_pairing(s, d):
+    a = alignments(s, d).withColumns({"pos": F.col("l_suppkey") % 7, "mpos": F.col("l_partkey") % 7})
+    return al.pair_mates(a).select("read", "transcript", "left", "right", "nm", "isize", "n_mates")
+
+
+def _sizes(s, d):
+    return al.insert_sizes(table(s, d, "lineitem").select(F.col("l_orderkey").alias("read"), F.col("l_quantity").cast("int").alias("tlen"), F.col("l_orderkey").alias("ordinal")))
+
+
+@query
+def isize_sample(s, d):
+    return _sizes(s, d).select("read", "isize")
+
+
+@query
+def isize_model(s, d):
+    return al.insert_size_model(_sizes(s, d))
+
+
+@query
+def isize_histogram(s, d):
+    return al.histogram(_sizes(s, d), 5, 40)
+
+
+@query
+def duplicate_hits(s, d):
+    return cl.duplicate_hits(alignments(s, d))
+
+
+@query
+def shared_counts(s, d):
+    return cl.shared_counts(classes(s, d))
+
+
+@query
+def unique_hits_feature(s, d):
+    return cl.unique_hits(classes(s, d))
+
+
+def _sets(s, d):
+    b = table(s, d, "part").select(F.col("p_brand").alias("transcript")).distinct()
+    return b.select(F.substring("transcript", 1, 7).alias("set_id"), "transcript")
+
+
+@query
+def unique_hits_set(s, d):
+    return cl.contained_counts(classes(s, d), _sets(s, d))
+
+
+@query
+def identical_sets(s, d):
+    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("transcript"), F.col("text").alias("seq"))
+    return cl.identical_sets(docs).select(joined().alias("members"))
+
+
+@query
+def gene_isoforms(s, d):
+    p = table(s, d, "part").select(F.col("p_type").alias("gene"), F.col("p_brand").alias("transcript")).distinct()
+    return cl.gene_isoforms(p).select("gene", joined("transcripts").alias("transcripts"))
+
+
+@query
+def regroup_to_gene(s, d):
+    g = table(s, d, "part").select(F.col("p_brand").alias("transcript"), F.substring("p_brand", 1, 7).alias("gene")).distinct()
+    return cl.regroup(reads(s, d), g).select("read", joined("transcripts").alias("genes"))
+
+
+@query
+def init_mu(s, d):
+    return abundance.initial(classes(s, d), lengths(s, d)).select("transcript", F.round("mu", 6).alias("mu"))
+
+
+@query
+def em_fixed3(s, d):
+    return abundance.em_fixed(classes(s, d), lengths(s, d), 3).select("transcript", F.round("mu", 6).alias("mu"))
+
+
+@query
+def em_loglik(s, d):
+    c = classes(s, d)
+    return abundance.log_likelihood(c, abundance.initial(c, lengths(s, d))).select(F.round("loglik", 3).alias("loglik"))
+
+
+@query
+def em_converged(s, d):
+    return abundance.em(classes(s, d), lengths(s, d))[0].select("transcript", F.round("mu", 4).alias("mu"))
+
+
+def entry(s: SparkSession, d: str) -> DataFrame:
+    return em_fixed3(s, d)
+
+
+@query
+def unseen_features(s, d):
+    names = table(s, d, "part").select(F.col("p_brand").alias("transcript")).distinct()
+    big = classes(s, d).filter(F.size("members") == 1).filter("k > 20")
+    return cl.unobserved(names, big)
+
+
+@query
+def semi_filter(s, d):
+    o = table(s, d, "orders").select("o_orderkey", "o_custkey")
+    return iv.only_known(o, table(s, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+
+
+@query
+def anti_filter(s, d):
+    c = table(s, d, "customer").select("c_custkey", "c_nationkey")
+    return iv.without(c, table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query
+def prior_for_unseen(s, d):
+    meta = lengths(s, d).select(F.col("transcript").alias("feature"), F.col("l").alias("effective_length"))
+    seen = samples_long(s, d).filter("sample like '1%' and y > 15").select("feature", F.col("y").alias("log_mu"), F.col("e").alias("sd"), F.lit(0.01).alias("mcse"), F.lit(1.0).alias("iact"))
+    return sm.with_unseen(meta, seen, 0.001).select("feature", "observed", *[F.round(c, 6).alias(c) for c in ("log_mu", "sd", "mcse", "iact")])
+
+
+@query
+def eff_length(s, d):
+    f = table(s, d, "documents").select("doc_id", F.least(F.col("n_chars"), F.lit(4000)).cast("int").alias("true_length"), F.lit(0.0).alias("effective_length"))
+    return effective_lengths(f, 180.0, 25.0).select("doc_id", "true_length", F.round("effective_length", 6).alias("effective_length"))
+
+
+@query
+def gibbs_summary(s, d):
+    li = table(s, d, "lineitem").filter("l_discount <= 0.01 and l_orderkey % 8 = 0")
+    r = li.groupBy(F.col("l_orderkey").alias("read")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("transcripts"))
+    c = cl.equivalence_classes(r)
+    l = cl.incidence(c).select("transcript").distinct().withColumn("l", F.lit(1.0))
+    return sm.summarise(abundance.gibbs(c, l, iterations=512, kept=256, em_steps=50)).drop("percentiles")
+
+
+@query
+def trace_proportions(s, d):
+    t = trace(s, d)
+    return sm.proportions(t.select("feature", "iter", "value"), t.select("feature", "gene").distinct()).select("feature", "gene", "iter", F.round("value", 8).alias("value"))
+
+
+@query
+def quantile_nearest(s, d):
+    a = sm.arrays(trace(s, d), "feature")
+    return a.select("feature", *[sm.nearest_rank("values", p).alias(f"p{p}") for p in (5, 50, 95)])
+
+
+@query
+def log_mean(s, d):
+    return sm.summarise(trace(s, d)).select("feature", F.round("log_mu", 8).alias("log_mu"), F.round("sd", 8).alias("sd"))
+
+
+@query
+def sokal_iact(s, d):
+    a = sm.arrays(trace(s, d), "feature").withColumn("k", sokal_udf("values"))
+    return a.select("feature", F.round("k.var", 4).alias("var"), F.round("k.tau", 6).alias("tau"), F.col("k.m").alias("m"))
+
+
+@query
+def set_traces(s, d):
+    t = trace(s, d)
+    sets = t.select(F.col("gene").alias("set_id"), "feature").distinct()
+    return sm.set_traces(t, sets).select("set_id", "iter", F.round("value", 6).alias("value"))
+
+
+@query
+def weighted_length(s, d):
+    q = table(s, d, "part").groupBy(F.col("p_type").alias("gene"), "p_brand").agg(F.avg("p_retailprice").alias("effective_length"), (F.count(F.lit(1)) / 10).alias("log_mu"))
+    return sm.weighted_length(q).select("gene", F.round("effective_length", 4).alias("effective_length"))
+
+
+@query
+def normalise_upper_median(s, d):
+    return sm.normalise_upper_median(samples_long(s, d), 0.2, least=10).select("feature", "sample", F.round("y", 5).alias("y"))
+
+
+@query
+def normalise_median(s, d):
+    return sm.normalise_median(samples_long(s, d), 1.0).select("feature", "sample", F.round("y", 5).alias("y"))
+
+
+@query
+def est_counts(s, d):
+    q = samples_long(s, d).select("feature", "sample", (F.col("y") - 10).alias("log_mu"), F.lit(1000.0).alias("effective_length"))
+    return sm.estimated_counts(q, 5_000_000).select("feature", "sample", F.round("count", 4).alias("count"))
+
+
+@query
+def pair_corr(s, d):
+    t = trace(s, d).filter("feature < 60").withColumns({"block": F.lit(0), "sample": F.lit("a")})
+    return collapse.covariances(t).select("sample", "a", "b", F.round("cov", 3).alias("cov"), F.round("corr", 6).alias("corr"))
+
+
+def _pairs(s, d):
+    t = trace(s, d).filter("feature < 40")
+    two = t.withColumns({"block": F.lit(0), "sample": F.when(F.col("iter") < 16, "a").otherwise("b")})
+    return collapse.covariances(two), two
+
+
+@query
+def mean_corr(s, d):
+    return collapse.mean_correlations(_pairs(s, d)[0]).select("a", "b", F.round("corr", 6).alias("corr"), F.round("sd", 6).alias("sd"), "n")
+
+
+@query
+def corr_threshold(s, d):
+    return collapse.threshold(collapse.mean_correlations(_pairs(s, d)[0]), 10).select(F.round("threshold", 6).alias("threshold"))
+
+
+@query
+def collapse_greedy(s, d):
+    pairs, t = _pairs(s, d)
+    text = lambda c: F.col(c).cast("string")
+    v = t.groupBy("sample", text("feature").alias("feature")).agg(F.var_samp("value").alias("var"))
+    b = v.select("feature", F.lit(0).alias("block")).distinct()
+    got = collapse.collapse(pairs.select("sample", text("a").alias("a"), text("b").alias("b"), "cov"), v, b, -0.4)
+    return got.select(F.array_join("members", "*").alias("members"))
+
+
+@query
+def candidate_sets(s, d):
+    x = samples_long(s, d)
+    one = lambda p: x.filter(F.col("sample").startswith(p)).select(
+        "feature", F.col("e").alias("sd"), F.lit(1.0).alias("iact"), (F.col("uh") % 3).alias("unique_hits"), F.col("feature").endswith("1").alias("is_set"), F.lit(False).alias("in_set"), (F.col("uh") % 5 != 0).alias("observed")
+    )
+    return collapse.candidates({p: one(p) for p in ("1", "2")})
+
+
+@query
+def bayes_posterior(s, d):
+    g = (F.col("uh") + 1) / (F.col("uh") + 400)
+    bf = bayes_factor(g, F.lit(0.5))
+    return samples_long(s, d).select("feature", "sample", F.round(bf, 8).alias("bf"), F.round(posterior_probability(bf, 0.1), 8).alias("pp"))
+
+
+@query
+def polyclass(s, d):
+    f = samples_long(s, d).groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("sample", (F.col("e") * 10).alias("b")))).alias("x"))
+    p = sm.polyclass(f.select("feature", F.transform("x", lambda z: z["b"]).alias("bf")), [0.5, 0.1, 0.1, 0.1, 0.1, 0.1])
+    return p.select("feature", *[F.round(F.get("probabilities", F.lit(i)), 8).alias(f"p{i}") for i in range(6)])
+
+
+@query
+def expressed_calls(s, d):
+    q = samples_long(s, d).select(F.concat_ws(":", "feature", "sample").alias("feature"), F.col("feature").alias("gene"), F.col("y").alias("log_mu"), (F.col("uh") % 4).alias("unique_hits"))
+    return sm.expressed_genes(sm.expressed(q, 3))
+
+
+@query
+def feature_range(s, d):
+    return sm.feature_range(samples_long(s, d), 3, 9, 25).select("feature", "sample", "uh")
+
+
+@query
+def split_by_suffix(s, d):
+    return sm.split_by_suffix(samples_long(s, d), ["1", "2"]).select("feature", "sample", "uh")
+
+
+@query
+def model_comparison(s, d):
+    x = samples_long(s, d)
+    names = sorted(r[0] for r in x.select("sample").distinct().collect())
+    g = np.array([0, 0, 1, 1, 1])
+    design = comparison.Design(np.zeros((5, 1)), (np.zeros((5, 1)), np.where(g == 0, 0.5, -0.5)[:, None]), (np.zeros(5, int), g))
+    r = comparison.compare(x.select("feature", "sample", "y", "e"), names, design, burnin=256, iterations=256, tune_batches=2)
+    return r.select("feature", "bayes_factor", "posterior_probability", "alpha0", "alpha1")
+
+
+@query
+def permuted_samples(s, d):
+    return sm.permuted(samples_long(s, d), 7)
+
+
+@query
+def asof_offset(s, d):
+    e = table(s, d, "events").select(F.col("user_id").cast("string").alias("chrom"), F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"), "event_type", (F.col("event_id") % 7 - 3).alias("delta"))
+    return iv.running_offset(e.filter("event_type = 'click'").select("chrom", "pos", "delta"), e.filter("event_type = 'purchase'").select("chrom", "pos"))
+
+
+@query
+def interval_join(s, d):
+    p = table(s, d, "lineitem").select((F.col("l_suppkey") % 50).alias("k"), (F.col("l_partkey") * 3).cast("int").alias("pos")).distinct()
+    i = table(s, d, "part").select((F.col("p_partkey") % 50).alias("k"), (F.col("p_partkey") * 2).cast("int").alias("start"), (F.col("p_partkey") * 2 + F.col("p_size")).cast("int").alias("end"))
+    return iv.points_in(p, i, "k", width=64).select("k", "pos", "start", "end")
+
+
+@query
+def exon_offsets(s, d):
+    e = table(s, d, "part").select(F.col("p_brand").alias("transcript_id"), F.col("p_partkey").cast("int").alias("start"), (F.col("p_partkey") + F.col("p_size")).cast("int").alias("end"))
+    return iv.exon_offsets(e)
+
+
+@query
+def span_levels(s, d):
+    e = table(s, d, "part").select(F.lit("c").alias("chrom"), F.col("p_type").alias("gene_id"), F.concat_ws("-", "p_type", "p_brand").alias("transcript_id"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
+    return iv.spans(e)
+
+
+@query
+def overlap_dedupe(s, d):
+    v = table(s, d, "part").select(F.col("p_brand").alias("chrom"), F.col("p_partkey").cast("int").alias("pos"), F.expr("repeat('A', p_size)").alias("ref"), F.lit("A").alias("alt"))
+    return iv.without_overlaps(v).select("chrom", "pos")
+
+
+@query
+def reverse_complements(s, d):
+    t = F.translate(F.upper("p_name"), "BDEFHIJKLMNOPQRSUVWXYZ ", "ACGTACGTACGTACGTACGTACN")
+    return table(s, d, "part").select("p_partkey", sq.reverse_complement(t).alias("seq"))
+
+
+@query
+def wrapped_lines(s, d):
+    return table(s, d, "documents").filter("doc_id % 50 < 50").select("doc_id", F.md5(src.wrapped(F.regexp_replace("text", "[^A-Za-z]", ""))).alias("wrapped"))
+
+
+@query
+def header_regex(s, d):
+    h = table(s, d, "part").select(F.concat(F.lit("t"), "p_partkey", F.lit(" gene:"), F.regexp_replace("p_brand", "#", "_"), F.lit(" x")).alias("header"))
+    return src.header_ids(h).select("transcript", "gene")
+
+
+@query
+def suffix_strip(s, d):
+    n = F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, "_A").when(F.col("p_partkey") % 3 == 1, "_B").otherwise("_C"))
+    return table(s, d, "part").select("p_partkey", src.strip_haplotype(n).alias("name"))
+
+
+@query
+def tokenised(s, d):
+    return table(s, d, "part").select("p_partkey", F.array_join(sq.tokens(F.col("p_name")), "|").alias("words"), F.size(sq.tokens(F.col("p_name"))).alias("n"))
+
+
+@query
+def member_names(s, d):
+    n = classes(s, d).select(sq.rendered(F.col("members"), "*").alias("name"))
+    return n.select("name", F.size(sq.members_of(F.col("name"))).alias("n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    from ambiquant.plans.proxy_sql import SQL
+
+    return dict(SQL)
