@@ -9,7 +9,7 @@ applying all merges by rank.  Decoding looks ids up in an offset table over the
 concatenated token bytes.
 
 Encodings of pre-tokens are kept per Python worker in a table of at most
-CACHE_LIMIT entries, which is emptied when full, so memory is bounded.
+CACHE_LIMIT entries; when half of them are new, those not used since go, so memory is bounded.
 
 Defined results: a null text encodes as no tokens and decodes to the empty text; ids
 that are out of range decode to nothing; an added token's string in a text is that
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_LIMIT = 200_000
+CACHE_LIMIT = 600_000
 #: The pre-token pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -95,6 +96,7 @@ class Codec:
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.flat = np.frombuffer(b"".join(table), dtype=np.uint8)
         self.cache: dict[str, tuple[bytes, str, int]] = {}
+        self.older: dict[str, tuple[bytes, str, int]] = {}
 
     def may_stand(self, a: int, b: int) -> bool:
         """Whether tokens a and b, side by side, are what merging their bytes leaves."""
@@ -144,10 +146,15 @@ class Codec:
 
     def piece(self, p: str) -> tuple[bytes, str, int]:
         """Ids of a pre-token as 32-bit bytes, as decimal text, and their count."""
-        ids = [self.ids[t] for t in self.numbers(p.encode("utf-8", "surrogatepass"))]
-        got = (np.array(ids, dtype="<i4").tobytes(), ",".join(map(str, ids)), len(ids))
+        got = self.older.get(p)
+        if got is None:
+            ids = [self.ids[t] for t in self.numbers(p.encode("utf-8", "surrogatepass"))]
+            got = (struct.pack(f"<{len(ids)}i", *ids), ",".join(map(str, ids)), len(ids))
         if len(p) <= 64:
-            if len(self.cache) >= CACHE_LIMIT:
+            if 2 * len(self.cache) >= CACHE_LIMIT:
+                # dicts that others hold stay the same objects
+                self.older.clear()
+                self.older.update(self.cache)
                 self.cache.clear()
             self.cache[p] = got
         return got
