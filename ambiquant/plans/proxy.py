@@ -299,12 +299,12 @@ def weighted_length(s, d):
 
 @query
 def normalise_upper_median(s, d):
-    return sm.normalise_upper_median(samples_long(s, d), 0.2, least=10).select("feature", "sample", F.round("y", 5).alias("y"))
+    return sm.normalise_upper_median(samples_long(s, d), 0.2, least=10).select("feature", "sample", F.round("y", 8).alias("y"))
 
 
 @query
 def normalise_median(s, d):
-    return sm.normalise_median(samples_long(s, d), 1.0).select("feature", "sample", F.round("y", 5).alias("y"))
+    return sm.normalise_median(samples_long(s, d), 1.0).select("feature", "sample", F.round("y", 8).alias("y"))
 
 
 @query

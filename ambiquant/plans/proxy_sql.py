@@ -89,8 +89,8 @@ SQL = {
     "weighted_length": """WITH q AS (SELECT p_type AS gene, p_brand, avg(p_retailprice) AS l, exp(count(*) / 10.0::DOUBLE) AS w FROM part GROUP BY 1, 2)
         SELECT gene, round(sum(l * w) / sum(w), 4) AS effective_length FROM q GROUP BY 1""",
     "normalise_upper_median": f"""WITH {DEV.format('0.2')}, md AS (SELECT sample, CASE WHEN count(*) >= 10 THEN list_sort(list(d))[1 + count(*) // 2] ELSE 0 END AS s FROM dv GROUP BY 1)
-        SELECT feature, sample, round(y - s, 5) AS y FROM x JOIN md USING (sample)""",
-    "normalise_median": f"WITH {DEV.format('1.0')}, md AS (SELECT sample, median(d) AS s FROM dv GROUP BY 1) SELECT feature, sample, round(y - coalesce(s, 0), 5) AS y FROM x LEFT JOIN md USING (sample)",
+        SELECT feature, sample, round(y - s, 8) AS y FROM x JOIN md USING (sample)""",
+    "normalise_median": f"WITH {DEV.format('1.0')}, md AS (SELECT sample, median(d) AS s FROM dv GROUP BY 1) SELECT feature, sample, round(y - coalesce(s, 0), 8) AS y FROM x LEFT JOIN md USING (sample)",
     "est_counts": f"WITH {X} SELECT feature, sample, round(exp(y - 10) * 5000000 * 1000 / 1e9, 4) AS count FROM x",
     "pair_corr": f"""WITH {T} SELECT 'a' AS sample, x.feature AS a, y.feature AS b, round(covar_samp(x.value, y.value), 3) AS cov, round(corr(x.value, y.value), 6) AS corr
         FROM t x JOIN t y ON x.iter = y.iter AND x.feature < y.feature WHERE x.feature < 60 AND y.feature < 60 GROUP BY 2, 3""",
