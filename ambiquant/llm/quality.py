@@ -8,7 +8,8 @@ trimmed) and identified by their MD5.  For each host (the source column; null is
 host of its own) and line, the distinct documents that hold the line are counted.  A
 document counts by the smallest hash among its *other* lines, so a group of copies,
 which repeats every line of one document, counts as about one document and not as
-boilerplate.  Lines in more than `max_docs` documents of a host are removed there.
+boilerplate.  Lines in more than `least_docs` documents and more than a share `max_share`
+of all documents of a host are removed there, so the rule is alike at every size.
 
 Defined results: a null or empty text has no words and no lines, and fails the base
 rules; null doc_id is a document like any other; repeated rows get equal results each.
@@ -75,24 +76,27 @@ def base_measures(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", failed).drop("_words", "_n", "_grams", "_sorted", "_at")
 
 
-def repeated_lines(docs: DataFrame, max_docs: int) -> DataFrame:
-    """_host, _hash, n_docs of the lines that more than `max_docs` distinct documents of a host hold.
+def repeated_lines(docs: DataFrame, least_docs: int, max_share: float) -> DataFrame:
+    """_host, _hash, n_docs of the lines that too many distinct documents of a host hold.
 
-    docs: _host and _hashes, the array of a document's line hashes.  Both aggregations
-    are summed before their shuffle, the first by document key, so no line is hot.
+    docs: _host and _hashes, the array of a document's line hashes.  All aggregations are
+    summed before their shuffle, the first by document key, so no line is hot.
     """
+    hosts = docs.groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
     d = docs.select("_host", F.array_sort(F.array_distinct("_hashes")).alias("_h"))
     d = d.select("_host", F.get("_h", F.lit(0)).alias("_first"), F.get("_h", F.lit(1)).alias("_second"), F.explode("_h").alias("_hash"))
     key = F.coalesce(F.when(F.col("_hash") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")), F.lit(""))
     each = d.groupBy("_host", "_hash", key.alias("_key")).agg(F.lit(1).alias("_one"))
-    return each.groupBy("_host", "_hash").agg(F.sum("_one").alias("n_docs")).filter(F.col("n_docs") > max_docs)
+    lines = each.groupBy("_host", "_hash").agg(F.sum("_one").alias("n_docs")).filter(F.col("n_docs") > least_docs)
+    return lines.join(hosts, "_host").filter(F.col("n_docs") > max_share * F.col("_all")).drop("_all")
 
 
-def measure(docs: DataFrame, max_docs: int = 100, min_left: int = 30) -> DataFrame:
+def measure(docs: DataFrame, least_docs: int = 20, max_share: float = 0.02, min_left: int = 30) -> DataFrame:
     """doc_id, the base measures, base_failed, n_lines, n_lines_removed, words_removed, removed (hashes) and kept.
 
-    max_docs: documents of a host that may share a line.  min_left: the percentage of a
-    document's words that must be left after removal, besides the 10 words of the base rules.
+    least_docs, max_share: documents of a host that may share a line, as a number and as a
+    share of its documents; the larger counts.  min_left: the percentage of a
+    document's words that must be left after removal.
     """
     d = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_host"))
     d = base_measures(d).withColumn("_row", F.xxhash64("doc_id", "text")).drop("text")
@@ -108,7 +112,7 @@ def measure(docs: DataFrame, max_docs: int = 100, min_left: int = 30) -> DataFra
         F.xxhash64("doc_id", "text").alias("_row"),
         F.transform(lines_of(F.col("text")), lambda x: F.md5(normal(x))).alias("_hashes"),
     )
-    hot = repeated_lines(hosts, max_docs).select(
+    hot = repeated_lines(hosts, least_docs, max_share).select(
         "_host", "_hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     )
     lines = hosts.select("_id", "_row", "_host", F.explode(F.array_distinct("_hashes")).alias("_hash")).withColumn(
@@ -134,7 +138,7 @@ def measure(docs: DataFrame, max_docs: int = 100, min_left: int = 30) -> DataFra
         }
     )
     left = F.col("n_words") - F.col("words_removed")
-    enough = (F.col("words_removed") == 0) | ((left >= 10) & (100 * left >= min_left * F.col("n_words")))
+    enough = 100 * left >= min_left * F.col("n_words")
     # one expression over both sides of the join, so that a filter on it stays above the join
     kept = F.when(F.col("words_removed") >= 0, ~F.col("base_failed") & enough).otherwise(F.lit(False))
     return d.select(
@@ -143,12 +147,12 @@ def measure(docs: DataFrame, max_docs: int = 100, min_left: int = 30) -> DataFra
     )
 
 
-def filter_documents(docs: DataFrame, max_docs: int = 100, min_left: int = 30) -> DataFrame:
+def filter_documents(docs: DataFrame, least_docs: int = 20, max_share: float = 0.02, min_left: int = 30) -> DataFrame:
     """The kept documents with all their columns; over-frequent lines are cut from `text`.
 
     n_chars, if there is such a column, is counted anew.
     """
-    m = measure(docs, max_docs, min_left).filter("kept").select(
+    m = measure(docs, least_docs, max_share, min_left).filter("kept").select(
         F.col("doc_id").alias("_id"), F.col("_row").alias("_row2"), F.col("removed").alias("_removed")
     ).dropDuplicates(["_id", "_row2"])
     d = docs.withColumn("_row", F.xxhash64("doc_id", "text"))

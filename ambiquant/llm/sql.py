@@ -23,9 +23,10 @@ base AS (
   FROM h LEFT JOIN rep USING (r)),
 sorted AS (SELECT r, host, list_sort(list_distinct(hs)) AS o FROM h),
 lines AS (SELECT r, host, o, unnest(o) AS x FROM sorted),
+hosts AS (SELECT host, count(*) AS n FROM w GROUP BY host),
 hot AS (
-  SELECT host, x FROM lines GROUP BY host, x
-  HAVING count(DISTINCT CASE WHEN x <> o[1] THEN o[1] ELSE coalesce(o[2], '') END) > 100),
+  SELECT host, x FROM lines JOIN hosts USING (host) GROUP BY host, x, n
+  HAVING count(DISTINCT CASE WHEN x <> o[1] THEN o[1] ELSE coalesce(o[2], '') END) > greatest(20, 0.02 * n)),
 gone AS (
   SELECT r, count(*) AS n_gone, sum(c) AS words_gone
   FROM (SELECT r, host, unnest(hs) AS x, unnest(cs) AS c FROM h) SEMI JOIN hot USING (host, x) GROUP BY r),
@@ -35,7 +36,7 @@ m AS (
   FROM base LEFT JOIN gone USING (r))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND (words_removed = 0 OR (n_words - words_removed >= 10 AND 100 * (n_words - words_removed) >= 30 * n_words)) AS kept,
+       NOT base_failed AND 100 * (n_words - words_removed) >= 30 * n_words AS kept,
        CAST(len(hs) AS BIGINT) AS n_lines, CAST(n_lines_removed AS BIGINT) AS n_lines_removed, CAST(words_removed AS BIGINT) AS words_removed
 FROM m
 """

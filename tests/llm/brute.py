@@ -73,9 +73,9 @@ def line_hash(line):
     return hashlib.md5(re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").encode()).hexdigest()
 
 
-def quality(rows, max_docs=100, min_left=30):
+def quality(rows, least_docs=20, max_share=0.02, min_left=30):
     """Per row (doc_id, text, source): kept, and the text left."""
-    holders = collections.defaultdict(set)
+    holders, every = collections.defaultdict(set), collections.Counter(s for _, _, s in rows)
     for _, text, source in rows:
         hs = sorted({line_hash(x) for x in (text or "").split("\n") if WORD.search(x)})
         for h in hs:
@@ -88,11 +88,11 @@ def quality(rows, max_docs=100, min_left=30):
             grams[tuple(words[p : p + 5])].append(p)
         repeat = {q for ps in grams.values() if len(ps) > 1 for p in ps for q in range(p, p + 5)}
         failed = len(words) < 10 or 100 * len(repeat) > 20 * len(words)
-        hot = lambda x: bool(WORD.search(x)) and len(holders[source, line_hash(x)]) > max_docs
+        hot = lambda x: bool(WORD.search(x)) and len(holders[source, line_hash(x)]) > max(least_docs, max_share * every[source])
         lines = (text or "").split("\n")
         gone = sum(len(WORD.findall(x)) for x in lines if hot(x))
         left = len(words) - gone
-        ok = not failed and (gone == 0 or (left >= 10 and 100 * left >= min_left * len(words)))
+        ok = not failed and 100 * left >= min_left * len(words)
         out.append((i, ok, "\n".join(x for x in lines if not hot(x)) if gone else text))
     return out
 

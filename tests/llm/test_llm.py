@@ -183,11 +183,11 @@ def test_edits_recount_little(spark):
 
 def test_quality(frame):
     rows = [(i, t, s) for i, t, _, s, _ in documents(awkward())]
-    want = [(i, k) for i, k, _ in brute.quality(rows, 5)]
-    same(got(quality.measure(frame, 5).select("doc_id", "kept")), want)
-    kept = quality.filter_documents(frame, 5)
+    want = [(i, k) for i, k, _ in brute.quality(rows, 5, 0.03)]
+    same(got(quality.measure(frame, 5, 0.03).select("doc_id", "kept")), want)
+    kept = quality.filter_documents(frame, 5, 0.03)
     assert kept.columns == frame.columns
-    same(got(kept.select("doc_id", "text")), [(i, t) for i, k, t in brute.quality(rows, 5) if k])
+    same(got(kept.select("doc_id", "text")), [(i, t) for i, k, t in brute.quality(rows, 5, 0.03) if k])
 
 
 def test_mixing(frame):
