@@ -56,14 +56,27 @@ def test_suffix_dedup(frame):
     same(got(suffix_dedup.digest(frame)), brute.removal_digest(awkward()))
 
 
-def test_suffix_dedup_with_hot_anchors(frame, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 2)
-    monkeypatch.setattr(suffix_dedup, "LONGEST", 16)
-    # _count runs in workers, which import the module anew; the function itself is checked here
-    k = np.array([7, 7, 9], dtype=np.uint64) << np.uint64(20)
-    notes = np.array([(1 << 9) | (5 << 1), (2 << 9) | (1 << 1), 3 << 1], dtype=np.uint32)
-    out = suffix_dedup._count(np.array([0, 2]), notes, k)
-    assert out[0] >> np.uint64(63) == 1 and out[1] == 0
+def test_suffix_dedup_with_hot_anchors(spark):
+    """A passage in more than HOT documents, with parts of it in others and long runs."""
+    rnd = random.Random(9)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    rows = []
+    for i in range(400):
+        a = rnd.choice([0, 0, 0, rnd.randint(0, 200)])
+        middle = passage[a:] if i % 7 else passage[a : a + 120] + "X" + passage[a + 121 :]
+        rows.append((i, "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(0, 40))) + middle + "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(0, 40)))))
+    whole = "".join(rnd.choice("abcdefgh ") for _ in range(9000))
+    rows += [(500, whole), (501, "y" + whole), (502, whole[:5000] + "z" + whole[5000:])]
+    same(got(suffix_dedup.digest(spark.createDataFrame(rows, "doc_id bigint, text string"))), brute.removal_digest(rows))
+
+
+def test_hot_copies(spark):
+    """More copies than a block takes; some are near copies."""
+    text = " ".join(f"w{k * k % 97}" for k in range(60))
+    rows = [(i, text if i % 5 else text + f" end{i}") for i in range(700)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same(got(suffix_dedup.digest(d)), brute.removal_digest(rows))
+    same(got(jaccard_join.components(d)), [(i, len(brute.shingles(t)), 0) for i, t in rows])
 
 
 def test_suffix_order_and_merge():
