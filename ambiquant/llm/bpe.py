@@ -3,7 +3,7 @@
 A pre-token is encoded in linear time: one Aho-Corasick pass gives the longest token
 at every byte; tokens are appended greedily, and a pair is accepted only if merging
 could leave it as two tokens (the pair-compatibility test, whose answers are kept in a
-table).  If a pair is refused the next shorter token is tried, then the last token is
+table of at most PAIRS_LIMIT).  If a pair is refused the next shorter token is tried, then the last token is
 taken back; a byte position that failed is never tried again.  The result equals
 applying all merges by rank.  Decoding looks ids up in an offset table over the
 concatenated token bytes.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_LIMIT = 600_000
+CACHE_LIMIT, PAIRS_LIMIT = 400_000, 200_000
 #: The pre-token pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -118,7 +118,7 @@ class Codec:
                 bound, left = left, self.halves[left][1]
             else:
                 break
-        if len(self.compatible) >= 4 * CACHE_LIMIT:
+        if len(self.compatible) >= PAIRS_LIMIT:
             self.compatible.clear()
         self.compatible[a, b] = answer
         return answer
