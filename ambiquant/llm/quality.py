@@ -6,10 +6,10 @@ documents of its host repeat, and is rejected if too little is left.
 Lines are normalised (lower case, digits as 0, white space runs as one space, ends
 trimmed) and identified by their MD5.  For each host (the source column; null is a
 host of its own) and line, the distinct documents that hold the line are counted.  A
-document counts by the smallest hash among its *other* lines, so a group of copies,
-which repeats every line of one document, counts as about one document and not as
-boilerplate.  Lines in more than `least_docs` documents and more than a share `max_share`
-of all documents of a host are removed there, so the rule is alike at every size.
+document is identified by a 64-bit hash of its whole text, so exact copies count once and
+documents that share several lines count each.  Lines in more than `least_docs` documents
+and more than a share `max_share` of a host's distinct documents are removed there, so the
+rule is alike at every size.
 
 Defined results: a null or empty text has no words and no lines, and fails the base
 rules; null doc_id is a document like any other; repeated rows get equal results each.
@@ -79,14 +79,12 @@ def base_measures(docs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, least_docs: int, max_share: float) -> DataFrame:
     """_host, _hash, n_docs of the lines that too many distinct documents of a host hold.
 
-    docs: _host and _hashes, the array of a document's line hashes.  All aggregations are
-    summed before their shuffle, the first by document key, so no line is hot.
+    docs: _host, _doc, the hash of a document's text, and _hashes, the array of its line hashes.
+    All aggregations are summed before their shuffle, the first by document, so no line is hot.
     """
-    hosts = docs.groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
-    d = docs.select("_host", F.array_sort(F.array_distinct("_hashes")).alias("_h"))
-    d = d.select("_host", F.get("_h", F.lit(0)).alias("_first"), F.get("_h", F.lit(1)).alias("_second"), F.explode("_h").alias("_hash"))
-    key = F.coalesce(F.when(F.col("_hash") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")), F.lit(""))
-    each = d.groupBy("_host", "_hash", key.alias("_key")).agg(F.lit(1).alias("_one"))
+    hosts = docs.select("_host", "_doc").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
+    d = docs.select("_host", "_doc", F.explode(F.array_distinct("_hashes")).alias("_hash"))
+    each = d.groupBy("_host", "_hash", "_doc").agg(F.lit(1).alias("_one"))
     lines = each.groupBy("_host", "_hash").agg(F.sum("_one").alias("n_docs")).filter(F.col("n_docs") > least_docs)
     return lines.join(hosts, "_host").filter(F.col("n_docs") > max_share * F.col("_all")).drop("_all")
 
@@ -95,7 +93,7 @@ def measure(docs: DataFrame, least_docs: int = 20, max_share: float = 0.02, min_
     """doc_id, the base measures, base_failed, n_lines, n_lines_removed, words_removed, removed (hashes) and kept.
 
     least_docs, max_share: documents of a host that may share a line, as a number and as a
-    share of its documents; the larger counts.  min_left: the percentage of a
+    share of its distinct documents; the larger counts.  min_left: the percentage of a
     document's words that must be left after removal.
     """
     d = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_host"))
@@ -110,6 +108,7 @@ def measure(docs: DataFrame, least_docs: int = 20, max_share: float = 0.02, min_
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_host"),
         F.col("doc_id").alias("_id"),
         F.xxhash64("doc_id", "text").alias("_row"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_doc"),
         F.transform(lines_of(F.col("text")), lambda x: F.md5(normal(x))).alias("_hashes"),
     )
     hot = repeated_lines(hosts, least_docs, max_share).select(

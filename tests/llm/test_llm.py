@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 
 import brute
 import numpy as np
@@ -203,6 +204,37 @@ def test_quality(frame):
     same(got(kept.select("doc_id", "text")), [(i, t) for i, k, t in brute.quality(rows, 5, 0.03) if k])
 
 
+def lines_removed(rows, least_docs, max_share):
+    """n_lines_removed of each row (doc_id, text, source), by a plain count of the distinct texts that hold a line."""
+    lines = lambda t: [brute.line_hash(x) for x in (t or "").split("\n") if brute.WORD.search(x)]
+    holders, every = {}, {}
+    for _, t, s in rows:
+        every.setdefault(s, set()).add(t or "")
+        for x in lines(t):
+            holders.setdefault((s, x), set()).add(t or "")
+    hot = {k for k, ts in holders.items() if len(ts) > max(least_docs, max_share * len(every[k[0]]))}
+    return len(hot), [(i, sum((s, x) in hot for x in lines(t))) for i, t, s in rows]
+
+
+def test_quality_counts_documents_with_several_shared_lines(spark):
+    block = [f"footer {c} of this site" for c in "abcdef"]
+    own = lambda k: " ".join(f"w{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    texts = [own(k) for k in range(200)]
+    texts += ["\n".join([own(k), *block]) for k in range(200, 240)]
+    texts += [f"only digits differ here, so it is document {k} of the same words as others" for k in range(100, 130)]
+    texts += ["\n".join([own(300), "a line of a page with many copies"])] * 60
+    docs = spark.createDataFrame([(k, t, "en", "h", len(t)) for k, t in enumerate(texts)], DOC)
+    n_hot, want = lines_removed([(k, t, "h") for k, t in enumerate(texts)], 20, 0.02)
+    assert n_hot == 7
+    m = quality.measure(docs)
+    same(got(m.select("doc_id", "n_lines_removed")), want)
+    kept = {r["doc_id"] for r in m.filter("kept").collect()}
+    assert not kept & set(range(240, 270)) and kept >= set(range(270, 330))
+    rows = documents(awkward(), ("a",))
+    m = quality.measure(spark.createDataFrame(rows, DOC), 5, 0.01)
+    same(got(m.select("doc_id", "n_lines_removed")), lines_removed([(i, t, s) for i, t, _, s, _ in rows], 5, 0.01)[1])
+
+
 def test_mixing(frame):
     rows = [(i, t, s) for i, t, _, s, _ in documents(awkward())]
     size, taken = brute.mix(rows)
