@@ -3,7 +3,8 @@
 A template is looked for by its 5-word shingles (words are runs of a-z and 0-9 after
 lower-casing).  Templates fall in classes by length; a class of up to S words has windows
 of 2 S shingles at a stride of S, so every span of S words lies in some window.  A class
-has `bands` one-row bands: a window retrieves a template if they have a minimum in common.
+has `bands` one-row bands, each with a hash function of its own (xxhash64 of the band's seed
+and the shingle): a window retrieves a template if they have a minimum in common.
 A window that contains 75% of a template's shingles has at least a known Jaccard
 similarity with it, J, and the number of bands makes 1 - (1 - J) ** bands at least
 `recall`, for the worst template of the class.  A retrieved template is a match if the
@@ -91,9 +92,14 @@ def _longs(values: list[int]) -> Column:
     return F.expr("array(" + ", ".join(f"bigint('{v}')" for v in values) + ")")
 
 
-def _matches(keys: str, name: str, grams: list[int], seeds: list[int], span: int) -> Column:
+def _minima(grams: Column, seeds: Column) -> Column:
+    """The least hash of the shingles in each band."""
+    return F.transform(seeds, lambda s: F.array_min(F.transform(grams, lambda h: F.xxhash64(s, h))))
+
+
+def _matches(keys: str, name: str, grams: list[int], minima: list[int], span: int) -> Column:
     """Windows that share a band with a template and hold enough of it."""
-    lowest = _longs([min(g ^ s for g in grams) for s in seeds])
+    lowest = _longs(minima)
     wanted = _longs(grams)
 
     def held(k: Column, j: Column) -> Column:
@@ -137,9 +143,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, recall: float
             mins,
             F.transform(
                 F.sequence(F.lit(0), F.floor(F.greatest(F.size("_grams") - 1, F.lit(0)) / span).cast("int")),
-                lambda j: F.transform(
-                    seed_array, lambda s: F.array_min(F.transform(F.slice("_grams", j * span + 1, F.lit(span)), lambda h: h.bitwiseXOR(s)))
-                ),
+                lambda j: _minima(F.slice("_grams", j * span + 1, F.lit(span)), seed_array),
             ),
         )
         d = d.withColumn(
@@ -148,7 +152,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, recall: float
                 mins, lambda m, j: F.transform(m, lambda x, i: F.least(x, F.coalesce(F.get(F.get(mins, j + 1), i), x)))
             ),
         )
-        parts += [_matches(keys, name, grams, seeds, span) for name, grams in own.items()]
+        t = spark.createDataFrame(list(own.items()), "name string, s array<bigint>")
+        lowest = {r["name"]: r["m"] for r in t.select("name", _minima(F.col("s"), seed_array).alias("m")).collect()}
+        parts += [_matches(keys, name, grams, lowest[name], span) for name, grams in own.items()]
     found = F.concat(found, *parts) if parts else found
     rows = d.withColumn("_found", found).select("doc_id", "_found")
     # a document's matches are put together within its row; a filter on arrays would be

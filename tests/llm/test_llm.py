@@ -285,6 +285,15 @@ def test_licenses(spark):
     assert found == {(k, n) for k, n in enumerate(licenses.TEMPLATES)} | {(None, "mit")}
 
 
+def test_licenses_are_missed_no_more_often_than_stated(spark):
+    """Exact notices of one shingle that lie in one window only, each in another random context."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"x{k}" for k in rng.integers(0, 1 << 40, n)]
+    texts = [(k, " ".join([*word(3), licenses.TEMPLATES["mit"], *word(40)])) for k in range(4000)]
+    found = licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string"), {"mit": licenses.TEMPLATES["mit"]})
+    assert 4000 - found.count() <= 14  # 4 are expected at a recall of 0.999
+
+
 def test_topk(spark):
     rng = np.random.default_rng(6)
     v = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(300)]
