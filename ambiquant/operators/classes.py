@@ -78,18 +78,25 @@ def unobserved(features: DataFrame, classes: DataFrame) -> DataFrame:
     return features.join(incidence(classes).select("transcript"), "transcript", "left_anti")
 
 
-def components(classes: DataFrame, cut, rounds: int = 50) -> DataFrame:
+def components(classes: DataFrame, cut) -> DataFrame:
     """transcript, component: features that classes connect, by minimum labels to a fixed point.
 
-    cut: cuts lineage once a round (see session.cut).
+    A label names a feature, so each round also takes the label of a feature's label
+    (pointer jumping), which keeps rounds few on long chains.  cut: cuts lineage once a
+    round (see session.cut).
     """
-    edge = cut(incidence(classes).select("class_id", "transcript", F.col("transcript").alias("label")))
-    for _ in range(rounds):
-        low = edge.groupBy("class_id").agg(F.min("label").alias("low"))
-        each = edge.join(low, "class_id").groupBy("transcript").agg(F.min("low").alias("low"))
-        new = cut(edge.join(each, "transcript").select("class_id", "transcript", F.col("low").alias("label"), (F.col("low") < F.col("label")).alias("moved")))
-        done = new.filter("moved").limit(1).count() == 0
-        edge = new.drop("moved")
-        if done:
-            break
-    return edge.groupBy("transcript").agg(F.min("label").alias("component"))
+    edge = cut(incidence(classes).select("class_id", "transcript"))
+    label = cut(edge.select("transcript", F.col("transcript").alias("label")).distinct())
+    while True:
+        held = edge.join(label, "transcript")
+        low = held.groupBy("class_id").agg(F.min("label").alias("low"))
+        near = held.join(low, "class_id")
+        # what a feature's classes have goes to the feature and to the one that its label names
+        told = near.select("transcript", "low").union(near.select(F.col("label").alias("transcript"), "low"))
+        new = label.join(told.groupBy("transcript").agg(F.min("low").alias("low")), "transcript")
+        new = cut(new.select("transcript", "label", F.least("label", "low").alias("low")))
+        jump = new.select(F.col("transcript").alias("low"), F.col("low").alias("next"))
+        after = cut(new.join(jump, "low").select("transcript", F.least("low", "next").alias("low"), "label"))
+        label = after.select("transcript", F.col("low").alias("label"))
+        if after.filter(F.col("low") < F.col("label")).limit(1).count() == 0:
+            return label.withColumnRenamed("label", "component")

@@ -44,6 +44,16 @@ def test_components_and_regroup(spark, classes, reads):
     assert rows(cl.regroup(reads, genes).select("read", F.array_join("transcripts", ""))) == [("r1", "g"), ("r2", "g"), ("r3", "g"), ("r4", "gh")]
 
 
+def test_components_of_a_long_chain(spark):
+    """120 classes in a row, in a random order of names, and a pair of its own."""
+    names = [f"t{k:03d}" for k in np.random.default_rng(5).permutation(121)]
+    chains = [("r%d" % k, sorted(names[k : k + 2])) for k in range(120)] + [("s", ["x", "y"])]
+    chains += [("u%03d" % k, ["z%03d" % k, "z%03d" % (k + 1)]) for k in range(90)]
+    got = cl.components(cl.equivalence_classes(spark.createDataFrame(chains, "read string, transcripts array<string>")), cut)
+    want = [(n, "t000") for n in names] + [("x", "x"), ("y", "x")] + [("z%03d" % k, "z000") for k in range(91)]
+    assert rows(got.select("transcript", "component")) == sorted(want)
+
+
 def test_alignment_filters(spark):
     schema = "read string, transcript string, isize int, nm int, ordinal int"
     d = spark.createDataFrame([("r", "a", 200, 0, 1), ("r", "a", 170, 0, 2), ("r", "b", 300, 2, 3)], schema)
