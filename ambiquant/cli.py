@@ -87,7 +87,7 @@ def compare(spark: SparkSession, a: argparse.Namespace) -> None:
         design = comparison.from_matrices(m, c, p0, p1)
     else:
         design = comparison.two_groups(*a.groups)
-    got = comparison.compare(long, names, design, a.prior, a.pdash, a.d, a.s, a.burnin, a.iterations, 0 if a.no_tuning else 64, a.fix_alpha, a.seed)
+    got = comparison.compare(long, names, design, a.prior, a.pdash, a.d, a.s, a.burnin, a.iterations, 0 if a.no_tuning else comparison.MOST_BATCHES, a.fix_alpha, a.seed)
     tables.write_table(got.orderBy("feature"), a.out)
 
 

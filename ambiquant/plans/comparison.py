@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 K, Q, R = 4.0, 1.2, 2.0
 V_ALPHA, V_BETA = 25.0, 4.0
-WALK_SD, TUNE_BATCH, TUNE_BOUND = 2.0, 128, math.log(7 / 3)
+WALK_SD, TUNE_BATCH, TUNE_BOUND, MOST_BATCHES = 2.0, 128, math.log(7 / 3), 8192
 FIRST_RECORDED = 102
 
 
@@ -227,8 +227,8 @@ class Sampler:
                         q["rho_shape"], q["rho_rate"] = shape, shape / mz
             self.pseudo.append(q)
 
-    def tune(self, most: int) -> None:
-        """Moves the prior log odds until both models are visited."""
+    def tune(self, most: int) -> np.ndarray:
+        """Moves the prior log odds until both models are visited; returns which features are tuned."""
         done = np.zeros(len(self.y), bool)
         for batch in range(most):
             lo = np.mean([self.sweep(False) for _ in range(TUNE_BATCH)], axis=0)
@@ -236,6 +236,7 @@ class Sampler:
             if done.all():
                 break
             self.logit = np.where(done, self.logit, self.logit - np.sign(lo) / math.sqrt(2 + batch))
+        return done
 
     def sample(self, iterations: int) -> dict[str, np.ndarray]:
         seen = np.zeros(len(self.y))
@@ -259,16 +260,18 @@ class Sampler:
 
 SCHEMA = (
     "feature string, bayes_factor double, posterior_probability double, alpha0 double, beta0 array<double>, eta0 array<double>, "
-    "alpha1 double, beta1 array<double>, eta1 array<double>"
+    "alpha1 double, beta1 array<double>, eta1 array<double>, tuned boolean"
 )
 
 
 def compare(
     long: DataFrame, samples: list[str], design: Design, prior: float = 0.1, pdash: float = 0.5, d: float = 1.4, s: float = 2.0,
-    burnin: int = 8192, iterations: int = 16384, tune_batches: int = 64, fix_alpha: bool = False, seed: int = 1, batch: int = 256,
+    burnin: int = 8192, iterations: int = 16384, tune_batches: int = MOST_BATCHES, fix_alpha: bool = False, seed: int = 1, batch: int = 256,
 ) -> DataFrame:
     """Bayes factors of model 1 against 0.  long: feature, sample, y, e; features that lack a sample are an error.
 
+    Tuning goes on until all features of a batch are tuned, or for tune_batches; `tuned` is
+    false for features whose odds were not reached by then (all, without tuning).
     One shuffle gathers a feature's samples; batches of features are independent after it.
     """
     wrong = check(design)
@@ -287,7 +290,7 @@ def compare(
                 streams = [np.random.Generator(np.random.PCG64([seed, zlib.crc32(str(n).encode())])) for n in part["feature"]]
                 t = Sampler(np.stack(part["y"]), np.stack(part["e"]), design, pdash, d, s, fix_alpha, streams)
                 t.burn_in(burnin)
-                t.tune(tune_batches)
+                tuned = t.tune(tune_batches)
                 got = t.sample(iterations)
                 g = got["gamma"]
                 with np.errstate(all="ignore"):
@@ -298,6 +301,7 @@ def compare(
                         "feature": part["feature"].to_numpy(), "bayes_factor": bf, "posterior_probability": pp,
                         "alpha0": got["alpha0"][:, 0], "beta0": list(got["beta0"]), "eta0": list(got["eta0"]),
                         "alpha1": got["alpha1"][:, 0], "beta1": list(got["beta1"]), "eta1": list(got["eta1"]),
+                        "tuned": tuned,
                     }
                 )
 

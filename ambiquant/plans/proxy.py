@@ -390,8 +390,8 @@ def model_comparison(s, d):
     names = sorted(r[0] for r in x.select("sample").distinct().collect())
     g = np.array([0, 0, 1, 1, 1])
     design = comparison.Design(np.zeros((5, 1)), (np.zeros((5, 1)), np.where(g == 0, 0.5, -0.5)[:, None]), (np.zeros(5, int), g))
-    r = comparison.compare(x.select("feature", "sample", "y", "e"), names, design, burnin=256, iterations=256, tune_batches=2)
-    return r.select("feature", "bayes_factor", "posterior_probability", "alpha0", "alpha1")
+    r = comparison.compare(x.select("feature", "sample", "y", "e"), names, design)
+    return r.select("feature", "bayes_factor", "posterior_probability", "alpha0", "alpha1", "tuned")
 
 
 @query

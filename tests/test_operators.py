@@ -148,6 +148,17 @@ def test_designs_and_comparison(spark):
     assert min(pp[f"f{i}"] for i in range(4)) > 0.5 > max(pp[f"f{i}"] for i in range(4, 8))
 
 
+def test_tuning_goes_on_until_features_are_tuned(spark):
+    rng = np.random.default_rng(4)
+    names = [f"s{i}" for i in range(10)]
+    y = rng.normal(0, 0.1, 10) + np.where(np.arange(10) < 5, 40.0, 0.0)
+    long = spark.createDataFrame([("f", n, float(v), 0.1) for n, v in zip(names, y)], "feature string, sample string, y double, e double")
+    run = lambda **k: comparison.compare(long, names, comparison.two_groups(5, 5), burnin=512, iterations=1024, **k).first()
+    whole = run()
+    assert whole["tuned"] and math.isfinite(whole["bayes_factor"]) and whole["bayes_factor"] > math.exp(14)
+    assert not run(tune_batches=64)["tuned"]
+
+
 def test_collapse_merges_anticorrelated():
     x = np.random.default_rng(3).normal(size=(3, 500))
     cov = np.cov(np.stack([x[0], -x[0] + 0.1 * x[1], x[2]]))[None]
