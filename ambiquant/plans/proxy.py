@@ -254,11 +254,11 @@ def eff_length(s, d):
 
 @query
 def gibbs_summary(s, d):
-    li = table(s, d, "lineitem").filter("l_discount <= 0.01 and l_orderkey % 8 = 0")
+    li = table(s, d, "lineitem")
     r = li.groupBy(F.col("l_orderkey").alias("read")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("transcripts"))
     c = cl.equivalence_classes(r)
     l = cl.incidence(c).select("transcript").distinct().withColumn("l", F.lit(1.0))
-    return sm.summarise(abundance.gibbs(c, l, iterations=512, kept=256, em_steps=50)).drop("percentiles")
+    return sm.summarise(abundance.gibbs(c, l)).drop("percentiles")
 
 
 @query

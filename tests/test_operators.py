@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,14 @@ def test_gibbs_of_single_features_is_gamma(spark):
     assert rows(t) == rows(abundance.gibbs(c.repartition(3), lengths, iterations=1024, kept=1024))
 
 
+def test_gibbs_keeps_totals_of_shared_classes():
+    """Two classes of one size and one of another, none of a single feature: all reads are dealt in each sweep."""
+    rows_ = [(c, t, k, 1.0) for c, ts, k in (("u", "ab", 400), ("v", "bc", 300), ("w", "abc", 300)) for t in ts]
+    c = abundance.Component(pd.DataFrame(rows_, columns=["class_id", "transcript", "k", "l"]))
+    t = c.gibbs(c.em(50), 512, 512, 0.1, 0.1, 64, np.random.default_rng(1))
+    assert t.shape == (512, 3) and abs(t.sum(axis=1).mean() * 1.1 - 1000.3) < 6 and t[:, 1].mean() > t[:, 0].mean()
+
+
 def test_sokal_matches_lag_sums():
     x = np.random.default_rng(1).normal(size=64).cumsum()
     var, tau, m = st.sokal(x)

@@ -34,3 +34,10 @@ def test_same_rows(spark, con, name):
 def test_entry(spark):
     if os.path.isdir(SF):
         assert entry.entry(spark).count() > 0
+
+
+def test_gibbs_summary_has_every_feature(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    parts = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey").distinct().count()
+    assert proxy.queries()["gibbs_summary"](spark, SF).count() == parts
