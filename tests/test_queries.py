@@ -41,3 +41,11 @@ def test_gibbs_summary_has_every_feature(spark):
         pytest.skip("no tables")
     parts = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey").distinct().count()
     assert proxy.queries()["gibbs_summary"](spark, SF).count() == parts
+
+
+def test_documents_are_taken_whole(spark, tmp_path):
+    rows = [(None, "abc", 3), (1, "x" * 6000, 6000), (2, "y" * 5000, 5000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    q = proxy.queries()
+    assert sorted(r["true_length"] for r in q["eff_length"](spark, str(tmp_path)).collect()) == [3, 5000, 6000]
+    assert q["wrapped_lines"](spark, str(tmp_path)).count() == 3
