@@ -5,12 +5,19 @@ its own, a question that needs all blocks ("how many documents hold this key?"):
 its distinct keys, packed, to buckets by key, each bucket merges what all blocks sent,
 and answers come back aligned with what was sent.  What a block sends of one key is one
 entry, however many of its documents hold the key, so a key in a third of all documents
-costs one entry a block and no more.  A bucket holds about half as many entries as a block.
+costs one entry a block and no more.
+
+Sizes follow from the bytes of all texts, not from a setting: a block has about BLOCK_BYTES,
+a bucket BUCKET_BYTES.  What a block sends to a bucket should not fall below PIECE_BYTES, so
+beyond about 16 GB both grow, with the square root of the input (at 100 TB to some 320 MB).
+Workers give memory back to the system after each group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +29,44 @@ HOT_COPIES, HOT_TEXTS = 256, 100_000
 REPLY = "block int, kind int, bucket int, body binary"
 
 
-def number_of_blocks(df: DataFrame) -> int:
-    """Blocks: the number of shuffle partitions that the session is set to.  Of buckets there are twice as many."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text in a block, of text behind what a bucket gets, and the least a block should send to a bucket.
+BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES = 4 << 20, 4 << 20, 1 << 10
+
 
+def plan_of(total: int, partitions: int) -> tuple[int, int]:
+    """Numbers of blocks and of buckets for so many bytes of text."""
+    least = math.isqrt(total * PIECE_BYTES)
+    return max(partitions, -(-total // max(BLOCK_BYTES, least))), max(2 * partitions, -(-total // max(BUCKET_BYTES, least)))
 
-def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, text, block; partitioned by block, equal texts in one block.
+
+def in_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text, block, partitioned by block, equal texts in one block; and the number of buckets.
 
     Texts that HOT_COPIES rows or more share are dealt over all blocks by doc_id too, so
     no block gets a large group of copies.  Their hashes are broadcast if there are at
     most HOT_TEXTS of them, and joined otherwise.
     """
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("_h"))
-    hot = d.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= HOT_COPIES).select(F.col("_h").alias("_hot"))
-    few = hot.limit(HOT_TEXTS + 1).count() <= HOT_TEXTS
-    d = d.join(F.broadcast(hot) if few else hot, F.col("_h") == F.col("_hot"), "left")
-    spread = F.xxhash64("_h", F.when(F.col("_hot").isNotNull(), F.xxhash64("doc_id")).otherwise(F.lit(0)))
-    d = d.select("doc_id", "text", F.pmod(spread, F.lit(blocks)).cast("int").alias("block"))
-    return d.repartition(blocks, "block")
+    each = d.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length("text")).alias("_b"))
+    size = each.agg(F.sum("_b").alias("bytes"), F.count_if(F.col("_n") >= HOT_COPIES).alias("hot")).first()
+    partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks, buckets = plan_of(size["bytes"] or 0, partitions)
+    salt = F.lit(0).cast("bigint")
+    if size["hot"]:
+        hot = d.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= HOT_COPIES).select(F.col("_h").alias("_hot"))
+        d = d.join(F.broadcast(hot) if size["hot"] <= HOT_TEXTS else hot, F.col("_h") == F.col("_hot"), "left")
+        salt = F.when(F.col("_hot").isNotNull(), F.xxhash64("doc_id")).otherwise(salt)
+    d = d.select("doc_id", "text", F.pmod(F.xxhash64("_h", salt), F.lit(blocks)).cast("int").alias("block"))
+    return d.repartition(partitions, "block"), buckets
+
+
+def release() -> None:
+    """Gives freed memory of this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
 
 
 def ordered(table: pa.Table) -> tuple[list, list[str]]:
@@ -78,12 +104,20 @@ def short_keys(keys: np.ndarray) -> np.ndarray:
 
 
 def _short(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    """48-bit keys in ascending order: their steps in 4 bytes each, or, if a step is larger, keys in 6 bytes."""
+    high = keys >> np.uint64(16)
+    steps = np.diff(high)
+    if len(high) and (not len(steps) or steps.max() < 1 << 32):
+        return b"s" + high[:1].tobytes() + steps.astype(np.uint32).tobytes()
+    return b"k" + np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
 def _long(body: bytes) -> np.ndarray:
+    if body[:1] == b"s":
+        steps = np.frombuffer(body, np.uint32, offset=9).astype(np.uint64)
+        return np.cumsum(np.concatenate([np.frombuffer(body, np.uint64, 1, 1), steps])) << np.uint64(16)
     out = np.zeros((len(body) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(body, np.uint8).reshape(-1, 6)
+    out[:, 2:] = np.frombuffer(body, np.uint8, offset=1).reshape(-1, 6)
     return out.view(np.uint64).ravel()
 
 
@@ -121,13 +155,17 @@ def ask(
     if replies is None:
 
         def first(key: tuple, table: pa.Table) -> pa.Table:
-            return send(*ordered(table), key[0].as_py(), None)
+            out = send(*ordered(table), key[0].as_py(), None)
+            release()
+            return out
 
         sent = blocks.groupBy("block").applyInArrow(first, schema)
     else:
 
         def later(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
-            return send(*ordered(table), key[0].as_py(), bodies(said))
+            out = send(*ordered(table), key[0].as_py(), bodies(said))
+            release()
+            return out
 
         sent = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(later, schema)
 
@@ -143,6 +181,8 @@ def ask(
         back = np.empty(len(keys), dtype=found.dtype)
         back[order] = np.repeat(found, counts)
         ends = np.cumsum(sizes)
+        del keys, notes, order
+        release()
         return pa.table(
             {
                 "block": table.column("block").cast(pa.int32()),
@@ -167,7 +207,3 @@ def aligned(got: dict[int, bytes], dtype: np.dtype) -> np.ndarray:
     """The answers of one kind, in the order of the block's sorted keys."""
     return np.frombuffer(b"".join(got[b] for b in sorted(got)), dtype=dtype)
 
-
-def windowed(a: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    for i in range(0, len(a), size):
-        yield i, min(i + size, len(a))

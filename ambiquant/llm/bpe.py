@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ambiquant.llm.blocks import release
+
 CACHE_LIMIT, PAIRS_LIMIT = 400_000, 200_000
 #: The pre-token pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -185,6 +187,14 @@ class Codec:
         return self.decode(ids).decode("utf-8", "replace")
 
 
+    def forget(self) -> None:
+        """Empties the tables that grow with the texts; a worker that waits for other work holds none."""
+        self.cache.clear()
+        self.older.clear()
+        self.compatible.clear()
+        release()
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -223,6 +233,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             values = np.concatenate(found) if found else np.zeros(0, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
+        codec.forget()
 
     return rest.mapInArrow(run, schema)
 
@@ -262,6 +273,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        codec.forget()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

@@ -1,50 +1,61 @@
 """Exact Jaccard join on word shingles in a metric space.
 
-The Jaccard distance is a metric, so a pivot's distances bound all others: documents
-within 0.25 of each other differ by at most 0.25 in their distance to any pivot.
-
-1. Blocks ask in how many shingle sets each shingle occurs.  Shingles are ordered by
-   that number, then by hash.  Two sets with similarity 0.75 or more share one of the
-   first n - ceil(0.75 n) + 1 shingles of either; a set whose first shingles are all its
-   own has no partner.  This holds exactly, and for most documents of a corpus.
-2. Blocks ask, for the shared first shingles of the sets that are left, which is the
-   smallest document that has each among its first ones: that document is a pivot.  A set
-   joins the regions of all its pivots, so each region is a Voronoi cell of its pivot with
-   the documents of its border replicated, and linked documents meet in a region.
-3. In a region pivots are taken in turn.  A pivot links what is within 0.25.  What is
-   farther than 0.5 cannot link to that ball (triangle inequality).  Only documents in the
-   window between can, unless they are in the ball's component already; each of them is
-   made a pivot itself, then the ball is closed.  What is left is treated alike, until no
-   document is open.  Every comparison that could join two components is made.
-4. Links are stars (document, root of its component in the region); labels go over them
-   to a fixed point in the cluster, with a checkpoint a round.
-
-Copies: sets of a block that are equal take part once and are linked directly, so a group
-of copies costs one set a block at most.
+The Jaccard distance is a metric, so distances to a pivot bound all others: documents
+within r = 0.25 of each other differ by at most r in their distance to any pivot.
+
+1. Classes.  Rows with one shingle set are one class; a class takes part once, whatever
+   the number of its copies, and counts as many documents in the numbers of links.
+2. Seeds.  Nearly all documents of a corpus are at distance 1 from any sampled pivot, so
+   the first pivots must come from the documents' own neighbourhoods.  Blocks ask in how
+   many sets each shingle occurs; shingles are ordered by that number, then by hash.  Two
+   sets within r share one of the first n - ceil(0.75 n) + 1 shingles of either, so a set
+   whose first shingles are all its own has no partner and leaves.  The smallest class that
+   has a shared first shingle is a pivot; a set joins the regions of all its pivots, so
+   linked sets share a region.  A pair counts in the first of the regions that both are in.
+3. Recursion.  A region of more than ROWS sets or BYTES is split: PIVOTS of its sets are
+   sampled, distances of all others to them are measured, in tasks of at most ROWS sets,
+   and each set goes home to the nearest pivot's Voronoi cell.  If x at home in c is linked
+   with y, then d(y, c) <= d(y, home of y) + 2 r; sets in that window are replicated to c as
+   border sets, to cells before their own only, as a pair counts in the earlier home.  Cells
+   that are still large are split again with new pivots.
+4. Dense cells.  A cell that keeps most of its parent lies in a ball that no pivot can
+   divide.  It is dealt into tiles: parts of at most ROWS sets, each pair of parts a task.
+5. In a region that fits, sets are sorted by their distance to a pivot; a set is compared
+   with those whose distance is at most r more, no other can link to it.
+
+Every pair of different linked sets is found and counted once; links are given as stars
+(set, root of its component in the region) and numbers of links.  Labels go over stars
+to a fixed point by alternating large and small stars, whose rounds grow with the logarithm of the
+number of sets, with a checkpoint a round.
 
 Defined results: texts without words and null texts have an empty set and link with
 nothing; with fewer than five words the sequence is one shingle; a null doc_id gets a
-null component and links with nothing; rows of one doc_id are one document for links;
-empty tables give empty results; extra columns are ignored by `components` and kept by
-`one_of_each`.  Shingles are compared by 64-bit hashes.
+null component and links with nothing; n_links is the number of other rows that a row links with,
+equal sets included; rows of one doc_id are one document for
+components; empty tables give empty results; extra columns are ignored by `components` and kept by
+`one_of_each`.  Shingles are compared by 64-bit hashes, sets by 128-bit ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ambiquant.llm.blocks import aligned, ask, bodies, group_starts, in_blocks, mix64, number_of_blocks, ordered, short_keys
-from ambiquant.llm.session import checkpointed
+from ambiquant.llm.blocks import aligned, ask, bodies, group_starts, in_blocks, mix64, ordered, release, short_keys
+from ambiquant.llm.session import checkpointed, unused
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Sets and bytes of sets that a region may have to be joined in one task, and pivots that split a larger one.
+ROWS, BYTES, PIVOTS = 400, 8 << 20, 16
+#: A cell with more than this share of its parent's sets is dense, and rows up to which a side may be broadcast.
+DENSE, FEW = 0.7, 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 1 << 20
 _letters = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -106,21 +117,25 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 class Block:
-    """A block's sets; `first` are those that are not equal to one of a smaller document."""
+    """A block's distinct sets, each with the documents that have it."""
 
     def __init__(self, ids: list, texts: list[str]):
-        self.ids, self.sets = ids, shingle_sets(texts)
+        self.bare: list[tuple] = []  # documents that link with nothing, and their numbers of shingles
+        self.docs: list[list[int]] = []
+        self.digests: list[bytes] = []
+        taken: list[np.ndarray] = []
         seen: dict[bytes, int] = {}
-        self.copy_of = [-1] * len(ids)
-        self.first = []
-        for i, s in enumerate(self.sets):
-            if len(s) and ids[i] is not None:
-                j = seen.setdefault(s.tobytes(), i)
-                if j == i:
-                    self.first.append(i)
-                else:
-                    self.copy_of[i] = j
-        taken = [self.sets[i] for i in self.first]
+        for i, s in zip(ids, shingle_sets(texts)):
+            if i is None or not len(s):
+                self.bare.append((i, len(s)))
+                continue
+            digest = hashlib.blake2b(s, digest_size=16).digest()
+            k = seen.setdefault(digest, len(taken))
+            if k == len(taken):
+                taken.append(s)
+                self.docs.append([])
+                self.digests.append(digest)
+            self.docs[k].append(i)
         self.sizes = np.array([len(s) for s in taken], dtype=np.int64)
         self.flat = np.concatenate(taken) if taken else np.zeros(0, np.uint64)
         self.ends = np.cumsum(self.sizes)
@@ -131,215 +146,323 @@ class Block:
         at = group_starts(keys)
         return keys[at], np.minimum(np.diff(np.concatenate([at, [len(keys)]])), 255).astype(np.uint8)
 
-    def prefixes(self, got: dict[int, bytes]) -> list[tuple[int, np.ndarray]]:
-        """Of each set that shares a first shingle: its place in `first`, and those shingles."""
+    def prefixes(self, got: dict[int, bytes]) -> dict[int, np.ndarray]:
+        """Of each set that shares a first shingle: those that it shares."""
         if not len(self.flat):
-            return []
+            return {}
         keys, _ = self.keys()
-        count = aligned(got, np.dtype(np.uint8))
-        of = count[np.searchsorted(keys, short_keys(self.flat))]
+        of = aligned(got, np.dtype(np.uint8))[np.searchsorted(keys, short_keys(self.flat))]
         alone = np.add.reduceat((of == 1).astype(np.int64), self.ends - self.sizes)
         length = self.sizes - (PERCENT * self.sizes + 99) // 100 + 1
-        out = []
+        out = {}
         for k in np.nonzero(alone < length)[0].tolist():
             lo, hi = self.ends[k] - self.sizes[k], self.ends[k]
             order = np.lexsort((self.flat[lo:hi], short_keys(self.flat[lo:hi]), of[lo:hi]))[alone[k] : length[k]]
-            out.append((k, short_keys(self.flat[lo:hi][order])))
+            out[k] = short_keys(self.flat[lo:hi][order])
         return out
 
-    def pivot_keys(self, got: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Shared first shingles; the note is the smallest document, and in bit 63 whether there are several."""
-        found = self.prefixes(got)
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        keys = np.concatenate([p for _, p in found])
-        docs = np.repeat([self.ids[self.first[k]] for k, _ in found], [len(p) for _, p in found]).astype(np.int64)
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        at = group_starts(keys)
-        several = docs[at] != np.maximum.reduceat(docs, at)
-        return keys[at], _coded(docs[at]) | (several.astype(np.uint64) << np.uint64(63))
-
-
-def _coded(docs: np.ndarray) -> np.ndarray:
-    """63-bit codes of doc_ids; ids from -2**62 to 2**62 - 1 keep their order."""
-    return (docs + (1 << 62)).astype(np.uint64) & np.uint64((1 << 63) - 1)
-
 
 def _sum(starts: np.ndarray, notes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.minimum(np.add.reduceat(notes.astype(np.int64), starts), 255).astype(np.uint8)
 
 
-_NONE = np.uint64((1 << 64) - 1)
+def _count_keys(ids: list, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return Block(ids, texts).keys()
+
+
+#: kind: 0 documents that link with nothing, 1 a set that only its copies link with, 2 a set that may have partners.
+FOUND = "kind int, digest binary, n bigint, docs array<bigint>, first array<bigint>, shingles binary"
 
 
-def _least(starts: np.ndarray, notes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    code = notes & np.uint64((1 << 63) - 1)
-    least = np.minimum.reduceat(code, starts)
-    several = np.bitwise_or.reduceat(notes >> np.uint64(63), starts).astype(bool) | (np.maximum.reduceat(code, starts) != least)
-    return np.where(several, least, _NONE)
+def _found(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
+    block, got = Block(*ordered(table)), bodies(said)
+    shared = block.prefixes(got.get(1, {}))
+    rows: list[tuple] = [(0, None, n, [i], None, None) for i, n in block.bare]
+    for k, docs in enumerate(block.docs):
+        n = int(block.sizes[k])
+        if k in shared:
+            own = block.flat[block.ends[k] - n : block.ends[k]]
+            rows.append((2, block.digests[k], n, docs, shared[k].view(np.int64), own.tobytes()))
+        else:
+            rows.append((1, None, n, docs, None, None))
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    out = pa.table({f.split()[0]: pa.array([r[c] for r in rows], kinds[c]) for c, f in enumerate(FOUND.split(", "))})
+    del block, shared, rows
+    release()
+    return out
 
 
 class Region:
-    """Sets of a region, compared by counts of common shingles."""
+    """Sets by their numbers, compared by counts of common shingles."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.n = np.array([len(s) for s in sets], dtype=np.int64)
-        flat = np.concatenate(sets)
-        values = np.sort(flat)
-        values = values[group_starts(values)]
-        self.flat = np.searchsorted(values, flat).astype(np.int32)
+        self.values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flat = flat.astype(np.int32)
         self.at = np.cumsum(self.n) - self.n
-        self.marked = np.zeros(len(values), dtype=np.int64)
-        self.root = list(range(len(sets)))
+        self.marked = np.zeros(len(self.values), dtype=np.int64)
 
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
-
-    def union(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.root[max(a, b)] = min(a, b)
-
-    def common(self, p: int) -> np.ndarray:
-        own = self.flat[self.at[p] : self.at[p] + self.n[p]]
+    def similar(self, own: np.ndarray, size: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of intersection and union of a set, given by numbers of shingles, with the sets from lo to hi."""
         self.marked[own] = 1
-        inter = np.add.reduceat(self.marked[self.flat], self.at)
+        begin = self.at[lo]
+        end = self.at[hi - 1] + self.n[hi - 1]
+        common = np.add.reduceat(self.marked[self.flat[begin:end]], self.at[lo:hi] - begin)
         self.marked[own] = 0
-        return inter
-
-    def pivot(self, p: int, open_: np.ndarray) -> np.ndarray:
-        """Links p to all open sets within the bound; returns distances."""
-        inter = self.common(p)
-        both = self.n + self.n[p] - inter
-        for q in np.nonzero(open_ & (100 * inter >= PERCENT * both))[0].tolist():
-            self.union(p, q)
-        return 1 - inter / both
-
-    def join(self) -> list[int]:
-        """The root of each set's component: the first of its sets."""
-        count = len(self.root)
-        open_ = np.ones(count, dtype=bool)
-        reach = 1 - PERCENT / 100
-        for p in range(count):
-            if not open_[p]:
-                continue
-            distance = self.pivot(p, open_)
-            open_[p] = False
-            ball = open_ & (distance <= reach + 1e-9)
-            own = self.find(p)
-            for y in np.nonzero(open_ & ~ball & (distance <= 2 * reach + 1e-9))[0].tolist():
-                if self.find(y) != own:  # else no link of y to the ball can join components
-                    self.pivot(y, open_)
-                    open_[y] = False
-                    own = self.find(p)
-            open_ &= ~ball
-        return [self.find(i) for i in range(count)]
+        return common, self.n[lo:hi] + size - common
 
+    def own(self, i: int) -> np.ndarray:
+        return self.flat[self.at[i] : self.at[i] + self.n[i]]
 
-def _count_keys(ids: list, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return Block(ids, texts).keys()
+    def distances(self, i: int) -> np.ndarray:
+        common, union = self.similar(self.own(i), int(self.n[i]), 0, len(self.n))
+        return 1 - common / union
 
 
-def _pivot_keys(ids: list, texts: list[str], got: dict) -> tuple[np.ndarray, np.ndarray]:
-    return Block(ids, texts).pivot_keys(got.get(1, {}))
+REACH = 1 - PERCENT / 100 + 1e-9
 
 
-PLACED = "cell bigint, doc bigint, n bigint, root bigint, shingles binary"
+def join_region(sets: list[np.ndarray], flags: list[int], before: list, weights: list[int]) -> tuple[list[int], list[int]]:
+    """Of each set: the first set of its component, and the documents of the sets that it links with here.
 
+    A pair counts if no bit is set in the flags of both, and no earlier region (before) is common.
+    """
+    size = len(sets)
+    far = Region(sets).distances(0)
+    order = np.argsort(far, kind="stable")
+    far, region = far[order], Region([sets[i] for i in order.tolist()])
+    flag = np.array(flags, np.int64)[order]
+    weight = np.array(weights, np.int64)[order]
+    earlier = [set(before[i]) for i in order.tolist()]
+    some = np.array([bool(e) for e in earlier])
+    upto = np.searchsorted(far, far + REACH, side="right")
+    root, links = np.arange(size), np.zeros(size, np.int64)
 
-def _placed(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
-    """Rows of a block: (doc, n, root) of every document, where root is set for copies, and (cell, doc, set)."""
-    block, got = Block(*ordered(table)), bodies(said)
-    doc: list = list(block.ids)
-    n: list = [len(s) for s in block.sets]
-    root: list = [None if c < 0 else block.ids[c] for c in block.copy_of]
-    cell: list = [d or 0 for d in doc]
-    sets: list = [None] * len(doc)
-    found = block.prefixes(got.get(1, {}))
-    if found:
-        keys, _ = block.pivot_keys(got.get(1, {}))
-        least = aligned(got[2], np.dtype(np.uint64))
-        for k, prefix in found:
-            pivots = least[np.searchsorted(keys, prefix)]
-            i = block.first[k]
-            for p in sorted(set(pivots[pivots != _NONE].tolist())):
-                doc.append(block.ids[i])
-                n.append(None)
-                root.append(None)
-                cell.append(p - (1 << 62))
-                sets.append(block.sets[i].tobytes())
-    return pa.table(
-        {
-            "cell": pa.array(cell, pa.int64()), "doc": pa.array(doc, pa.int64()), "n": pa.array(n, pa.int64()),
-            "root": pa.array(root, pa.int64()), "shingles": pa.array(sets, pa.binary()),
-        }
-    )
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = int(root[i])
+        return i
+
+    for i in range(size):
+        lo, hi = i + 1, int(upto[i])
+        if lo >= hi:
+            continue
+        common, union = region.similar(region.own(i), int(region.n[i]), lo, hi)
+        near = np.nonzero(100 * common >= PERCENT * union)[0] + lo
+        if not len(near):
+            continue
+        own = find(i)
+        for j in np.unique(root[near]).tolist():
+            other = find(j)
+            if other != own:
+                own, other = min(own, other), max(own, other)
+                root[other] = own
+        root[near] = own
+        near = near[flag[near] & flag[i] == 0]
+        if some[i]:
+            near = near[[not (some[j] and earlier[i] & earlier[j]) for j in near.tolist()]] if len(near) else near
+        links[i] += weight[near].sum()
+        links[near] += weight[i]
+    first: dict[int, int] = {}
+    roots, counts = [0] * size, [0] * size
+    for i, place in enumerate(order.tolist()):
+        r = find(i)
+        first[r] = min(first.get(r, place), place)
+    for i, place in enumerate(order.tolist()):
+        roots[place], counts[place] = first[find(i)], int(links[i])
+    return roots, counts
+
+
+#: A set in a region: `before` are its seed regions before this one's; a bit of `flags` says that it is a border set there.
+PLACED = "cell bigint, digest binary, rep bigint, mult bigint, before array<bigint>, flags bigint, shingles binary"
+LINKED = "digest binary, rep bigint, root bigint, links bigint"
+PLACED_TYPES = {"cell": pa.int64(), "digest": pa.binary(), "rep": pa.int64(), "mult": pa.int64(), "before": pa.list_(pa.int64()), "flags": pa.int64(), "shingles": pa.binary()}
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by cell: documents as they come, and links (doc, root) of each region's sets."""
-    names = ["doc", "n", "root"]
+    """Of rows sorted by cell: (digest, rep, root, links) of the sets that link in a region."""
+    names = [f.split()[0] for f in LINKED.split(", ")]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     cell: int | None = None
-    held: list[tuple[int, bytes]] = []
+    held: list[dict] = []
+
+    def links() -> list[tuple]:
+        if len(held) < 2:
+            return []
+        held.sort(key=lambda r: (r["rep"], r["digest"]))
+        column = lambda c: [r[c] for r in held]
+        roots, counts = join_region([np.frombuffer(x, np.uint64) for x in column("shingles")], column("flags"), column("before"), column("mult"))
+        return [(r["digest"], r["rep"], held[a]["rep"], n) for r, a, n in zip(held, roots, counts) if n or held[a]["rep"] != r["rep"]]
 
-    def links() -> Iterator[pa.RecordBatch]:
-        if len(held) > 1:
-            held.sort()
-            roots = Region([np.frombuffer(s, np.uint64) for _, s in held]).join()
-            rows = [(held[i][0], held[r][0]) for i, r in enumerate(roots) if r != i]
-            cols = [pa.array([a for a, _ in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([b for _, b in rows], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     for b in batches:
-        t = pa.Table.from_batches([b])
-        rest = t.filter(pc.is_null(t.column("shingles"))).select(names).combine_chunks().to_batches()
-        yield from rest
-        own = t.filter(pc.is_valid(t.column("shingles")))
-        for c, d, s in zip(own.column("cell").to_pylist(), own.column("doc").to_pylist(), own.column("shingles").to_pylist()):
-            if c != cell:
-                yield from links()
-                cell, held = c, []
-            held.append((d, s))
-    yield from links()
-
-
-def labels(stars: DataFrame) -> DataFrame:
-    """doc, label: the smallest document that links (doc, root) lead to."""
-    both = stars.union(stars.select("root", "root")).distinct()
-    edges = checkpointed(both.withColumn("label", F.col("doc")))
+        out: list[tuple] = []
+        for r in b.to_pylist():
+            if r["cell"] != cell:
+                out += links()
+                cell, held = r["cell"], []
+            held.append(r)
+        yield batch(out)
+    yield batch(links())
+    release()
+
+
+def _split_at(level: int):
+    """Deals the sets of a cell, a part at a time, to the Voronoi cells of its pivots."""
+
+    def split(key: tuple, table: pa.Table, pivots: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        out: dict[str, list] = {c: [] for c in PLACED_TYPES}
+        if rows and pivots.num_rows:
+            centres = sorted(pivots.column("centre").to_pylist())
+            region = Region([np.frombuffer(x, np.uint64) for x in [r["shingles"] for r in rows] + centres])
+            far = np.stack([region.distances(len(rows) + k)[: len(rows)] for k in range(len(centres))], axis=1)
+            home = far.argmin(axis=1)
+            window = far <= far.min(axis=1)[:, None] + 2 * REACH
+            window &= np.arange(len(centres))[None, :] < home[:, None]  # a pair counts in the earlier home
+            window[np.arange(len(rows)), home] = True
+            seed = np.array([key[0].as_py()], np.int64).view(np.uint64)
+            cells = mix64(mix64(seed + np.uint64(level + 1)) + np.arange(len(centres), dtype=np.uint64)).view(np.int64).tolist()
+            for i, k in zip(*(x.tolist() for x in np.nonzero(window))):
+                for c in out:
+                    out[c].append(rows[i][c])
+                out["cell"][-1] = cells[k]
+                out["flags"][-1] |= 0 if home[i] == k else 1 << level
+        found = pa.table({c: pa.array(v, PLACED_TYPES[c]) for c, v in out.items()} | {"parent": pa.array([key[0].as_py()] * len(out["cell"]), pa.int64())})
+        release()
+        return found
+
+    return split
+
+
+def _sizes(rows: DataFrame, *by: str) -> DataFrame:
+    """cell, m sets, parts that it takes to stay in the bounds."""
+    s = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("shingles")).alias("_b"))
+    return s.withColumn("parts", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("_b") / BYTES)).cast("int")).drop("_b")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if its rows, some 32 bytes each, are few; df must be checkpointed."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Rows of dense cells (with `parts`), dealt to the tiles of their cells; PLACED."""
+    d = rows.withColumn("_own", F.pmod(F.xxhash64("digest", F.lit(-1)), F.col("parts")).cast("int"))
+    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.xxhash64("cell", F.least("_own", "_other"), F.greatest("_own", "_other"), F.lit("tile"))
+    # pairs of one part count in the tile of that part with itself
+    bit = F.when(F.col("_own") == F.col("_other"), F.lit(0)).when(F.col("_own") < F.col("_other"), F.lit(1 << 61)).otherwise(F.lit(1 << 62))
+    d = d.withColumn("flags", F.col("flags").bitwiseOR(bit.cast("bigint"))).withColumn("cell", tile)
+    return d.select(*PLACED_TYPES)
+
+
+def _divided(large: DataFrame, sizes: DataFrame) -> list[DataFrame]:
+    """Rows of cells that are too large (PLACED; sizes: cell, m, parts, checkpointed), in cells and tiles that fit."""
+    done: list[DataFrame] = []
+    for level in range(60):
+        known = large.join(_few(sizes), "cell")
+        dealt = known.withColumn("salt", F.pmod(F.xxhash64("digest", F.lit(level)), F.col("parts")).cast("int"))
+        by = Window.partitionBy("cell").orderBy(F.xxhash64("digest", F.lit(level), F.lit("pivot")), "digest")
+        pivots = known.withColumn("_k", F.row_number().over(by)).filter(F.col("_k") <= PIVOTS)
+        pivots = pivots.select(F.col("cell").alias("at"), F.col("shingles").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        dealt = dealt.select(*PLACED_TYPES, "salt").groupBy("cell", "salt")
+        cells = checkpointed(dealt.cogroup(pivots.groupBy("at", "part")).applyInArrow(_split_at(level), PLACED + ", parent bigint"))
+        parents = sizes.select(F.col("cell").alias("parent"), F.col("m").alias("_all"))
+        state = checkpointed(_sizes(cells, "cell", "parent").join(_few(checkpointed(parents)), "parent").drop("parent"))
+        fits, dense = F.col("parts") <= 1, F.col("m") > DENSE * F.col("_all")
+        rows = cells.drop("parent").join(_few(state), "cell")
+        done += [rows.filter(fits).select(*PLACED_TYPES), _tiles(rows.filter(~fits & dense))]
+        sizes = state.filter(~fits & ~dense).drop("_all")
+        if sizes.limit(1).count() == 0:
+            return done
+        large = rows.filter(~fits & ~dense).select(*PLACED_TYPES)
+    return [*done, _tiles(large.join(_few(sizes), "cell"))]
+
+
+def labels(links: DataFrame) -> DataFrame:
+    """node, label of the nodes of links (a, b): the smallest node that links lead to.
+
+    Large stars move the larger neighbours of a node to its smallest neighbour, small stars
+    the others, until every component is a star.
+    """
+    edges = checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        least = edges.groupBy("root").agg(F.min("label").alias("low"))
-        carried = edges.join(least, "root")
-        new = carried.groupBy("doc").agg(F.min("low").alias("low2"))
-        after = checkpointed(carried.join(new, "doc").select("doc", "root", F.col("low2").alias("label"), (F.col("low2") < F.col("label")).alias("moved")))
-        edges = after.drop("moved")
-        if after.filter("moved").limit(1).count() == 0:
-            return edges.groupBy("doc").agg(F.min("label").alias("label"))
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a")
+        small = small.select("b", "m").filter("b <> m").union(down.select("a", "m")).toDF("a", "b").distinct()
+        after = checkpointed(small)
+        same = edges.join(after, ["a", "b"], "left_anti").limit(1).count() == 0 and after.join(edges, ["a", "b"], "left_anti").limit(1).count() == 0
+        edges = after
+        if same:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    n = number_of_blocks(docs)
-    blocks = in_blocks(docs, n)
-    counts = ask(blocks, _count_keys, _sum, 2 * n, 1, note=np.uint8)
-    pivots = ask(blocks, _pivot_keys, _least, 2 * n, 2, replies=counts, note=np.uint64)
-    replies = counts.unionByName(pivots)
-    placed = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_placed, PLACED)
-    # sets go to their regions and nowhere else; what is kept is a row for each document and link
-    dealt = placed.repartition("cell").sortWithinPartitions("cell")
-    found = checkpointed(dealt.mapInArrow(_regions, "doc bigint, n bigint, root bigint"))
-    label = labels(found.filter("root is not null").select("doc", "root")).withColumnRenamed("doc", "_doc")
-    each = found.filter("n is not null")
-    return each.join(label, F.col("doc") == F.col("_doc"), "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "doc").alias("component_id")
+    """doc_id, n_shingles, component_id and n_links of every document."""
+    blocks, buckets = in_blocks(docs)
+    counts = ask(blocks, _count_keys, _sum, buckets, 1, note=np.uint8)
+    found = checkpointed(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_found, FOUND))
+    sets = found.filter("kind = 2")
+    classes = sets.groupBy("digest").agg(
+        F.min(F.array_min("docs")).alias("rep"), F.sum(F.size("docs")).cast("bigint").alias("mult"), F.first("first").alias("first")
+    )
+    keys = classes.select("digest", "rep", F.explode("first").alias("key"))
+    pivots = keys.groupBy("key").agg(F.min(F.struct("rep", "digest")).alias("_p"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    pivots = pivots.select("key", F.xxhash64("_p.digest").alias("cell"))
+    cells = keys.join(pivots, "key").groupBy("digest").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    classes = checkpointed(classes.drop("first").join(cells, "digest", "left"))
+    # sets go to their regions and nowhere else
+    placed = sets.groupBy("digest").agg(F.first("shingles").alias("shingles")).join(classes.filter("cells is not null"), "digest")
+    placed = placed.withColumn("cell", F.explode("cells")).select(
+        "cell", "digest", "rep", "mult", F.filter("cells", lambda c: c < F.col("cell")).alias("before"), F.lit(0).cast("bigint").alias("flags"), "shingles"
     )
+    width = sets.groupBy("digest").agg(F.first("n").alias("_n"))
+    size = classes.select("digest", F.explode("cells").alias("cell")).join(width, "digest")
+    size = size.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), (F.sum("_n") * 8).alias("_b"))
+    size = size.withColumn("parts", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("_b") / BYTES)).cast("int")).drop("_b")
+    large = checkpointed(size.filter("parts > 1"))
+    regions = [placed]
+    if large.limit(1).count():
+        known = _few(large.select("cell"))
+        regions = [placed.join(known, "cell", "left_anti"), *_divided(checkpointed(placed.join(known, "cell", "left_semi")), large)]
+    linked = []
+    for r in regions:
+        linked.append(r.repartition("cell").sortWithinPartitions("cell").mapInArrow(_regions, LINKED))
+    linked = checkpointed(_union(linked))
+    links = linked.groupBy("digest").agg(F.sum("links").alias("_links"))
+    info = classes.select("digest", "rep", "mult").join(links, "digest", "left")
+    info = info.select("digest", "rep", (F.col("mult") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
+    alike = found.filter("kind < 2").select("kind", "n", "docs", F.array_min("docs").alias("rep"), F.when(F.col("kind") == 1, F.size("docs") - 1).otherwise(F.lit(0)).cast("bigint").alias("n_links"))
+    rows = sets.select("kind", "digest", "n", "docs").join(info, "digest").select("kind", "n", "docs", "rep", "n_links").unionByName(alike)
+    # a doc_id in rows with different sets joins their classes
+    several = rows.filter("kind > 0").select("rep", F.explode("docs").alias("doc")).distinct()
+    twice = several.groupBy("doc").agg(F.min("rep").alias("_low"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    twice = several.join(twice, "doc").select(F.col("rep").alias("a"), F.col("_low").alias("b"))
+    label = labels(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(twice))
+    rows = rows.join(label, F.col("rep") == F.col("node"), "left").withColumn("doc", F.explode("docs"))
+    component = F.when(F.col("kind") == 0, F.col("doc")).otherwise(F.coalesce("label", "rep"))
+    return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), "n_links")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that are not the smallest of their component; a null doc_id stays."""
-    c = components(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(c, F.col("doc_id") == F.col("_id"), "left_anti").select(*docs.columns)
+    """docs without those that are not the smallest of their component; a null doc_id stays.
+
+    The doc_ids that go are broadcast if they are at most FEW.
+    """
+    (number,) = unused(docs, "_id")
+    gone = checkpointed(components(docs).filter("component_id < doc_id").select(F.col("doc_id").alias(number)).distinct())
+    return docs.join(_few(gone), F.col("doc_id") == F.col(number), "left_anti").select(*docs.columns)

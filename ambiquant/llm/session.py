@@ -1,4 +1,4 @@
-"""Checkpoints in the cluster's shared folder."""
+"""Checkpoints in the cluster's shared folder, and column names that clash with none."""
 
 from __future__ import annotations
 
@@ -10,11 +10,25 @@ from pyspark.sql import DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to spark.checkpoint.dir and read from there.
 
-    The folder is the one that the cluster names; only if it names none (tests on one
-    machine) a temporary one is set.
+    The folder is the one that the cluster names.  If it names none, a temporary one is
+    set on a local master; on a cluster, where executors would not see it, that is an error.
     """
     context = df.sparkSession.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -42,7 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambiquant.llm.blocks import aligned, ask, bodies, bucket_cuts, group_starts, in_blocks, mix64, number_of_blocks, ordered, short_keys
+from ambiquant.llm.blocks import aligned, ask, bodies, bucket_cuts, group_starts, in_blocks, mix64, ordered, release, short_keys
+from ambiquant.llm.session import unused
 
 #: Length of a repeated string; 2 more than a multiple of 4.
 SPAN = 50
@@ -249,6 +250,8 @@ def repeated(shards: list[tuple[bytes, np.ndarray]]) -> list[np.ndarray]:
     included): whether a SPAN-byte string starts there that a smaller document has too.
     """
     sizes = np.array([len(b) for b, _ in shards])
+    if sizes.sum() >= 1 << 31:
+        raise OverflowError("a bucket of repeated passages is beyond 2 GB")
     bwt = np.frombuffer(b"".join(b for b, _ in shards), dtype=np.uint8)
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     back = np.empty(len(bwt), dtype=np.int32)  # LF: place of the suffix that is longer by one symbol
@@ -314,9 +317,7 @@ def _strings_keys(ids: list, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _covered(docs: DataFrame, result, schema: str) -> DataFrame:
-    n = number_of_blocks(docs)
-    blocks = in_blocks(docs, n)
-    buckets = 2 * n
+    blocks, buckets = in_blocks(docs)
     keys = ask(blocks, _strings_keys, _count, buckets, 1)
 
     def shards(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
@@ -326,6 +327,8 @@ def _covered(docs: DataFrame, result, schema: str) -> DataFrame:
         for home in sorted(by):
             owners = [block.number[np.searchsorted(block.begins, places[i][0], side="right") - 1] for i in by[home]]
             rows.append((home, transform([texts[i] for i in by[home]]), np.array(owners, np.int64).tobytes()))
+        del block, by, texts, places
+        release()
         return pa.table(
             {
                 "bucket": pa.array([r[0] for r in rows], pa.int32()),
@@ -340,6 +343,7 @@ def _covered(docs: DataFrame, result, schema: str) -> DataFrame:
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         got = repeated([(b, np.frombuffer(d, np.int64)) for b, d in zip(table.column("bwt").to_pylist(), table.column("owners").to_pylist())])
+        release()
         return pa.table(
             {
                 "block": table.column("block").cast(pa.int32()),
@@ -371,7 +375,11 @@ def _covered(docs: DataFrame, result, schema: str) -> DataFrame:
                         hit[p : p + windows] = True if number != own[0] else mask[at : at + windows]
         total = np.concatenate([np.zeros(SPAN, np.int32), np.cumsum(hit[:-1], dtype=np.int32)])
         gone = total[SPAN:] > total[: len(block.flat)]
-        return result(block, gone)
+        del hit, total
+        out = result(block, gone)
+        del block, gone, got
+        release()
+        return out
 
     replies = keys.unionByName(bits)
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cover, schema)
@@ -416,9 +424,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The columns of `digest`, spans (start, end in bytes) and kept_text.
+    """The columns of `digest`, spans (start, end in bytes), kept_text and text_md5.
 
     kept_text is what is left as text; a character that lost some of its bytes is left out.
+    text_md5 is that of the whole text where something was removed, else null.
     """
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -427,23 +436,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for raw, m in _marks(block, gone):
             n, e, kept = _row(raw, m)
             spans = [{"start": a, "end": b} for a, b in e.reshape(-1, 2).tolist()]
-            rows.append((len(raw), n, len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), spans))
-        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span]
+            whole = hashlib.md5(raw, usedforsecurity=False).hexdigest() if n else None
+            rows.append((len(raw), n, len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), spans, whole))
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans", "text_md5"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span, pa.string()]
         return _table(block, {c: (kinds[k], [r[k] for r in rows]) for k, c in enumerate(names)})
 
-    return _covered(docs, result, DIGEST + ", kept_text string, spans array<struct<start:bigint,end:bigint>>")
+    return _covered(docs, result, DIGEST + ", kept_text string, spans array<struct<start:bigint,end:bigint>>, text_md5 string")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from `text`; a character that is cut in part goes whole.
 
     n_chars, if there is such a column, is counted anew.  Documents that lose everything
-    stay, with an empty text.  Rows must have distinct doc_id.
+    stay, with an empty text.  Rows of one doc_id lose what their own text loses.
     """
-    cut = remove_repeats(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text")
-    d = docs.join(cut, F.col("doc_id") == F.col("_id"), "left")
-    d = d.withColumn("text", F.coalesce("kept_text", "text"))
+    number, whole, kept = unused(docs, "_id", "_md5", "_kept")
+    cut = remove_repeats(docs).filter("n_removed > 0").select(F.col("doc_id").alias(number), F.col("text_md5").alias(whole), F.col("kept_text").alias(kept))
+    cut = cut.dropDuplicates([number, whole])
+    d = docs.join(cut, (F.col("doc_id") == F.col(number)) & (F.md5("text") == F.col(whole)), "left")
+    d = d.withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast("bigint"))
     return d.select(*docs.columns)

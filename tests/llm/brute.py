@@ -47,7 +47,9 @@ def shingles(text):
 
 
 def components(rows):
+    """Per row (doc_id, text): doc_id, size of its set, component, number of other rows that it links with."""
     sets, where = [(i, shingles(t)) for i, t in rows], collections.defaultdict(list)
+    links = [0] * len(rows)
     root = {i: i for i, _ in rows if i is not None}
 
     def find(x):
@@ -63,9 +65,11 @@ def components(rows):
             where[g].append(a)
         for b, k in common.items():
             if 100 * k >= 75 * (len(s) + len(sets[b][1]) - k):
+                links[a] += 1
+                links[b] += 1
                 x, y = find(i), find(sets[b][0])
                 root[max(x, y)] = min(x, y)
-    return [(i, len(s), None if i is None else find(i)) for i, s in sets]
+    return [(i, len(s), None if i is None else find(i), n) for (i, s), n in zip(sets, links)]
 
 
 def line_hash(line):

@@ -77,7 +77,7 @@ def test_hot_copies(spark):
     rows = [(i, text if i % 5 else text + f" end{i}") for i in range(700)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     same(got(suffix_dedup.digest(d)), brute.removal_digest(rows))
-    same(got(jaccard_join.components(d)), [(i, len(brute.shingles(t)), 0) for i, t in rows])
+    same(got(jaccard_join.components(d)), brute.components(rows))
 
 
 def test_suffix_order_and_merge():
@@ -100,6 +100,34 @@ def test_suffix_order_and_merge():
         assert b.tolist() == want
 
 
+def test_keys_as_steps():
+    from ambiquant.llm import blocks
+
+    rng = np.random.default_rng(8)
+    for size, top in ((0, 60), (1, 64), (5, 64), (3000, 62), (3000, 50)):
+        keys = np.unique(blocks.short_keys(rng.integers(0, 1 << top, size, dtype=np.uint64) if top < 64 else rng.integers(0, (1 << 64) - 1, size, dtype=np.uint64)))
+        assert (blocks._long(blocks._short(keys)) == keys).all()
+
+
+def test_sizes_of_blocks():
+    from ambiquant.llm import blocks
+
+    assert blocks.plan_of(0, 4) == (4, 8) and blocks.plan_of(1 << 30, 4) == (256, 256)
+    n, b = blocks.plan_of(10**14, 10_000)
+    assert 10**14 / n < 400e6 and 10**14 / n / b >= 900
+
+
+def test_rows_of_one_doc_id(spark):
+    """Rows of one doc_id lose what their own text loses; columns may have any name."""
+    rows = [(1, "x" * 60, 0), (2, "x" * 60 + "y", 1), (2, "z" * 60, 2), (2, "x" * 60 + "y", 3), (3, "own", 4)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, _id int").withColumns({"kept_text": F.lit("k"), "_md5": F.lit(7), "_KEPT": F.lit(8)})
+    cut = suffix_dedup.dedup_documents(d)
+    assert cut.columns == d.columns
+    same(got(cut.select("doc_id", "text", "_id")), [(1, "x" * 60, 0), (2, "y", 1), (2, "z" * 60, 2), (2, "y", 3), (3, "own", 4)])
+    kept = jaccard_join.one_of_each(spark.createDataFrame([(1, "a b c d e f", 1), (2, "a b c d e f", 2)], "doc_id bigint, text string, _id int"))
+    same(got(kept), [(1, "a b c d e f", 1)])
+
+
 def test_dedup_documents(spark):
     text = "é" * 30 + "abcdefghij" * 6
     d = spark.createDataFrame(documents([(1, "x" * 9 + text), (2, "zz" + text + "é"), (3, "own")]), DOC)
@@ -112,9 +140,42 @@ def test_jaccard_components(frame):
     same(got(jaccard_join.components(frame)), brute.components(awkward()))
 
 
+def test_large_regions_are_split(spark, monkeypatch):
+    """Cells, border sets, recursion and tiles, with copies, chains of near copies and a doc_id in two classes."""
+    monkeypatch.setattr(jaccard_join, "ROWS", 8)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
+    rnd = random.Random(21)
+    rows = []
+    for group in range(4):
+        words = [f"g{group}w{k}" for k in range(80)] + [f"all{k}" for k in range(20)]
+        for i in range(60):
+            if group < 2:  # a ball
+                own = list(words)
+                for k in rnd.sample(range(100), rnd.randint(0, 3)):
+                    own[k] = f"x{group}{i}{k}"
+            else:  # a chain: the text slides along a longer one
+                own = [f"g{group}w{k}" for k in range(2 * i, 2 * i + 60)] + words[-20:]
+            rows.append((1000 * group + i, " ".join(own)))
+    rows += [(rows[k][0] + 500, rows[k][1].upper()) for k in range(0, 240, 7)] + [(3, rows[130][1]), rows[40], (None, rows[2][1])]
+    rnd.shuffle(rows)
+    split = []
+    real = jaccard_join._divided
+    monkeypatch.setattr(jaccard_join, "_divided", lambda *a: split.append(1) or real(*a))
+    same(got(jaccard_join.components(spark.createDataFrame(rows, "doc_id bigint, text string"))), brute.components(rows))
+    assert split
+
+
+def test_labels(spark):
+    """A chain of 200 nodes, a star and a ring."""
+    links = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 50)] + [(2000 + k, 2000 + (k + 1) % 30) for k in range(30)] + [(5000, 5000)]
+    random.Random(2).shuffle(links)
+    found = {r["node"]: r["label"] for r in jaccard_join.labels(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert found == {n: n // 1000 * 1000 for n in [*range(1, 201), *range(1001, 1050), *range(2001, 2030)]}
+
+
 def test_one_of_each_and_empty(spark, frame):
     kept = jaccard_join.one_of_each(frame)
-    want = {i for i, _, c in brute.components(awkward()) if i is None or c == i}
+    want = {i for i, _, c, _ in brute.components(awkward()) if i is None or c == i}
     assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == frame.columns
     empty = frame.limit(0)
     for df in (jaccard_join.components(empty), suffix_dedup.digest(empty), bpe.digest(empty), quality.measure(empty), mixing.mix(empty), licenses.scan(empty)):
@@ -126,7 +187,7 @@ def test_region_equals_all_pairs():
     for _ in range(20):
         base = rng.choice(1000, 40, replace=False)
         sets = [np.unique(np.where(rng.random(40) < rng.choice([0.02, 0.1, 0.2]), rng.integers(0, 1000, 40), base)).astype(np.uint64) for _ in range(40)]
-        root = list(range(40))
+        root, links = list(range(40)), [0] * 40
 
         def find(x, root=root):
             while root[x] != x:
@@ -137,9 +198,12 @@ def test_region_equals_all_pairs():
             for j in range(i):
                 k = len(np.intersect1d(sets[i], sets[j]))
                 if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+                    links[i] += 1
+                    links[j] += 1
                     a, b = find(i), find(j)
                     root[max(a, b)] = min(a, b)
-        assert jaccard_join.Region(sets).join() == [find(i) for i in range(40)]
+        roots, counts = jaccard_join.join_region(sets, [0] * 40, [[]] * 40, [1] * 40)
+        assert roots == [find(i) for i in range(40)] and counts == links
 
 
 @pytest.fixture(scope="module")
@@ -331,7 +395,7 @@ def test_pipeline(spark, reference_tokenizer):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
     rows = [(i, t, s) for (i, _, s), (_, ok, t) in zip(rows, brute.quality(rows)) if ok]
-    keep = {i for i, _, c in brute.components([(i, t) for i, t, _ in rows]) if i == c}
+    keep = {i for i, _, c, _ in brute.components([(i, t) for i, t, _ in rows]) if i == c}
     rows = [r for r in rows if r[0] in keep]
     rows = [(i, np.frombuffer(b, np.uint8)[~m].tobytes().decode("utf-8", "ignore"), s) for (i, b, m), (_, _, s) in zip(brute.removal_masks([r[:2] for r in rows]), rows)]
     size, taken = brute.mix(rows)
