@@ -11,7 +11,8 @@ within r = 0.25 of each other differ by at most r in their distance to any pivot
    sets within r share one of the first n - ceil(0.75 n) + 1 shingles of either, so a set
    whose first shingles are all its own has no partner and leaves.  The smallest class that
    has a shared first shingle is a pivot; a set joins the regions of all its pivots, so
-   linked sets share a region.  A pair counts in the first of the regions that both are in.
+   linked sets share a region.  A pair counts in the first of the regions that both are in;
+   a region that lies in an earlier one is left out.
 3. Recursion.  A region of more than ROWS sets or BYTES is split: PIVOTS of its sets are
    sampled, distances of all others to them are measured, in tasks of at most ROWS sets,
    and each set goes home to the nearest pivot's Voronoi cell.  If x at home in c is linked
@@ -56,6 +57,8 @@ PERCENT = 75
 ROWS, BYTES, PIVOTS = 400, 8 << 20, 16
 #: A cell with more than this share of its parent's sets is dense, and rows up to which a side may be broadcast.
 DENSE, FEW = 0.7, 1_000_000
+#: Sets in more regions than this are not asked whether a region lies in another; that only keeps regions that could go.
+MOST_CELLS = 64
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 1 << 20
 _letters = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -418,13 +421,19 @@ def components(docs: DataFrame) -> DataFrame:
     pivots = pivots.select("key", F.xxhash64("_p.digest").alias("cell"))
     cells = keys.join(pivots, "key").groupBy("digest").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
     classes = checkpointed(classes.drop("first").join(cells, "digest", "left"))
+    # a region whose sets all share an earlier one has no pair that counts in it
+    members = classes.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    within = classes.filter(F.size("cells") <= MOST_CELLS).select("cells", F.explode("cells").alias("cell"))
+    within = within.select("cell", F.explode(F.filter("cells", lambda c: c < F.col("cell"))).alias("_in")).groupBy("cell", "_in").agg(F.count(F.lit(1)).alias("m"))
+    idle = checkpointed(within.join(members, ["cell", "m"]).select(F.col("cell").alias("_idle")).distinct())
+    idle = _few(idle)
     # sets go to their regions and nowhere else
     placed = sets.groupBy("digest").agg(F.first("shingles").alias("shingles")).join(classes.filter("cells is not null"), "digest")
-    placed = placed.withColumn("cell", F.explode("cells")).select(
+    placed = placed.withColumn("cell", F.explode("cells")).join(idle, F.col("cell") == F.col("_idle"), "left_anti").select(
         "cell", "digest", "rep", "mult", F.filter("cells", lambda c: c < F.col("cell")).alias("before"), F.lit(0).cast("bigint").alias("flags"), "shingles"
     )
     width = sets.groupBy("digest").agg(F.first("n").alias("_n"))
-    size = classes.select("digest", F.explode("cells").alias("cell")).join(width, "digest")
+    size = classes.select("digest", F.explode("cells").alias("cell")).join(idle, F.col("cell") == F.col("_idle"), "left_anti").join(width, "digest")
     size = size.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), (F.sum("_n") * 8).alias("_b"))
     size = size.withColumn("parts", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("_b") / BYTES)).cast("int")).drop("_b")
     large = checkpointed(size.filter("parts > 1"))

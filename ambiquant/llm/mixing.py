@@ -15,8 +15,10 @@ source's budget ends in are ordered.  No task gets the rows of a source.
 Defined results: null text has size 0 and takes no words; a null source is a source of
 its own and sorts last; keys are hashes of doc_id, the text's hash and a seed, so reruns
 agree; a null doc_id hashes as null; equal keys are taken in doc_id order, repeated rows
-together.  An empty table gives an empty result; extra columns are kept by
+together.  An empty table gives an empty result; extra columns, whatever their names, are kept by
 `mix_documents` and ignored by `mix`.
+
+The text is read once: keys and sizes, some 50 bytes a document, are kept in a checkpoint.
 """
 
 from __future__ import annotations
@@ -24,17 +26,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ambiquant.llm.quality import SYMBOLS, words_of
-
+from ambiquant.llm.quality import SYMBOLS, lines_of, words_of
+from ambiquant.llm.session import checkpointed, unused
 
-def size_of(text: Column) -> Column:
-    return F.size(words_of(text)).cast("bigint")
 
-
-def quality_weight(text: Column, size: Column) -> Column:
-    """1 for plain prose, down to 0.25 as symbols get as frequent as words."""
+def quality_weight(text: Column, words: Column) -> Column:
+    """From 1 for plain prose down to 0.05: the share of words free of symbols, times the share of
+    lines that are no repeats, times how near the mean length of a word is to that of prose (3 to 12)."""
+    size = F.greatest(F.lit(1), F.size(words))
     symbols = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SYMBOLS))
-    return F.greatest(F.lit(0.25), F.lit(1.0) - symbols / F.greatest(size, F.lit(1)))
+    lines = lines_of(text)
+    fresh = F.when(F.size(lines) > 0, F.size(F.array_distinct(lines)) / F.size(lines)).otherwise(F.lit(1.0))
+    mean = F.greatest(F.lit(1), F.length(F.array_join(words, ""))) / size
+    length = F.least(F.lit(1.0), mean / F.lit(3.0), F.lit(12.0) / mean)
+    return F.greatest(F.lit(0.05), F.greatest(F.lit(0.0), F.lit(1.0) - symbols / size) * fresh * length)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, share: float = 1.0) -> DataFrame:
@@ -64,17 +69,27 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs
     )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, bins: int = 4096, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs (whole copies), part (words of the last copy), taken."""
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, bins: int = 4096, seed: int = 17, quality: str | None = None
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs (whole copies), part (words of the last copy), taken, text_hash.
+
+    quality: the column of docs with the documents' quality weights, above 0; nulls and others
+    count as 1.  Without one `quality_weight` is taken.
+    """
     d = docs.select(
-        "doc_id", F.col("source").alias("_source"), size_of(F.col("text")).alias("size"), F.col("text").alias("_text")
-    )
+        "doc_id", F.col("source").alias("_source"), F.col("text").alias("_text"), words_of(F.col("text")).alias("_words"),
+        (F.col(quality).cast("double") if quality else F.lit(None).cast("double")).alias("_given"),
+    )
+    own = F.when(F.col("_given") > 0, F.col("_given")).otherwise(F.lit(1.0)) if quality else quality_weight(F.col("_text"), F.col("_words"))
+    d = d.withColumns({"size": F.size("_words").cast("bigint"), "_quality": own, "text_hash": F.xxhash64("_text")})
     hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("_text", F.lit("")))))
     # 48 bits of the hash, in (0, 1)
     u = (F.conv(F.substring(hashed, 1, 12), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 48))
-    d = d.withColumn("_key", -F.log(u) / quality_weight(F.col("_text"), F.col("size"))).drop("_text")
+    d = d.withColumn("_key", -F.log(u) / F.col("_quality")).drop("_text", "_words", "_given", "_quality")
     # 1 - exp(-key) spreads the keys evenly over the bins; the order of keys is kept
     d = d.withColumn("_bin", F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("_key"))) * bins).cast("int")))
+    d = checkpointed(d)
     per_bin = d.groupBy("_source", "_bin").agg(F.sum("size").alias("_sum"))
     in_source = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     per_bin = per_bin.withColumn("_before", F.coalesce(F.sum("_sum").over(in_source), F.lit(0)))
@@ -93,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int
     ordered = ordered.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_prior")))).drop("_prior")
     return sure.unionByName(ordered).select(
         "doc_id", F.col("_source").alias("source"), "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "epochs",
-        F.col("part").cast("bigint").alias("part"), (F.col("epochs") * F.col("size") + F.col("part")).cast("bigint").alias("taken"),
+        F.col("part").cast("bigint").alias("part"), (F.col("epochs") * F.col("size") + F.col("part")).cast("bigint").alias("taken"), "text_hash",
     )
 
 
@@ -101,10 +116,12 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns.
 
     A last copy that is taken in part is given whole if at least half of it is taken.
-    Documents without words are never taken.  Rows must have distinct doc_id.
+    Documents without words are never taken.  Rows that agree in doc_id, text and source get
+    equal numbers of copies, the mean of theirs.
     """
-    m = mix(docs, **options)
-    copies = F.col("epochs") + F.when(2 * F.col("part") >= F.col("size"), 1).otherwise(0)
-    m = m.filter("size > 0").select(F.col("doc_id").alias("_id"), copies.cast("int").alias("_copies")).filter("_copies > 0")
-    d = docs.join(m, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return d.select(*docs.columns)
+    number, hashed, origin, copies, nth = unused(docs, "_id", "_hash", "_origin", "_copies", "_copy")
+    taken = F.col("epochs") + F.when(2 * F.col("part") >= F.col("size"), 1).otherwise(0)
+    m = mix(docs, **options).filter("size > 0").groupBy("doc_id", "text_hash", "source").agg(F.round(F.avg(taken)).cast("int").alias(copies))
+    m = m.filter(F.col(copies) > 0).withColumnsRenamed({"doc_id": number, "text_hash": hashed, "source": origin})
+    same = F.col("doc_id").eqNullSafe(F.col(number)) & (F.xxhash64("text") == F.col(hashed)) & F.col("source").eqNullSafe(F.col(origin))
+    return docs.join(m, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

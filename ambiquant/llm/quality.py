@@ -4,7 +4,7 @@ A document passes base rules on its own words, then loses the lines that too man
 documents of its host repeat, and is rejected if too little is left.
 
 Lines are normalised (lower case, digits as 0, white space runs as one space, ends
-trimmed) and identified by their MD5.  For each host (the source column; null is a
+trimmed) and identified by 64-bit hashes.  For each host (the source column; null is a
 host of its own) and line, the distinct documents that hold the line are counted.  A
 document is identified by a 64-bit hash of its whole text, so exact copies count once and
 documents that share several lines count each.  Lines in more than `least_docs` documents
@@ -13,7 +13,11 @@ rule is alike at every size.
 
 Defined results: a null or empty text has no words and no lines, and fails the base
 rules; null doc_id is a document like any other; repeated rows get equal results each.
-Extra columns are ignored by `measure` and kept by `filter_documents`.
+Extra columns, whatever their names, are ignored by `measure` and kept by `filter_documents`;
+an empty table gives an empty result.
+
+The text is read once: hashes and word counts of lines, some hundredths of the text, are
+kept in a checkpoint, which the counts and the removal are made from.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ambiquant.llm.session import checkpointed, unused
+
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -89,6 +95,11 @@ def repeated_lines(docs: DataFrame, least_docs: int, max_share: float) -> DataFr
     return lines.join(hosts, "_host").filter(F.col("n_docs") > max_share * F.col("_all")).drop("_all")
 
 
+def _row(docs: DataFrame) -> Column:
+    """What identifies a row in the columns that the rules read; rows that agree in it get equal results."""
+    return F.xxhash64(docs["doc_id"], docs["text"], docs["source"])
+
+
 def measure(docs: DataFrame, least_docs: int = 20, max_share: float = 0.02, min_left: int = 30) -> DataFrame:
     """doc_id, the base measures, base_failed, n_lines, n_lines_removed, words_removed, removed (hashes) and kept.
 
@@ -96,35 +107,23 @@ def measure(docs: DataFrame, least_docs: int = 20, max_share: float = 0.02, min_
     share of its distinct documents; the larger counts.  min_left: the percentage of a
     document's words that must be left after removal.
     """
-    d = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_host"))
-    d = base_measures(d).withColumn("_row", F.xxhash64("doc_id", "text")).drop("text")
-    d = d.withColumns(
+    d = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_host"), _row(docs).alias("_row"))
+    d = base_measures(d).withColumns(
         {
-            "_hashes": F.transform("_lines", lambda x: F.md5(normal(x))),
+            "_doc": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))),
+            "_hashes": F.transform("_lines", lambda x: F.xxhash64(normal(x))),
             "_counts": F.transform("_lines", lambda x: F.size(F.split(F.trim(F.regexp_replace(x, SPACE, " ")), " "))),
         }
-    ).drop("_lines")
-    hosts = docs.select(
-        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_host"),
-        F.col("doc_id").alias("_id"),
-        F.xxhash64("doc_id", "text").alias("_row"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_doc"),
-        F.transform(lines_of(F.col("text")), lambda x: F.md5(normal(x))).alias("_hashes"),
     )
-    hot = repeated_lines(hosts, least_docs, max_share).select(
+    d = checkpointed(d.drop("_lines", "text"))
+    hot = repeated_lines(d, least_docs, max_share).select(
         "_host", "_hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     )
-    lines = hosts.select("_id", "_row", "_host", F.explode(F.array_distinct("_hashes")).alias("_hash")).withColumn(
-        "_salt", F.pmod("_row", F.lit(SALTS)).cast("int")
-    )
-    removed = (
-        lines.join(hot, ["_host", "_hash", "_salt"])
-        .groupBy("_id", "_row")
-        .agg(F.collect_set("_hash").alias("removed"))
-        .withColumnRenamed("_row", "_row2")
-    )
+    lines = d.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_row2"), "_host", F.explode(F.array_distinct("_hashes")).alias("_hash"))
+    lines = lines.withColumn("_salt", F.pmod("_row2", F.lit(SALTS)).cast("int"))
+    removed = lines.join(hot, ["_host", "_hash", "_salt"]).groupBy("_id", "_row2").agg(F.collect_set("_hash").alias("removed"))
     d = d.join(removed, (F.col("_row") == F.col("_row2")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    d = d.withColumn("removed", F.coalesce("removed", F.array().cast("array<string>")))
+    d = d.withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
     gone = F.filter(F.arrays_zip("_hashes", "_counts"), lambda z: F.array_contains(F.col("removed"), z["_hashes"]))
     d = d.withColumn("_gone", F.when(F.size("removed") > 0, gone))
     d = d.withColumns(
@@ -151,15 +150,16 @@ def filter_documents(docs: DataFrame, least_docs: int = 20, max_share: float = 0
 
     n_chars, if there is such a column, is counted anew.
     """
+    number, row, row2, gone = unused(docs, "_id", "_row", "_row2", "_gone")
     m = measure(docs, least_docs, max_share, min_left).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("_row").alias("_row2"), F.col("removed").alias("_removed")
-    ).dropDuplicates(["_id", "_row2"])
-    d = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    d = d.join(m, (F.col("_row") == F.col("_row2")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        F.col("doc_id").alias(number), F.col("_row").alias(row2), F.col("removed").alias(gone)
+    ).dropDuplicates([number, row2])
+    d = docs.withColumn(row, _row(docs))
+    d = d.join(m, (F.col(row) == F.col(row2)) & F.col("doc_id").eqNullSafe(F.col(number)))
     rest = F.array_join(
-        F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_removed"), F.md5(normal(x)))), "\n"
+        F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(NOT_SPACE) & F.array_contains(F.col(gone), F.xxhash64(normal(x))))), "\n"
     )
-    d = d.withColumn("text", F.when(F.size("_removed") > 0, rest).otherwise(F.col("text")))
+    d = d.withColumn("text", F.when(F.size(gone) > 0, rest).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast("bigint"))
     return d.select(*docs.columns)

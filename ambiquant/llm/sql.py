@@ -21,12 +21,11 @@ base AS (
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
          coalesce(rep.n, 0) AS n_repeat_words
   FROM h LEFT JOIN rep USING (r)),
-sorted AS (SELECT r, host, list_sort(list_distinct(hs)) AS o FROM h),
-lines AS (SELECT r, host, o, unnest(o) AS x FROM sorted),
-hosts AS (SELECT host, count(*) AS n FROM w GROUP BY host),
+lines AS (SELECT DISTINCT host, t, unnest(hs) AS x FROM h),
+hosts AS (SELECT host, count(DISTINCT t) AS n FROM w GROUP BY host),
 hot AS (
   SELECT host, x FROM lines JOIN hosts USING (host) GROUP BY host, x, n
-  HAVING count(DISTINCT CASE WHEN x <> o[1] THEN o[1] ELSE coalesce(o[2], '') END) > greatest(20, 0.02 * n)),
+  HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.02::DOUBLE * n),
 gone AS (
   SELECT r, count(*) AS n_gone, sum(c) AS words_gone
   FROM (SELECT r, host, unnest(hs) AS x, unnest(cs) AS c FROM h) SEMI JOIN hot USING (host, x) GROUP BY r),
@@ -42,15 +41,21 @@ FROM m
 """
 
 MIX_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS symbols,
-         md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))) AS h
+WITH w0 AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
+d AS (
+  SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS size, CAST(greatest(1, len(ws)) AS DOUBLE) AS n,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS symbols,
+         CASE WHEN len(ls) > 0 THEN len(list_distinct(ls)) / CAST(len(ls) AS DOUBLE) ELSE 1.0::DOUBLE END AS fresh,
+         greatest(1, length(array_to_string(ws, ''))) / CAST(greatest(1, len(ws)) AS DOUBLE) AS mean,
+         md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(t)) AS h
+  FROM w0),
 k AS (
   SELECT doc_id, source, size,
          -ln((CAST('0x' || substr(h, 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
-           / greatest(0.25::DOUBLE, 1.0::DOUBLE - symbols / CAST(greatest(size, 1) AS DOUBLE)) AS key
+           / greatest(0.05::DOUBLE, greatest(0.0::DOUBLE, 1.0::DOUBLE - symbols / n) * fresh * least(1.0::DOUBLE, mean / 3.0::DOUBLE, 12.0::DOUBLE / mean)) AS key
   FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 w AS (

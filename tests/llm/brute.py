@@ -79,11 +79,12 @@ def line_hash(line):
 
 def quality(rows, least_docs=20, max_share=0.02, min_left=30):
     """Per row (doc_id, text, source): kept, and the text left."""
-    holders, every = collections.defaultdict(set), collections.Counter(s for _, _, s in rows)
+    holders, every = collections.defaultdict(set), collections.defaultdict(set)
     for _, text, source in rows:
-        hs = sorted({line_hash(x) for x in (text or "").split("\n") if WORD.search(x)})
-        for h in hs:
-            holders[source, h].add(next((o for o in hs if o != h), ""))
+        every[source].add(text or "")
+        for x in (text or "").split("\n"):
+            if WORD.search(x):
+                holders[source, line_hash(x)].add(text or "")
     out = []
     for i, text, source in rows:
         words = WORD.findall(text or "")
@@ -92,7 +93,7 @@ def quality(rows, least_docs=20, max_share=0.02, min_left=30):
             grams[tuple(words[p : p + 5])].append(p)
         repeat = {q for ps in grams.values() if len(ps) > 1 for p in ps for q in range(p, p + 5)}
         failed = len(words) < 10 or 100 * len(repeat) > 20 * len(words)
-        hot = lambda x: bool(WORD.search(x)) and len(holders[source, line_hash(x)]) > max(least_docs, max_share * every[source])
+        hot = lambda x: bool(WORD.search(x)) and len(holders[source, line_hash(x)]) > max(least_docs, max_share * len(every[source]))
         lines = (text or "").split("\n")
         gone = sum(len(WORD.findall(x)) for x in lines if hot(x))
         left = len(words) - gone
@@ -129,7 +130,10 @@ def mix(rows, seed=17):
             if own == s:
                 h = hashlib.md5(f"{seed}|{'null' if i is None else i}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()
                 u = (int(h[:12], 16) + 0.5) / (1 << 48)
-                q = max(0.25, 1 - len(re.findall(r"[#*$%&|<>]", t or "")) / max(1, size[k]))
+                lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+                mean = max(1, len("".join(WORD.findall(t or "")))) / max(1, size[k])
+                q = max(0.0, 1 - len(re.findall(r"[#*$%&|<>]", t or "")) / max(1, size[k])) * (len(set(lines)) / len(lines) if lines else 1.0)
+                q = max(0.05, q * min(1.0, mean / 3, 12 / mean))
                 order.append((-math.log(u) / q, k))
         for _, k in sorted(order):
             part = max(0, min(size[k], rest))

@@ -259,6 +259,14 @@ def test_edits_recount_little(spark):
     assert tree.recounted < 10
 
 
+def test_filter_documents_with_any_columns(spark):
+    rows = [(k, " ".join("ab"[k >> i & 1] * 3 + chr(97 + i) for i in range(20)) + "\nthe same line", "s") for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({c: F.lit(c) for c in ("_id", "_row", "_row2", "_removed", "_gone", "_hashes", "removed")})
+    kept = quality.filter_documents(d)
+    assert kept.columns == d.columns and kept.count() == 60 and kept.filter("text like '%same%' or _row <> '_row' or removed <> 'removed'").count() == 0
+    assert quality.filter_documents(d.limit(0)).count() == 0 == suffix_dedup.dedup_documents(d.limit(0)).count() == jaccard_join.one_of_each(d.limit(0)).count()
+
+
 def test_quality(frame):
     rows = [(i, t, s) for i, t, _, s, _ in documents(awkward())]
     want = [(i, k) for i, k, _ in brute.quality(rows, 5, 0.03)]
@@ -308,6 +316,22 @@ def test_mixing(frame):
         assert abs(r["t"] - r["g"]) <= 1
 
 
+def test_mix_documents(spark):
+    """Columns of any name, rows of one doc_id, given weights and an empty table."""
+    rows = [(k, f"w{k} and more words", "ab"[k % 2], 1.0, k) for k in range(60)]
+    rows += [rows[7], (8, "another text of a known id", "b", None, 99), (None, "no id", None, 1.0, 100), (61, "", "a", 1.0, 101), (62, None, "a", 1.0, 102)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, w double, _id int").withColumns({"_copy": F.lit("c"), "_copies": F.lit(5), "_hash": F.lit(1), "size": F.lit(2), "part": F.lit(3)})
+    out = mixing.mix_documents(d)
+    assert out.columns == d.columns and out.filter("_copy <> 'c' or _copies <> 5 or size <> 2").count() == 0
+    taken = {(r["doc_id"], r["text_hash"]): r["epochs"] + (2 * r["part"] >= r["size"]) for r in mixing.mix(d).filter("size > 0").collect()}
+    back = {(r["doc_id"], r["h"]): r["count"] for r in out.groupBy("doc_id", F.xxhash64("text").alias("h")).count().collect()}
+    twice = [k for k in taken if k[0] == 7]
+    assert {k: n for k, n in taken.items() if n and k not in twice} == {k: n for k, n in back.items() if k not in twice} and all(back.get(k, 0) % 2 == 0 for k in twice)
+    heavy = mixing.mix(d.withColumn("w", F.when(F.col("doc_id") % 4 == 0, 1e6).otherwise(F.col("w"))), weights=(1, 9), quality="w")
+    assert heavy.filter("source = 'a' and doc_id % 4 = 2 and taken > 0").count() == 0 < heavy.filter("source = 'a' and doc_id % 4 = 0 and taken > 0").count()
+    assert mixing.mix_documents(d.limit(0)).count() == 0
+
+
 @here
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_sql(spark, name):
