@@ -19,8 +19,9 @@ within r = 0.25 of each other differ by at most r in their distance to any pivot
    with y, then d(y, c) <= d(y, home of y) + 2 r; sets in that window are replicated to c as
    border sets, to cells before their own only, as a pair counts in the earlier home.  Cells
    that are still large are split again with new pivots.
-4. Dense cells.  A cell that keeps most of its parent lies in a ball that no pivot can
-   divide.  It is dealt into tiles: parts of at most ROWS sets, each pair of parts a task.
+4. Dense regions.  If the pairs of sets in the cells are no fewer than DENSE times those of
+   the region, it lies in a ball that its pivots cannot divide, and the cells are dropped
+   again.  It is dealt into tiles: parts of at most ROWS sets, each pair of parts a task.
 5. In a region that fits, sets are sorted by their distance to a pivot; a set is compared
    with those whose distance is at most r more, no other can link to it.
 
@@ -55,7 +56,7 @@ WORDS = 5
 PERCENT = 75
 #: Sets and bytes of sets that a region may have to be joined in one task, and pivots that split a larger one.
 ROWS, BYTES, PIVOTS = 400, 8 << 20, 16
-#: A cell with more than this share of its parent's sets is dense, and rows up to which a side may be broadcast.
+#: A split must leave less than this share of a region's pairs; and rows up to which a side may be broadcast.
 DENSE, FEW = 0.7, 1_000_000
 #: Sets in more regions than this are not asked whether a region lies in another; that only keeps regions that could go.
 MOST_CELLS = 64
@@ -374,15 +375,18 @@ def _divided(large: DataFrame, sizes: DataFrame) -> list[DataFrame]:
         pivots = pivots.select(F.col("cell").alias("at"), F.col("shingles").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         dealt = dealt.select(*PLACED_TYPES, "salt").groupBy("cell", "salt")
         cells = checkpointed(dealt.cogroup(pivots.groupBy("at", "part")).applyInArrow(_split_at(level), PLACED + ", parent bigint"))
-        parents = sizes.select(F.col("cell").alias("parent"), F.col("m").alias("_all"))
-        state = checkpointed(_sizes(cells, "cell", "parent").join(_few(checkpointed(parents)), "parent").drop("parent"))
-        fits, dense = F.col("parts") <= 1, F.col("m") > DENSE * F.col("_all")
+        child = checkpointed(_sizes(cells, "cell", "parent"))
+        work = child.groupBy("parent").agg(F.sum(F.col("m") * F.col("m")).alias("_w"))
+        whole = sizes.select(F.col("cell").alias("parent"), F.col("m").alias("_all"))
+        dense = _few(checkpointed(work.join(whole, "parent").filter(F.col("_w") > DENSE * F.col("_all") * F.col("_all")).select("parent")))
+        done.append(_tiles(known.join(dense, F.col("cell") == F.col("parent"), "left_semi")))
+        state = checkpointed(child.join(dense, "parent", "left_anti").drop("parent"))
         rows = cells.drop("parent").join(_few(state), "cell")
-        done += [rows.filter(fits).select(*PLACED_TYPES), _tiles(rows.filter(~fits & dense))]
-        sizes = state.filter(~fits & ~dense).drop("_all")
+        done.append(rows.filter("parts <= 1").select(*PLACED_TYPES))
+        sizes = checkpointed(state.filter("parts > 1"))
         if sizes.limit(1).count() == 0:
             return done
-        large = rows.filter(~fits & ~dense).select(*PLACED_TYPES)
+        large = rows.filter("parts > 1").select(*PLACED_TYPES)
     return [*done, _tiles(large.join(_few(sizes), "cell"))]
 
 

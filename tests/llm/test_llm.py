@@ -383,19 +383,43 @@ def test_licenses_are_missed_no_more_often_than_stated(spark):
 
 
 def test_topk(spark):
+    """Nulls, repeated candidates and queries, ties, other lengths, clashing names."""
     rng = np.random.default_rng(6)
     v = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(300)]
-    v += [(400, None), (450, [1.0, None]), (500, [float("nan")] * 6), (550, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (350, v[0][1]), (600, v[3][1]), (601, v[3][1]), (0, v[9][1])]
-    d = spark.createDataFrame(v, "vec_id bigint, embedding array<float>").withColumn("q", F.lit(1))
-    good = [(i, np.floor(256 * np.array(e, np.float32).astype(float)).astype(int)) for i, e in v if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    v += [(400, None), (450, [1.0, None]), (500, [float("nan")] * 6), (550, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (350, v[0][1]), (600, v[3][1]), (601, v[3][1]), (0, v[9][1]), (50, v[50][1]), (650, [0.0] * 6), (651, [0.5] * 4), (700, [])]
+    d = spark.createDataFrame(v, "vec_id bigint, embedding array<float>").withColumns({"q": F.lit(1), "part": F.lit(2), "v": F.lit(3)})
+    fit = lambda e: np.floor(256 * np.array([*e, *[0] * (6 - len(e))], np.float32).astype(float)).astype(int)
+    good = [(i, fit(e)) for i, e in v if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     want = []
-    for i in sorted({i for i, _ in good if i % 50 == 0}):
-        queries = [e for k, e in good if k == i]
-        if len(queries) == 1:
-            s = sorted((-int(e @ queries[0]), k) for k, e in good if k != i)[:5]
+    for i, e in good:
+        if i % 50 == 0:
+            s = sorted((-int(x @ e), k) for k, x in good if k != i)[:5]
             want += [(i, r + 1, k, -x) for r, (x, k) in enumerate(s)]
-    mine = topk.top_k(d).filter("query_id != 0")
-    same(got(mine), want)
+    same(got(topk.top_k(d)), want)
+    assert topk.top_k(d.limit(0)).count() == 0
+
+
+def test_topk_parts_and_large_components(spark, monkeypatch):
+    """Several parts, of unlike norms, and components whose products need Python's integers on the way."""
+    rng = np.random.default_rng(16)
+    for scale, n in ((300, 9000), (1 << 40, 200)):
+        size = rng.pareto(1.0, (n, 1)) + 0.1
+        vectors = np.clip(rng.normal(0, 1, (n, 12)) * size * scale, -(1 << 62), 1 << 62).astype(np.int64)
+        if scale > 300:
+            vectors[:, 1:] = 0
+            vectors[:, 0] %= 1 << 31
+            vectors[3, 5] = 1 << 62
+        ids = rng.permutation(n) // 2
+        own, queries = ids[:70], vectors[:70]
+        found = topk.search_block(ids, vectors, own, queries, 5)
+        for i, e, (a, s) in zip(own, queries, found):
+            scores = vectors.astype(object) @ e.astype(object)
+            want = sorted((-x, int(k)) for x, k in zip(scores, ids) if k != i)[:5]
+            assert [(-x, k) for x, k in zip(s, a)] == want
+    d = spark.createDataFrame([(0, [1e7, 1.0]), (1, [1e7, 0.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    same(got(topk.top_k(d)), [(0, 1, 1, 2560000000**2), (0, 2, 2, 2560000000 * 256 + 256 * 256)])
+    with pytest.raises(Exception, match="64-bit"):
+        topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id bigint, embedding array<double>")).collect()
 
 
 @here
