@@ -39,7 +39,7 @@ from ambiquant.llm.blocks import release
 #: Vectors of a block, queries of a chunk, and vectors of a part, at most.
 BLOCK, CHUNK, PART = 1 << 16, 1 << 15, 4096
 #: Queries whose accumulators are held at a time, possible members a query is stopped at, as a multiple of k, and impacts.
-BATCH, FEW, LEVELS = 64, 8, 16
+BATCH, FEW, LEVELS = 64, 40, 16
 _WHOLE = 1 << 63
 
 
@@ -93,7 +93,7 @@ class Index:
             for dim, a, b in segments:
                 score[self.rows[a:b]] += self.parts[a:b, None] * weights[dim][None, :]
             last = number == len(self.levels) - 1
-            if not last and unread.mean() > 0.4 * self.norms.mean():
+            if not last and unread.mean() > 0.55 * self.norms.mean():
                 continue  # too early for any proof
             # rounding of the sums so far is in the margin too
             margin = (unread + self.norms * (width + 4) * 2.3e-16)[:, None] * norms[active][None, :]

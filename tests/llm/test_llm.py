@@ -252,11 +252,43 @@ def test_token_counts(spark, reference_tokenizer):
     reference_tokenizer.encode_special_tokens = False
 
 
-def test_edits_recount_little(spark):
+def test_edits_recount_little():
+    """An edit encodes what is near it and updates nodes on its path, also when it inserts."""
     codec = bpe.Codec(open(bpe.default_vocabulary(), encoding="utf-8").read())
-    tree = token_counts.SegmentTree(codec, "some words here " * 5000)
-    tree.edit(40_000, 3, "new")
-    assert tree.recounted < 10
+    text = "some words here " * 40_000
+    tree = token_counts.SegmentTree(codec, text)
+    blocks = tree.root.blocks
+    assert blocks > 900
+    rnd = random.Random(4)
+    for k in range(300):
+        tree.recounted = tree.touched = 0
+        at, n, new = rnd.randrange(len(text)), rnd.randint(0, 5), rnd.choice(["", "new", " a few more words", "x"])
+        tree.edit(at, n, new)
+        text = text[:at] + new + text[at + n :]
+        assert tree.recounted < 20 and tree.touched < 12 * np.log2(blocks)
+    assert tree.text() == text and tree.n_tokens == len(codec.encode(text))
+    whole = token_counts.SegmentTree(codec, text)
+    assert tree.leaves() == whole.leaves()
+
+
+def test_stored_trees(spark, reference_tokenizer):
+    """Edits in two batches, the second on what the first has stored; nulls, no rows, other columns."""
+    rnd = random.Random(15)
+    rows = [(i, t.replace("<|endoftext|>", "")) for i, t in enumerate(odd_texts()[:150])] + [(None, None), (5, "a row of a known id"), (9000, "it's 12 o'clock " * 700)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_touched", F.lit("clash"))
+    trees = token_counts.build_trees(d)
+    n = F.length("text")
+    edit = lambda at, k, new: F.struct(at.cast("bigint").alias("start"), F.lit(k).cast("bigint").alias("length"), F.lit(new).alias("text"))
+    once = token_counts.apply_edits(trees.withColumn("edits", F.array(edit(n / 2, 3, " 'r"), edit(n, 0, "e")))).drop("n_recounted")
+    twice = token_counts.apply_edits(once.withColumn("edits", F.array(edit(n / 3, 0, "x\n "), F.lit(None)))).withColumn("edits", F.lit(None))
+    reference_tokenizer.encode_special_tokens = True
+    for step in (trees, once, twice):
+        for r in step.collect():
+            assert r["n_tokens"] == len(reference_tokenizer.encode(r["text"], add_special_tokens=False).ids) == sum(r["leaf_counts"])
+    reference_tokenizer.encode_special_tokens = False
+    long = [r for r in twice.collect() if r["doc_id"] == 9000]
+    assert long[0]["n_recounted"] < 20 and len(long[0]["leaf_sizes"]) > 2500
+    assert token_counts.apply_edits(twice.limit(0)).count() == 0 == token_counts.count_with_edits(d.limit(0).withColumn("edits", F.array())).count()
 
 
 def test_filter_documents_with_any_columns(spark):
