@@ -12,7 +12,8 @@ control string starts with ``<``; inside texts and roles a backslash is written
 ``\\b`` and ``<`` is written ``\\l`` (roles also write ``>`` as ``\\g`` and a newline as
 ``\\n``), so texts can never contain a control string and the format can be reversed.
 
-Defined results: a null text is empty; a null role is empty; turns with a null turn
+Defined results: a part of any other kind is an attachment too, with the placeholder
+``<attachment:4>`` and its own kind in the references; a null kind is text; a null text is empty; a null role is empty; turns with a null turn
 number come first; equal turn numbers are ordered by role and then by content;
 repeated rows are repeated turns; an empty table gives an empty result.  Extra
 columns of the input are ignored, whatever their names.
@@ -20,7 +21,7 @@ columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_TYPE = "array<struct<kind:string,text:string,ref:string,n_tokens:bigint>>"
@@ -56,22 +57,29 @@ def text_parts(text: Column) -> Column:
 
 
 def _is_attachment(p: Column) -> Column:
-    return p["kind"].isin(*ATTACHMENTS)
+    return F.coalesce(p["kind"], F.lit("text")) != "text"
+
+
+def _placeholder(p: Column, ordinal: Column) -> Column:
+    kind = F.when(p["kind"].isin(*ATTACHMENTS), p["kind"]).otherwise(F.lit("attachment"))
+    return F.concat(F.lit("<"), kind, F.lit(":"), ordinal.cast("string"), F.lit(">"))
 
 
 def _visit(before: Column, parts: Column) -> Column:
-    """Content string of a turn: text escaped, attachments as numbered placeholders."""
-    start = F.struct(F.lit("").alias("s"), before.cast("int").alias("n"))
-    step = lambda a, p: F.when(
-        _is_attachment(p),
-        F.struct(
-            F.concat(a["s"], F.lit("<"), p["kind"], F.lit(":"), (a["n"] + 1).cast("string"), F.lit(">")).alias("s"),
-            (a["n"] + 1).alias("n"),
+    """Pieces of a turn's content: text escaped, attachments as numbered placeholders."""
+    ordinal = F.aggregate(
+        parts,
+        F.struct(before.cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("at")),
+        lambda a, p: F.struct(
+            (a["n"] + F.when(_is_attachment(p), 1).otherwise(0)).alias("n"),
+            F.concat(a["at"], F.array(a["n"] + F.when(_is_attachment(p), 1).otherwise(0))).alias("at"),
         ),
-    ).otherwise(
-        F.struct(F.concat(a["s"], escape_text(F.coalesce(p["text"], F.lit("")))).alias("s"), a["n"].alias("n"))
-    )
-    return F.aggregate(parts, start, step)["s"]
+    )["at"]
+    text = F.transform(parts, lambda p: escape_text(F.coalesce(p["text"], F.lit(""))))
+    # a turn of one part, the most common one, needs no array of ordinals
+    one = F.when(_is_attachment(F.get(parts, F.lit(0))), F.array(_placeholder(F.get(parts, F.lit(0)), before + 1))).otherwise(text)
+    pair = F.transform(F.arrays_zip(parts.alias("p"), ordinal.alias("n"), text.alias("t")), lambda z: F.when(_is_attachment(z["p"]), _placeholder(z["p"], z["n"])).otherwise(z["t"]))
+    return F.array_join(F.when(F.size(parts) == 1, one).otherwise(pair), "")
 
 
 def format_conversations(turns: DataFrame, parts: str | None = None, chars_per_token: int = 4) -> DataFrame:
@@ -83,70 +91,42 @@ def format_conversations(turns: DataFrame, parts: str | None = None, chars_per_t
     n_tokens) and expanded_tokens: attachments count their own n_tokens, text counts
     a token for every `chars_per_token` code points begun in a part.
 
-    One shuffle by conversation; a task holds the turns of one conversation at a time.
+    One shuffle by conversation.  Turns are formatted one by one, with running sums of
+    attachments and lengths over the sorted conversation, so the work is linear in its
+    turns; a conversation is a row of the result, and so has to fit in a task.
     """
     content = F.coalesce(F.col(parts).cast(PART_TYPE), F.array().cast(PART_TYPE)) if parts else text_parts(F.col("text"))
-    rows = turns.select(
-        F.col("conv_id").alias("conv_id"),
-        F.struct(
-            F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), content.alias("parts")
-        ).alias("t"),
-    )
-    conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    conv = conv.select(
-        "conv_id",
-        "ts",
-        F.transform("ts", lambda t: F.size(F.filter(t["parts"], _is_attachment))).alias("na"),
-    )
-    pieces = F.transform(
-        "ts",
-        lambda t, i: F.struct(
-            t["role"].alias("role"),
-            F.concat(F.lit("<turn:"), escape_role(t["role"]), F.lit(">\n")).alias("head"),
-            _visit(F.aggregate(F.slice("na", F.lit(1), i), F.lit(0), lambda a, x: a + x), t["parts"]).alias("body"),
-        ),
-    )
-    conv = conv.select("conv_id", "ts", pieces.alias("ps"))
-    tail = "</turn>\n"
-    spans = F.aggregate(
-        "ps",
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["head"]) + F.length(p["body"]) + len(tail)).alias("at"),
-            F.when(
-                p["role"] == "assistant",
-                F.concat(
-                    a["spans"],
-                    F.array(
-                        F.struct((a["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("len"))
-                    ),
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
-    flat = F.flatten(F.transform("ts", lambda t: t["parts"]))
+    t = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), content.alias("parts"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "parts")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("own", F.filter("parts", _is_attachment))
+    t = t.withColumns({"rn": F.row_number().over(order), "na": F.coalesce(F.sum(F.size("own")).over(before), F.lit(0))})
+    t = t.withColumns({"head": F.concat(F.lit("<turn:"), escape_role(F.col("role")), F.lit(">\n")), "body": _visit(F.col("na"), F.col("parts"))})
+    t = t.withColumn("piece", F.concat("head", "body", F.lit("</turn>\n")))
+    t = t.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + F.length("head") + 1)
     tokens = F.aggregate(
-        flat,
+        "parts",
         F.lit(0).cast("bigint"),
         lambda a, p: a
         + F.when(_is_attachment(p), F.coalesce(p["n_tokens"], F.lit(0))).otherwise(
             F.ceil(F.length(F.coalesce(p["text"], F.lit(""))) / F.lit(chars_per_token))
         ),
     )
+    span = F.when(F.col("role") == "assistant", F.struct(F.col("at").cast("int").alias("start"), F.length("body").alias("len")))
+    conv = t.select("conv_id", F.struct("rn", "piece", span.alias("span"), "own").alias("t"), tokens.alias("tokens")).groupBy("conv_id")
+    conv = conv.agg(F.sort_array(F.collect_list("t")).alias("ts"), F.sum("tokens").alias("expanded_tokens"))
     return conv.select(
         "conv_id",
-        F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "").alias("formatted"),
+        F.array_join(F.transform("ts", lambda x: x["piece"]), "").alias("formatted"),
         F.size("ts").cast("bigint").alias("n_turns"),
-        spans.alias("loss_spans"),
+        F.filter(F.transform("ts", lambda x: x["span"]), lambda x: x.isNotNull()).alias("loss_spans"),
         F.transform(
-            F.filter(flat, _is_attachment),
+            F.flatten(F.transform("ts", lambda x: x["own"])),
             lambda p, i: F.struct(
                 p["kind"].alias("kind"), (i + 1).alias("ordinal"), p["ref"].alias("ref"), p["n_tokens"].alias("n_tokens")
             ),
         ).alias("attachments"),
-        tokens.alias("expanded_tokens"),
+        "expanded_tokens",
     )
 
 

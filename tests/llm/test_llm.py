@@ -396,13 +396,62 @@ def test_chat_parts_and_escapes(spark):
     assert g["turns_sha256"] == hashlib.sha256(b"user\nq\nassistant\n\\<l\\b\nassistant\nz\n").hexdigest()
 
 
+def test_chat_unknown_kinds_long_conversations_and_empty(spark):
+    part = lambda kind, text=None, ref=None, n=None: (kind, text, ref, n)
+    rows = [(1, 0, "user", [part("video", "a note", "a.mp4", 9), part(None, "text"), part("image", ref="b", n=1)]), (1, 1, "user", []), (1, 2, "assistant", [part("<x:", ref="c", n=2), part("text", "end")])]
+    f = chat.format_conversations(spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, ps {chat.PART_TYPE}").withColumn("rn", F.lit(0)), parts="ps")
+    r = chat.parse_formatted(f).first()
+    assert [t["text"] for t in r["turns"]] == ["<attachment:1>text<image:2>", "", "<attachment:3>end"] and r["expanded_tokens"] == 9 + 1 + 1 + 2 + 1
+    assert [(a["kind"], a["ordinal"], a["ref"]) for a in r["attachments"]] == [("video", 1, "a.mp4"), ("image", 2, "b"), ("<x:", 3, "c")]
+    text = lambda k: "<" * (k % 3) + f"turn {k}"
+    long = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", text(k)) for k in range(30_000)] + [(2, 0, "user", "x" * 2_000_000 + "<"), (2, 1, "assistant", None)], "conv_id bigint, turn bigint, role string, text string")
+    got_ = {r["conv_id"]: r for r in chat.digest(chat.format_conversations(long)).collect()}
+    said = "".join(text(k) for k in range(30_000) if k % 2)
+    assert got_[1]["n_turns"] == 30_000 and got_[1]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert got_[2]["turns_sha256"] == hashlib.sha256(("user\n" + "x" * 2_000_000 + "<\nassistant\n\n").encode()).hexdigest() and got_[2]["loss_chars"] == 0
+    assert chat.digest(chat.format_conversations(long.limit(0))).count() == 0
+
+
+def containments(texts, templates):
+    """(doc_id, license) -> best containment and matching windows, over all windows, by plain sets."""
+    found = {}
+    for name, template in templates.items():
+        w = re.findall("[a-z0-9]+", template.lower())
+        want = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        span = max(8, 1 << (len(w) - 1).bit_length())
+        for i, t in texts:
+            x = re.findall("[a-z0-9]+", (t or "").lower())
+            grams = [tuple(x[k : k + 5]) for k in range(len(x) - 4)]
+            shares = [len(want & set(grams[j : j + 2 * span])) / len(want) for j in range(0, max(1, len(grams)), span)]
+            good = [c for c in shares if c >= 0.75]
+            if good:
+                found[i, name] = (max(good), len(good))
+    return found
+
+
 def test_licenses(spark):
-    filler = " ".join(f"word{k}" for k in range(60))
-    texts = [(k, f"{filler}\n{t}.\n{filler}") for k, t in enumerate(licenses.TEMPLATES.values())]
-    texts += [(90, filler), (91, None), (92, ""), (None, "RELEASED under the, MIT license!"), (94, "released under the BSD license"), (95, "the license version is without charge")]
-    d = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("license", F.lit(1))
-    found = {(r["doc_id"], r["license"]) for r in licenses.scan(d).collect()}
-    assert found == {(k, n) for k, n in enumerate(licenses.TEMPLATES)} | {(None, "mit")}
+    """Every notice and text, whole, cut, with words changed, near borders of windows; a template of 3000 words."""
+    rnd = random.Random(31)
+    every = licenses.TEMPLATES | licenses.FULL_TEXTS | {"long": " ".join(f"t{rnd.randrange(900)}" for _ in range(3000))}
+    filler = lambda n: " ".join(rnd.choice(["word", "other", "license", "the", "software", "is"]) + str(rnd.randrange(50)) for _ in range(n))
+    texts = []
+    for t in every.values():
+        for change in (0.0, 0.02, 0.08):
+            w = [x if rnd.random() >= change else "changed" for x in t.split()]
+            cut = w[: rnd.randint(len(w) // 2, len(w))] if change else w
+            texts.append((len(texts), f"{filler(rnd.randint(0, 60))}\n{' '.join(cut).upper() if change else ' '.join(cut)}.\n{filler(rnd.randint(0, 300))}"))
+    texts += [(9000, filler(20_000)), (9001, None), (9002, ""), (9004, "released under the BSD license"), (9005, " ".join(licenses.TEMPLATES["mit"] for _ in range(500))), texts[0], (9006, licenses.TEMPLATES["mit"])]
+    want = containments(texts, every)
+    assert len({n for _, n in want}) == len(every) and len(want) > 30
+    d = spark.createDataFrame([*texts, (None, "RELEASED under the, MIT license!")], "doc_id bigint, text string").withColumns({"license": F.lit(1), "_grams": F.lit(2)})
+    rows = licenses.scan(d, every, recall=1 - 1e-9).collect()
+    found = {(r["doc_id"], r["license"]): (r["containment"], r["n_windows"]) for r in rows if r["doc_id"] is not None}
+    assert found == want and len(rows) == len(want) + 1 + sum(i == texts[0][0] for i, _ in want)
+    usual = {(r["doc_id"], r["license"]) for r in licenses.scan(d, every).collect()} - {(None, "mit"), (None, "mit-grant")}
+    assert usual <= set(want) and len(usual) >= len(want) - 1
+    with pytest.raises(ValueError):
+        licenses.scan(d, {"short": "MIT license"})
+    assert licenses.scan(d, {}).count() == 0
 
 
 def test_licenses_are_missed_no_more_often_than_stated(spark):
@@ -454,6 +503,70 @@ def test_topk_parts_and_large_components(spark, monkeypatch):
         topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id bigint, embedding array<double>")).collect()
 
 
+def test_convolution_and_gradient():
+    """Logits by plain loops; a first step against the numeric gradient of the loss."""
+    m = toxicity.Model(slots=50, dim=4, filters=3, seed=2)
+    rng = np.random.default_rng(3)
+    m.embedding[:50] = rng.normal(0, 0.7, (50, 4))
+    texts = [rng.integers(0, 50, n).tolist() for n in (0, 1, 2, 7, 30, 12)]
+    y = np.array([0, 1, 0, 1, 1, 0])
+
+    def plain(embedding, kernels, offsets, out):
+        logits = []
+        for t in texts:
+            e = [embedding[i] for i in (*t, 50, 50, 50)]
+            top = []
+            for kernel, offset in zip(kernels, offsets):
+                w = len(kernel)
+                values = [sum(e[i + k] @ kernel[k] for k in range(w)) + offset for i in range(len(e) - w + 1)]
+                top += np.maximum(np.max(values, axis=0), 0).tolist()
+            logits.append(np.dot(top, out) + float(m.bias))
+        return np.array(logits)
+
+    wide = lambda: (m.embedding.astype(float), [k.astype(float) for k in m.kernels], [o.astype(float) for o in m.offsets], m.out.astype(float))
+    parts = wide()
+    assert np.allclose(m.logits(texts), plain(*parts), atol=1e-4)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
+
+    def loss():
+        p = 1 / (1 + np.exp(-plain(*parts)))
+        return -(weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum() / len(y)
+
+    def numeric(array, at, step=1e-5):
+        old = array[at]
+        array[at] = old + step
+        up = loss()
+        array[at] = old - step
+        down = loss()
+        array[at] = old
+        return (up - down) / (2 * step)
+
+    probes = [(parts[3], (k,)) for k in range(9)] + [(parts[1][2], (k, d, f)) for k in range(3) for d in (0, 3) for f in range(3)] + [(parts[0], (texts[3][k], d)) for k in range(7) for d in range(4)]
+    g = np.array([numeric(a, at) for a, at in probes])
+    before = wide()
+    m.fit(texts, y, epochs=1, rate=0.05, batch=6)
+    after = wide()
+    pairs = [(3, (k,)) for k in range(9)] + [((1, 2), (k, d, f)) for k in range(3) for d in (0, 3) for f in range(3)] + [(0, (texts[3][k], d)) for k in range(7) for d in range(4)]
+    pick = lambda tree, where: tree[where] if isinstance(where, int) else tree[where[0]][where[1]]
+    moved = np.array([pick(after, w)[at] - pick(before, w)[at] for w, at in pairs])
+    assert np.abs(g).max() > 1e-2 and np.allclose(moved, -0.05 * g / np.sqrt(1e-3 + g * g), atol=2e-3)
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Empty and very long texts, repeated rows and labels, clashing columns, empty tables."""
+    rows = [(k, ("vile scum " if k % 2 else "kind words ") + f"w{k}", "en") for k in range(200)] + [(3, "another text of a known id", None), (7, None, "de")]
+    rows += [(1000, "vile scum " * 200_000, "en"), (1001, None, None), (1001, None, None), (1002, "", "fr")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumns({c: F.lit(9) for c in ("_id", "_y", "_held", "_d", "ids", "score", "toxic")})
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(5, 1), (None, 1), (6, None), (1000, 1)], "doc_id bigint, toxic int").withColumn("_id", F.lit(4))
+    model, cuts = toxicity.train(d, labels)
+    out = toxicity.score(d, model, cuts)
+    got_ = out.collect()
+    assert len(got_) == len(rows) and all(0 <= r["score"] <= 1 for r in got_)
+    assert len({r["score"] for r in got_ if r["doc_id"] == 1001}) == 1 and [r["predicted"] for r in got_ if r["doc_id"] == 1000] == [1]
+    assert toxicity.score(d.limit(0), model, cuts).count() == 0
+    assert toxicity.train(d.limit(0), labels)[0].constant == 0.0
+
+
 @here
 def test_toxicity(spark):
     rows = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").limit(0))
