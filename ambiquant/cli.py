@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ambiquant.operators import classes as cl
 from ambiquant.operators import intervals as iv
 from ambiquant.operators import summaries as sm
 from ambiquant.plans import abundance, comparison
+from ambiquant.plans import collapse as cp
 from ambiquant.session import build, cut, ship
 from ambiquant.sources import hits, tables
 from ambiquant.sources import sequences as src
@@ -26,6 +28,8 @@ def make_hits(spark: SparkSession, a: argparse.Namespace) -> None:
     fasta = src.features_of(src.header_ids(src.read_fasta(spark, a.fasta), a.pattern, a.feature_group, a.gene_group), a.merge_haplotypes)
     sam = al.mapped_pairs(src.read_sam(spark, a.sam)) if a.paired else src.read_sam(spark, a.sam).filter(F.col("flag").bitwiseAND(F.lit(4)) == 0)
     known = sam.withColumnsRenamed({"qname": "read", "rname": "transcript"}).withColumn("ordinal", F.xxhash64("read", "transcript", "pos"))
+    if a.merge_haplotypes:  # before mates meet, which may name different haplotypes
+        known = known.withColumn("transcript", src.strip_haplotype("transcript"))
     unknown = src.unknown_references(known.select(F.col("transcript").alias("rname")).distinct(), fasta).limit(3).collect()
     if unknown:
         raise SystemExit(f"references without a sequence: {[r[0] for r in unknown]}")
@@ -55,16 +59,88 @@ def quantify(spark: SparkSession, a: argparse.Namespace) -> None:
     unique = cl.unique_hits(classes).withColumnRenamed("transcript", "feature")
     meta = h["meta"].withColumnRenamed("transcript", "feature")
     genes = h["genes"].select(F.explode("transcripts").alias("feature"), "gene")
-    shares = sm.probit_moments(sm.proportions(trace, genes)).drop("gene")
+    # sums and shares are over all members: those without reads have traces drawn from the prior
+    every = cut(sm.with_prior(trace, abundance.prior_traces(exposure, 1024, a.alpha, a.beta, a.seed)))
+    seen = trace.select("feature").distinct()
+    shares = sm.probit_moments(sm.proportions(every, genes)).join(seen, "feature", "left_semi").drop("gene")
     full = sm.with_unseen(meta, sm.summarise(trace, p), n * SCALE, a.alpha, a.beta)
     full = full.join(unique, "feature", "left").join(em, "feature", "left").join(shares, "feature", "left").withColumn("unique_hits", F.coalesce("unique_hits", F.lit(0)))
+    full = cut(full.withColumn("ntranscripts", F.lit(1)))
     out = Path(a.out)
     tables.write_table(full.orderBy("feature"), str(out / "features"))
     for name, sets in (("genes", genes.select(F.col("gene").alias("set_id"), "feature")), ("identical", h["identical"].select(F.array_join("transcripts", "+").alias("set_id"), F.explode("transcripts").alias("feature")))):
-        t = sm.set_traces(trace, sets).withColumnRenamed("set_id", "feature")
-        k = cl.contained_counts(classes, sets.withColumnRenamed("feature", "transcript")).select(F.col("set_id").alias("feature"), F.col("k").alias("unique_hits"))
-        tables.write_table(sm.summarise(t, p).join(k, "feature", "left").orderBy("feature"), str(out / name))
+        summary = sm.summarise(sm.set_traces(every, sets), p, "set_id")
+        k = cl.contained_counts(classes, sets.withColumnRenamed("feature", "transcript"))
+        tables.write_table(sm.set_table(summary, sets, full, k, n * SCALE, a.alpha, a.beta, name == "identical").orderBy("feature_id"), str(out / name))
+    spark.createDataFrame([(f"# Mapped fragments: {n}",)], "value string").coalesce(1).write.mode("overwrite").text(str(out / "mapped"))
     tables.write_traces(trace, str(out / "trace"))
+    if a.debug:
+        debug(classes, reads, mu, out / "debug")
+
+
+def debug(classes: DataFrame, reads: DataFrame, mu: DataFrame, out: Path) -> None:
+    """What a run counted on the way, as tables: classes, sharing, rows of the incidence that repeat, the EM estimate."""
+    sinks = {
+        "classes": classes.select("class_id", F.array_join("members", ",").alias("members"), "k"), "incidence": cl.incidence(classes).select("class_id", "transcript"),
+        "sharedcounts": cl.shared_counts(classes), "duplicates": cl.duplicate_rows(classes), "em": mu.select("transcript", "mu"),
+        "doublehits": reads.groupBy(F.size("transcripts").alias("features")).agg(F.count(F.lit(1)).alias("reads")),
+    }
+    for name, df in sinks.items():
+        tables.write_table(df, str(out / name))
+
+
+def collapse(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Runs of `quantify` to tables in which features that cannot be told apart are merged."""
+    runs = {f"{i}:{Path(r).name}": Path(r) for i, r in enumerate(a.runs)}
+    samples, traces, classes = {}, [], []
+    for (name, run), file in zip(runs.items(), a.hits):
+        h = hits.read_text(spark, file)
+        q = tables.read_quant(spark, str(run / "features"))
+        same = tables.read_quant(spark, str(run / "identical")).withColumnRenamed("feature_id", "feature")
+        members = same.select("feature", F.explode(F.split("feature", "\\+")).alias("member"))
+        part = lambda d, is_set: d.select("feature", "log_mu", "sd", "mcse", "iact", "effective_length", "unique_hits", F.lit(is_set).alias("is_set"), (F.col("observed") > 0).alias("observed"))
+        inside = members.select(F.col("member").alias("feature"), F.lit(True).alias("_in")).distinct()
+        both = part(q, False).unionByName(part(same, True)).join(inside, "feature", "left").withColumn("in_set", F.coalesce("_in", F.lit(False))).drop("_in")
+        samples[name] = cut(both)
+        t = spark.read.parquet(str(run / "trace"))
+        sets = sm.set_traces(t, members.select(F.col("feature").alias("set_id"), F.col("member").alias("feature"))).withColumnRenamed("set_id", "feature")
+        traces.append(t.select("feature", "iter", "value").unionByName(sets.select("feature", "iter", "value")).withColumn("sample", F.lit(name)))
+        classes.append(cut(cl.equivalence_classes(h["reads"])))
+    candidates = cut(cp.candidates(samples))
+    # a set lies in the component of its members
+    label = cl.components(reduce(DataFrame.unionByName, classes).select("class_id", "members", "k"), cut)
+    blocks = candidates.select("feature", F.split("feature", "\\+")[0].alias("transcript")).join(label, "transcript").select("feature", F.col("component").alias("block"))
+    trace = cut(reduce(DataFrame.unionByName, traces))
+    known = cut(trace.join(blocks, "feature"))
+    pairs = cut(cp.covariances(known))
+    bound = a.bound
+    if bound is None:
+        found = cp.threshold(cp.mean_correlations(pairs), a.percent).first()
+        bound = -1.0 if found is None or found[0] is None else found[0]
+    variances = known.groupBy("sample", "feature").agg(F.var_samp("value").alias("var"))
+    merged = cut(cp.collapse(pairs.select("sample", "a", "b", "cov"), variances, blocks, bound).filter(F.size("members") > 1).select("members"))
+    names = merged.select(F.array_join("members", "*").alias("set_id"), F.explode("members").alias("feature"))
+    gone = names.select("feature")
+    # the features that a merged set of identical ones stands for go with it, and it may stand for no others
+    gone = gone.union(gone.select(F.explode(F.split("feature", "\\+")).alias("feature"))).distinct()
+    out = Path(a.out)
+    for (name, table), own in zip(samples.items(), classes):
+        t = cp.collapsed_traces(trace.filter(F.col("sample") == name), merged)
+        single = names.select("set_id", F.explode(F.split("feature", "\\+")).alias("transcript")).distinct()
+        unique = cl.contained_counts(own, single).select(F.col("set_id").alias("feature"), F.col("k").alias("unique_hits"))
+        stay = table.join(gone, "feature", "left_anti").filter(~F.col("in_set"))
+        tables.write_table(cp.collapsed_table(sm.summarise(t), unique, stay), str(out / name.replace(":", "_")))
+    tables.write_table(merged.select(F.array_join("members", "*").alias("set"), F.size("members").alias("n")).orderBy("set"), str(out / "sets"))
+
+
+def polyclass(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Several comparisons with one model 0 to posterior probabilities of all models."""
+    prior = a.model_prior or [1 / (len(a.tables) + 1)] * (len(a.tables) + 1)
+    if len(prior) != len(a.tables) + 1 or abs(sum(prior) - 1) > 1e-8:
+        raise SystemExit("give a prior for each model; they must add up to 1")
+    found = sm.polyclass(sm.bound_factors([tables.read_quant(spark, t).withColumn("bayes_factor", F.col("bayes_factor").cast("double")) for t in a.tables]), prior)
+    columns = [F.get("probabilities", F.lit(i)).alias(f"postprob_model{i}") for i in range(len(prior))]
+    tables.write_table(found.select("feature", *columns).orderBy("feature"), a.out)
 
 
 def compare(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -133,6 +209,15 @@ def parser() -> argparse.ArgumentParser:
     for name, value in (("max-em-iter", 1000), ("gibbs-iter", 16384), ("seed", 1)):
         c.add_argument(f"--{name}", type=int, default=value)
     c.add_argument("--percentiles", default="5,25,50,75,95")
+    c.add_argument("--debug", action="store_true")
+    c = command(collapse, "out")
+    c.add_argument("runs", nargs="+")
+    c.add_argument("--hits", nargs="+", required=True)
+    c.add_argument("--bound", type=float)
+    c.add_argument("--percent", type=float, default=5.0)
+    c = command(polyclass, "out")
+    c.add_argument("tables", nargs="+")
+    c.add_argument("--model-prior", type=float, nargs="+")
     c = command(compare, "out")
     c.add_argument("tables", nargs="+")
     c.add_argument("--groups", type=int, nargs="+")

@@ -53,11 +53,22 @@ def contained_counts(classes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def identical_sets(features: DataFrame, text: str = "seq", name: str = "transcript") -> DataFrame:
-    """members of features with one sequence; sets of one are left out.  Grouped by a digest, then checked."""
-    g = features.groupBy(F.sha2(text, 256).alias("_h"), F.length(text).alias("_n")).agg(F.array_sort(F.collect_list(name)).alias("members"))
+    """members of features with one sequence (the same SHA-256 and length); sets of one are left out, and features without a sequence."""
+    g = features.filter(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("_h"), F.length(text).alias("_n")).agg(F.array_sort(F.collect_list(name)).alias("members"))
     return g.filter(F.size("members") > 1).select("members")
 
 
+def duplicate_rows(classes: DataFrame) -> DataFrame:
+    """first, transcript: features that are in just the classes of another, and the first by name of their like.
+
+    Features are compared by the number and two 64-bit hashes of their classes, summed before the shuffle.
+    """
+    h = lambda salt: F.bit_xor(F.xxhash64("class_id", F.lit(salt)))
+    rows = incidence(classes).groupBy("transcript").agg(F.struct(F.count(F.lit(1)), h(1), h(2)).alias("_h"))
+    first = rows.groupBy("_h").agg(F.min("transcript").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return rows.join(first, "_h").filter(F.col("transcript") > F.col("first")).select("first", "transcript")
+
+
 def gene_isoforms(features: DataFrame) -> DataFrame:
     return features.groupBy("gene").agg(F.array_sort(F.collect_list("transcript")).alias("transcripts"))
 

@@ -68,6 +68,79 @@ def with_unseen(meta: DataFrame, summary: DataFrame, scale: float, alpha: float
     )
 
 
+def with_prior(trace: DataFrame, prior: DataFrame) -> DataFrame:
+    """The traces of observed features, and the prior's of those that have none: what sets and groups are sums of."""
+    return trace.unionByName(prior.join(trace.select("feature").distinct(), "feature", "left_anti"))
+
+
+def set_table(summary: DataFrame, sets: DataFrame, members: DataFrame, unique: DataFrame, scale: float, alpha: float = 0.1, beta: float = 0.1, identical: bool = False, trace_length: int = 1024) -> DataFrame:
+    """The table of sets (genes, or sets of features with one sequence), seen or not.
+
+    summary: set_id and the summary of its whole trace; sets: set_id, feature; members:
+    feature, effective_length, true_length, observed, log_mu; unique: set_id, k.  observed is
+    the number of members with reads.  A set without any: a group keeps the moments of its
+    simulated trace, with mcse sd / sqrt(trace length) and iact 1; a set of one sequence has
+    those of the prior, scaled by its size, without iact and percentiles.  A group's length is
+    the mean of its members', weighted by abundance; it has no true length.
+    """
+    w = F.exp("log_mu")
+    m = sets.join(members, "feature").groupBy("set_id").agg(
+        F.sum("observed").cast("bigint").alias("observed"), F.count(F.lit(1)).alias("ntranscripts"),
+        (F.sum(F.col("effective_length") * w) / F.sum(w)).alias("_weighted"), F.min_by("effective_length", "feature").alias("_first"), F.min_by("true_length", "feature").alias("_true"),
+    )
+    t = m.join(summary, "set_id", "left").join(unique.select("set_id", F.col("k").alias("unique_hits")), "set_id", "left")
+    none = F.col("observed") == 0
+    if identical:
+        t = t.withColumns(
+            {
+                "log_mu": F.when(none, F.log("ntranscripts") + F.lit(digamma(alpha)) - F.log(F.lit(beta) + F.col("_first") * F.lit(scale))).otherwise(F.col("log_mu")),
+                "sd": F.when(none, F.lit(math.sqrt(trigamma(alpha)))).otherwise(F.col("sd")),
+                "mcse": F.when(none, F.lit(0.0)).otherwise(F.col("mcse")),
+                "iact": F.when(~none, F.col("iact")),
+                "percentiles": F.when(none, F.transform("percentiles", lambda x: F.lit(None).cast("double"))).otherwise(F.col("percentiles")),
+            }
+        )
+    else:
+        t = t.withColumns({"mcse": F.when(none, F.col("sd") / math.sqrt(trace_length)).otherwise(F.col("mcse")), "iact": F.when(none, F.lit(1.0)).otherwise(F.col("iact"))})
+    length, whole = (F.col("_first"), F.col("_true")) if identical else (F.col("_weighted"), F.lit(None).cast("int"))
+    order = ["observed", "ntranscripts"] if identical else ["ntranscripts", "observed"]
+    return t.select(
+        F.col("set_id").alias("feature_id"), "log_mu", "sd", "mcse", "iact", length.alias("effective_length"), whole.alias("true_length"),
+        F.coalesce("unique_hits", F.lit(0)).cast("bigint").alias("unique_hits"), *order, "percentiles",
+    )
+
+
+def coverage_ranking(counts: DataFrame, features: DataFrame, rank: int = 500) -> DataFrame:
+    """transcript, gene, coverage of the features that are covered best, one for each gene.
+
+    counts: transcript, n (reads); features: transcript, gene, length, ordinal.  Coverage is
+    reads a base; the bound is that of the feature at `rank` (0-based, in descending order; all
+    pass if there are no more).  Of a gene's features that reach it the first by ordinal stands.
+    """
+    c = features.join(counts, "transcript", "left").withColumn("coverage", F.coalesce("n", F.lit(0)) / F.col("length"))
+    # the largest rank + 1 values meet in one task, no others
+    bound = c.orderBy(F.col("coverage").desc()).limit(rank + 1).agg(F.min("coverage").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    bound = bound.select(F.when(F.col("_n") > rank, F.col("_least")).otherwise(F.lit(0.0)).alias("_bound"))
+    good = c.crossJoin(F.broadcast(bound)).filter("coverage >= _bound")
+    return good.groupBy("gene").agg(F.min_by(F.struct("transcript", "coverage"), "ordinal").alias("x")).select("x.transcript", "gene", "x.coverage")
+
+
+def common_set(table: DataFrame, names: DataFrame, suffix: str = "") -> DataFrame:
+    """Rows of `table` for names (feature, ordinal), in their order: a name that the table lacks has nulls beside it.
+
+    suffix (a pattern) is cut from the table's features first.
+    """
+    t = table.withColumn("feature", F.regexp_replace("feature", suffix, "")) if suffix else table
+    return names.join(t, "feature", "left").select("ordinal", *table.columns).orderBy("ordinal")
+
+
+def bound_factors(comparisons: list[DataFrame]) -> DataFrame:
+    """feature and bf, an array of the Bayes factors of several comparisons (feature, bayes_factor), bound by feature."""
+    named = [c.select("feature", F.col("bayes_factor").alias(f"_b{i}")) for i, c in enumerate(comparisons)]
+    j = reduce(lambda a, b: a.join(b, "feature"), named)
+    return j.select("feature", F.array(*[F.col(f"_b{i}") for i in range(len(named))]).alias("bf"))
+
+
 def weighted_length(quant: DataFrame) -> DataFrame:
     """gene, effective_length: the mean of its features' lengths, weighted by abundance."""
     w = F.exp("log_mu")
@@ -161,7 +234,7 @@ def split_by_suffix(long: DataFrame, suffixes: list[str]) -> DataFrame:
 
 def permuted(long: DataFrame, seed: int) -> DataFrame:
     """(y, e) dealt to the samples of each feature in a random order that follows from the seed."""
-    order = Window.partitionBy("feature").orderBy(F.xxhash64(F.lit(seed), "feature", "sample"), "sample")
+    order = Window.partitionBy("feature").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "feature", "sample")), "sample")
     names = Window.partitionBy("feature").orderBy("sample")
     a = long.select("feature", "sample", "uh", F.row_number().over(names).alias("_i"))
     b = long.select("feature", "y", "e", F.row_number().over(order).alias("_i"))

@@ -145,7 +145,7 @@ class Sampler:
         term = -0.5 * (np.log(one[0] / one[1]) + res2 * (1 / one[0] - 1 / one[1]))
         ratio = term @ (cls[:, None] == np.arange(n)) - K * t["rho"][:, None] / 2 * (1 / new - 1 / t["s2"]) - K / 2 * (np.log(new) - np.log(t["s2"]))
         own = np.where(ratio > np.log(u), new, t["s2"])
-        if q is not None and not real.all():
+        if q is not None:
             gam = self._draw("g", n, a=q["s2_shape"].mean(axis=1))
             mixed("s2", own, lambda: q["s2_rate"] / gam)
         else:
@@ -227,15 +227,34 @@ class Sampler:
                         q["rho_shape"], q["rho_rate"] = shape, shape / mz
             self.pseudo.append(q)
 
+    def _row(self, i: int) -> dict:
+        """What a feature's chain is: its state, model and stream."""
+        return {"state": [{k: v[i].copy() for k, v in t.items()} for t in self.state], "gamma": self.gamma[i], "stream": self.streams[i].bit_generator.state}
+
+    def _set_row(self, i: int, row: dict) -> None:
+        for t, own in zip(self.state, row["state"]):
+            for k, v in own.items():
+                t[k][i] = v
+        self.gamma[i] = row["gamma"]
+        self.streams[i].bit_generator.state = row["stream"]
+
     def tune(self, most: int) -> np.ndarray:
-        """Moves the prior log odds until both models are visited; returns which features are tuned."""
+        """Moves the prior log odds until both models are visited; returns which features are tuned.
+
+        A tuned feature's chain goes on from where it was tuned, however long others of the batch take.
+        """
         done = np.zeros(len(self.y), bool)
+        kept: dict[int, dict] = {}
         for batch in range(most):
             lo = np.mean([self.sweep(False) for _ in range(TUNE_BATCH)], axis=0)
-            done |= np.abs(lo) < TUNE_BOUND
+            for i in np.nonzero(~done & (np.abs(lo) < TUNE_BOUND))[0].tolist():
+                kept[i] = self._row(i)
+                done[i] = True
             if done.all():
                 break
             self.logit = np.where(done, self.logit, self.logit - np.sign(lo) / math.sqrt(2 + batch))
+        for i, row in kept.items():
+            self._set_row(i, row)
         return done
 
     def sample(self, iterations: int) -> dict[str, np.ndarray]:

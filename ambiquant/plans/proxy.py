@@ -51,12 +51,10 @@ def lengths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("transcript")).agg((F.round(F.avg("p_retailprice")) / 1000).alias("l"))
 
 
-def trace(spark: SparkSession, d: str, n: int = 32) -> DataFrame:
-    """feature, gene, iter, value: the first n events of users who have as many."""
+def trace(spark: SparkSession, d: str) -> DataFrame:
+    """feature, gene, iter, value: all events of each user, in turn."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("iter", F.row_number().over(w) - 1).filter(F.col("iter") < n)
-    full = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == n).select("user_id")
-    e = e.join(full, "user_id")
+    e = table(spark, d, "events").withColumn("iter", F.row_number().over(w) - 1)
     return e.select(F.col("user_id").alias("feature"), (F.col("user_id") % 10).alias("gene"), "iter", (F.abs("value") + 0.5).alias("value"))
 
 
@@ -223,8 +221,8 @@ def entry(s: SparkSession, d: str) -> DataFrame:
 @query
 def unseen_features(s, d):
     names = table(s, d, "part").select(F.col("p_brand").alias("transcript")).distinct()
-    big = classes(s, d).filter(F.size("members") == 1).filter("k > 20")
-    return cl.unobserved(names, big)
+    own = classes(s, d).filter(F.size("members") == 1).filter("k % 3 = 0")
+    return cl.unobserved(names, own)
 
 
 @query
@@ -236,7 +234,8 @@ def semi_filter(s, d):
 @query
 def anti_filter(s, d):
     c = table(s, d, "customer").select("c_custkey", "c_nationkey")
-    return iv.without(c, table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    urgent = table(s, d, "orders").filter("o_orderpriority = '1-URGENT'")
+    return iv.without(c, urgent.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query
@@ -313,15 +312,19 @@ def est_counts(s, d):
     return sm.estimated_counts(q, 5_000_000).select("feature", "sample", F.round("count", 4).alias("count"))
 
 
+def _blocks(t: DataFrame) -> DataFrame:
+    """Blocks of 64 neighbouring users stand for components: all users are in one, and pairs stay bounded."""
+    return t.withColumn("block", F.floor(F.col("feature") / 64))
+
+
 @query
 def pair_corr(s, d):
-    t = trace(s, d).filter("feature < 60").withColumns({"block": F.lit(0), "sample": F.lit("a")})
+    t = _blocks(trace(s, d)).withColumn("sample", F.lit("a"))
     return collapse.covariances(t).select("sample", "a", "b", F.round("cov", 3).alias("cov"), F.round("corr", 6).alias("corr"))
 
 
 def _pairs(s, d):
-    t = trace(s, d).filter("feature < 40")
-    two = t.withColumns({"block": F.lit(0), "sample": F.when(F.col("iter") < 16, "a").otherwise("b")})
+    two = _blocks(trace(s, d)).withColumn("sample", F.when(F.col("iter") % 2 == 0, "a").otherwise("b"))
     return collapse.covariances(two), two
 
 
@@ -340,11 +343,65 @@ def collapse_greedy(s, d):
     pairs, t = _pairs(s, d)
     text = lambda c: F.col(c).cast("string")
     v = t.groupBy("sample", text("feature").alias("feature")).agg(F.var_samp("value").alias("var"))
-    b = v.select("feature", F.lit(0).alias("block")).distinct()
-    got = collapse.collapse(pairs.select("sample", text("a").alias("a"), text("b").alias("b"), "cov"), v, b, -0.4)
+    b = t.select(text("feature").alias("feature"), "block").distinct()
+    got = collapse.collapse(pairs.select("sample", text("a").alias("a"), text("b").alias("b"), "cov"), v, b, -0.3)
     return got.select(F.array_join("members", "*").alias("members"))
 
 
+@query
+def coverage_ranking(s, d):
+    p = table(s, d, "part")
+    f = p.select(F.col("p_partkey").cast("string").alias("transcript"), F.col("p_brand").alias("gene"), (F.col("p_size") + 10).alias("length"), F.col("p_partkey").alias("ordinal"))
+    n = table(s, d, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("transcript")).agg(F.count(F.lit(1)).alias("n"))
+    return sm.coverage_ranking(n, f, 50).select("transcript", "gene", F.round("coverage", 8).alias("coverage"))
+
+
+@query
+def common_set(s, d):
+    w = Window.orderBy("p_brand")  # one row a brand
+    names = table(s, d, "part").select("p_brand").distinct().select(F.regexp_replace("p_brand", "1$", "x").alias("feature"), F.row_number().over(w).alias("ordinal"))
+    x = samples_long(s, d).filter("sample like '1%'").select(F.concat("feature", F.lit("_A")).alias("feature"), "uh")
+    return sm.common_set(x, names, "_A$")
+
+
+@query
+def bound_factors(s, d):
+    x = samples_long(s, d).select("feature", "sample", (F.col("e") * 10).alias("bayes_factor"))
+    parts = [x.filter(F.col("sample").startswith(p)).select("feature", "bayes_factor") for p in ("1", "2", "3")]
+    return sm.polyclass(sm.bound_factors(parts), [0.4, 0.2, 0.2, 0.2]).select("feature", *[F.round(F.get("probabilities", F.lit(i)), 8).alias(f"p{i}") for i in range(4)])
+
+
+@query
+def duplicate_rows(s, d):
+    # orders of one customer stand for the reads of a class, parts for features
+    r = table(s, d, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_orderkey").alias("read")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("transcripts"))
+    return cl.duplicate_rows(cl.equivalence_classes(r))
+
+
+def _set_inputs(s, d):
+    """Features are parts; those of one size have no reads; sets are brands."""
+    p = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("feature"), F.col("p_brand").alias("set_id"), (F.col("p_retailprice") / 1000).alias("effective_length"), "p_size")
+    m = p.select("feature", "effective_length", (F.col("p_size") * 10).alias("true_length"), (F.substring("set_id", 8, 1) != "1").cast("int").alias("observed"), (F.col("p_size") / 20).alias("log_mu"))
+    summary = p.groupBy("set_id").agg((F.avg("p_size") / 10).alias("log_mu"), F.lit(0.5).alias("sd"), F.lit(0.01).alias("mcse"), F.lit(1.5).alias("iact"), F.array(F.lit(1.0), F.lit(2.0)).alias("percentiles"))
+    unique = p.groupBy("set_id").agg(F.count(F.lit(1)).alias("k"))
+    return summary, p.select("set_id", "feature"), m, unique
+
+
+def _set_columns(t):
+    rounded = [F.round(c, 8).alias(c) for c in ("log_mu", "sd", "mcse", "iact", "effective_length")]
+    return t.select("feature_id", *rounded, F.col("true_length").cast("int").alias("true_length"), "unique_hits", "observed", "ntranscripts", F.get("percentiles", F.lit(0)).alias("p"))
+
+
+@query
+def gene_table(s, d):
+    return _set_columns(sm.set_table(*_set_inputs(s, d), 0.001))
+
+
+@query
+def identical_table(s, d):
+    return _set_columns(sm.set_table(*_set_inputs(s, d), 0.001, identical=True))
+
+
 @query
 def candidate_sets(s, d):
     x = samples_long(s, d)

@@ -1,5 +1,8 @@
 """DuckDB SQL for the results of the queries in proxy."""
 
+import math
+from itertools import accumulate
+
 A = """a AS (
   SELECT l_orderkey AS read, p_brand AS transcript, p_type AS gene, l_partkey, l_suppkey, l_linenumber, l_extendedprice, CAST(l_quantity AS INT) AS isize,
          CAST(round(l_discount * 100) AS INT) AS nm, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS ordinal
@@ -13,8 +16,8 @@ NEAR = "{0} AS (SELECT * FROM {1} QUALIFY min(abs(isize - 25)) OVER (PARTITION B
 COLS = "read, transcript, isize, nm, ordinal"
 Z = """z AS (SELECT l_orderkey AS read, min(CAST(l_quantity AS INT)) AS isize FROM lineitem WHERE CAST(l_quantity AS INT) > 0 GROUP BY 1
   HAVING min(CAST(l_quantity AS INT)) = max(CAST(l_quantity AS INT)))"""
-T = """e AS (SELECT user_id AS feature, user_id % 10 AS gene, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS iter, abs(value) + 0.5 AS value, count(*) OVER (PARTITION BY user_id) AS c FROM events),
-t AS (SELECT feature, gene, iter, value FROM e WHERE iter < 32 AND c >= 32)"""
+T = """e AS (SELECT user_id AS feature, user_id % 10 AS gene, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS iter, abs(value) + 0.5 AS value FROM events),
+t AS (SELECT feature, gene, iter, value FROM e)"""
 X = A + """, x AS (SELECT transcript AS feature, o_orderpriority AS sample, round(ln(sum(l_extendedprice)), 6) AS y,
   round(stddev_samp(l_extendedprice) / avg(l_extendedprice) / 10, 6) AS e, count(*) FILTER (nm = 0) AS uh FROM a JOIN orders ON read = o_orderkey GROUP BY 1, 2)"""
 
@@ -27,12 +30,46 @@ m{n} AS (SELECT transcript, any_value(l) AS l, sum(mu * k / rate) / any_value(l)
     return out
 
 
-PAIRS = T + """, u AS (SELECT *, CASE WHEN iter < 16 THEN 'a' ELSE 'b' END AS sample FROM t WHERE feature < 40),
-p AS (SELECT x.sample, x.feature AS a, y.feature AS b, corr(x.value, y.value) AS corr FROM u x JOIN u y ON x.sample = y.sample AND x.iter = y.iter AND x.feature < y.feature GROUP BY ALL),
+PAIRS = T + """, u AS (SELECT *, CASE WHEN iter % 2 = 0 THEN 'a' ELSE 'b' END AS sample FROM t),
+p AS (SELECT x.sample, x.feature AS a, y.feature AS b, corr(x.value, y.value) AS corr FROM u x JOIN u y ON x.sample = y.sample AND x.iter = y.iter AND x.feature < y.feature AND x.feature // 64 = y.feature // 64 GROUP BY ALL),
 mc AS (SELECT a, b, avg(coalesce(corr, 0)) AS corr, coalesce(stddev_samp(coalesce(corr, 0)), 0) AS sd, count(*) AS n FROM p GROUP BY 1, 2)"""
 DEV = X + ", ok AS (SELECT feature FROM x GROUP BY 1 HAVING avg((uh > 0)::INT) >= {0}), dv AS (SELECT x.*, y - avg(y) OVER (PARTITION BY feature) AS d FROM x SEMI JOIN ok USING (feature))"
 
+#: Prefix sums of Phi((f + 0.5 - 180) / 25) for f = 1.. up to where it is 1 in doubles; beyond, each f adds 1.
+_A0 = 0.5 * math.erfc(-((0.5 - 180) / 25) / math.sqrt(2))
+_SUMS = list(accumulate(0.5 * math.erfc(-((f + 0.5 - 180) / 25) / math.sqrt(2)) for f in range(1, 421)))
+PHI = "phi AS (SELECT * FROM (VALUES " + ", ".join(f"({f}, {x!r}::DOUBLE)" for f, x in enumerate(_SUMS, 1)) + ") v(f, s))"
+SETS = """p AS (SELECT p_brand AS set_id, p_partkey, p_retailprice / 1000 AS l, p_size, substr(p_brand, 8, 1) <> '1' AS seen FROM part),
+g AS (SELECT set_id, sum(seen::INT) AS observed, count(*) AS n, avg(p_size) / 10 AS lm, sum(l * exp(p_size / 20.0::DOUBLE)) / sum(exp(p_size / 20.0::DOUBLE)) AS wl,
+  arg_min(l, CAST(p_partkey AS VARCHAR)) AS fl, arg_min(p_size * 10, CAST(p_partkey AS VARCHAR)) AS tl FROM p GROUP BY 1)"""
+
 SQL = {
+    "eff_length": f"""WITH {PHI} SELECT doc_id, CAST(n_chars AS INT) AS true_length,
+        round(greatest(0.1::DOUBLE, coalesce((SELECT s FROM phi WHERE f = least(n_chars, 420)), 0) + greatest(0, n_chars - 420) - n_chars * {_A0!r}::DOUBLE), 6) AS effective_length FROM documents""",
+    "permuted_samples": f"""WITH {X}, n1 AS (SELECT feature, sample, uh, row_number() OVER (PARTITION BY feature ORDER BY sample) AS i FROM x),
+        n2 AS (SELECT feature, y, e, row_number() OVER (PARTITION BY feature ORDER BY md5('7|' || feature || '|' || sample), sample) AS i FROM x) SELECT feature, sample, uh, y, e FROM n1 JOIN n2 USING (feature, i)""",
+    "overlap_dedupe": """WITH RECURSIVE v AS (SELECT p_brand AS chrom, CAST(p_partkey AS INT) AS pos, p_size AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+        w AS (SELECT chrom, pos, i, true AS keep, pos + n - 1 AS last FROM v WHERE i = 1
+          UNION ALL SELECT v.chrom, v.pos, v.i, v.pos > w.last, CASE WHEN v.pos > w.last THEN v.pos + v.n - 1 ELSE w.last END FROM w JOIN v ON v.chrom = w.chrom AND v.i = w.i + 1)
+        SELECT chrom, pos FROM w WHERE keep""",
+    "coverage_ranking": """WITH n AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1),
+        c AS (SELECT p_partkey, p_brand AS gene, coalesce(n, 0) / CAST(p_size + 10 AS DOUBLE) AS coverage FROM part LEFT JOIN n ON l_partkey = p_partkey),
+        b AS (SELECT coalesce((SELECT coverage FROM c ORDER BY coverage DESC LIMIT 1 OFFSET 50), 0) AS bound)
+        SELECT CAST(min(p_partkey) AS VARCHAR) AS transcript, gene, round(arg_min(coverage, p_partkey), 8) AS coverage FROM c, b WHERE coverage >= bound GROUP BY gene""",
+    "common_set": f"""WITH {X}, n AS (SELECT regexp_replace(p_brand, '1$', 'x') AS name, row_number() OVER (ORDER BY p_brand) AS ordinal FROM (SELECT DISTINCT p_brand FROM part))
+        SELECT CAST(ordinal AS INT) AS ordinal, name AS feature, uh FROM n LEFT JOIN (SELECT feature, uh FROM x WHERE sample LIKE '1%') ON name = feature""",
+    "bound_factors": f"""WITH {X}, w AS (SELECT feature, max(e * 10) FILTER (sample LIKE '1%') AS b1, max(e * 10) FILTER (sample LIKE '2%') AS b2, max(e * 10) FILTER (sample LIKE '3%') AS b3 FROM x GROUP BY 1),
+        z AS (SELECT *, 0.4::DOUBLE + 0.2::DOUBLE * b1 + 0.2::DOUBLE * b2 + 0.2::DOUBLE * b3 AS t FROM w WHERE b1 + b2 + b3 IS NOT NULL)
+        SELECT feature, round(0.4::DOUBLE / t, 8) AS p0, round(0.2::DOUBLE * b1 / t, 8) AS p1, round(0.2::DOUBLE * b2 / t, 8) AS p2, round(0.2::DOUBLE * b3 / t, 8) AS p3 FROM z""",
+    "duplicate_rows": """WITH r AS (SELECT l_orderkey, list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))) AS ts FROM lineitem WHERE l_quantity > 45 GROUP BY 1),
+        i AS (SELECT DISTINCT unnest(ts) AS t, ts FROM r), f AS (SELECT t, list_sort(list(array_to_string(ts, ','))) AS cs FROM i GROUP BY 1),
+        g AS (SELECT cs, min(t) AS first FROM f GROUP BY 1) SELECT first, t AS transcript FROM f JOIN g USING (cs) WHERE t > first""",
+    "gene_table": f"""WITH {SETS} SELECT set_id AS feature_id, round(lm, 8) AS log_mu, 0.5::DOUBLE AS sd, round(CASE WHEN observed = 0 THEN 0.5::DOUBLE / 32 ELSE 0.01 END, 8) AS mcse,
+        CASE WHEN observed = 0 THEN 1.0::DOUBLE ELSE 1.5 END AS iact, round(wl, 8) AS effective_length, CAST(NULL AS INT) AS true_length, n AS unique_hits, CAST(observed AS BIGINT) AS observed, n AS ntranscripts, 1.0::DOUBLE AS p FROM g""",
+    "identical_table": f"""WITH {SETS} SELECT set_id AS feature_id, round(CASE WHEN observed = 0 THEN ln(n) - 10.423754940411076::DOUBLE - ln(0.1::DOUBLE + fl * 0.001::DOUBLE) ELSE lm END, 8) AS log_mu,
+        round(CASE WHEN observed = 0 THEN sqrt(101.43329915079276::DOUBLE) ELSE 0.5 END, 8) AS sd, CASE WHEN observed = 0 THEN 0.0::DOUBLE ELSE 0.01 END AS mcse,
+        CASE WHEN observed > 0 THEN 1.5::DOUBLE END AS iact, round(fl, 8) AS effective_length, tl AS true_length, n AS unique_hits, CAST(observed AS BIGINT) AS observed, n AS ntranscripts,
+        CASE WHEN observed > 0 THEN 1.0::DOUBLE END AS p FROM g""",
     "read_sets": f"WITH {R} SELECT read, array_to_string(ts, ',') AS transcripts FROM r",
     "eq_classes": f"WITH {C} SELECT array_to_string(ts, ',') AS members, k FROM c",
     "class_size_hist": f"WITH {C} SELECT CAST(len(ts) AS INT) AS size, CAST(sum(k) AS BIGINT) AS reads, count(*) AS classes FROM c GROUP BY 1",
@@ -68,9 +105,9 @@ SQL = {
     "em_fixed3": em(3) + " SELECT transcript, round(mu, 6) AS mu FROM m3",
     "em_loglik": f"""WITH {L}, q AS (SELECT ts, sum(mu) AS rate, any_value(k) AS k FROM i JOIN m0 USING (transcript) GROUP BY 1)
         SELECT round((SELECT sum(k * ln(rate)) FROM q) - (SELECT sum(mu * l) FROM m0), 3) AS loglik""",
-    "unseen_features": f"WITH {C} SELECT DISTINCT p_brand AS transcript FROM part WHERE p_brand NOT IN (SELECT transcript FROM i WHERE size = 1 AND k > 20)",
+    "unseen_features": f"WITH {C} SELECT DISTINCT p_brand AS transcript FROM part WHERE p_brand NOT IN (SELECT transcript FROM i WHERE size = 1 AND k % 3 = 0)",
     "semi_filter": "SELECT o_custkey, o_orderkey FROM orders SEMI JOIN (SELECT c_custkey AS o_custkey FROM customer WHERE c_acctbal > 5000) USING (o_custkey)",
-    "anti_filter": "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "anti_filter": "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "prior_for_unseen": f"""WITH {X}, s AS (SELECT feature, y, e FROM x WHERE sample LIKE '1%' AND y > 15), l AS (SELECT p_brand AS feature, round(avg(p_retailprice)) / 1000 AS l FROM part GROUP BY 1)
         SELECT l.feature, CAST(y IS NOT NULL AS INT) AS observed, round(coalesce(y, -10.423754940411076 - ln(0.1 + l * 0.001)), 6) AS log_mu, round(coalesce(e, sqrt(101.43329915079276)), 6) AS sd,
           round(CASE WHEN y IS NULL THEN 0.0::DOUBLE ELSE 0.01 END, 6) AS mcse, 1.0::DOUBLE AS iact FROM l LEFT JOIN s USING (feature)""",
@@ -78,13 +115,13 @@ SQL = {
     "quantile_nearest": f"""WITH {T}, s AS (SELECT feature, list_sort(list(value)) AS v FROM t GROUP BY 1)
         SELECT feature, {', '.join(f'v[1 + CAST(floor({p} / 100.0 * (len(v) - 1) + 0.5) AS INT)] AS p{p}' for p in (5, 50, 95))} FROM s""",
     "log_mean": f"WITH {T} SELECT feature, round(avg(ln(value)), 8) AS log_mu, round(stddev_samp(ln(value)), 8) AS sd FROM t GROUP BY 1",
-    "sokal_iact": f"""WITH {T}, d AS (SELECT feature, iter, value - avg(value) OVER (PARTITION BY feature) AS v FROM t),
-        ac AS (SELECT x.feature, (y.iter - x.iter + 32) % 32 AS lag, sum(x.v * y.v) AS c FROM d x JOIN d y ON x.feature = y.feature GROUP BY 1, 2),
-        rho AS (SELECT feature, lag, c, c / first_value(c) OVER (PARTITION BY feature ORDER BY lag) AS rho FROM ac),
+    "sokal_iact": f"""WITH {T}, d AS (SELECT feature, iter, count(*) OVER (PARTITION BY feature) AS n, value - avg(value) OVER (PARTITION BY feature) AS v FROM t),
+        ac AS (SELECT x.feature, x.n, (y.iter - x.iter + x.n) % x.n AS lag, sum(x.v * y.v) AS c FROM d x JOIN d y ON x.feature = y.feature GROUP BY 1, 2, 3),
+        rho AS (SELECT feature, n, lag, c, c / first_value(c) OVER (PARTITION BY feature ORDER BY lag) AS rho FROM ac),
         run AS (SELECT *, -1 / 3.0::DOUBLE + sum(rho - 1 / 6.0::DOUBLE) OVER (PARTITION BY feature ORDER BY lag) AS s FROM rho),
-        st AS (SELECT feature, min(lag) FILTER (s < 0 AND lag < 31) AS i FROM run GROUP BY 1)
-        SELECT feature, round((SELECT c / 31 FROM run r WHERE r.feature = st.feature AND lag = 0), 4) AS var,
-          round(2 * ((SELECT s FROM run r WHERE r.feature = st.feature AND lag = coalesce(i, 30)) + (coalesce(i + 1, 32) - 1) / 6.0::DOUBLE), 6) AS tau, CAST(coalesce(i + 1, 32) AS INT) AS m FROM st""",
+        st AS (SELECT feature, n, min(lag) FILTER (s < 0 AND lag < n - 1) AS i FROM run GROUP BY 1, 2)
+        SELECT feature, round((SELECT c / (n - 1) FROM run r WHERE r.feature = st.feature AND lag = 0), 4) AS var,
+          round(2 * ((SELECT s FROM run r WHERE r.feature = st.feature AND lag = coalesce(i, st.n - 2)) + (coalesce(i + 1, n) - 1) / 6.0::DOUBLE), 6) AS tau, CAST(coalesce(i + 1, n) AS INT) AS m FROM st""",
     "set_traces": f"WITH {T} SELECT gene AS set_id, CAST(iter AS INT) AS iter, round(sum(value), 6) AS value FROM t GROUP BY 1, 2",
     "weighted_length": """WITH q AS (SELECT p_type AS gene, p_brand, avg(p_retailprice) AS l, exp(count(*) / 10.0::DOUBLE) AS w FROM part GROUP BY 1, 2)
         SELECT gene, round(sum(l * w) / sum(w), 4) AS effective_length FROM q GROUP BY 1""",
@@ -93,7 +130,7 @@ SQL = {
     "normalise_median": f"WITH {DEV.format('1.0')}, md AS (SELECT sample, median(d) AS s FROM dv GROUP BY 1) SELECT feature, sample, round(y - coalesce(s, 0), 8) AS y FROM x LEFT JOIN md USING (sample)",
     "est_counts": f"WITH {X} SELECT feature, sample, round(exp(y - 10) * 5000000 * 1000 / 1e9, 4) AS count FROM x",
     "pair_corr": f"""WITH {T} SELECT 'a' AS sample, x.feature AS a, y.feature AS b, round(covar_samp(x.value, y.value), 3) AS cov, round(corr(x.value, y.value), 6) AS corr
-        FROM t x JOIN t y ON x.iter = y.iter AND x.feature < y.feature WHERE x.feature < 60 AND y.feature < 60 GROUP BY 2, 3""",
+        FROM t x JOIN t y ON x.iter = y.iter AND x.feature < y.feature AND x.feature // 64 = y.feature // 64 GROUP BY 2, 3""",
     "mean_corr": f"WITH {PAIRS} SELECT a, b, round(corr, 6) AS corr, round(sd, 6) AS sd, n FROM mc",
     "corr_threshold": f"""WITH {PAIRS}, w AS (SELECT a, corr FROM mc UNION ALL SELECT b, corr FROM mc), tp AS (SELECT list_sort(list(m)) AS ms FROM (SELECT max(corr) AS m FROM w GROUP BY a))
         SELECT round(-ms[1 + least(CAST(floor(len(ms) * 10 / 100.0) AS INT), len(ms) - 1)], 6) AS threshold FROM tp""",

@@ -12,5 +12,32 @@ def test_hits_quantify_and_compare(spark, tmp_path):
     cli.main(["quantify", "--hits", p("hits"), "--out", p("q"), "--gibbs-iter", "1024", "--max-em-iter", "20"], spark)
     q = {r["feature"]: r for r in tables.read_quant(spark, p("q/features")).collect()}
     assert q["a"]["log_mu"] > q["b"]["log_mu"] > q["c"]["log_mu"] and q["c"]["observed"] == 0 and q["a"]["unique_hits"] == 30
+    g = {r["feature_id"]: r for r in tables.read_quant(spark, p("q/genes")).collect()}
+    assert g["g"]["log_mu"] > q["a"]["log_mu"] and g["g"]["observed"] == 2 and g["h"]["observed"] == 0 and g["h"]["iact"] == 1 and g["h"]["ntranscripts"] == 1
+    assert abs(q["a"]["mean_proportion"] + q["b"]["mean_proportion"] - 1) < 1e-9 and q["c"]["mean_proportion"] is None
+    cli.main(["quantify", "--hits", p("hits"), "--out", p("q2"), "--gibbs-iter", "1024", "--max-em-iter", "20", "--seed", "5", "--debug"], spark)
+    assert spark.read.csv(p("q2/debug/classes"), sep="\t", header=True).count() == 3
+    cli.main(["collapse", "--out", p("c"), p("q"), p("q2"), "--hits", p("hits"), p("hits"), "--bound", "-0.01"], spark)
+    c = {r["feature_id"]: r for r in tables.read_quant(spark, p("c/0_q")).collect()}
+    assert set(c) in ({"a", "b", "c"}, {"a*b", "c"}) and tables.read_quant(spark, p("c/sets")).count() == len(c) % 3 // 2
     cli.main(["compare", "--out", p("bf"), "--groups", "2", "1", "--burnin", "1024", "--iterations", "1024", "--no-normalisation", *[p("q/features")] * 3], spark)
     assert tables.read_quant(spark, p("bf")).count() == 3
+    cli.main(["polyclass", "--out", p("poly"), p("bf"), p("bf"), "--model-prior", "0.5", "0.25", "0.25"], spark)
+    total = [sum(float(r[f"postprob_model{i}"]) for i in range(3)) for r in tables.read_quant(spark, p("poly")).collect()]
+    assert len(total) == 3 and all(abs(x - 1) < 1e-9 for x in total)
+
+
+def test_genes_with_unseen_members_and_merged_haplotypes(spark, tmp_path):
+    """Mates that name different haplotypes meet once names are merged; an unseen member adds to its gene's trace."""
+    (tmp_path / "x.fa").write_text("".join(f">{n} gene:{g}\n{s * 100}\n" for n, g, s in (("t_A", "g", "ACGT"), ("t_B", "g", "ACGA"), ("u_A", "g", "TTTT"), ("u_B", "g", "TTTA"), ("v_A", "h", "GGGG"), ("v_B", "h", "GGGA"))))
+    line = "r{0}\t{1}\t{2}\t{3}\t9\t*\t=\t{4}\t{5}\tACGT\t*\tNM:i:0"
+    rows = [x for i in range(30) for x in (line.format(i, 99, "t_A", 5, 150, 180), line.format(i, 147, "t_B", 150, 5, -180))]
+    (tmp_path / "x.sam").write_text("@HD\tVN:1.0\n" + "\n".join(rows) + "\n")
+    p = lambda name: str(tmp_path / name)
+    cli.main(["make-hits", "--sam", p("x.sam"), "--fasta", p("x.fa"), "--out", p("hits"), "--merge-haplotypes", "--insert-size", "180", "25", "49"], spark)
+    cli.main(["quantify", "--hits", p("hits"), "--out", p("q"), "--gibbs-iter", "1024", "--max-em-iter", "5"], spark)
+    q = {r["feature"]: r for r in tables.read_quant(spark, p("q/features")).collect()}
+    g = {r["feature_id"]: r for r in tables.read_quant(spark, p("q/genes")).collect()}
+    assert set(q) == {"t", "u", "v"} and q["t"]["unique_hits"] == 30 and q["u"]["observed"] == 0
+    assert 0 < q["t"]["mean_proportion"] < 1 and g["g"]["log_mu"] > q["t"]["log_mu"] and (g["g"]["observed"], g["g"]["ntranscripts"]) == (1, 2)
+    assert g["h"]["observed"] == 0 and abs(g["h"]["mcse"] - g["h"]["sd"] / 32) < 1e-9

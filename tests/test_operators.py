@@ -168,6 +168,34 @@ def test_tuning_goes_on_until_features_are_tuned(spark):
     assert not run(tune_batches=64)["tuned"]
 
 
+def test_comparison_does_not_depend_on_batch_mates(spark):
+    rng = np.random.default_rng(7)
+    names = [f"s{i}" for i in range(6)]
+    y = rng.normal(0, 0.3, (6, 6)) + np.outer(np.arange(6) * 2.0, np.arange(6) > 2)
+    long = spark.createDataFrame([(f"f{i}", n, float(y[i, k]), 0.1) for i in range(6) for k, n in enumerate(names)], "feature string, sample string, y double, e double")
+    run = lambda d, **k: {r["feature"]: r for r in comparison.compare(d.coalesce(1), names, comparison.two_groups(3, 3), burnin=256, iterations=512, **k).collect()}
+    whole, alone = run(long), run(long, batch=1)
+    for f, r in whole.items():
+        assert abs(r["alpha1"] - alone[f]["alpha1"]) < 1e-6 or math.isnan(r["alpha1"])
+        assert abs(r["posterior_probability"] - alone[f]["posterior_probability"]) < 1e-6
+
+
+def test_common_set_and_bound_factors(spark):
+    t = spark.createDataFrame([("a_A", 1), ("b_A", 2)], "feature string, x int")
+    names = spark.createDataFrame([("b", 1), ("z", 2), ("a", 3)], "feature string, ordinal int")
+    assert [tuple(r) for r in sm.common_set(t, names, "_A$").collect()] == [(1, "b", 2), (2, "z", None), (3, "a", 1)]
+    b = lambda *v: spark.createDataFrame(list(v), "feature string, bayes_factor double")
+    assert rows(sm.bound_factors([b(("f", 2.0), ("g", 1.0)), b(("g", 4.0), ("f", 3.0))])) == [("f", [2.0, 3.0]), ("g", [1.0, 4.0])]
+
+
+def test_coverage_ranking(spark):
+    f = spark.createDataFrame([("a", "g", 10, 1), ("b", "g", 10, 2), ("c", "h", 10, 3), ("d", "i", 10, 4)], "transcript string, gene string, length int, ordinal int")
+    n = spark.createDataFrame([("a", 5), ("b", 9), ("c", 7), ("d", 1)], "transcript string, n int")
+    assert [r[0] for r in rows(sm.coverage_ranking(n, f, 2))] == ["a", "c"]
+    assert [r[0] for r in rows(sm.coverage_ranking(n, f, 1))] == ["b", "c"]
+    assert [r[0] for r in rows(sm.coverage_ranking(n, f, 9))] == ["a", "c", "d"]
+
+
 def test_collapse_merges_anticorrelated():
     x = np.random.default_rng(3).normal(size=(3, 500))
     cov = np.cov(np.stack([x[0], -x[0] + 0.1 * x[1], x[2]]))[None]
