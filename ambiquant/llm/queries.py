@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ambiquant.llm import bpe, chat, jaccard_join, licenses, mixing, quality, suffix_dedup, token_counts, topk, toxicity
-from ambiquant.llm.sql import CHAT_SQL, MIX_SQL, QUALITY_SQL, TOPK_SQL
+from ambiquant.llm.sql import CHAT_SQL, JACCARD_SQL, MIX_SQL, QUALITY_SQL, SUFFIX_SQL, TOPK_SQL, license_sql
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,4 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY_SQL, "op5_mix": MIX_SQL, "op8_topk": TOPK_SQL, "op9_chat": CHAT_SQL}
+    return {
+        "op1_suffix_dedup": SUFFIX_SQL, "op4_quality": QUALITY_SQL, "op5_mix": MIX_SQL, "op7_jaccard_join": JACCARD_SQL, "op8_topk": TOPK_SQL, "op9_chat": CHAT_SQL,
+        "op10_licenses": license_sql(licenses.TEMPLATES | licenses.FULL_TEXTS),
+    }

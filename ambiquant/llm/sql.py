@@ -103,3 +103,58 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+#: Texts as hex digits, two a byte; removed runs are windows whose starts are at most 50 bytes apart.
+SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w0 AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 100)) AS k FROM d, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS u(p)),
+c AS (SELECT k FROM w0 GROUP BY k HAVING max(doc_id) > min(doc_id)),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM w0 SEMI JOIN c USING (k) JOIN d USING (doc_id)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING max(doc_id) > min(doc_id)),
+hit AS (SELECT DISTINCT doc_id, p FROM w JOIN m USING (s) WHERE doc_id > first),
+g AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true)::INT AS fresh FROM hit),
+r AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS rest, max(b) AS last, count(*) AS n_spans, sum(b - a) AS n_removed
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(rest, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+#: All pairs that share a shingle are counted, and components are walked from every document.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, ws[i:i+4] AS g FROM w, unnest(range(1, len(ws) - 3)) AS u(i) WHERE len(ws) >= 5
+  UNION ALL SELECT doc_id, ws FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS doc_id, min(y) AS low FROM r GROUP BY x),
+k AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, low) AS component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+def license_sql(templates: dict[str, str]) -> str:
+    """Containment of each template in each window, without bands; the operator's recall is 0.999 by design."""
+    text = lambda t: t.replace("'", "''")
+    rows = ", ".join(f"('{text(name)}', '{text(t)}')" for name, t in templates.items())
+    return rf"""
+WITH t0 AS (SELECT name, regexp_extract_all(lower(t), '[a-z0-9]+') AS ws FROM (VALUES {rows}) v(name, t)),
+t AS (
+  SELECT DISTINCT name, greatest(8, CAST(2 ** ceil(log2(len(ws))) AS INT)) AS span, ws[i:i+4] AS g FROM t0, unnest(range(1, len(ws) - 3)) AS u(i)),
+n AS (SELECT name, count(*) AS n FROM t GROUP BY name),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ws FROM documents),
+h AS (SELECT r, doc_id, i - 1 AS i, ws[i:i+4] AS g FROM d, unnest(range(1, len(ws) - 3)) AS u(i)),
+hit AS (SELECT r, doc_id, name, span, i // span AS block, g FROM h JOIN t USING (g)),
+w AS (SELECT * FROM hit UNION ALL SELECT r, doc_id, name, span, block - 1, g FROM hit WHERE block > 0),
+c AS (SELECT r, doc_id, name, block, count(DISTINCT g) / CAST(any_value(n) AS DOUBLE) AS share FROM w JOIN n USING (name) GROUP BY r, doc_id, name, block)
+SELECT doc_id, name AS license, max(share) AS containment, count(*) AS n_windows FROM c WHERE share >= 0.75 GROUP BY r, doc_id, name
+"""
