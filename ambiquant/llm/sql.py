@@ -107,9 +107,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 #: Texts as hex digits, two a byte; removed runs are windows whose starts are at most 50 bytes apart.
 SUFFIX_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w0 AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 100)) AS k FROM d, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS u(p)),
-c AS (SELECT k FROM w0 GROUP BY k HAVING max(doc_id) > min(doc_id)),
-w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM w0 SEMI JOIN c USING (k) JOIN d USING (doc_id)),
+-- windows are cut from pieces, as cutting from long strings is slow
+piece AS (SELECT doc_id, o, substr(h, 2 * o + 1, 598) AS h FROM d, unnest(range(0, greatest(0, len(h) // 2 - 49), 250)) AS u(o)),
+w AS (SELECT doc_id, o + q AS p, substr(h, 2 * q + 1, 100) AS s FROM piece, unnest(range(0, least(250, greatest(0, len(h) // 2 - 49)))) AS v(q)),
 m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING max(doc_id) > min(doc_id)),
 hit AS (SELECT DISTINCT doc_id, p FROM w JOIN m USING (s) WHERE doc_id > first),
 g AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true)::INT AS fresh FROM hit),
