@@ -15,22 +15,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the rules reject, and without lines that a host repeats too often; see llm.quality for nulls and ties."""
     return quality.filter_documents(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group of linked ones; a null doc_id links with nothing and stays."""
     return jaccard_join.one_of_each(docs.select(*COLUMNS))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without passages that a smaller doc_id has; documents that lose everything stay, with an empty text."""
     return suffix_dedup.dedup_documents(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; documents without words are never taken, a null source is one of its own."""
     return mixing.mix_documents(docs.select(*COLUMNS))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A digest of the tokens of each row; a null text has no tokens."""
     return bpe.digest(docs)
 
 
