@@ -598,3 +598,36 @@ def test_pipeline(spark, reference_tokenizer):
         ids = reference_tokenizer.encode(t, add_special_tokens=False).ids
         want += [(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())] * copies
     same(got(corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256")), want)
+
+
+def test_very_long_texts(spark):
+    """Texts beyond the steps in which hashes are made (1 MiB), near copies of each other."""
+    rnd = random.Random(12)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(200_000)]
+    other = list(words)
+    for k in range(0, 200_000, 400):
+        other[k] = "x"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[::-1])), (4, " ".join(words[1000:1050]))]
+    assert len(rows[0][1]) > 1 << 20
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same(got(jaccard_join.components(d)), brute.components(rows))
+    same(got(suffix_dedup.digest(d)), brute.removal_digest(rows))
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, an extra column, and no rows at all."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(chr(97 + k % 26) + chr(97 + k // 26) + chr(97 + i) for i in range(20))
+    rows = [(k, text(k), "en", "s", len(text(k))) for k in range(40)] + [(None, text(50), None, None, None), (60, None, None, None, None), (61, "", "en", "s", 0), (62, text(3), "de", None, 5), (63, text(63), None, None, None)]
+    d = spark.createDataFrame([*rows, rows[5]], DOC).withColumns({"_id": F.lit(1), "extra": F.lit("x")})
+    for name, df in (("a", d), ("b", d.limit(0))):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "a"))
+    ids = {r["doc_id"] for r in out.collect()}
+    assert ids <= {None, 63, *range(40)} and len(ids) > 10
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).columns == out.columns
+    docs = spark.read.parquet(str(tmp_path / "b" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path / "b"))
+        assert docs.count() == 0
