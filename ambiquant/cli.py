@@ -6,9 +6,11 @@ import argparse
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ambiquant.functions import sequences as sq
 from ambiquant.functions.statistics import effective_lengths
 from ambiquant.operators import alignments as al
 from ambiquant.operators import classes as cl
@@ -30,7 +32,13 @@ def make_hits(spark: SparkSession, a: argparse.Namespace) -> None:
     known = sam.withColumnsRenamed({"qname": "read", "rname": "transcript"}).withColumn("ordinal", F.xxhash64("read", "transcript", "pos"))
     if a.merge_haplotypes:  # before mates meet, which may name different haplotypes
         known = known.withColumn("transcript", src.strip_haplotype("transcript"))
-    unknown = src.unknown_references(known.select(F.col("transcript").alias("rname")).distinct(), fasta).limit(3).collect()
+    order = src.sort_order(spark, a.sam)
+    if order not in (None, "queryname", "unknown", "unsorted"):
+        print(f"note: {a.sam} is sorted by {order}; mates are matched all the same")
+    named = src.sam_references(spark, a.sam)
+    if a.merge_haplotypes:
+        named = named.withColumn("rname", src.strip_haplotype("rname"))
+    unknown = src.unknown_references(known.select(F.col("transcript").alias("rname")).union(named).distinct(), fasta).limit(3).collect()
     if unknown:
         raise SystemExit(f"references without a sequence: {[r[0] for r in unknown]}")
     mean, sd, threshold = a.insert_size or (180, 25, 49)
@@ -48,7 +56,7 @@ def make_hits(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def quantify(spark: SparkSession, a: argparse.Namespace) -> None:
     """A hits file to tables of features, identical sets and genes, and the traces."""
-    h = hits.read_text(spark, a.hits)
+    h = hits.read(spark, a.hits)
     reads = cut(h["reads"])
     n, classes = reads.count(), cut(cl.equivalence_classes(reads))
     exposure = h["meta"].select("transcript", (F.col("effective_length") * (n * SCALE)).alias("l"))
@@ -62,17 +70,21 @@ def quantify(spark: SparkSession, a: argparse.Namespace) -> None:
     # sums and shares are over all members: those without reads have traces drawn from the prior
     every = cut(sm.with_prior(trace, abundance.prior_traces(exposure, 1024, a.alpha, a.beta, a.seed)))
     seen = trace.select("feature").distinct()
-    shares = sm.probit_moments(sm.proportions(every, genes)).join(seen, "feature", "left_semi").drop("gene")
+    parts = cut(sm.proportions(every, genes))
+    rank = F.array(*[sm.nearest_rank("values", x) for x in p])
+    shares = sm.probit_moments(parts).join(sm.arrays(parts, "feature").select("feature", rank.alias("percentiles_proportion")), "feature").drop("gene")
     full = sm.with_unseen(meta, sm.summarise(trace, p), n * SCALE, a.alpha, a.beta)
-    full = full.join(unique, "feature", "left").join(em, "feature", "left").join(shares, "feature", "left").withColumn("unique_hits", F.coalesce("unique_hits", F.lit(0)))
-    full = cut(full.withColumn("ntranscripts", F.lit(1)))
+    prior = sm.summarise(every.join(seen, "feature", "left_anti"), p).select("feature", F.col("percentiles").alias("_prior"))
+    full = full.join(prior, "feature", "left").withColumn("percentiles", F.coalesce("percentiles", "_prior")).drop("_prior").join(unique, "feature", "left").join(em, "feature", "left").join(shares, "feature", "left").withColumn("unique_hits", F.coalesce("unique_hits", F.lit(0)))
+    sizes = genes.select("feature", F.count(F.lit(1)).over(Window.partitionBy("gene")).cast("int").alias("ntranscripts"))
+    full = cut(full.join(sizes, "feature", "left"))
+    mapped = f" Mapped fragments: {n}"
     out = Path(a.out)
-    tables.write_table(full.orderBy("feature"), str(out / "features"))
+    tables.write_table(full.withColumnRenamed("feature", "feature_id").orderBy("feature_id"), str(out / "features"), mapped)
     for name, sets in (("genes", genes.select(F.col("gene").alias("set_id"), "feature")), ("identical", h["identical"].select(F.array_join("transcripts", "+").alias("set_id"), F.explode("transcripts").alias("feature")))):
         summary = sm.summarise(sm.set_traces(every, sets), p, "set_id")
         k = cl.contained_counts(classes, sets.withColumnRenamed("feature", "transcript"))
-        tables.write_table(sm.set_table(summary, sets, full, k, n * SCALE, a.alpha, a.beta, name == "identical").orderBy("feature_id"), str(out / name))
-    spark.createDataFrame([(f"# Mapped fragments: {n}",)], "value string").coalesce(1).write.mode("overwrite").text(str(out / "mapped"))
+        tables.write_table(sm.set_table(summary, sets, full, k, n * SCALE, a.alpha, a.beta, name == "identical").orderBy("feature_id"), str(out / name), mapped)
     tables.write_traces(trace, str(out / "trace"))
     if a.debug:
         debug(classes, reads, mu, out / "debug")
@@ -94,8 +106,8 @@ def collapse(spark: SparkSession, a: argparse.Namespace) -> None:
     runs = {f"{i}:{Path(r).name}": Path(r) for i, r in enumerate(a.runs)}
     samples, traces, classes = {}, [], []
     for (name, run), file in zip(runs.items(), a.hits):
-        h = hits.read_text(spark, file)
-        q = tables.read_quant(spark, str(run / "features"))
+        h = hits.read(spark, file)
+        q = tables.read_quant(spark, str(run / "features")).withColumnRenamed("feature_id", "feature")
         same = tables.read_quant(spark, str(run / "identical")).withColumnRenamed("feature_id", "feature")
         members = same.select("feature", F.explode(F.split("feature", "\\+")).alias("member"))
         part = lambda d, is_set: d.select("feature", "log_mu", "sd", "mcse", "iact", "effective_length", "unique_hits", F.lit(is_set).alias("is_set"), (F.col("observed") > 0).alias("observed"))
@@ -138,25 +150,34 @@ def polyclass(spark: SparkSession, a: argparse.Namespace) -> None:
     prior = a.model_prior or [1 / (len(a.tables) + 1)] * (len(a.tables) + 1)
     if len(prior) != len(a.tables) + 1 or abs(sum(prior) - 1) > 1e-8:
         raise SystemExit("give a prior for each model; they must add up to 1")
-    found = sm.polyclass(sm.bound_factors([tables.read_quant(spark, t).withColumn("bayes_factor", F.col("bayes_factor").cast("double")) for t in a.tables]), prior)
+    found = sm.polyclass(sm.bound_factors([tables.read_quant(spark, t).withColumnRenamed("feature_id", "feature").withColumn("bayes_factor", F.col("bayes_factor").cast("double")) for t in a.tables]), prior)
     columns = [F.get("probabilities", F.lit(i)).alias(f"postprob_model{i}") for i in range(len(prior))]
     tables.write_table(found.select("feature", *columns).orderBy("feature"), a.out)
 
 
 def compare(spark: SparkSession, a: argparse.Namespace) -> None:
     """Tables of several samples to Bayes factors."""
-    read = lambda f: tables.read_quant(spark, f)
+    def read(f: str) -> DataFrame:
+        d = tables.read_quant(spark, f)
+        return d.withColumns({"log_mu": F.col("mean_probit_proportion"), "sd": F.col("sd_probit_proportion")}) if a.useprops else d
+
     key = lambda d: d.withColumnRenamed("feature_id", "feature") if "feature_id" in d.columns else d
     names = [f"{i}:{Path(f).stem}" for i, f in enumerate(a.tables)]
     long: DataFrame = sm.collate({n: key(read(f)) for n, f in zip(names, a.tables)})
     if sm.incomplete(long, len(names)).limit(1).count():
         raise SystemExit("samples differ in their features")
+    if long.filter(F.col("y").isNull()).limit(1).count():
+        raise SystemExit("a table has NA")
+    if a.range:
+        long = sm.feature_range(long, *a.range, long.select("feature").distinct().count())
+    if a.useprops:  # features alone in their gene have no share to compare
+        long = sm.several_isoforms(long, names[0])
     share = a.share or sm.default_share(len(names))
     if not 1 / len(names) <= share <= 1:
         raise SystemExit("the share must be between 1 / samples and 1")
     if a.burnin % 1024 or a.iterations % 1024:
         raise SystemExit("burn-in and iterations must be multiples of 1024")
-    long = long if a.no_normalisation else sm.normalise_upper_median(long, share)
+    long = long if a.no_normalisation or a.useprops else sm.normalise_upper_median(long, share)
     long = sm.permuted(long, a.seed) if a.permute else long
     if a.matrices:
         m, c, p0, p1 = tables.parse_matrices(Path(a.matrices).read_text())
@@ -164,24 +185,75 @@ def compare(spark: SparkSession, a: argparse.Namespace) -> None:
     else:
         design = comparison.two_groups(*a.groups)
     got = comparison.compare(long, names, design, a.prior, a.pdash, a.d, a.s, a.burnin, a.iterations, 0 if a.no_tuning else comparison.MOST_BATCHES, a.fix_alpha, a.seed)
-    tables.write_table(got.orderBy("feature"), a.out)
+    tables.write_table(comparison_table(got, design, names, a.fix_alpha).orderBy("feature_id"), a.out, f"prior_probability={a.prior}")
+
+
+def comparison_table(got: DataFrame, design: comparison.Design, names: list[str], fix_alpha: bool) -> DataFrame:
+    """One column for each coefficient, and mu_ and sd_ of each sample: its name, with its number if several have it."""
+    plain = [n.split(":", 1)[1] for n in names]
+    label = plain if len(set(plain)) == len(plain) else names
+    each = lambda c, n, to: [F.get(c, F.lit(i)).alias(t) for i, t in zip(range(n), to)]
+    columns = ["feature", "bayes_factor", "posterior_probability"]
+    shown = [F.col("feature").alias("feature_id"), *columns[1:]]
+    for m in (0, 1):
+        shown += [] if fix_alpha else [f"alpha{m}"]
+        for c, n in ((f"beta{m}", design.m.shape[1] if np.any(design.m) else 0), (f"eta{m}", design.p[m].shape[1] if np.any(design.p[m]) else 0)):
+            shown += each(c, n, [f"{c}_{i}" for i in range(n)])
+    return got.select(*shown, *each("y", len(names), [f"mu_{x}" for x in label]), *each("e", len(names), [f"sd_{x}" for x in label]), "tuned")
 
 
 def inspect(spark: SparkSession, a: argparse.Namespace) -> None:
-    parts = hits.read_text(spark, a.hits)
+    parts = hits.read(spark, a.hits)
     for k, (first, n) in hits.inspect(parts if not a.header else {x: d for x, d in parts.items() if x != "reads"}).items():
         print(k, n, *first, sep="\n  ")
 
 
 def regroup(spark: SparkSession, a: argparse.Namespace) -> None:
-    h = hits.read_text(spark, a.hits)
+    h = hits.read(spark, a.hits)
     genes = h["genes"].select(F.explode("transcripts").alias("transcript"), "gene")
     hits.to_binary(cl.regroup(h["reads"], genes)).write.mode("overwrite").parquet(a.out)
 
 
 def offset(spark: SparkSession, a: argparse.Namespace) -> None:
     g = src.read_gtf(spark, a.gtf)
-    src.write_gtf(iv.offset_exons(g, src.read_vcf(spark, a.vcf)), a.out)
+    src.write_gtf(iv.offset_exons(g, src.read_vcf(spark, a.vcf)), a.out, src.comments(spark, a.gtf))
+
+
+def hits_to_text(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A hits file, of either form, to text."""
+    h = hits.read(spark, a.hits)
+    hits.write_text(h["reads"], h["meta"], h["genes"], h["identical"], a.out)
+
+
+def hits_to_binary(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A hits file, of either form, to one binary file."""
+    hits.write_binary(hits.read(spark, a.hits), a.out)
+
+
+def extract(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The spliced sequences of a GTF file's transcripts."""
+    t = sq.splice(src.chromosomes_of(src.read_fasta(spark, a.fasta)), src.read_gtf(spark, a.gtf))
+    src.write_fasta(t.select(F.concat("transcript_id", F.lit(" gene:"), "gene_id").alias("header"), "seq"), a.out)
+
+
+def haplotypes(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Sequences of both haplotypes from phased alleles."""
+    fasta = src.header_ids(src.read_fasta(spark, a.fasta), a.pattern)
+    exons = src.read_gff(spark, a.gff)
+    strands = exons.groupBy(F.col("transcript_id").alias("transcript")).agg(F.first("strand").alias("strand"))
+    sites = sq.variant_sites(src.read_positions(spark, a.positions), exons)
+    src.write_fasta(sq.haplotypes(fasta.join(strands, "transcript", "left"), sites, src.read_haplotypes(spark, a.alleles)), a.out)
+
+
+def filter_gtf(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The rows of a GTF file whose transcripts a FASTA file has."""
+    names = src.read_fasta(spark, a.fasta).select(F.regexp_extract("header", r"^(\S+)", 1).alias("transcript_id"))
+    src.write_gtf(iv.only_known(src.read_gtf(spark, a.gtf, None), names, "transcript_id"), a.out)
+
+
+def filter_fasta(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The entries of a FASTA file whose headers match a pattern, or do not."""
+    src.write_fasta(src.grep_entries(src.read_fasta(spark, a.fasta), a.pattern, a.invert), a.out)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -226,11 +298,18 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(f"--{name}", type=float, default=value)
     for name, value in (("burnin", 8192), ("iterations", 16384), ("seed", 1)):
         c.add_argument(f"--{name}", type=int, default=value)
-    for name in ("no-normalisation", "permute", "no-tuning", "fix-alpha"):
+    c.add_argument("--range", type=int, nargs=2, metavar=("START", "END"))
+    for name in ("no-normalisation", "permute", "no-tuning", "fix-alpha", "useprops"):
         c.add_argument(f"--{name}", action="store_true")
     command(inspect, "hits").add_argument("--header", action="store_true")
     command(regroup, "hits", "out")
     command(offset, "gtf", "vcf", "out")
+    command(hits_to_text, "hits", "out")
+    command(hits_to_binary, "hits", "out")
+    command(extract, "gtf", "fasta", "out")
+    command(haplotypes, "fasta", "gff", "positions", "alleles", "out").add_argument("--pattern", default=src.HEADER)
+    command(filter_gtf, "fasta", "gtf", "out")
+    command(filter_fasta, "fasta", "pattern", "out").add_argument("--invert", action="store_true")
     return p
 
 

@@ -279,7 +279,7 @@ class Sampler:
 
 SCHEMA = (
     "feature string, bayes_factor double, posterior_probability double, alpha0 double, beta0 array<double>, eta0 array<double>, "
-    "alpha1 double, beta1 array<double>, eta1 array<double>, tuned boolean"
+    "alpha1 double, beta1 array<double>, eta1 array<double>, tuned boolean, y array<double>, e array<double>"
 )
 
 
@@ -290,7 +290,8 @@ def compare(
     """Bayes factors of model 1 against 0.  long: feature, sample, y, e; features that lack a sample are an error.
 
     Tuning goes on until all features of a batch are tuned, or for tune_batches; `tuned` is
-    false for features whose odds were not reached by then (all, without tuning).
+    false for features whose odds were not reached by then (all, without tuning); y and e
+    are what was compared, by sample.
     One shuffle gathers a feature's samples; batches of features are independent after it.
     """
     wrong = check(design)
@@ -320,7 +321,7 @@ def compare(
                         "feature": part["feature"].to_numpy(), "bayes_factor": bf, "posterior_probability": pp,
                         "alpha0": got["alpha0"][:, 0], "beta0": list(got["beta0"]), "eta0": list(got["eta0"]),
                         "alpha1": got["alpha1"][:, 0], "beta1": list(got["beta1"]), "eta1": list(got["eta1"]),
-                        "tuned": tuned,
+                        "tuned": tuned, "y": part["y"].to_numpy(), "e": part["e"].to_numpy(),
                     }
                 )
 

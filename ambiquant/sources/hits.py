@@ -1,24 +1,32 @@
 """Hits files: reads and the features that each may come from, as text or binary.
 
 Text: lines @TranscriptMetaData, @GeneIsoforms and @IdenticalTranscripts, then a line
->read and a line for each feature.  Binary: a zlib stream of the magic line, a schema
-number, dictionaries of names and, for each read, its delta-coded name and feature
-numbers.  The binary body here is our own layout of those parts: it round-trips, and
-a file in it can be told from text by its first bytes.
+>read and a line for each feature.  Binary: one zlib stream (or the same bytes as they
+are) of a first line that names the format, a schema number, the same three sections, and
+each read's name and numbers of features.  Numbers are 32-bit little-endian; names end
+with a newline; a read's name that begins or ends like the one before is an empty line, the
+length of the common beginning, the letters between, and the length of the common end.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAGIC = b"AMBIQUANT_HITS\n"
+#: The first line of the files written here; readers go by the schema number, whatever it says.
+MAGIC = "AMBIQUANT_HITS"
+#: Fixed values of the binary layout: its schema number, and the byte before a length of 255 or more.
+SCHEMA, LONG = 1, 255
 READS = "read string, transcripts array<string>"
+#: Rows of the three sections of a header.
+HEADER = "section string, name string, effective_length double, true_length int, transcripts array<string>"
+STEP = 1 << 16
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
@@ -61,58 +69,143 @@ def write_text(reads: DataFrame, meta: DataFrame, genes: DataFrame, identical: D
     head.union(body).write.mode("overwrite").text(path)
 
 
-def shared_prefix(a: str, b: str) -> int:
+def shared_prefix(a: bytes, b: bytes) -> int:
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
         n += 1
     return n
 
 
-def pack(reads: list[tuple[str, list[str]]]) -> bytes:
-    """A binary body: dictionary of features, delta-coded reads, zlib at its fastest."""
-    names = sorted({t for _, ts in reads for t in ts})
-    number = {t: i for i, t in enumerate(names)}
-    out = [MAGIC, struct.pack("<II", 1, len(names)), "\n".join([*names, ""]).encode(), struct.pack("<I", len(reads))]
-    before = ""
-    for read, ts in reads:
-        head = shared_prefix(before, read)
-        tail = shared_prefix(before[head:][::-1], read[head:][::-1])
-        middle = read[head : len(read) - tail].encode()
-        out.append(struct.pack(f"<IIII{len(ts)}I", head, tail, len(middle), len(ts), *[number[t] for t in ts]) + middle)
-        before = read
-    return zlib.compress(b"".join(out), 1)
-
-
-def unpack(body: bytes) -> list[tuple[str, list[str]]]:
-    raw = zlib.decompress(body) if body[:1] == b"\x78" else body
-    if not raw.startswith(MAGIC):
+def _u32(*numbers: int) -> bytes:
+    return struct.pack(f"<{len(numbers)}I", *numbers)
+
+
+def _line(name: str) -> bytes:
+    if "\n" in name or not name:
+        raise ValueError(f"no name for a hits file: {name!r}")
+    return name.encode() + b"\n"
+
+
+def _length(n: int) -> bytes:
+    return bytes([n]) if n < LONG else bytes([LONG]) + _u32(n)
+
+
+def header_bytes(meta: Sequence[tuple], genes: Sequence[tuple], identical: Sequence[Sequence[str]], magic: str = MAGIC) -> bytes:
+    """Everything before the reads.  meta: name, effective length, true length; genes: name, members."""
+    out = [_line(magic), _u32(SCHEMA, len(meta))]
+    for name, effective, true in meta:
+        out += [_line(name), _line(repr(float(effective or 0))), _u32(int(true or 0))]
+    out.append(_u32(len(genes)))
+    for gene, members in genes:
+        out += [_line(gene), _u32(len(members)), *map(_line, members)]
+    out.append(_u32(len(identical)))
+    for members in identical:
+        out += [_u32(len(members)), *map(_line, members)]
+    return b"".join(out)
+
+
+def read_bytes(reads: Iterable[tuple[str, Sequence[str]]], number: dict[str, int]) -> Iterator[bytes]:
+    """The records of reads, in their order; number: the place of each feature in the header."""
+    before = b""
+    for read, members in reads:
+        name = _line(read)[:-1]
+        head = shared_prefix(before, name)
+        tail = shared_prefix(before[head:][::-1], name[head:][::-1])
+        short = b"\n" + _length(head) + name[head : len(name) - tail] + b"\n" + _length(tail)
+        yield (short if head or tail else name + b"\n") + _u32(len(members), *[number[t] for t in members])
+        before = name
+
+
+def pack(reads: list[tuple[str, list[str]]], meta: Sequence[tuple] | None = None, genes: Sequence[tuple] = (), identical: Sequence[Sequence[str]] = (), magic: str = MAGIC) -> bytes:
+    """A binary file; without meta its header has the features of the reads, with lengths 0."""
+    meta = [(t, 0.0, 0) for t in sorted({t for _, ts in reads for t in ts})] if meta is None else meta
+    number = {m[0]: i for i, m in enumerate(meta)}
+    return zlib.compress(header_bytes(meta, genes, identical, magic) + b"".join(read_bytes(reads, number)), 1)
+
+
+class _Body:
+    """The bytes of a binary file, unpacked as they are asked for."""
+
+    def __init__(self, packed: bytes) -> None:
+        self.packed, self.at, self.ready, self.place = packed, 0, b"", 0
+        self.inflate = zlib.decompressobj() if packed[:1] == b"\x78" else None
+
+    def _more(self) -> bool:
+        piece = self.packed[self.at : self.at + STEP]
+        self.at += len(piece)
+        if not piece:
+            if self.inflate and not self.inflate.eof:
+                raise ValueError("the hits file is cut off")
+            return False
+        self.ready, self.place = self.ready[self.place :] + (self.inflate.decompress(piece) if self.inflate else piece), 0
+        return True
+
+    def done(self) -> bool:
+        while self.place == len(self.ready):
+            if not self._more():
+                return True
+        return False
+
+    def line(self) -> bytes:
+        while (end := self.ready.find(b"\n", self.place)) < 0:
+            if not self._more():
+                raise ValueError("the hits file is cut off")
+        found, self.place = self.ready[self.place : end], end + 1
+        return found
+
+    def take(self, n: int) -> bytes:
+        while len(self.ready) - self.place < n:
+            if not self._more():
+                raise ValueError("the hits file is cut off")
+        self.place += n
+        return self.ready[self.place - n : self.place]
+
+    def numbers(self, n: int) -> tuple[int, ...]:
+        return struct.unpack(f"<{n}I", self.take(4 * n))
+
+    def number(self) -> int:
+        return self.numbers(1)[0]
+
+    def length(self) -> int:
+        n = self.take(1)[0]
+        return self.number() if n == LONG else n
+
+    def names(self, n: int) -> list[str]:
+        return [self.line().decode() for _ in range(n)]
+
+
+def _header(b: _Body) -> dict[str, list]:
+    b.line()
+    if b.number() != SCHEMA:
         raise ValueError("not a binary hits file")
-    at = len(MAGIC)
-    schema, count = struct.unpack_from("<II", raw, at)
-    if schema != 1:
-        raise ValueError(f"unknown schema {schema}")
-    at += 8
-    names = []
-    for _ in range(count):
-        end = raw.index(b"\n", at)
-        names.append(raw[at:end].decode())
-        at = end + 1
-    (n,) = struct.unpack_from("<I", raw, at)
-    at += 4
-    out, before = [], ""
-    for _ in range(n):
-        head, tail, size, k = struct.unpack_from("<IIII", raw, at)
-        ids = struct.unpack_from(f"<{k}I", raw, at + 16)
-        at += 16 + 4 * k
-        read = before[:head] + raw[at : at + size].decode() + (before[len(before) - tail :] if tail else "")
-        at += size
-        out.append((read, [names[i] for i in ids]))
-        before = read
-    return out
+    return {
+        "meta": [(b.line().decode(), float(b.line()), b.number()) for _ in range(b.number())],
+        "genes": [(b.line().decode(), b.names(b.number())) for _ in range(b.number())],
+        "identical": [b.names(b.number()) for _ in range(b.number())],
+    }
+
+
+def unpack_header(packed: bytes) -> dict[str, list]:
+    """meta, genes and identical of a binary file."""
+    return _header(_Body(packed))
+
+
+def unpack(packed: bytes) -> Iterator[tuple[str, list[str]]]:
+    """The reads of a binary file, one after the other."""
+    b = _Body(packed)
+    names = [m[0] for m in _header(b)["meta"]]
+    before = b""
+    while not b.done():
+        name = b.line()
+        if not name:
+            head, middle, tail = b.length(), b.line(), b.length()
+            name = before[:head] + middle + before[len(before) - tail :]
+        yield name.decode(), [names[i] for i in b.numbers(b.number())]
+        before = name
 
 
 def to_binary(reads: DataFrame) -> DataFrame:
-    """A binary body for each partition of reads, sorted by name so that deltas are short."""
+    """A binary file in each row, one for each batch of a partition, by name so that names are short."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -122,18 +215,69 @@ def to_binary(reads: DataFrame) -> DataFrame:
     return reads.select("read", "transcripts").sortWithinPartitions("read").mapInPandas(run, "body binary")
 
 
-def from_binary(bodies: DataFrame) -> DataFrame:
-    """Reads of binary bodies (a column body, or content of Spark's binaryFile source)."""
+def from_binary(bodies: DataFrame, batch: int = 10_000) -> DataFrame:
+    """Reads of binary files (a column body, or content of Spark's binaryFile source)."""
     column = "body" if "body" in bodies.columns else "content"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for body in b[column]:
-                yield pd.DataFrame(unpack(body), columns=["read", "transcripts"])
+            for packed in b[column]:
+                found = unpack(packed)
+                while part := [r for _, r in zip(range(batch), found)]:
+                    yield pd.DataFrame(part, columns=["read", "transcripts"])
 
     return bodies.select(column).mapInPandas(run, READS)
 
 
+def read_binary(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of binary files, as read_text gives them.
+
+    A file is one stream and so one task, and, as Spark reads it whole, at most 2 GB as
+    packed; larger inputs come as several files, or as Parquet.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for packed in b["content"]:
+                h = unpack_header(packed)
+                rows = [("meta", *m, None) for m in h["meta"]] + [("genes", g, None, None, ts) for g, ts in h["genes"]]
+                rows += [("identical", None, None, None, ts) for ts in h["identical"]]
+                yield pd.DataFrame(rows, columns=["section", "name", "effective_length", "true_length", "transcripts"]).astype({"true_length": "Int32"})
+
+    head = files.mapInPandas(run, HEADER).distinct()  # files of one run repeat their header
+    part = lambda section: head.filter(F.col("section") == section)
+    return {
+        "meta": part("meta").select(F.col("name").alias("transcript"), "effective_length", "true_length"),
+        "genes": part("genes").select(F.col("name").alias("gene"), "transcripts"),
+        "identical": part("identical").select("transcripts"),
+        "reads": from_binary(files).filter(F.size("transcripts") > 0),
+    }
+
+
+def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of a hits file, text or binary, as its first line tells."""
+    first = spark.read.text(path).limit(1).first()
+    return read_text(spark, path) if first is None or first[0][:1] in ("@", ">") else read_binary(spark, path)
+
+
+def write_binary(parts: dict[str, DataFrame], path: str, magic: str = MAGIC) -> None:
+    """One binary file, on the driver's disk.
+
+    The layout is one stream whose numbers go by its header, so the driver writes it in
+    order: it holds the header (the annotation's features) and a partition of reads at a time.
+    """
+    meta = [tuple(r) for r in parts["meta"].select("transcript", "effective_length", "true_length").orderBy("transcript").collect()]
+    genes = [tuple(r) for r in parts["genes"].select("gene", "transcripts").orderBy("gene").collect()]
+    identical = [r[0] for r in parts["identical"].select("transcripts").collect()]
+    stream, number = zlib.compressobj(1), {m[0]: i for i, m in enumerate(meta)}
+    with Path(path).open("wb") as f:
+        f.write(stream.compress(header_bytes(meta, genes, identical, magic)))
+        for record in read_bytes(parts["reads"].select("read", "transcripts").toLocalIterator(), number):
+            f.write(stream.compress(record))
+        f.write(stream.flush())
+
+
 def inspect(parts: dict[str, DataFrame], first: int = 3) -> dict[str, tuple[list, int]]:
     """The first rows and the number of rows of each part."""
     return {k: (d.limit(first).collect(), d.count()) for k, d in parts.items()}

@@ -67,11 +67,25 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sam_references(spark: SparkSession, path: str) -> DataFrame:
-    """Names of the @SQ header lines, and the sort order of @HD."""
+    """Names of the @SQ header lines."""
     head = spark.read.text(path).filter(F.col("value").startswith("@SQ"))
     return head.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("rname"))
 
 
+def sort_order(spark: SparkSession, path: str) -> str | None:
+    """The sort order that the @HD line names."""
+    head = spark.read.text(path).filter(F.col("value").startswith("@HD") & F.col("value").contains("\tSO:")).first()
+    return head[0].split("\tSO:")[1].split("\t")[0] if head else None
+
+
+def chromosomes_of(fasta: DataFrame) -> DataFrame:
+    """chrom, seq, first, last (1-based): the first word of a header, and the range that chromosome:...:first:last names."""
+    place = F.split(F.regexp_extract("header", r"(?:^|\s)(\S*chromosome:\S*)", 1), ":")
+    bound = lambda i: F.get(place, F.lit(i)).cast("int")
+    name = F.regexp_extract("header", r"^(\S*)", 1)
+    return fasta.select(name.alias("chrom"), "seq", F.coalesce(bound(3), F.lit(1)).alias("first"), F.coalesce(bound(4), F.length("seq")).alias("last"))
+
+
 def unknown_references(names: DataFrame, features: DataFrame) -> DataFrame:
     """References that no feature has; a run must have none."""
     return names.join(features.select(F.col("transcript").alias("rname")), "rname", "left_anti")
@@ -84,9 +98,31 @@ def read_gtf(spark: SparkSession, path: str, feature: str | None = "exon") -> Da
     return g.withColumns({k: F.regexp_extract("attributes", rf'{k} "([^"]*)"', 1) for k in ("transcript_id", "gene_id")})
 
 
-def write_gtf(df: DataFrame, path: str) -> None:
+def comments(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that begin with #."""
+    return spark.read.text(path).filter(F.col("value").startswith("#"))
+
+
+def write_gtf(df: DataFrame, path: str, head: DataFrame | None = None) -> None:
+    """Rows as lines, after those of head, if any."""
     names = [x.split()[0] for x in GTF.split(", ")]
-    df.select(F.concat_ws("\t", *[F.col(n).cast("string") for n in names]).alias("value")).write.mode("overwrite").text(path)
+    lines = df.select(F.concat_ws("\t", *[F.col(n).cast("string") for n in names]).alias("value"))
+    (head.coalesce(1).union(lines) if head is not None else lines).write.mode("overwrite").text(path)
+
+
+def read_gff(spark: SparkSession, path: str) -> DataFrame:
+    """transcript_id, strand, start, end of exons: a line mRNA and the lines exon that follow it at once.
+
+    Records are split at mRNA, so that each has its exons, wherever Spark cuts the file.
+    """
+    lines = F.split("value", "\n")
+    raw = spark.read.option("lineSep", "\tmRNA\t").text(path).filter(F.col("value").rlike(r"^\d+\t\d+\t[^\t\n]*\t[-+.?]\t"))
+    r = raw.select(F.regexp_extract(lines[0], r"ID=([^;\r]*)", 1).alias("transcript_id"), F.split(lines[0], "\t")[3].alias("strand"), F.slice(lines, F.lit(2), F.size(lines)).alias("l"))
+    kind = F.transform("l", lambda x: F.coalesce(F.get(F.split(x, "\t"), F.lit(2)) == "exon", F.lit(False)))
+    other = F.array_position(kind, F.lit(False))
+    own = F.slice("l", F.lit(1), F.when(other > 0, other - 1).otherwise(F.size("l")).cast("int"))
+    e = r.select("transcript_id", "strand", F.explode(own).alias("x")).withColumn("x", F.split("x", "\t"))
+    return e.select("transcript_id", "strand", F.col("x")[3].cast("int").alias("start"), F.col("x")[4].cast("int").alias("end"))
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:

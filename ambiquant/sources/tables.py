@@ -35,13 +35,15 @@ def mapped_fragments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.col("value").startswith("# Mapped fragments")).select(F.regexp_extract("value", r"(\d+)\s*$", 1).cast("bigint").alias("n_mapped"))
 
 
-def write_table(df: DataFrame, path: str, lists: tuple[str, ...] = ()) -> None:
-    """Tab-separated rows with a header; nulls as NA, arrays as comma lists."""
+def write_table(df: DataFrame, path: str, comment: str = "") -> None:
+    """Tab-separated rows with a header; nulls as NA, arrays as comma lists; a comment is a part file of its own."""
     shown = [
         F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("NA"))), ",").alias(c) if isinstance(df.schema[c].dataType, T.ArrayType) else F.col(c)
         for c in df.columns
     ]
     df.select(*shown).write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="NA")
+    if comment:
+        df.sparkSession.createDataFrame([(f"#{comment}",)], "value string").coalesce(1).write.mode("append").text(path)
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
@@ -59,15 +61,21 @@ def write_traces(trace: DataFrame, path: str) -> None:
     (trace.write.mode("overwrite").partitionBy("sample") if "sample" in trace.columns else trace.write.mode("overwrite")).parquet(path)
 
 
-def read_incidence(spark: SparkSession, path: str) -> DataFrame:
-    """class, feature pairs by row and column number of an incidence list."""
-    raw = spark.read.csv(path, sep="\t", comment="#", schema="class_id bigint, feature_no bigint")
-    return raw
-
-
-def incidence_names(spark: SparkSession, path: str) -> DataFrame:
-    head = spark.read.text(path).filter(F.col("value").startswith("#"))
-    return head.select(F.posexplode(F.filter(F.split(F.regexp_replace("value", "^#", ""), r"\s+"), lambda x: x != "")).alias("feature_no", "feature"))
+def read_incidence(spark: SparkSession, incidence: str, counts: str | None = None) -> DataFrame:
+    """class_id, feature and, with a file of counts, k, from an incidence list.
+
+    The list has a line # with the names of features and lines of class and feature numbers; the
+    file of counts has a number for each class, in order.
+    """
+    cells = F.filter(F.split(F.regexp_replace("value", "^#", ""), r"\s+"), lambda x: x != "")
+    raw = spark.read.text(incidence).withColumn("_c", cells)
+    named = raw.filter(F.col("value").startswith("#")).select(F.posexplode("_c").alias("feature_no", "feature"))
+    pairs = raw.filter(~F.col("value").startswith("#") & (F.size("_c") == 2)).select(F.col("_c")[0].cast("bigint").alias("class_id"), F.col("_c")[1].cast("int").alias("feature_no"))
+    found = pairs.distinct().join(named, "feature_no").select("class_id", "feature")
+    if counts is None:
+        return found
+    k = spark.read.text(counts, wholetext=True).select(F.posexplode(cells).alias("class_id", "k")).select(F.col("class_id").cast("bigint").alias("class_id"), F.col("k").cast("bigint").alias("k"))
+    return found.join(k, "class_id").select("class_id", "feature", "k")
 
 
 def parse_matrices(text: str) -> list[np.ndarray]:

@@ -1,3 +1,5 @@
+import pytest
+
 from ambiquant.sources import hits, tables
 from ambiquant.sources import sequences as src
 
@@ -18,6 +20,7 @@ def test_sam_gtf_vcf(spark, tmp_path):
     (tmp_path / "a.sam").write_text("@HD\tVN:1.0\n@SQ\tSN:t1\tLN:9\nr1\t99\tt1\t5\t9\t*\t=\t20\t-120\tACGT\t*\tNM:i:2\n")
     a = src.read_sam(spark, str(tmp_path / "a.sam")).first()
     assert (a["isize"], a["nm"], a["mpos"], a["read_length"]) == (120, 2, 20, 4)
+    assert src.sort_order(spark, str(tmp_path / "a.sam")) is None
     assert src.sam_references(spark, str(tmp_path / "a.sam")).first()[0] == "t1"
     (tmp_path / "a.gtf").write_text('#c\n1\ts\texon\t100\t200\t.\t+\t.\tgene_id "g"; transcript_id "t";\n1\ts\tCDS\t1\t2\t.\t+\t.\tx\n')
     g = src.read_gtf(spark, str(tmp_path / "a.gtf")).collect()
@@ -37,7 +40,16 @@ def test_hits_text_and_binary(spark, tmp_path):
     assert sorted((r[0], list(r[1])) for r in back["reads"].collect()) == READS
     assert tuple(back["meta"].first()) == ("tA", 100.5, 200)
     assert list(back["genes"].first()[1]) == ["tA", "tB"] and list(back["identical"].first()[0]) == ["tA", "tB"]
-    assert hits.unpack(hits.pack(READS)) == READS
+    assert list(hits.unpack(hits.pack(READS))) == READS
+    # the layout byte by byte, as it is published
+    u = lambda *n: b"".join(x.to_bytes(4, "little") for x in n)
+    body = b"ANY NAME\n" + u(1, 2) + b"tA\n100.500000\n" + u(200) + b"tB\n2\n" + u(9) + u(1) + b"g\n" + u(2) + b"tA\ntB\n" + u(0)
+    body += b"read1\n" + u(2, 0, 1) + b"\n\x04" + b"2\n\x00" + u(1, 1) + b"other\n" + u(0)
+    assert hits.unpack_header(body) == {"meta": [("tA", 100.5, 200), ("tB", 2.0, 9)], "genes": [("g", ["tA", "tB"])], "identical": []}
+    assert list(hits.unpack(body)) == [("read1", ["tA", "tB"]), ("read2", ["tB"]), ("other", [])]
+    for bad in (hits.pack(READS)[:-9], body[:-2], b"z\n" + u(7)):
+        with pytest.raises(ValueError):
+            list(hits.unpack(bad))
     assert sorted((r[0], list(r[1])) for r in hits.from_binary(hits.to_binary(reads)).collect()) == READS
 
 
@@ -49,6 +61,9 @@ def test_tables(spark, tmp_path):
     assert tables.mapped_fragments(spark, str(tmp_path / "q.tsv")).first()[0] == 123
     (tmp_path / "t.txt").write_text("a b\n1 2\n3 4\n")
     assert sorted(tuple(r) for r in tables.read_trace(spark, str(tmp_path / "t.txt")).collect()) == [("a", 0, 1.0), ("a", 1, 3.0), ("b", 0, 2.0), ("b", 1, 4.0)]
+    (tmp_path / "x.M").write_text("#\ta\tb\n0 0\n0 1\n1 1\n1 1\n")
+    (tmp_path / "x.k").write_text("5\n7\n")
+    assert sorted(tuple(r) for r in tables.read_incidence(spark, str(tmp_path / "x.M"), str(tmp_path / "x.k")).collect()) == [(0, "a", 5), (0, "b", 5), (1, "b", 7)]
     m = tables.parse_matrices("# M\n0\n0\n\n# C\n0 0\n0 1\n")
     assert [x.shape for x in m] == [(2, 1), (2, 2)]
     meta = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "transcript string, effective_length double")
