@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambiquant.llm import bpe, chat, jaccard_join, licenses, mixing, quality, suffix_dedup, token_counts, topk, toxicity
-from ambiquant.llm.sql import CHAT_SQL, JACCARD_SQL, MIX_SQL, QUALITY_SQL, SUFFIX_SQL, TOPK_SQL, license_sql
+from ambiquant.llm import bpe, chat, jaccard_join, licenses, mixing, periodic_runs, quality, suffix_dedup, supermers, token_counts, topk, toxicity
+from ambiquant.llm.sql import CHAT_SQL, JACCARD_SQL, MIX_SQL, QUALITY_SQL, RUNS_SQL, SUFFIX_SQL, TOPK_SQL, WINDOWS_SQL, license_sql
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,12 +72,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.with_periodic_tails(_read(spark, sf_dir, "documents")))
+
+
+def op12_supermers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supermers.digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_quality, op5_mix, op6_toxicity, op7_jaccard_join, op8_topk, op9_chat, op10_licenses)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_bpe, op4_quality, op5_mix, op6_toxicity, op7_jaccard_join, op8_topk, op9_chat, op10_licenses, op11_periodic_runs, op12_supermers)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": SUFFIX_SQL, "op4_quality": QUALITY_SQL, "op5_mix": MIX_SQL, "op7_jaccard_join": JACCARD_SQL, "op8_topk": TOPK_SQL, "op9_chat": CHAT_SQL,
-        "op10_licenses": license_sql(licenses.TEMPLATES | licenses.FULL_TEXTS),
+        "op10_licenses": license_sql(licenses.TEMPLATES | licenses.FULL_TEXTS), "op11_periodic_runs": RUNS_SQL, "op12_supermers": WINDOWS_SQL,
     }

@@ -158,3 +158,47 @@ w AS (SELECT * FROM hit UNION ALL SELECT r, doc_id, name, span, block - 1, g FRO
 c AS (SELECT r, doc_id, name, block, count(DISTINCT g) / CAST(any_value(n) AS DOUBLE) AS share FROM w JOIN n USING (name) GROUP BY r, doc_id, name, block)
 SELECT doc_id, name AS license, max(share) AS containment, count(*) AS n_windows FROM c WHERE share >= 0.75 GROUP BY r, doc_id, name
 """
+
+WINDOWS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, doc_id, i, ws[i] AS w FROM d, unnest(range(1, len(ws) + 1)) AS u(i)),
+g AS (
+  SELECT r, doc_id, i, w, CASE WHEN doc_id IS NOT NULL AND count(*) OVER s = 20 THEN string_agg(w, ' ') OVER s END AS g
+  FROM w WINDOW s AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+later AS (SELECT r, i, w, g IS NOT NULL AND rank() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS gone FROM g),
+kept AS (SELECT r, i, w, bool_or(gone) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM later),
+n AS (SELECT r, count_if(gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM kept GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (r)
+"""
+
+#: A run of period q repeats its words at distance q over half of its length, so over 6 words or more.
+RUNS_SQL = r"""
+WITH h0 AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))) AS bytes
+  FROM documents),
+h1 AS (
+  SELECT r, doc_id, ws, CAST(len(ws) AS BIGINT) AS n,
+         xor(4294967295, list_reduce(bytes, lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) AS h
+  FROM h0),
+h2 AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h1),
+d AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM h2),
+w AS (SELECT r, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS w FROM d, unnest(range(n)) AS u(i)),
+g AS (
+  SELECT r, i, CASE WHEN count(*) OVER s = 6 THEN string_agg(w, ' ') OVER s END AS g
+  FROM w WINDOW s AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM g AS x JOIN g AS y ON x.r = y.r AND x.g = y.g AND x.i < y.i),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pairs),
+stretches AS (SELECT r, q, min(i) AS s, count(*) + 5 + q AS n FROM islands GROUP BY r, q, k HAVING count(*) + 5 + q >= greatest(12, 2 * q)),
+runs AS (SELECT r, s, n, min(q) AS q FROM stretches GROUP BY r, s, n),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY r),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n DESC, s, q) AS k FROM runs) WHERE k = 1),
+gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(s + q, s + n)) AS u(i)),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, d.n AS n_words, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.n AS BIGINT) AS length,
+       CAST(best.q AS BIGINT) AS period, CAST(1000 * best.n // best.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""

@@ -140,3 +140,36 @@ def mix(rows, seed=17):
             rest -= part
             taken[k] = epochs * size[k] + part
     return size, taken
+
+
+def window_removals(rows, window=20):
+    """Per row (doc_id, text): doc_id, words, removed words, digest of the others."""
+    said, first = [(i, WORD.findall(t or "")) for i, t in rows], {}
+    for i, w in said:
+        if i is not None:
+            for p in range(len(w) - window + 1):
+                key = tuple(w[p : p + window])
+                first[key] = min((i, p), first.get(key, (i, p)))
+    out = []
+    for i, w in said:
+        gone = [False] * len(w)
+        for p in range(len(w) - window + 1 if i is not None else 0):
+            if first[tuple(w[p : p + window])] < (i, p):
+                gone[p : p + window] = [True] * window
+        out.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    return out
+
+
+def periodic_runs(w, least=12):
+    """(start, length, period) of all runs of a list, by start and period."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(least, 2 * q):
+                found.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
