@@ -58,6 +58,28 @@ def identical_sets(features: DataFrame, text: str = "seq", name: str = "transcri
     return g.filter(F.size("members") > 1).select("members")
 
 
+#: Sequences that are met by a broadcast: those of more than one in SHARES features, so at most SHARES of them.
+SHARES = 1000
+
+
+def identical_firsts(features: DataFrame, text: str = "seq", name: str = "transcript") -> DataFrame:
+    """Adds identical_to, the first by name of the features with the same sequence (the same SHA-256 and length), and n_identical, how many there are.
+
+    No set is gathered.  Sequences of more than one in SHARES features are broadcast; the
+    features that have them are then dealt by name.  A null sequence is like no other.
+    """
+    keyed = features.withColumn("_h", F.when(F.col(text).isNotNull(), F.concat(F.sha2(text, 256), F.length(text).cast("string"))))
+    sets = keyed.filter("_h IS NOT NULL").groupBy("_h").agg(F.min(name).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    bound = F.lit(features.count() / SHARES)
+    hot = sets.filter(F.col("_n") > bound).select(F.col("_h").alias("_hot"), F.col("_first").alias("_first_hot"), F.col("_n").alias("_n_hot"))
+    d = keyed.join(F.broadcast(hot), F.col("_h") == F.col("_hot"), "left")
+    d = d.withColumn("_key", F.when(F.col("_h").isNull() | F.col("_hot").isNotNull(), F.concat(F.lit("-"), F.coalesce(F.col(name).cast("string"), F.lit("")))).otherwise(F.col("_h")))
+    rest = sets.filter(F.col("_n") <= bound).withColumnRenamed("_h", "_key")
+    d = d.join(rest, "_key", "left").withColumn("n_identical", F.coalesce("_n_hot", "_n", F.lit(1)).cast("bigint"))
+    first = F.when(F.col("n_identical") > 1, F.coalesce("_first_hot", "_first")).otherwise(F.col(name))
+    return d.withColumn("identical_to", first).drop("_h", "_key", "_hot", "_first", "_n", "_first_hot", "_n_hot")
+
+
 def duplicate_rows(classes: DataFrame) -> DataFrame:
     """first, transcript: features that are in just the classes of another, and the first by name of their like.
 
