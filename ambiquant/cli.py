@@ -121,16 +121,19 @@ def collapse(spark: SparkSession, a: argparse.Namespace) -> None:
     candidates = cut(cp.candidates(samples))
     # a set lies in the component of its members
     label = cl.components(reduce(DataFrame.unionByName, classes).select("class_id", "members", "k"), cut)
-    blocks = candidates.select("feature", F.split("feature", "\\+")[0].alias("transcript")).join(label, "transcript").select("feature", F.col("component").alias("block"))
+    groups = cut(candidates.select("feature", F.split("feature", "\\+")[0].alias("transcript")).join(label, "transcript").select("feature", "component"))
     trace = cut(reduce(DataFrame.unionByName, traces))
-    known = cut(trace.join(blocks, "feature"))
-    pairs = cut(cp.covariances(known))
+    known = cut(trace.join(groups.select("feature"), "feature"))
+    # a set shares the reads of its members
+    singles = candidates.select("feature", F.explode(F.split("feature", "\\+")).alias("transcript"))
+    own = reduce(DataFrame.unionByName, [cl.incidence(c).select("class_id", "transcript") for c in classes]).join(singles, "transcript")
+    pairs = cut(cp.covariances(known, cp.sharing(own.select("class_id", "feature")), groups))
     bound = a.bound
     if bound is None:
         found = cp.threshold(cp.mean_correlations(pairs), a.percent).first()
-        bound = -1.0 if found is None or found[0] is None else found[0]
+        bound = -1.0 if found is None or found[0] is None else min(0.0, found[0])
     variances = known.groupBy("sample", "feature").agg(F.var_samp("value").alias("var"))
-    merged = cut(cp.collapse(pairs.select("sample", "a", "b", "cov"), variances, blocks, bound).filter(F.size("members") > 1).select("members"))
+    merged = cut(cp.collapse(pairs.select("sample", "a", "b", "cov"), variances, groups, bound).filter(F.size("members") > 1).select("members"))
     names = merged.select(F.array_join("members", "*").alias("set_id"), F.explode("members").alias("feature"))
     gone = names.select("feature")
     # the features that a merged set of identical ones stands for go with it, and it may stand for no others

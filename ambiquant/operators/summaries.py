@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ambiquant.functions.statistics import digamma, inverse_normal, sokal_udf, trigamma
+from ambiquant.operators.selection import nth, with_rank
 
 
 def arrays(trace: DataFrame, *keys: str) -> DataFrame:
@@ -170,9 +171,7 @@ def _usable(long: DataFrame, share: float) -> DataFrame:
 def normalise_upper_median(long: DataFrame, share: float, least: int = 100) -> DataFrame:
     """y less the sample's upper median of (y - mean over samples), over usable features; unchanged if too few."""
     d = long.join(_usable(long, share), "feature").withColumn("d", F.col("y") - F.avg("y").over(Window.partitionBy("feature")))
-    # ranks by a sample's quantile of rank n / 2: one row a sample leaves the aggregation
-    med = d.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("d")).alias("ds"))
-    med = med.select("sample", F.when(F.col("n") >= least, F.get("ds", F.floor(F.col("n") / 2).cast("int"))).otherwise(0.0).alias("shift"))
+    med = nth(d, ["sample"], "d", lambda n: F.floor(n / 2)).select("sample", F.when(F.col("n") >= least, F.col("nth")).otherwise(0.0).alias("shift"))  # one row a sample
     return long.join(F.broadcast(med), "sample").withColumn("y", F.col("y") - F.col("shift")).drop("shift")
 
 
@@ -180,7 +179,8 @@ def normalise_median(long: DataFrame, share: float) -> DataFrame:
     """y less the sample's median (middle two averaged) of finite deviations."""
     ok = long.join(_usable(long, share), "feature").filter(~F.isnan("y") & (F.abs("y") != float("inf")))
     d = ok.withColumn("d", F.col("y") - F.avg("y").over(Window.partitionBy("feature")))
-    med = d.groupBy("sample").agg(F.median("d").alias("shift"))
+    low, high = (nth(d, ["sample"], "d", lambda n, k=k: F.floor((n - k) / 2)).select("sample", F.col("nth").alias(f"_{k}")) for k in (1, 0))
+    med = low.join(high, "sample").select("sample", (F.col("_1") + (F.col("_0") - F.col("_1")) * 0.5).alias("shift"))
     return long.join(F.broadcast(med), "sample", "left").withColumn("y", F.col("y") - F.coalesce("shift", F.lit(0.0))).drop("shift")
 
 
@@ -213,7 +213,7 @@ def feature_range(long: DataFrame, start: int, end: int, n: int) -> DataFrame:
     """Features start..end (0-based, both within) in name order; all if the range is no proper one."""
     if not 0 <= start < end < n:
         return long
-    names = long.select("feature").distinct().withColumn("_i", F.row_number().over(Window.orderBy("feature")) - 1)
+    names = with_rank(long.select("feature").distinct(), "feature", name="_i")
     return long.join(names.filter(F.col("_i").between(start, end)).select("feature"), "feature", "left_semi")
 
 

@@ -20,6 +20,7 @@ from ambiquant.operators import classes as cl
 from ambiquant.operators import intervals as iv
 from ambiquant.operators import summaries as sm
 from ambiquant.plans import abundance, collapse, comparison
+from ambiquant.session import cut
 from ambiquant.sources import sequences as src
 
 EXPECTED, THRESHOLD = 25, 20
@@ -312,39 +313,51 @@ def est_counts(s, d):
     return sm.estimated_counts(q, 5_000_000).select("feature", "sample", F.round("count", 4).alias("count"))
 
 
-def _blocks(t: DataFrame) -> DataFrame:
-    """Blocks of 64 neighbouring users stand for components: all users are in one, and pairs stay bounded."""
-    return t.withColumn("block", F.floor(F.col("feature") / 64))
+def _part_trace(s, d):
+    """sample, feature, iter, value: quantities of each part's lines, in turn; parts of one order share a read."""
+    w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    return table(s, d, "lineitem").select(F.lit("a").alias("sample"), F.col("l_partkey").alias("feature"), (F.row_number().over(w) - 1).alias("iter"), F.col("l_quantity").alias("value"))
+
+
+def _part_pairs(s, d):
+    return collapse.sharing(table(s, d, "lineitem").select(F.col("l_orderkey").alias("class_id"), F.col("l_partkey").alias("feature")))
+
+
+def _part_groups(s, d):
+    r = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("read")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("transcripts"))
+    return cl.components(cl.equivalence_classes(r), cut).select(F.col("transcript").cast("bigint").alias("feature"), "component")
 
 
 @query
 def pair_corr(s, d):
-    t = _blocks(trace(s, d)).withColumn("sample", F.lit("a"))
-    return collapse.covariances(t).select("sample", "a", "b", F.round("cov", 3).alias("cov"), F.round("corr", 6).alias("corr"))
+    return collapse.covariances(_part_trace(s, d), _part_pairs(s, d), _part_groups(s, d))
 
 
 def _pairs(s, d):
-    two = _blocks(trace(s, d)).withColumn("sample", F.when(F.col("iter") % 2 == 0, "a").otherwise("b"))
-    return collapse.covariances(two), two
+    two = _part_trace(s, d).withColumn("sample", F.when(F.col("iter") % 2 == 0, "a").otherwise("b"))
+    groups = _part_groups(s, d)
+    return collapse.covariances(two, _part_pairs(s, d), groups), two, groups
 
 
 @query
 def mean_corr(s, d):
-    return collapse.mean_correlations(_pairs(s, d)[0]).select("a", "b", F.round("corr", 6).alias("corr"), F.round("sd", 6).alias("sd"), "n")
+    return collapse.mean_correlations(_pairs(s, d)[0]).select("a", "b", F.round("corr", 9).alias("corr"), F.round("sd", 9).alias("sd"), "n")
 
 
 @query
 def corr_threshold(s, d):
-    return collapse.threshold(collapse.mean_correlations(_pairs(s, d)[0]), 10).select(F.round("threshold", 6).alias("threshold"))
+    return collapse.threshold(collapse.mean_correlations(_pairs(s, d)[0]), 10).select(F.round("threshold", 9).alias("threshold"))
 
 
 @query
 def collapse_greedy(s, d):
-    pairs, t = _pairs(s, d)
-    text = lambda c: F.col(c).cast("string")
+    pairs, t, groups = _pairs(s, d)
+    pairs = cut(pairs)
+    found = collapse.threshold(collapse.mean_correlations(pairs), 10).first()
+    text = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
     v = t.groupBy("sample", text("feature").alias("feature")).agg(F.var_samp("value").alias("var"))
-    b = t.select(text("feature").alias("feature"), "block").distinct()
-    got = collapse.collapse(pairs.select("sample", text("a").alias("a"), text("b").alias("b"), "cov"), v, b, -0.3)
+    named = groups.select(text("feature").alias("feature"), "component")
+    got = collapse.collapse(pairs.select("sample", text("a").alias("a"), text("b").alias("b"), "cov"), v, named, min(0.0, found[0]) if found else -1.0)
     return got.select(F.array_join("members", "*").alias("members"))
 
 

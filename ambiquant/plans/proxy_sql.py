@@ -30,8 +30,16 @@ m{n} AS (SELECT transcript, any_value(l) AS l, sum(mu * k / rate) / any_value(l)
     return out
 
 
-PAIRS = T + """, u AS (SELECT *, CASE WHEN iter % 2 = 0 THEN 'a' ELSE 'b' END AS sample FROM t),
-p AS (SELECT x.sample, x.feature AS a, y.feature AS b, corr(x.value, y.value) AS corr FROM u x JOIN u y ON x.sample = y.sample AND x.iter = y.iter AND x.feature < y.feature AND x.feature // 64 = y.feature // 64 GROUP BY ALL),
+#: Whole numbers up to the last divisions, as in the operator.
+PAIRS = """f AS (SELECT l_partkey AS feature, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) - 1 AS iter, CAST(l_quantity AS BIGINT) AS v FROM lineitem),
+u AS (SELECT feature, iter, v, {0} AS sample FROM f),
+h AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS f FROM lineitem), pr AS (SELECT DISTINCT x.f AS a, y.f AS b FROM h x JOIN h y ON x.r = y.r AND x.f < y.f),
+sm AS (SELECT x.sample, a, b, count(*) AS n, sum(x.v) AS sx, sum(y.v) AS sy, sum(x.v * y.v) AS sxy, sum(x.v * x.v) AS sxx, sum(y.v * y.v) AS syy
+  FROM pr JOIN u x ON x.feature = a JOIN u y ON y.feature = b AND y.sample = x.sample AND y.iter = x.iter GROUP BY 1, 2, 3),
+met AS (SELECT DISTINCT x.sample, a, b FROM pr JOIN (SELECT DISTINCT sample, feature FROM u) x ON x.feature = a JOIN (SELECT DISTINCT sample, feature FROM u) y ON y.feature = b AND y.sample = x.sample),
+tp AS (SELECT met.*, n, CAST(n * sxy - sx * sy AS DOUBLE) AS top, CAST(n * sxx - sx * sx AS DOUBLE) AS tx, CAST(n * syy - sy * sy AS DOUBLE) AS ty FROM met LEFT JOIN sm USING (sample, a, b)),
+p AS (SELECT sample, a, b, CASE WHEN n > 1 THEN top / CAST(n * (n - 1) AS DOUBLE) END AS cov, CASE WHEN n > 1 AND tx * ty > 0 THEN top / sqrt(tx * ty) END AS corr FROM tp)"""
+MEAN = "WITH " + PAIRS.format("CASE WHEN iter % 2 = 0 THEN 'a' ELSE 'b' END") + """,
 mc AS (SELECT a, b, avg(coalesce(corr, 0)) AS corr, coalesce(stddev_samp(coalesce(corr, 0)), 0) AS sd, count(*) AS n FROM p GROUP BY 1, 2)"""
 DEV = X + ", ok AS (SELECT feature FROM x GROUP BY 1 HAVING avg((uh > 0)::INT) >= {0}), dv AS (SELECT x.*, y - avg(y) OVER (PARTITION BY feature) AS d FROM x SEMI JOIN ok USING (feature))"
 
@@ -129,11 +137,10 @@ SQL = {
         SELECT feature, sample, round(y - s, 8) AS y FROM x JOIN md USING (sample)""",
     "normalise_median": f"WITH {DEV.format('1.0')}, md AS (SELECT sample, median(d) AS s FROM dv GROUP BY 1) SELECT feature, sample, round(y - coalesce(s, 0), 8) AS y FROM x LEFT JOIN md USING (sample)",
     "est_counts": f"WITH {X} SELECT feature, sample, round(exp(y - 10) * 5000000 * 1000 / 1e9, 4) AS count FROM x",
-    "pair_corr": f"""WITH {T} SELECT 'a' AS sample, x.feature AS a, y.feature AS b, round(covar_samp(x.value, y.value), 3) AS cov, round(corr(x.value, y.value), 6) AS corr
-        FROM t x JOIN t y ON x.iter = y.iter AND x.feature < y.feature AND x.feature // 64 = y.feature // 64 GROUP BY 2, 3""",
-    "mean_corr": f"WITH {PAIRS} SELECT a, b, round(corr, 6) AS corr, round(sd, 6) AS sd, n FROM mc",
-    "corr_threshold": f"""WITH {PAIRS}, w AS (SELECT a, corr FROM mc UNION ALL SELECT b, corr FROM mc), tp AS (SELECT list_sort(list(m)) AS ms FROM (SELECT max(corr) AS m FROM w GROUP BY a))
-        SELECT round(-ms[1 + least(CAST(floor(len(ms) * 10 / 100.0) AS INT), len(ms) - 1)], 6) AS threshold FROM tp""",
+    "pair_corr": "WITH " + PAIRS.format("'a'") + " SELECT sample, a, b, cov, corr FROM p",
+    "mean_corr": MEAN + " SELECT a, b, round(corr, 9) AS corr, round(sd, 9) AS sd, n FROM mc",
+    "corr_threshold": MEAN + """, w AS (SELECT a, corr FROM mc UNION ALL SELECT b, corr FROM mc), t AS (SELECT list_sort(list(m)) AS ms FROM (SELECT max(corr) AS m FROM w GROUP BY a))
+        SELECT round(-ms[1 + least(CAST(floor(len(ms) * 10 / 100.0) AS INT), len(ms) - 1)], 9) AS threshold FROM t""",
     "candidate_sets": f"""WITH {X}, k AS (SELECT feature, substr(sample, 1, 1) AS p, e AS sd, uh % 3 AS u, feature LIKE '%1' AS st, uh % 5 <> 0 AS ob FROM x WHERE substr(sample, 1, 1) IN ('1', '2')),
         b AS (SELECT p, max(sd) FILTER (u = 1 AND NOT st) AS b FROM k GROUP BY 1),
         c AS (SELECT DISTINCT feature FROM k JOIN b USING (p) WHERE (st OR u = 0) AND (b IS NULL OR NOT ob OR sd >= b)),

@@ -13,6 +13,7 @@ from ambiquant.operators import alignments as al
 from ambiquant.operators import classes as cl
 from ambiquant.operators import intervals as iv
 from ambiquant.operators import summaries as sm
+from ambiquant.operators.selection import nth, with_rank
 from ambiquant.plans import abundance, collapse, comparison
 from ambiquant.session import cut
 from ambiquant.sources import sequences as src
@@ -196,10 +197,110 @@ def test_coverage_ranking(spark):
     assert [r[0] for r in rows(sm.coverage_ranking(n, f, 9))] == ["a", "c", "d"]
 
 
+def merge_plainly(names, covariance, observed, bound):
+    """By the whole matrix: the smallest mean correlation of all pairs, again and again.  covariance: samples by features by features."""
+    r, sets, live, n = covariance.copy(), [[x] for x in names], [True] * len(names), len(names)
+
+    def mean(a, b):
+        got = []
+        for s in range(len(r)):
+            if observed[a, s] and observed[b, s]:
+                d = math.sqrt(max(r[s, a, a], 0)) * math.sqrt(max(r[s, b, b], 0))
+                got.append(r[s, a, b] / d if d > 0 else 0.0)
+        return sum(got) / len(got) if got else math.inf
+
+    while True:
+        best = min(((mean(a, b), a, b) for a in range(n) for b in range(a + 1, n) if live[a] and live[b]), default=(math.inf,))
+        if best[0] >= bound:
+            return [s for k, s in enumerate(sets) if live[k]]
+        _, a, b = best
+        r[:, a, :] += r[:, b, :]
+        r[:, :, a] += r[:, :, b]
+        sets[a], live[b] = sorted(sets[a] + sets[b]), False
+
+
+def sparse(cov):
+    i, j = np.nonzero(np.triu(np.abs(cov).sum(axis=0), 1))
+    return i, j, cov[:, i, j].T, np.stack([np.diag(c) for c in cov], axis=1)
+
+
 def test_collapse_merges_anticorrelated():
     x = np.random.default_rng(3).normal(size=(3, 500))
     cov = np.cov(np.stack([x[0], -x[0] + 0.1 * x[1], x[2]]))[None]
-    assert collapse.merge_greedily(["a", "b", "c"], cov, np.ones((1, 3), bool), -0.5) == [["a", "b"], ["c"]]
+    assert collapse.merge_greedily(["a", "b", "c"], *sparse(cov), np.ones((3, 1), bool), -0.5) == [["a", "b"], ["c"]]
+    with pytest.raises(ValueError):
+        collapse.merge_greedily(["a"], *sparse(np.ones((1, 1, 1))), np.ones((1, 1), bool), 0.1)
+
+
+def test_heap_merges_as_the_whole_matrix_does():
+    rng = np.random.default_rng(11)
+    for t in range(30):
+        n, samples = int(rng.integers(1, 14)), int(rng.integers(1, 4))
+        x = rng.integers(-3, 4, (samples, n, 12)).astype(float)
+        x[:, ::3] *= rng.random() < 0.8
+        cov = np.stack([np.atleast_2d(np.cov(v)) for v in x])
+        linked = rng.random((n, n)) < 0.5
+        linked = (linked | linked.T) | np.eye(n, dtype=bool)
+        cov = np.where(linked, cov, 0.0)
+        observed = rng.random((n, samples)) < 0.8
+        names, bound = [f"f{k:02d}" for k in range(n)], float(rng.choice([-0.7, -0.3, -0.05, 0.0]))
+        assert collapse.merge_greedily(names, *sparse(cov), observed, bound) == merge_plainly(names, cov, observed, bound), t
+
+
+def test_sparse_covariances_and_collapse(spark):
+    """Tiles of several parts, features that a sample or some iterations lack, pairs without shared reads."""
+    rng = np.random.default_rng(5)
+    n = 700
+    base = rng.normal(size=(n // 2, 30))
+    x = np.empty((n, 30))
+    x[::2], x[1::2] = base, -base + 0.3 * rng.normal(size=base.shape)
+    lines = [("s", f"f{k:03d}", i, float(x[k, i])) for k in range(n) for i in range(30) if (k + i) % 17] + [("t", f"f{k:03d}", i, float(k + i * i % 7)) for k in range(0, n, 3) for i in range(5)]
+    traces = spark.createDataFrame(lines, "sample string, feature string, iter int, value double")
+    own = [(f"c{k}", f"f{m:03d}") for k in range(n) for m in (k, (k + 1) % n, (k * 7) % n)]
+    pairs = collapse.sharing(spark.createDataFrame(own, "class_id string, feature string"))
+    want = {tuple(sorted((a, b))) for k in range(n) for t in [[m for c, m in own[3 * k : 3 * k + 3]]] for a in t for b in t if a != b}
+    assert {tuple(r) for r in pairs.collect()} == want
+    groups = spark.createDataFrame([(f"f{k:03d}", "g") for k in range(n)], "feature string, component string")
+    got = collapse.covariances(traces, pairs, groups).collect()
+    held = {}
+    for s, f, i, v in lines:
+        held.setdefault((s, f), {})[i] = v
+    assert {(r["sample"], r["a"], r["b"]) for r in got} == {(s, a, b) for s in "st" for a, b in want if (s, a) in held and (s, b) in held}
+    for r in got[::7]:
+        u, v = held[r["sample"], r["a"]], held[r["sample"], r["b"]]
+        both = sorted(set(u) & set(v))
+        c = np.cov([u[i] for i in both], [v[i] for i in both])
+        assert abs(r["cov"] - c[0, 1]) < 1e-9 and (r["corr"] is None or abs(r["corr"] - c[0, 1] / math.sqrt(c[0, 0] * c[1, 1])) < 1e-9)
+    # merged sets against the whole matrix
+    keep = [f"f{k:03d}" for k in range(24)]
+    at = {f: k for k, f in enumerate(keep)}
+    var = {(r["sample"], r["feature"]): r["v"] for r in traces.groupBy("sample", "feature").agg(F.var_samp("value").alias("v")).collect()}
+    cov, seen = np.zeros((2, 24, 24)), np.zeros((24, 2), bool)
+    for (s, f), v in var.items():
+        if f in at:
+            cov["st".index(s), at[f], at[f]], seen[at[f], "st".index(s)] = v, True
+    inside = [r for r in got if r["a"] in at and r["b"] in at]
+    for r in inside:
+        cov["st".index(r["sample"]), at[r["a"]], at[r["b"]]] = cov["st".index(r["sample"]), at[r["b"]], at[r["a"]]] = r["cov"]
+    few = spark.createDataFrame([(r["sample"], r["a"], r["b"], r["cov"]) for r in inside], "sample string, a string, b string, cov double")
+    variances = traces.filter(F.col("feature").isin(keep)).groupBy("sample", "feature").agg(F.var_samp("value").alias("var"))
+    merged = collapse.collapse(few, variances, groups, -0.4).collect()
+    assert sorted(r["members"] for r in merged) == sorted(merge_plainly(keep, cov, seen, -0.4)) and any(len(r["members"]) > 1 for r in merged)
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(2)
+    v = {"a": rng.normal(size=3000).tolist(), "b": [1.0] * 500 + [2.0] * 3, "c": [5.0], "d": rng.integers(0, 9, 2000).astype(float).tolist()}
+    d = spark.createDataFrame([(g, x) for g, xs in v.items() for x in xs] + [("a", None), ("e", None)], "g string, x double").repartition(5)
+    for share in (0.0, 0.37, 0.999):
+        got = {r["g"]: (r["n"], r["nth"]) for r in nth(d, ["g"], "x", lambda n: F.floor(n * share)).collect()}
+        assert got == {g: (len(xs), sorted(xs)[int(len(xs) * share)]) for g, xs in v.items()}
+    every = sorted(x for xs in v.values() for x in xs)
+    assert nth(d, [], "x", lambda n: F.floor(n / 2)).first()["nth"] == every[len(every) // 2]
+    assert nth(d, [], "x", lambda n: n).count() == 0 and nth(d.limit(0), [], "x", lambda n: n * 0).count() == 0
+    names = spark.createDataFrame([(f"n{k % 800:03d}", k) for k in range(1500)], "name string, k int").repartition(7)
+    ranked = with_rank(names, "name", "k").collect()
+    assert [r["rank"] for r in sorted(ranked, key=lambda r: (r["name"], r["k"]))] == list(range(1500))
 
 
 def test_permutation_keeps_values(spark):
