@@ -61,7 +61,7 @@ def quantify(spark: SparkSession, a: argparse.Namespace) -> None:
     n, classes = reads.count(), cut(cl.equivalence_classes(reads))
     exposure = h["meta"].select("transcript", (F.col("effective_length") * (n * SCALE)).alias("l"))
     mu, _ = abundance.em(classes, exposure, a.epsilon, a.max_em_iter)
-    trace = cut(abundance.gibbs(classes, exposure, a.gibbs_iter, 1024, a.alpha, a.beta, 0, a.seed))
+    trace = cut(abundance.gibbs(classes, exposure, a.gibbs_iter, 1024, a.alpha, a.beta, None, a.seed))
     p = tuple(float(x) for x in a.percentiles.split(","))
     em = mu.select(F.col("transcript").alias("feature"), F.log("mu").alias("log_mu_em"))
     unique = cl.unique_hits(classes).withColumnRenamed("transcript", "feature")
@@ -86,6 +86,7 @@ def quantify(spark: SparkSession, a: argparse.Namespace) -> None:
         k = cl.contained_counts(classes, sets.withColumnRenamed("feature", "transcript"))
         tables.write_table(sm.set_table(summary, sets, full, k, n * SCALE, a.alpha, a.beta, name == "identical").orderBy("feature_id"), str(out / name), mapped)
     tables.write_traces(trace, str(out / "trace"))
+    tables.write_table(abundance.convergence(trace).orderBy("feature"), str(out / "convergence"))
     if a.debug:
         debug(classes, reads, mu, out / "debug")
 

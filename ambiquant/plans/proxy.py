@@ -258,7 +258,8 @@ def gibbs_summary(s, d):
     r = li.groupBy(F.col("l_orderkey").alias("read")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("transcripts"))
     c = cl.equivalence_classes(r)
     l = cl.incidence(c).select("transcript").distinct().withColumn("l", F.lit(1.0))
-    return sm.summarise(abundance.gibbs(c, l)).drop("percentiles")
+    t = cut(abundance.gibbs(c, l))
+    return sm.summarise(t).drop("percentiles").join(abundance.convergence(t), "feature")
 
 
 @query

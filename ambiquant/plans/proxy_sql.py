@@ -111,6 +111,17 @@ SQL = {
     "regroup_to_gene": f"WITH {A} SELECT read, array_to_string(list_sort(list(DISTINCT substr(transcript, 1, 7))), ',') AS genes FROM a GROUP BY 1",
     "init_mu": f"WITH {L} SELECT transcript, round(mu, 6) AS mu FROM m0",
     "em_fixed3": em(3) + " SELECT transcript, round(mu, 6) AS mu FROM m3",
+    "em_converged": f"""WITH RECURSIVE {L}, x AS MATERIALIZED (SELECT array_to_string(ts, ',') AS c, transcript, k FROM i JOIN m0 USING (transcript)),
+        q0 AS (SELECT c, sum(mu) AS rate, any_value(k) AS k FROM x JOIN m0 USING (transcript) GROUP BY 1),
+        e AS (SELECT 0 AS it, transcript, l, mu, (SELECT sum(k * ln(rate)) FROM q0) - (SELECT sum(mu * l) FROM m0) AS ll, 1e9::DOUBLE AS gain FROM m0
+          UNION ALL (
+          WITH r AS (SELECT c, sum(mu) AS rate FROM x JOIN e USING (transcript) GROUP BY 1),
+          n AS (SELECT transcript, any_value(l) AS l, sum(mu * k / rate) / any_value(l) AS mu FROM x JOIN e USING (transcript) JOIN r USING (c) GROUP BY 1),
+          q AS (SELECT c, sum(mu) AS rate, any_value(k) AS k FROM x JOIN n USING (transcript) GROUP BY 1),
+          g AS (SELECT (SELECT sum(k * ln(rate)) FROM q) - (SELECT sum(mu * l) FROM n) AS ll),
+          o AS (SELECT any_value(it) AS it, any_value(ll) AS ll, any_value(gain) AS gain FROM e)
+          SELECT o.it + 1, n.transcript, n.l, n.mu, g.ll, g.ll - o.ll FROM n, g, o WHERE o.gain > 0.1))
+        SELECT transcript, round(mu, 4) AS mu FROM e WHERE it = (SELECT max(it) FROM e)""",
     "em_loglik": f"""WITH {L}, q AS (SELECT ts, sum(mu) AS rate, any_value(k) AS k FROM i JOIN m0 USING (transcript) GROUP BY 1)
         SELECT round((SELECT sum(k * ln(rate)) FROM q) - (SELECT sum(mu * l) FROM m0), 3) AS loglik""",
     "unseen_features": f"WITH {C} SELECT DISTINCT p_brand AS transcript FROM part WHERE p_brand NOT IN (SELECT transcript FROM i WHERE size = 1 AND k % 3 = 0)",

@@ -3,7 +3,6 @@
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,20 +78,64 @@ def test_em_properties(spark, classes):
     assert course == sorted(course)
 
 
+def test_em_stops_at_the_first_small_gain(spark, classes):
+    lengths = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 0.5), ("unseen", 1.0)], "transcript string, l double")
+    mu, course = abundance.em(classes, lengths, epsilon=0.01)
+    gains = np.diff(course)
+    assert gains[-1] <= 0.01 and (gains[:-1] > 0.01).all() and len(rows(mu)) == 3
+    plain = abundance.em_fixed(classes, lengths, len(gains), most_features=0)
+    for x, y in zip(rows(mu), rows(plain)):
+        assert x[0] == y[0] and abs(x[2] - y[2]) < 1e-12
+    joined, other = abundance.em(classes, lengths, epsilon=0.01, most_features=0)
+    assert len(other) == len(course) and abs(other[-1] - course[-1]) < 1e-9 and len(rows(joined)) == 3
+
+
+def test_packed_classes(spark, classes):
+    features = abundance.numbered(classes, spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 0.5)], "transcript string, l double"))
+    assert [(r["transcript"], r["id"]) for r in features.orderBy("id").collect()] == [("a", 0), ("b", 1), ("c", 2)]
+    found = []
+    for r in abundance.pack(classes, features.withColumn("component", F.lit("x")), 3).toArrow().to_batches():
+        for ids, codes, sizes, k in abundance._arrays(r):
+            for at, n, reads_ in zip(np.cumsum(sizes) - sizes, sizes, k):
+                found.append((tuple(ids[codes[at : at + n]].tolist()), int(reads_)))
+    assert sorted(found) == [((0,), 1), ((0, 1), 2), ((1, 2), 1)]
+
+
 def test_gibbs_of_single_features_is_gamma(spark):
-    c = cl.equivalence_classes(spark.createDataFrame([(f"r{i}", ["a"]) for i in range(50)], "read string, transcripts array<string>"))
-    lengths = spark.createDataFrame([("a", 2.0)], "transcript string, l double")
+    """Two classes of one feature each: the posterior is a gamma distribution, in every component."""
+    reads_ = [(f"r{i}", ["a"]) for i in range(50)] + [(f"s{i}", ["b"]) for i in range(7)]
+    c = cl.equivalence_classes(spark.createDataFrame(reads_, "read string, transcripts array<string>"))
+    lengths = spark.createDataFrame([("a", 2.0), ("b", 0.5)], "transcript string, l double")
     t = abundance.gibbs(c, lengths, iterations=1024, kept=1024)
-    m = t.agg(F.avg("value"), F.stddev("value")).first()
-    assert abs(m[0] - 50.1 / 2.1) < 5 * math.sqrt(50.1) / 2.1 / math.sqrt(1024)
+    for f, k, l in (("a", 50, 2.0), ("b", 7, 0.5)):
+        m = t.filter(F.col("feature") == f).agg(F.avg("value"), F.stddev("value"), F.count(F.lit(1)), F.count_distinct("iter")).first()
+        assert abs(m[0] - (k + 0.1) / (l + 0.1)) < 5 * math.sqrt(k + 0.1) / (l + 0.1) / 32 and m[2] == m[3] == 1024
+        assert abs(m[1] / (math.sqrt(k + 0.1) / (l + 0.1)) - 1) < 0.15
     assert rows(t) == rows(abundance.gibbs(c.repartition(3), lengths, iterations=1024, kept=1024))
 
 
+def test_gibbs_of_one_component(spark):
+    """Features of one length: their sum is gamma, whatever classes they share; chains agree and have tasks of their own."""
+    rng = np.random.default_rng(3)
+    reads_ = [(f"r{i}", sorted({f"f{x}" for x in rng.integers(0, 6, 3)})) for i in range(400)]
+    c = cl.equivalence_classes(spark.createDataFrame(reads_, "read string, transcripts array<string>"))
+    lengths = spark.createDataFrame([(f"f{x}", 1.5) for x in range(6)], "transcript string, l double")
+    t = cut(abundance.gibbs(c, lengths, iterations=2048, kept=1024))
+    total = t.groupBy("iter").agg(F.sum("value").alias("v")).agg(F.avg("v"), F.stddev("v")).first()
+    assert abs(total[0] - 400.6 / 1.6) < 5 * math.sqrt(400.6) / 1.6 / 32 and abs(total[1] / (math.sqrt(400.6) / 1.6) - 1) < 0.15
+    rhat = [r["rhat"] for r in abundance.convergence(t).collect()]
+    assert len(rhat) == 6 and max(rhat) < 1.2
+    apart = t.withColumn("value", F.when(F.col("iter") < 512, F.col("value") * 9).otherwise(F.col("value")))
+    assert min(r["rhat"] for r in abundance.convergence(apart).collect()) > 1.5
+    with pytest.raises(ValueError):
+        abundance.gibbs(c, lengths, iterations=100, kept=64)
+
+
 def test_gibbs_keeps_totals_of_shared_classes():
-    """Two classes of one size and one of another, none of a single feature: all reads are dealt in each sweep."""
-    rows_ = [(c, t, k, 1.0) for c, ts, k in (("u", "ab", 400), ("v", "bc", 300), ("w", "abc", 300)) for t in ts]
-    c = abundance.Component(pd.DataFrame(rows_, columns=["class_id", "transcript", "k", "l"]))
-    t = c.gibbs(c.em(50), 512, 512, 0.1, 0.1, 64, np.random.default_rng(1))
+    """Two classes of one size and one of another, in two blocks, none of a single feature: all reads are dealt in each sweep."""
+    i = lambda *x: np.array(x, np.int32)
+    c = abundance.Chain([[i(4, 7), i(0, 1), i(2), np.array([400])], [i(4, 7, 9), i(1, 2, 0, 1, 2), i(2, 3), np.array([300, 300])]], i(9, 4, 7), np.ones(3))
+    t = c.draws(c.em(50), 64, 512, 1, 0.1, 0.1, np.random.default_rng(1))
     assert t.shape == (512, 3) and abs(t.sum(axis=1).mean() * 1.1 - 1000.3) < 6 and t[:, 1].mean() > t[:, 0].mean()
 
 
