@@ -28,13 +28,19 @@ SCALE = 1e-9
 def make_hits(spark: SparkSession, a: argparse.Namespace) -> None:
     """Alignments and sequences to a hits file."""
     fasta = src.features_of(src.header_ids(src.read_fasta(spark, a.fasta), a.pattern, a.feature_group, a.gene_group), a.merge_haplotypes)
-    sam = al.mapped_pairs(src.read_sam(spark, a.sam)) if a.paired else src.read_sam(spark, a.sam).filter(F.col("flag").bitwiseAND(F.lit(4)) == 0)
-    known = sam.withColumnsRenamed({"qname": "read", "rname": "transcript"}).withColumn("ordinal", F.xxhash64("read", "transcript", "pos"))
+    sam = src.read_sam(spark, a.sam)
+    if a.paired is None:
+        a.paired = bool(al.read_probe(sam).first()["paired"])
+    sam = al.mapped_pairs(sam) if a.paired else sam.filter(F.col("flag").bitwiseAND(F.lit(4)) == 0)
+    known = sam.withColumnsRenamed({"qname": "read", "rname": "transcript"})
     if a.merge_haplotypes:  # before mates meet, which may name different haplotypes
         known = known.withColumn("transcript", src.strip_haplotype("transcript"))
     order = src.sort_order(spark, a.sam)
     if order not in (None, "queryname", "unknown", "unsorted"):
         print(f"note: {a.sam} is sorted by {order}; mates are matched all the same")
+    several = [r[0] for r in cl.multiple_genes(fasta).limit(3).collect()]
+    if several:
+        raise SystemExit(f"features of several genes: {several}")
     named = src.sam_references(spark, a.sam)
     if a.merge_haplotypes:
         named = named.withColumn("rname", src.strip_haplotype("rname"))
@@ -278,7 +284,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--insert-size", type=int, nargs=3, metavar=("MEAN", "SD", "THRESHOLD"))
     c.add_argument("--lengths")
     c.add_argument("--merge-haplotypes", action="store_true")
-    c.add_argument("--paired", action=argparse.BooleanOptionalAction, default=True)
+    c.add_argument("--paired", action=argparse.BooleanOptionalAction, help="as the flags of the alignments say, unless given")
     c = command(quantify, "hits", "out")
     for name, value in (("alpha", 0.1), ("beta", 0.1), ("epsilon", 0.1)):
         c.add_argument(f"--{name}", type=float, default=value)

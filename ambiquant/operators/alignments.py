@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Flag bits of a read that is unmapped, or whose mate is.
 UNMAPPED = 0xC
 
 
@@ -67,11 +68,19 @@ def stage_counts(df: DataFrame, expected: int = 180, threshold: int = 49) -> Dat
 def pair_mates(df: DataFrame, documented: bool = True) -> DataFrame:
     """One row for both mates: same read and feature, each at the other's mate position.
 
+    Alignments at one place with one mate position are numbered by ordinal, and the n-th meets the n-th
+    of the mirrored ones; where both positions are one, neighbours meet.  So equal first
+    mates stay rows of their own, and one without a partner is a row by itself.
+
     nm is the sum of both; with documented=False it is the second mate's, as some tools have it.
     """
-    keys = ["read", "transcript", F.least("pos", "mpos").alias("left"), F.greatest("pos", "mpos").alias("right")]
+    place = ["read", "transcript", F.least("pos", "mpos").alias("left"), F.greatest("pos", "mpos").alias("right")]
+    side = Window.partitionBy("read", "transcript", "pos", "mpos").orderBy("ordinal")
+    own = F.row_number().over(side) - 1
+    numbered = df.withColumn("_n", F.when(F.col("pos") == F.col("mpos"), F.floor(own / 2)).otherwise(own))
     nm = F.sum("nm") if documented else F.max_by("nm", "ordinal")
-    return df.groupBy(*keys).agg(nm.alias("nm"), F.max("isize").alias("isize"), F.count(F.lit(1)).alias("n_mates"), F.min("ordinal").alias("ordinal"))
+    met = numbered.groupBy(*place, "_n").agg(nm.alias("nm"), F.max("isize").alias("isize"), F.count(F.lit(1)).alias("n_mates"), F.min("ordinal").alias("ordinal"))
+    return met.drop("_n")
 
 
 def read_sets(df: DataFrame) -> DataFrame:

@@ -219,11 +219,17 @@ def entry(s: SparkSession, d: str) -> DataFrame:
     return em_fixed3(s, d)
 
 
+def _part_classes(s, d):
+    """Parts stand for features, orders for reads."""
+    r = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("read")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("transcripts"))
+    return cl.equivalence_classes(r)
+
+
 @query
 def unseen_features(s, d):
-    names = table(s, d, "part").select(F.col("p_brand").alias("transcript")).distinct()
-    own = classes(s, d).filter(F.size("members") == 1).filter("k % 3 = 0")
-    return cl.unobserved(names, own)
+    """Parts without an order of their own."""
+    names = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("transcript")).distinct()
+    return cl.unobserved(names, _part_classes(s, d).filter(F.size("members") == 1))
 
 
 @query
@@ -241,8 +247,10 @@ def anti_filter(s, d):
 
 @query
 def prior_for_unseen(s, d):
-    meta = lengths(s, d).select(F.col("transcript").alias("feature"), F.col("l").alias("effective_length"))
-    seen = samples_long(s, d).filter("sample like '1%' and y > 15").select("feature", F.col("y").alias("log_mu"), F.col("e").alias("sd"), F.lit(0.01).alias("mcse"), F.lit(1.0).alias("iact"))
+    """Parts: those with orders of their own have a summary, the others the prior's."""
+    meta = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("feature"), (F.col("p_retailprice") / 1000).alias("effective_length"))
+    hits = cl.unique_hits(_part_classes(s, d)).filter("unique_hits > 0").select(F.col("transcript").alias("feature"), F.col("unique_hits").alias("n"))
+    seen = hits.select("feature", F.log("n").alias("log_mu"), (1 / F.sqrt("n")).alias("sd"), F.lit(0.01).alias("mcse"), F.lit(1.0).alias("iact"))
     return sm.with_unseen(meta, seen, 0.001).select("feature", "observed", *[F.round(c, 6).alias(c) for c in ("log_mu", "sd", "mcse", "iact")])
 
 
@@ -254,9 +262,7 @@ def eff_length(s, d):
 
 @query
 def gibbs_summary(s, d):
-    li = table(s, d, "lineitem")
-    r = li.groupBy(F.col("l_orderkey").alias("read")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("transcripts"))
-    c = cl.equivalence_classes(r)
+    c = _part_classes(s, d)
     l = cl.incidence(c).select("transcript").distinct().withColumn("l", F.lit(1.0))
     t = cut(abundance.gibbs(c, l))
     return sm.summarise(t).drop("percentiles").join(abundance.convergence(t), "feature")
@@ -325,8 +331,7 @@ def _part_pairs(s, d):
 
 
 def _part_groups(s, d):
-    r = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("read")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("transcripts"))
-    return cl.components(cl.equivalence_classes(r), cut).select(F.col("transcript").cast("bigint").alias("feature"), "component")
+    return cl.components(_part_classes(s, d), cut).select(F.col("transcript").cast("bigint").alias("feature"), "component")
 
 
 @query
@@ -387,8 +392,9 @@ def bound_factors(s, d):
 
 @query
 def duplicate_rows(s, d):
-    # orders of one customer stand for the reads of a class, parts for features
-    r = table(s, d, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_orderkey").alias("read")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("transcripts"))
+    """Orders stand for features; a customer's orders of one priority, and those of one year, for the members of a class."""
+    o = table(s, d, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("t"), "o_orderpriority", F.year("o_orderdate").cast("string").alias("year"))
+    r = o.withColumn("by", F.explode(F.array("o_orderpriority", "year"))).groupBy("o_custkey", "by").agg(F.array_sort(F.collect_set("t")).alias("transcripts"))
     return cl.duplicate_rows(cl.equivalence_classes(r))
 
 

@@ -69,8 +69,9 @@ SQL = {
     "bound_factors": f"""WITH {X}, w AS (SELECT feature, max(e * 10) FILTER (sample LIKE '1%') AS b1, max(e * 10) FILTER (sample LIKE '2%') AS b2, max(e * 10) FILTER (sample LIKE '3%') AS b3 FROM x GROUP BY 1),
         z AS (SELECT *, 0.4::DOUBLE + 0.2::DOUBLE * b1 + 0.2::DOUBLE * b2 + 0.2::DOUBLE * b3 AS t FROM w WHERE b1 + b2 + b3 IS NOT NULL)
         SELECT feature, round(0.4::DOUBLE / t, 8) AS p0, round(0.2::DOUBLE * b1 / t, 8) AS p1, round(0.2::DOUBLE * b2 / t, 8) AS p2, round(0.2::DOUBLE * b3 / t, 8) AS p3 FROM z""",
-    "duplicate_rows": """WITH r AS (SELECT l_orderkey, list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))) AS ts FROM lineitem WHERE l_quantity > 45 GROUP BY 1),
-        i AS (SELECT DISTINCT unnest(ts) AS t, ts FROM r), f AS (SELECT t, list_sort(list(array_to_string(ts, ','))) AS cs FROM i GROUP BY 1),
+    "duplicate_rows": """WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS t, list_sort([o_custkey || ':' || o_orderpriority, o_custkey || ':' || year(o_orderdate)]) AS cs FROM orders),
+        m AS (SELECT t, unnest(cs) AS c FROM r), k AS (SELECT c, string_agg(t, ',' ORDER BY t) AS members FROM m GROUP BY 1),
+        f AS (SELECT t, list_sort(list(DISTINCT members)) AS cs FROM m JOIN k USING (c) GROUP BY 1),
         g AS (SELECT cs, min(t) AS first FROM f GROUP BY 1) SELECT first, t AS transcript FROM f JOIN g USING (cs) WHERE t > first""",
     "gene_table": f"""WITH {SETS} SELECT set_id AS feature_id, round(lm, 8) AS log_mu, 0.5::DOUBLE AS sd, round(CASE WHEN observed = 0 THEN 0.5::DOUBLE / 32 ELSE 0.01 END, 8) AS mcse,
         CASE WHEN observed = 0 THEN 1.0::DOUBLE ELSE 1.5 END AS iact, round(wl, 8) AS effective_length, CAST(NULL AS INT) AS true_length, n AS unique_hits, CAST(observed AS BIGINT) AS observed, n AS ntranscripts, 1.0::DOUBLE AS p FROM g""",
@@ -88,8 +89,16 @@ SQL = {
     "filter_pipeline": f"WITH {A}, {STRATUM}, {ONE.format('s2', 's1')}, {NEAR.format('s3', 's2')} SELECT read, array_to_string(list_sort(list(DISTINCT transcript)), ',') AS transcripts FROM s3 GROUP BY 1",
     "stage_counts": f"""WITH {A}, {STRATUM}, {ONE.format('s2', 's1')}, {NEAR.format('s3', 's2')}
         SELECT 'input' AS stage, count(*) AS n FROM a UNION ALL SELECT 'stratum', count(*) FROM s1 UNION ALL SELECT 'feature', count(*) FROM s2 UNION ALL SELECT 'deviation', count(*) FROM s3""",
-    "mate_pairing": f"""WITH {A} SELECT read, transcript, least(l_suppkey % 7, l_partkey % 7) AS "left", greatest(l_suppkey % 7, l_partkey % 7) AS "right",
-        CAST(sum(nm) AS BIGINT) AS nm, max(isize) AS isize, count(*) AS n_mates FROM a GROUP BY 1, 2, 3, 4""",
+    "mate_pairing": f"""WITH {A}, n AS (SELECT read, transcript, l_suppkey % 7 AS pos, l_partkey % 7 AS mpos, nm, isize,
+          row_number() OVER (PARTITION BY read, transcript, l_suppkey % 7, l_partkey % 7 ORDER BY ordinal) AS i FROM a),
+        x AS (SELECT f.read, f.transcript, f.pos, f.mpos, f.nm, f.isize, r.nm AS nm2, r.isize AS isize2 FROM (SELECT * FROM n WHERE pos < mpos) f
+          LEFT JOIN n r ON r.read = f.read AND r.transcript = f.transcript AND r.pos = f.mpos AND r.mpos = f.pos AND r.i = f.i
+        UNION ALL SELECT f.read, f.transcript, f.pos, f.mpos, f.nm, f.isize, NULL, NULL FROM n f WHERE pos > mpos
+          AND NOT EXISTS (SELECT 1 FROM n r WHERE r.read = f.read AND r.transcript = f.transcript AND r.pos = f.mpos AND r.mpos = f.pos AND r.i = f.i)
+        UNION ALL SELECT f.read, f.transcript, f.pos, f.mpos, f.nm, f.isize, r.nm, r.isize FROM (SELECT * FROM n WHERE pos = mpos AND i % 2 = 1) f
+          LEFT JOIN n r ON r.read = f.read AND r.transcript = f.transcript AND r.pos = f.pos AND r.mpos = f.mpos AND r.i = f.i + 1)
+        SELECT read, transcript, least(pos, mpos) AS "left", greatest(pos, mpos) AS "right", CAST(nm + coalesce(nm2, 0) AS BIGINT) AS nm,
+          greatest(isize, isize2) AS isize, CAST(1 + (nm2 IS NOT NULL)::INT AS BIGINT) AS n_mates FROM x""",
     "isize_sample": f"WITH {Z} SELECT read, isize FROM z",
     "isize_model": f"""WITH {Z}, k AS (SELECT isize, count(*) AS n FROM z GROUP BY 1), u AS (SELECT *, sum(n) OVER (ORDER BY isize) AS upto, sum(n) OVER () AS total FROM k),
         b AS (SELECT min(isize) FILTER (upto > floor(total * 0.975)) AS hi, min(isize) AS lo FROM u), g AS (SELECT unnest(range(lo, hi + 1)) AS isize, lo, hi FROM b),
@@ -124,12 +133,13 @@ SQL = {
         SELECT transcript, round(mu, 4) AS mu FROM e WHERE it = (SELECT max(it) FROM e)""",
     "em_loglik": f"""WITH {L}, q AS (SELECT ts, sum(mu) AS rate, any_value(k) AS k FROM i JOIN m0 USING (transcript) GROUP BY 1)
         SELECT round((SELECT sum(k * ln(rate)) FROM q) - (SELECT sum(mu * l) FROM m0), 3) AS loglik""",
-    "unseen_features": f"WITH {C} SELECT DISTINCT p_brand AS transcript FROM part WHERE p_brand NOT IN (SELECT transcript FROM i WHERE size = 1 AND k % 3 = 0)",
+    "unseen_features": """SELECT CAST(p_partkey AS VARCHAR) AS transcript FROM part
+        WHERE p_partkey NOT IN (SELECT min(l_partkey) FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) = 1)""",
     "semi_filter": "SELECT o_custkey, o_orderkey FROM orders SEMI JOIN (SELECT c_custkey AS o_custkey FROM customer WHERE c_acctbal > 5000) USING (o_custkey)",
     "anti_filter": "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
-    "prior_for_unseen": f"""WITH {X}, s AS (SELECT feature, y, e FROM x WHERE sample LIKE '1%' AND y > 15), l AS (SELECT p_brand AS feature, round(avg(p_retailprice)) / 1000 AS l FROM part GROUP BY 1)
-        SELECT l.feature, CAST(y IS NOT NULL AS INT) AS observed, round(coalesce(y, -10.423754940411076 - ln(0.1 + l * 0.001)), 6) AS log_mu, round(coalesce(e, sqrt(101.43329915079276)), 6) AS sd,
-          round(CASE WHEN y IS NULL THEN 0.0::DOUBLE ELSE 0.01 END, 6) AS mcse, 1.0::DOUBLE AS iact FROM l LEFT JOIN s USING (feature)""",
+    "prior_for_unseen": """WITH o AS (SELECT min(l_partkey) AS k FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) = 1), s AS (SELECT k, count(*) AS n FROM o GROUP BY 1)
+        SELECT CAST(p_partkey AS VARCHAR) AS feature, CAST(n IS NOT NULL AS INT) AS observed, round(coalesce(ln(n), -10.423754940411076 - ln(0.1 + p_retailprice / 1000 * 0.001)), 6) AS log_mu,
+          round(coalesce(1 / sqrt(n), sqrt(101.43329915079276)), 6) AS sd, round(CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE 0.01 END, 6) AS mcse, 1.0::DOUBLE AS iact FROM part LEFT JOIN s ON k = p_partkey""",
     "trace_proportions": f"WITH {T} SELECT feature, gene, CAST(iter AS INT) AS iter, round(value / sum(value) OVER (PARTITION BY gene, iter), 8) AS value FROM t",
     "quantile_nearest": f"""WITH {T}, s AS (SELECT feature, list_sort(list(value)) AS v FROM t GROUP BY 1)
         SELECT feature, {', '.join(f'v[1 + CAST(floor({p} / 100.0 * (len(v) - 1) + 0.5) AS INT)] AS p{p}' for p in (5, 50, 95))} FROM s""",

@@ -55,14 +55,18 @@ def write_fasta(df: DataFrame, path: str) -> None:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of SAM text: qname, flag, rname, pos, mpos, isize (absolute), tlen, nm (0 if there is no tag)."""
-    line = spark.read.text(path).filter(~F.col("value").startswith("@"))
+    """Alignments of SAM text: qname, flag, rname, pos, mpos, isize (absolute), tlen, nm (0 if there is no tag), read_length, ordinal.
+
+    ordinal puts alignments in the order of the input: file, the start of the piece of it that a task reads, the line in the task.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("line"))
+    line = spark.read.text(path).select("value", place.alias("ordinal")).filter(~F.col("value").startswith("@"))
     c = F.split("value", "\t")
     nm = F.regexp_extract("value", r"\tNM:i:(\d+)", 1)
     return line.select(
         c[0].alias("qname"), c[1].cast("int").alias("flag"), c[2].alias("rname"), c[3].cast("int").alias("pos"),
         c[7].cast("int").alias("mpos"), c[8].cast("int").alias("tlen"), F.abs(c[8].cast("int")).alias("isize"),
-        F.when(nm == "", 0).otherwise(nm.cast("int")).alias("nm"), F.length(c[9]).alias("read_length"),
+        F.when(nm == "", 0).otherwise(nm.cast("int")).alias("nm"), F.length(c[9]).alias("read_length"), "ordinal",
     )
 
 

@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from ambiquant import cli
+from ambiquant.operators import alignments as al
 from ambiquant.sources import hits, tables
 from ambiquant.sources import sequences as src
 
@@ -56,6 +59,29 @@ def test_genes_with_unseen_members_and_merged_haplotypes(spark, tmp_path):
     assert g["h"]["observed"] == 0 and abs(g["h"]["mcse"] - g["h"]["sd"] / 32) < 1e-9
 
 
+def test_input_order_and_pairs_by_flags(spark, tmp_path):
+    """Of a read's alignments to a feature that are equally good the first of the file stands; the flags say whether there are pairs."""
+    (tmp_path / "x.fa").write_text(">a gene:g\n" + "ACGT" * 100 + "\n>b gene:g\n" + "ACGA" * 100 + "\n")
+    line = "r{0}\t{1}\ta\t{2}\t9\t*\t=\t{3}\t{4}\tACGT\t*\tNM:i:0"
+    rows = [x for i in range(40) for x in (line.format(i, 99, 5, 150, 170), line.format(i, 147, 150, 5, -170), line.format(i, 99, 7, 160, 190), line.format(i, 147, 160, 7, -190))]
+    (tmp_path / "x.sam").write_text("@HD\tVN:1.0\n" + "\n".join(rows) + "\n")
+    sam = src.read_sam(spark, str(tmp_path / "x.sam"))
+    assert [(r["qname"], r["pos"]) for r in sam.orderBy("ordinal").collect()] == [(x.split("\t")[0], int(x.split("\t")[3])) for x in rows]
+    probe = al.read_probe(sam).first()
+    assert probe["paired"] and probe["read_length"] == 4
+    known = al.pair_mates(sam.withColumnsRenamed({"qname": "read", "rname": "transcript"}))
+    assert {(r["left"], r["n_mates"]) for r in al.one_per_feature(known, 180).collect()} == {(5, 2)}
+    (tmp_path / "y.fa").write_text(">a gene:g\nACGT\n>a gene:h\nACGA\n")
+    for name, message in (("x", None), ("y", "several genes")):
+        args = ["make-hits", "--sam", str(tmp_path / "x.sam"), "--fasta", str(tmp_path / f"{name}.fa"), "--out", str(tmp_path / f"hits_{name}")]
+        if message:
+            with pytest.raises(SystemExit, match=message):
+                cli.main(args, spark)
+        else:
+            cli.main(args, spark)
+            assert hits.read(spark, str(tmp_path / "hits_x"))["reads"].count() == 40
+
+
 def test_hits_in_both_forms(spark, tmp_path):
     p = lambda name: str(tmp_path / name)
     reads = [(f"run1:{i:04d}/1", ["a", "b"][: 1 + i % 2]) for i in range(300)] + [("x" * 600, ["b"]), ("x" * 599 + "y", ["a"])]

@@ -65,6 +65,15 @@ def test_alignment_filters(spark):
     assert len(rows(al.near_expected(near, 180, 19))) == 4
 
 
+def test_mates_meet_by_number(spark):
+    schema = "read string, transcript string, pos int, mpos int, nm int, isize int, ordinal int"
+    rows_ = [("r", "a", 5, 9, 1, 50, 1), ("r", "a", 5, 9, 2, 51, 2), ("r", "a", 9, 5, 10, 50, 3), ("r", "a", 9, 5, 20, 49, 4), ("r", "a", 9, 5, 40, 48, 5)]
+    rows_ += [("r", "b", 5, 9, 3, 7, 6), ("s", "a", 4, 4, 1, 8, 7), ("s", "a", 4, 4, 2, 9, 8), ("s", "a", 4, 4, 4, 1, 9), ("s", "a", 5, 4, 0, 0, 10)]
+    got = al.pair_mates(spark.createDataFrame(rows_, schema)).select("read", "transcript", "left", "right", "nm", "isize", "n_mates")
+    want = [("r", "a", 5, 9, 11, 50, 2), ("r", "a", 5, 9, 22, 51, 2), ("r", "a", 5, 9, 40, 48, 1), ("r", "b", 5, 9, 3, 7, 1), ("s", "a", 4, 4, 3, 9, 2), ("s", "a", 4, 4, 4, 1, 1), ("s", "a", 4, 5, 0, 0, 1)]
+    assert rows(got) == sorted(want)
+
+
 def test_em_properties(spark, classes):
     lengths = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 0.5)], "transcript string, l double")
     last = -math.inf
