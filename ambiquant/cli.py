@@ -19,29 +19,30 @@ from ambiquant.operators import summaries as sm
 from ambiquant.plans import abundance, comparison
 from ambiquant.plans import collapse as cp
 from ambiquant.session import build, cut, ship
-from ambiquant.sources import hits, tables
+from ambiquant.sources import bam, hits, tables
 from ambiquant.sources import sequences as src
 
 SCALE = 1e-9
 
 
 def make_hits(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Alignments and sequences to a hits file."""
+    """Alignments (SAM text, or BAM if the name ends so) and sequences to a hits file."""
     fasta = src.features_of(src.header_ids(src.read_fasta(spark, a.fasta), a.pattern, a.feature_group, a.gene_group), a.merge_haplotypes)
-    sam = src.read_sam(spark, a.sam)
+    binary = bam.read_bam(spark, a.sam) if a.sam.endswith(".bam") else None
+    sam = binary["alignments"] if binary else src.read_sam(spark, a.sam)
     if a.paired is None:
         a.paired = bool(al.read_probe(sam).first()["paired"])
     sam = al.mapped_pairs(sam) if a.paired else sam.filter(F.col("flag").bitwiseAND(F.lit(4)) == 0)
     known = sam.withColumnsRenamed({"qname": "read", "rname": "transcript"})
     if a.merge_haplotypes:  # before mates meet, which may name different haplotypes
         known = known.withColumn("transcript", src.strip_haplotype("transcript"))
-    order = src.sort_order(spark, a.sam)
+    order = src.order_of(binary["headers"].select(F.explode(F.split("text", "\n")).alias("value"))) if binary else src.sort_order(spark, a.sam)
     if order not in (None, "queryname", "unknown", "unsorted"):
         print(f"note: {a.sam} is sorted by {order}; mates are matched all the same")
     several = [r[0] for r in cl.multiple_genes(fasta).limit(3).collect()]
     if several:
         raise SystemExit(f"features of several genes: {several}")
-    named = src.sam_references(spark, a.sam)
+    named = binary["references"] if binary else src.sam_references(spark, a.sam)
     if a.merge_haplotypes:
         named = named.withColumn("rname", src.strip_haplotype("rname"))
     unknown = src.unknown_references(known.select(F.col("transcript").alias("rname")).union(named).distinct(), fasta).limit(3).collect()

@@ -66,7 +66,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return line.select(
         c[0].alias("qname"), c[1].cast("int").alias("flag"), c[2].alias("rname"), c[3].cast("int").alias("pos"),
         c[7].cast("int").alias("mpos"), c[8].cast("int").alias("tlen"), F.abs(c[8].cast("int")).alias("isize"),
-        F.when(nm == "", 0).otherwise(nm.cast("int")).alias("nm"), F.length(c[9]).alias("read_length"), "ordinal",
+        F.when(nm == "", 0).otherwise(nm.cast("int")).alias("nm"), F.when(c[9] == "*", 0).otherwise(F.length(c[9])).alias("read_length"), "ordinal",
     )
 
 
@@ -78,8 +78,12 @@ def sam_references(spark: SparkSession, path: str) -> DataFrame:
 
 def sort_order(spark: SparkSession, path: str) -> str | None:
     """The sort order that the @HD line names."""
-    head = spark.read.text(path).filter(F.col("value").startswith("@HD") & F.col("value").contains("\tSO:")).first()
-    return head[0].split("\tSO:")[1].split("\t")[0] if head else None
+    return order_of(spark.read.text(path))
+
+
+def order_of(lines: DataFrame) -> str | None:
+    head = lines.filter(F.col("value").startswith("@HD") & F.col("value").contains("\tSO:")).first()
+    return head["value"].split("\tSO:")[1].split("\t")[0] if head else None
 
 
 def chromosomes_of(fasta: DataFrame) -> DataFrame:
