@@ -130,17 +130,16 @@ def format_conversations(turns: DataFrame, parts: str | None = None, chars_per_t
     )
 
 
+def _cut(formatted: str) -> list[Column]:
+    """_role and _body, arrays of the turns' roles and bodies, still escaped."""
+    # roles escape < and >; a body may hold placeholders, never </turn>
+    turn = r"<turn:([^<>]*)>\n" + r"((?:[^<]++|<(?!/turn>))*+)</turn>\n"
+    return [F.regexp_extract_all(formatted, F.lit(turn), F.lit(k)).alias(n) for k, n in ((1, "_role"), (2, "_body"))]
+
+
 def parse_formatted(df: DataFrame) -> DataFrame:
     """Read turns back from `formatted`: adds turns, an array of role and text."""
-    # roles escape < and >; a body may hold placeholders, never </turn>
-    head, body = r"<turn:([^<>]*)>\n", r"((?:[^<]++|<(?!/turn>))*+)</turn>\n"
-    got = df.withColumns(
-        {
-            "_role": F.regexp_extract_all("formatted", F.lit(head + body), F.lit(1)),
-            "_body": F.regexp_extract_all("formatted", F.lit(head + body), F.lit(2)),
-        }
-    )
-    return got.withColumn(
+    return df.select("*", *_cut("formatted")).withColumn(
         "turns",
         F.transform(
             F.arrays_zip("_role", "_body"),
@@ -150,19 +149,30 @@ def parse_formatted(df: DataFrame) -> DataFrame:
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the output."""
-    back = parse_formatted(df).withColumn(
-        "loss",
-        F.array_join(
-            F.transform("loss_spans", lambda s: unescape_text(F.substring(F.col("formatted"), s["start"], s["len"]))), ""
-        ),
-    )
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the output.
+
+    Each conversation is cut into turns once; where a turn's body lies follows from running sums of
+    lengths, and a body is under the mask if a span of it starts and ends there.  So the work is linear in
+    turns.  A span that is no body raises an error.
+    """
+    d = df.select("conv_id", F.length("formatted").cast("bigint").alias("chars"), F.size("loss_spans").alias("spans"), *_cut("formatted"))
+    t = d.select("conv_id", "chars", "spans", F.posexplode_outer(F.arrays_zip("_role", "_body")).alias("n", "z"))
+    t = t.select("conv_id", "chars", "spans", "n", F.col("z._role").alias("role"), F.col("z._body").alias("body"))
+    # a turn is <turn:role>, a line break, its body, </turn> and a line break
+    before = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("at", F.coalesce(F.sum(F.length("role") + F.length("body") + 16).over(before), F.lit(0)) + F.length("role") + 9)
+    span = df.select(F.col("conv_id").alias("_id"), F.explode("loss_spans").alias("s")).select("_id", F.col("s.start").alias("_start"), F.col("s.len").alias("_len"))
+    t = t.join(span, F.col("conv_id").eqNullSafe(F.col("_id")) & (F.col("at") == F.col("_start")) & (F.length("body") == F.col("_len")), "left")
+    turn = F.struct("n", unescape_role(F.col("role")).alias("role"), unescape_text(F.col("body")).alias("text"), F.col("_start").isNotNull().alias("loss"))
+    conv = t.groupBy("conv_id").agg(F.max("chars").alias("chars"), F.max("spans").alias("spans"), F.sort_array(F.collect_list(F.when(F.col("n").isNotNull(), turn))).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
+    learned = F.filter("turns", lambda t: t["loss"])
+    loss = F.when(F.size(learned) == F.col("spans"), F.array_join(F.transform(learned, lambda t: t["text"]), "")).otherwise(F.raise_error(F.lit("a loss span is no turn's body")).cast("string"))
+    return conv.withColumn("loss", loss).select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("bigint").alias("loss_chars"),
         F.sha2(F.col("loss"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("bigint").alias("formatted_chars"),
+        F.col("chars").alias("formatted_chars"),
     )
