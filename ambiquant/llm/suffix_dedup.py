@@ -11,7 +11,9 @@ transforms (BWT):
 2. Shards.  The windows that are left are joined to strings and dealt to buckets by a
    key of their anchor that all blocks know: a label of the anchor's documents, so
    neighbouring windows go together, or, for anchors in HOT documents or more, the anchor
-   itself; strings of a block that are equal are sent once.  The strings of a block for a
+   itself.  Windows whose anchor is in HOTTER documents or more travel alone, dealt by a hash of the
+   whole window: equal ones still meet, and no bucket gets all surroundings of a frequent
+   phrase.  Strings of a block that are equal are sent once.  The strings of a block for a
    bucket are a shard, and what is sent of it is its multi-string BWT.
 3. Merging.  A bucket merges the BWTs of its shards by refining the interleave of their
    suffixes: at first each shard's suffixes follow those of the shard before; after t
@@ -49,8 +51,8 @@ from ambiquant.llm.session import unused
 SPAN = 50
 #: Bytes of an anchor, a multiple of 8.  A window holds SPAN - K + 1 of them.
 K = 24
-#: Documents from which on an anchor's windows are dealt by the anchor alone.
-HOT = 128
+#: Documents from which on an anchor's windows are dealt by the anchor alone, and from which on by the whole window.
+HOT, HOTTER = 128, 4096
 #: Windows in a string at most; longer runs are cut, and overlap by SPAN - 1 bytes.
 LONGEST = 4096
 #: Bytes that are hashed at a time; their arrays stay in a core's cache.
@@ -109,6 +111,15 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return flat, begins, start[good], length[good], anchor[good]
 
 
+def window_keys(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each window, from its words of 8 bytes (the last two overlap)."""
+    rows = np.lib.stride_tricks.as_strided(flat, shape=(len(flat) - 7, 8), strides=(1, 1)) if len(flat) > 7 else np.zeros((0, 8), np.uint8)
+    h = np.zeros(len(at), np.uint64)
+    for k in (*range(0, SPAN - 8, 8), SPAN - 8):
+        h = mix64(h ^ np.ascontiguousarray(rows[at + k]).view(np.uint64).ravel()) * np.uint64(0x9E3779B97F4A7C15)
+    return h
+
+
 def _label(ids: np.ndarray) -> np.ndarray:
     """A positive 31-bit label of a document."""
     return (mix64(ids.astype(np.uint64)) >> np.uint64(33)).astype(np.uint32) | np.uint32(1)
@@ -165,9 +176,18 @@ class Block:
         key = np.empty(len(order), np.uint64)
         key[order] = np.repeat(found, np.diff(np.concatenate([at, [len(order)]])))
         sel = np.nonzero(key)[0]
-        start, length, key, doc = self.start[sel], self.length[sel], key[sel], self.doc[sel]
         if not len(sel):
             return {}, [], []
+        start, length, key, doc = self.start[sel], self.length[sel], key[sel], self.doc[sel]
+        alone = (key >> np.uint64(63) == 1) & (key & np.uint64(1) == 1)
+        if alone.any():
+            n = length[alone]
+            one = np.repeat(start[alone] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            start, length = np.concatenate([start[~alone], one]), np.concatenate([length[~alone], np.ones(len(one), np.int64)])
+            # a key of its own for each window, so that none is joined to its neighbour
+            key, doc = np.concatenate([key[~alone], window_keys(self.flat, one)]), np.concatenate([doc[~alone], np.repeat(doc[alone], n)])
+            order = np.argsort(start, kind="stable")
+            start, length, key, doc = start[order], length[order], key[order], doc[order]
         joins = np.concatenate([[True], (start[1:] != start[:-1] + length[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
         at = np.nonzero(joins)[0]
         total = np.add.reduceat(length, at)
@@ -194,7 +214,8 @@ def _count(starts: np.ndarray, notes: np.ndarray, keys: np.ndarray) -> np.ndarra
     documents = np.add.reduceat(((notes >> np.uint32(1)) & np.uint32(255)).astype(np.int64), starts)
     several = np.bitwise_or.reduceat(notes & np.uint32(1), starts).astype(bool) | (blocks > 1)
     label = np.minimum.reduceat(notes >> np.uint32(9), starts).astype(np.uint64) + np.uint64(1)
-    return np.where(several, np.where(documents >= HOT, keys[starts] | np.uint64(1 << 63), label), np.uint64(0))
+    own = keys[starts] | np.uint64(1 << 63) | (documents >= HOTTER).astype(np.uint64)
+    return np.where(several, np.where(documents >= HOT, own, label), np.uint64(0))
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
