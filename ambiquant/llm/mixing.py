@@ -8,8 +8,9 @@ a weighted random order without replacement: a document's key is Exp(1) / weight
 documents are taken in ascending key order until the budget is used; the document that
 crosses it is taken in part.
 
-The prefix sums are distributed: documents fall in `bins` key ranges of a source, bin
-totals are summed before their shuffle, and only the documents of the one bin that a
+The prefix sums are distributed: documents fall in key ranges of a source, of equal width on a
+logarithmic scale so that the weights' scale doesn't matter (`bins` says how fine); range
+totals are summed before their shuffle, and only the documents of the one range that a
 source's budget ends in are ordered.  No task gets the rows of a source.
 
 Defined results: null text has size 0 and takes no words; a null source is a source of
@@ -69,6 +70,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs
     )
 
 
+def range_of(key: Column, bins: int) -> Column:
+    """The range of a key: an eighth of `bins` for each doubling, so that the densest has some twice the even share of keys, whatever the weights' scale."""
+    return F.floor(F.log2(key) * F.lit(bins / 8)).cast("int")
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, bins: int = 4096, seed: int = 17, quality: str | None = None
 ) -> DataFrame:
@@ -87,8 +93,7 @@ def mix(
     # 48 bits of the hash, in (0, 1)
     u = (F.conv(F.substring(hashed, 1, 12), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 48))
     d = d.withColumn("_key", -F.log(u) / F.col("_quality")).drop("_text", "_words", "_given", "_quality")
-    # 1 - exp(-key) spreads the keys evenly over the bins; the order of keys is kept
-    d = d.withColumn("_bin", F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("_key"))) * bins).cast("int")))
+    d = d.withColumn("_bin", range_of(F.col("_key"), bins))
     d = checkpointed(d)
     per_bin = d.groupBy("_source", "_bin").agg(F.sum("size").alias("_sum"))
     in_source = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
