@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ambiquant.functions import sequences as sq
-from ambiquant.functions.statistics import effective_lengths
+from ambiquant.functions.statistics import effective_lengths, fit_position_weights, positional_lengths
 from ambiquant.operators import alignments as al
 from ambiquant.operators import classes as cl
 from ambiquant.operators import intervals as iv
@@ -56,11 +56,28 @@ def make_hits(spark: SparkSession, a: argparse.Namespace) -> None:
     paired = al.pair_mates(known) if a.paired else known
     reads = al.pipeline(paired, mean, threshold, a.merge_haplotypes, a.paired)
     meta = effective_lengths(fasta.select("transcript", "true_length", "effective_length"), mean, sd).select("transcript", "effective_length", "true_length")
+    if a.fit_positions:
+        probe = al.read_probe(sam).first()
+        weights, intercept, steps = fit_positions(spark, known, fasta)
+        print(f"position weights: {steps} steps, intercept {intercept:.6f}")
+        adjusted = positional_lengths(fasta.select("transcript", "seq"), weights, intercept, probe["read_length"] or 0, a.paired)
+        meta = meta.drop("effective_length").join(adjusted.select("transcript", "effective_length"), "transcript").select("transcript", "effective_length", "true_length")
     if a.lengths:
         meta = tables.adjusted_lengths(meta, spark.read.csv(a.lengths, sep="\t", schema="transcript string, length double"))
     hits.write_text(reads, meta, cl.gene_isoforms(fasta), cl.identical_sets(fasta).withColumnRenamed("members", "transcripts"), a.out)
 
 
+def fit_positions(spark: SparkSession, known: DataFrame, fasta: DataFrame, most: int = 500) -> tuple[dict[str, list[float]], float, int]:
+    """Position weights from the features that are covered best, one of each gene."""
+    total = known.groupBy("transcript").agg(F.count(F.lit(1)).alias("n"))
+    best = sm.coverage_ranking(total, fasta.select("transcript", "gene", F.col("true_length").alias("length"), F.col("transcript").alias("ordinal")), most)
+    own = cut(fasta.join(best.select("transcript"), "transcript", "left_semi").select("transcript", "seq"))
+    at = known.groupBy("transcript", (F.col("pos") - 1).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    places = own.select("transcript", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("i")).join(at, ["transcript", "i"], "left")
+    counts = places.groupBy("transcript").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
+    return fit_position_weights(own.join(counts, "transcript").select("seq", F.col("c.n").alias("counts")))
+
+
 def quantify(spark: SparkSession, a: argparse.Namespace) -> None:
     """A hits file to tables of features, identical sets and genes, and the traces."""
     h = hits.read(spark, a.hits)
@@ -285,6 +302,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--insert-size", type=int, nargs=3, metavar=("MEAN", "SD", "THRESHOLD"))
     c.add_argument("--lengths")
     c.add_argument("--merge-haplotypes", action="store_true")
+    c.add_argument("--fit-positions", action="store_true", help="lengths by position-dependent read starts, fitted to the alignments")
     c.add_argument("--paired", action=argparse.BooleanOptionalAction, help="as the flags of the alignments say, unless given")
     c = command(quantify, "hits", "out")
     for name, value in (("alpha", 0.1), ("beta", 0.1), ("epsilon", 0.1)):

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ambiquant.operators.selection import before
+
 #: Width of the bins by which points find intervals.
 BIN = 1 << 14
 
@@ -29,38 +31,56 @@ def spliced_positions(points: DataFrame, exons: DataFrame) -> DataFrame:
 
 
 def running_offset(events: DataFrame, probes: DataFrame, key: str = "chrom") -> DataFrame:
-    """Probes (key, pos) with offset: the sum of delta of the events before pos."""
-    u = events.select(key, "pos", "delta", F.lit(1).alias("_e")).unionByName(probes.select(key, "pos", F.lit(0).alias("delta"), F.lit(0).alias("_e")))
-    w = Window.partitionBy(key).orderBy("pos", "_e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return u.withColumn("offset", F.sum("delta").over(w)).filter("_e = 0").select(key, "pos", "offset").distinct()
+    """Probes (key, pos) with offset: the sum of delta of the events before pos.  A key is shared by tasks, see selection.before."""
+    u = events.select(key, "pos", F.col("delta").cast("bigint").alias("delta"), F.lit(1).alias("_e"))
+    u = u.unionByName(probes.select(key, "pos", F.lit(0).cast("bigint").alias("delta"), F.lit(0).alias("_e")))
+    summed = before(u, key, ["pos", "_e"], "delta", F.sum, "offset").filter("_e = 0")
+    return summed.select(key, "pos", F.coalesce("offset", F.lit(0).cast("bigint")).alias("offset")).distinct()
+
+
+def islands(intervals: DataFrame, order: list[str]) -> DataFrame:
+    """Adds island: the first pos of the stretch of overlapping intervals (chrom, pos, last) that a row is in.
+
+    A row opens an island if it starts after the last place of all rows before it; nothing overlaps across islands.
+    """
+    opened = before(intervals, "chrom", order, "last", F.max, "_reach").withColumn("_open", F.when(F.col("_reach").isNull() | (F.col("pos") > F.col("_reach")), F.col("pos")))
+    held = before(opened, "chrom", order, "_open", F.max, "_held")
+    return held.withColumn("island", F.coalesce("_open", "_held")).drop("_reach", "_open", "_held")
 
 
 def boundary_map(indels: DataFrame, bounds: DataFrame) -> DataFrame:
     """chrom, pos, new_left, new_right of boundaries after indels (chrom, pos, ref, alt).
 
     A deletion that swallows a boundary moves its left side behind the deletion and its
-    right side before it; only one boundary is swallowed by a deletion.  A chromosome is
-    scanned in one task, in order.
+    right side before it; only one boundary is swallowed by a deletion.  Only islands that have
+    deletions and boundaries are scanned, in order, a task for each; elsewhere the offset is a sum.
     """
+    d = indels.filter(F.length("ref") != F.length("alt")).select("chrom", F.col("pos").cast("int").alias("pos"), (F.length("alt") - F.length("ref")).alias("delta"), "ref", "alt")
+    none = F.lit(None).cast("string")
+    rows = d.withColumn("kind", F.lit(1)).unionByName(bounds.select("chrom", F.col("pos").cast("int").alias("pos"), F.lit(0).alias("delta"), none.alias("ref"), none.alias("alt"), F.lit(0).alias("kind")).distinct())
+    rows = rows.withColumn("last", F.col("pos") + F.greatest(F.lit(0), -F.col("delta")))
+    order = ["pos", "kind", "ref", "alt"]
+    rows = before(islands(rows, order), "chrom", order, "delta", F.sum, "_offset").withColumn("offset", F.coalesce("_offset", F.lit(0)).cast("int"))
+    each = Window.partitionBy("chrom", "island")
+    scanned = rows.withColumn("_scan", (F.max(F.col("delta") < 0).over(each)) & (F.min("kind").over(each) == 0)).select("chrom", "pos", "delta", "kind", "island", "offset", "ref", "alt", "_scan")
 
-    def scan(boundary: pd.DataFrame, indel: pd.DataFrame) -> pd.DataFrame:
-        pending = sorted(set(boundary["pos"])) if len(boundary) else []
-        chrom = boundary["chrom"].iloc[0] if len(boundary) else None
-        rows, i, offset = [], 0, 0
-        for pos, ref, alt in indel.sort_values("pos", kind="stable")[["pos", "ref", "alt"]].itertuples(index=False):
-            delta = len(alt) - len(ref)
+    def scan(df: pd.DataFrame) -> pd.DataFrame:
+        d = df.sort_values(order, kind="stable", na_position="first")
+        pending, moved, shift = d["pos"][d["kind"] == 0].tolist(), [], int(d["offset"].iloc[0])
+        i = 0
+        for pos, delta in d[d["kind"] == 1][["pos", "delta"]].itertuples(index=False):
             while i < len(pending) and pending[i] <= pos:
-                rows.append((chrom, pending[i], pending[i] + offset, pending[i] + offset))
+                moved.append((pending[i], pending[i] + shift, pending[i] + shift))
                 i += 1
             if delta < 0 and i < len(pending) and pending[i] <= pos - delta:
-                rows.append((chrom, pending[i], pos + 1 + offset, pos + offset))
+                moved.append((pending[i], pos + 1 + shift, pos + shift))
                 i += 1
-            offset += delta
-        rows += [(chrom, p, p + offset, p + offset) for p in pending[i:]]
-        return pd.DataFrame(rows, columns=["chrom", "pos", "new_left", "new_right"])
+            shift += delta
+        moved += [(p, p + shift, p + shift) for p in pending[i:]]
+        return pd.DataFrame([(df["chrom"].iloc[0], *m) for m in moved], columns=["chrom", "pos", "new_left", "new_right"])
 
-    sides = bounds.select("chrom", "pos").distinct(), indels.filter(F.length("ref") != F.length("alt")).select("chrom", "pos", "ref", "alt")
-    return sides[0].groupBy("chrom").cogroup(sides[1].groupBy("chrom")).applyInPandas(scan, "chrom string, pos int, new_left int, new_right int")
+    plain = scanned.filter("NOT _scan AND kind = 0").select("chrom", "pos", (F.col("pos") + F.col("offset")).cast("int").alias("new_left"), (F.col("pos") + F.col("offset")).cast("int").alias("new_right"))
+    return plain.unionByName(scanned.filter("_scan").groupBy("chrom", "island").applyInPandas(scan, "chrom string, pos int, new_left int, new_right int"))
 
 
 def offset_exons(exons: DataFrame, indels: DataFrame) -> DataFrame:
@@ -75,7 +95,10 @@ def offset_exons(exons: DataFrame, indels: DataFrame) -> DataFrame:
 
 
 def without_overlaps(indels: DataFrame) -> DataFrame:
-    """Indels by position, without those that overlap the last one kept; a chromosome is scanned in one task."""
+    """Indels by position, without those that overlap the last one kept; only islands of several are scanned, a task for each."""
+    columns = indels.columns
+    marked = islands(indels.withColumn("last", F.col("pos") + F.length("ref") - 1), ["pos", "ref", "alt"])
+    marked = marked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("chrom", "island")))
 
     def scan(df: pd.DataFrame) -> pd.DataFrame:
         keep, last = [], -1
@@ -84,9 +107,9 @@ def without_overlaps(indels: DataFrame) -> DataFrame:
             ok = pos > last
             keep.append(ok)
             last = pos + len(ref) - 1 if ok else last
-        return d[keep]
+        return d[keep][columns]
 
-    return indels.groupBy("chrom").applyInPandas(scan, indels.schema)
+    return marked.filter("_n = 1").select(columns).unionByName(marked.filter("_n > 1").groupBy("chrom", "island").applyInPandas(scan, indels.schema))
 
 
 def spans(exons: DataFrame) -> DataFrame:

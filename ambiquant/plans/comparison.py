@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ambiquant.functions.statistics import log_gamma
+
 K, Q, R = 4.0, 1.2, 2.0
 V_ALPHA, V_BETA = 25.0, 4.0
 WALK_SD, TUNE_BATCH, TUNE_BOUND, MOST_BATCHES = 2.0, 128, math.log(7 / 3), 8192
@@ -170,7 +172,7 @@ class Sampler:
         t, q = self.state[m], self.pseudo[m]
         normal = lambda x, c: -np.log(c[1]) - 0.5 * ((x - c[0]) / c[1]) ** 2
         out = np.zeros(len(self.y)) if self.fix_alpha else normal(t["alpha"], q["alpha"])
-        lg = np.vectorize(math.lgamma)
+        lg = log_gamma
         if self.has_m:
             out = out + normal(t["beta"], q["beta"]).sum(1)
         if self.has_p[m]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ambiquant.functions import sequences as sq
-from ambiquant.functions.statistics import bayes_factor, effective_lengths, posterior_probability, sokal_udf
+from ambiquant.functions.statistics import bayes_factor, effective_lengths, positional_lengths, posterior_probability, sokal_udf
 from ambiquant.operators import alignments as al
 from ambiquant.operators import classes as cl
 from ambiquant.operators import intervals as iv
@@ -260,6 +260,18 @@ def eff_length(s, d):
     return effective_lengths(f, 180.0, 25.0).select("doc_id", "true_length", F.round("effective_length", 6).alias("effective_length"))
 
 
+#: Weights of the bases around a position, by a rule.
+WEIGHTS = {b: [((7 * k + 3 * i) % 11 - 5) / 100 for k in range(41)] for i, b in enumerate("ACGT")}
+
+
+@query
+def positional_length(s, d):
+    """Texts of turns stand for sequences: some letters are read as bases."""
+    seq = F.translate(F.coalesce("text", F.lit("")), "eariotnslcudpmhg", "ACGTACGTACGTACGT")
+    f = positional_lengths(table(s, d, "conversations").select("conv_id", "turn", seq.alias("seq")), WEIGHTS, 0.1, 4)
+    return f.select("conv_id", "turn", F.round("effective_length", 4).alias("effective_length"))
+
+
 @query
 def gibbs_summary(s, d):
     c = _part_classes(s, d)

@@ -52,6 +52,11 @@ g AS (SELECT set_id, sum(seen::INT) AS observed, count(*) AS n, avg(p_size) / 10
   arg_min(l, CAST(p_partkey AS VARCHAR)) AS fl, arg_min(p_size * 10, CAST(p_partkey AS VARCHAR)) AS tl FROM p GROUP BY 1)"""
 
 SQL = {
+    "positional_length": """WITH c AS (SELECT row_number() OVER () AS r, conv_id, turn, translate(coalesce(text, ''), 'eariotnslcudpmhg', 'ACGTACGTACGTACGT') AS s FROM conversations),
+        p AS (SELECT r, length(s) AS n, i, strpos('ACGT', substr(s, i + 1, 1)) - 1 AS b FROM c, unnest(range(length(s))) AS u(i)),
+        w AS (SELECT r, i - k AS w, sum(CASE WHEN b >= 0 THEN ((7 * k + 3 * b) % 11 - 5) / 100.0::DOUBLE ELSE 0 END) AS t FROM p, unnest(range(41)) AS v(k) WHERE i - k BETWEEN 1 AND n - 41 GROUP BY 1, 2),
+        e AS (SELECT r, sum(exp(t + 0.1::DOUBLE)) AS e FROM w GROUP BY 1)
+        SELECT conv_id, turn, round(CASE WHEN length(s) < 41 THEN length(s) ELSE greatest(0.1::DOUBLE, 40 + coalesce(e, 0) - 4) END, 4) AS effective_length FROM c LEFT JOIN e USING (r)""",
     "eff_length": f"""WITH {PHI} SELECT doc_id, CAST(n_chars AS INT) AS true_length,
         round(greatest(0.1::DOUBLE, coalesce((SELECT s FROM phi WHERE f = least(n_chars, 420)), 0) + greatest(0, n_chars - 420) - n_chars * {_A0!r}::DOUBLE), 6) AS effective_length FROM documents""",
     "permuted_samples": f"""WITH {X}, n1 AS (SELECT feature, sample, uh, row_number() OVER (PARTITION BY feature ORDER BY sample) AS i FROM x),

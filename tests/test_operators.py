@@ -1,6 +1,7 @@
 """Small cases worked by hand."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from ambiquant.operators import alignments as al
 from ambiquant.operators import classes as cl
 from ambiquant.operators import intervals as iv
 from ambiquant.operators import summaries as sm
-from ambiquant.operators.selection import nth, with_rank
+from ambiquant.operators.selection import before, nth, with_rank
 from ambiquant.plans import abundance, collapse, comparison
 from ambiquant.session import cut
 from ambiquant.sources import sequences as src
@@ -166,6 +167,93 @@ def test_statistics(spark):
     assert v.select(sm.nearest_rank("values", 50)).first()[0] == 513
 
 
+def test_special_functions(spark):
+    x = np.concatenate([np.linspace(-37, 9, 301), [0.0, -0.7071, 0.7072, 1e-9]])
+    want = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
+    assert np.abs(st.normal_cdf_array(x) / want - 1).max() < 1e-12
+    got = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double").select("x", st.normal_cdf(F.col("x")).alias("y")).collect()
+    assert max(abs(r["y"] / w - 1) for r, w in zip(got, want)) < 1e-12 and got[-2]["y"] is None and math.isnan(got[-1]["y"])
+    p = np.concatenate([10.0 ** np.linspace(-9, -0.31, 60), 1 - 10.0 ** np.linspace(-9, -0.31, 60), [0.5]])
+    assert max(abs(a - NormalDist().inv_cdf(b)) for a, b in zip(st.quantiles(p), p)) < 1e-12
+    y = np.concatenate([np.linspace(0.01, 30, 99), 10.0 ** np.linspace(1, 8, 20)])
+    assert all(abs(a - math.lgamma(b)) < 1e-12 * max(1, abs(math.lgamma(b))) for a, b in zip(st.log_gamma(y), y))
+
+
+def test_position_weights_equal_a_dense_solve(spark):
+    """Newton's method with the rates of features as parameters of their own, on the whole matrix."""
+    rng = np.random.default_rng(6)
+    true = rng.normal(0, 0.15, (3, 41))
+    seqs, counts, blocks, ys = [], [], [], []
+    for f in range(5):
+        code = rng.integers(0, 5 if f == 4 else 4, 700)
+        near = np.lib.stride_tricks.sliding_window_view(code[1:], 41)[: 700 - 41]
+        x = np.concatenate([near == k for k in range(3)], axis=1).astype(float)
+        y = np.zeros(700, int)
+        y[21 : 21 + len(x)] = rng.poisson(np.exp(x @ true.ravel()) * (2 + 3 * f))
+        seqs.append("".join("ACGTN"[c] for c in code))
+        counts.append(y.tolist())
+        blocks.append(x)
+        ys.append(y[21 : 21 + len(x)])
+    d = spark.createDataFrame([*zip(seqs, counts), ("ACGT" * 50, [0] * 200), ("ACG", [9, 9, 9]), (None, [1])], "seq string, counts array<int>")
+    weights, intercept, steps = st.fit_position_weights(d.repartition(4))
+    x = np.hstack([np.vstack(blocks), np.repeat(np.eye(5), [len(b) for b in blocks], axis=0)])
+    y, b = np.concatenate(ys), np.concatenate([np.zeros(123), np.log([v.mean() for v in ys])])
+    for _ in range(60):
+        mu = np.exp(x @ b)
+        move = np.linalg.lstsq(x.T @ (x * mu[:, None]), x.T @ (y - mu), rcond=1e-10)[0]
+        b += move * min(1.0, 2.0 / max(1e-12, np.abs(move).max()))
+    got = np.array([weights[c] for c in "ACG"])
+    assert np.abs(got.ravel() - b[:123]).max() < 1e-6 and weights["T"] == [0.0] * 41 and steps < 20
+    assert np.corrcoef(got.ravel(), true.ravel())[0, 1] > 0.8
+    rates = np.exp(np.vstack(blocks) @ got.ravel() + intercept)
+    assert abs(rates.mean() - 1) < 1e-9
+    lengths = {r["seq"]: r["effective_length"] for r in st.positional_lengths(d, weights, intercept, 30).collect()}
+    assert abs(sum(lengths[s] - 40 + 30 for s in seqs) / len(rates) - 1) < 1e-9 and lengths["ACG"] == 3 and lengths[None] == 0
+    assert abs(st.positional_lengths(spark.createDataFrame([("A" * 100,)], "seq string"), [0.0] * 41, 0.0, 1, False).first()[1] - 99) < 1e-9
+
+
+def test_sums_and_maxima_before_rows(spark):
+    rng = np.random.default_rng(8)
+    rows_ = [(None if k % 50 == 0 else "big" if k % 3 else f"k{k % 7}", int(p), k, None if k % 11 == 0 else int(v)) for k, (p, v) in enumerate(zip(rng.integers(0, 400, 900), rng.integers(-5, 9, 900)))]
+    d = spark.createDataFrame(rows_, "key string, pos int, id int, v int").repartition(6)
+    for how, plain in ((F.sum, sum), (F.max, max), (F.min, min)):
+        got = {r["id"]: r["x"] for r in before(d, "key", ["pos", "id"], "v", how, "x").collect()}
+        for key, p, k, _ in rows_:
+            earlier = [v for a, b, c, v in rows_ if a == key and (b, c) < (p, k) and v is not None]
+            assert got[k] == (plain(earlier) if earlier else None)
+
+
+def boundaries_plainly(indels, bounds):
+    """A boundary after the indels of its chromosome, one after another."""
+    pending, out, shift, i = sorted(set(bounds)), {}, 0, 0
+    for pos, ref, alt in sorted(indels):
+        delta = len(alt) - len(ref)
+        while i < len(pending) and pending[i] <= pos:
+            out[pending[i]] = (pending[i] + shift,) * 2
+            i += 1
+        if delta < 0 and i < len(pending) and pending[i] <= pos - delta:
+            out[pending[i]] = (pos + 1 + shift, pos + shift)
+            i += 1
+        shift += delta
+    return out | {p: (p + shift,) * 2 for p in pending[i:]}
+
+
+def test_islands_and_boundaries(spark):
+    rng = np.random.default_rng(9)
+    indels = [(c, int(p), "A" * int(rng.integers(1, 9)), "A" * int(rng.integers(1, 4))) for c in "xy" for p in sorted(set(rng.integers(1, 600, 120).tolist()))]
+    indels += [("x", 700, "A" * 60, "A"), ("x", 710, "AAA", "A"), ("x", 730, "A", "AAA"), ("z", 5, "AAA", "A")]
+    bounds = [(c, int(p)) for c in "xyw" for p in rng.integers(1, 800, 150)] + [("x", p) for p in (701, 705, 711, 712, 731, 760, 761)]
+    got = iv.boundary_map(spark.createDataFrame(indels, "chrom string, pos int, ref string, alt string"), spark.createDataFrame(bounds, "chrom string, pos int"))
+    want = {(c, p): v for c in "xyw" for p, v in boundaries_plainly([i[1:] for i in indels if i[0] == c and len(i[2]) != len(i[3])], [p for d, p in bounds if d == c]).items()}
+    assert {(r["chrom"], r["pos"]): (r["new_left"], r["new_right"]) for r in got.collect()} == want
+    kept, last = [], {}
+    for c, p, ref, alt in sorted(indels):
+        if p > last.get(c, -1):
+            kept.append((c, p, ref, alt))
+            last[c] = p + len(ref) - 1
+    assert rows(iv.without_overlaps(spark.createDataFrame(indels, "chrom string, pos int, ref string, alt string").repartition(5))) == kept
+
+
 def test_sequences(spark):
     one = spark.range(1)
     assert one.select(sq.reverse_complement(F.lit("ACGTN"))).first()[0] == "ACGT"
