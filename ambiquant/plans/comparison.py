@@ -3,15 +3,20 @@
 Model m of a feature: y_i ~ Normal(alpha + M_i beta + P_i eta, e_i^2 + s2 of i's class),
 with priors alpha ~ N(0, 25), beta ~ N(0, v_beta I), eta ~ N(0, lambda), lambda ~
 InvGamma(d, s), s2 ~ InvGamma(k / 2, k rho / 2), rho ~ Gamma(q, r).  A model that is not
-visited draws its parameters from pseudopriors that match burn-in moments, so that jumps
-between models mix.  All features of a batch are updated at once; each feature's random
-numbers come from a stream of its own name, so partitions do not change results.
+visited draws its parameters from pseudopriors that match burn-in moments, one for each class
+and column, so that jumps between models mix.
+
+All features of a batch are updated at once.  A random number is a function of the
+feature's name, the number of its sweep and the place of the draw in it (a counter-based
+generator), so whole arrays are drawn at once, and neither partitions nor the other features
+of a batch change results.  Features that are tuned leave the batch, and cost nothing while others go on.
 """
 
 from __future__ import annotations
 
+import copy
+import hashlib
 import math
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,12 +73,102 @@ def _nil(x: np.ndarray) -> bool:
     return x.shape[1] == 1 and np.ptp(x) < 1e-5
 
 
+def squares(counter: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """64 random bits for each counter and (odd) key: five rounds of squaring and swapping halves."""
+    half = np.uint64(32)
+    with np.errstate(over="ignore"):
+        x = counter * key
+        y, z = x, x + key
+        for plus in (y, z, y):
+            x = x * x + plus
+            x = (x >> half) | (x << half)
+        t = x * x + z
+        x = (t >> half) | (t << half)
+        return t ^ ((x * x + y) >> half)
+
+
+def key_of(seed: int, name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{seed}|{name}".encode(), digest_size=8).digest(), "little") | 1
+
+
+class Draws:
+    """Random arrays of features (rows): each number follows from a feature's key, its tick, the call and its place.
+
+    The calls of a sweep are the same in all sweeps of a phase, so a call draws for AHEAD sweeps at once; `clear` begins
+    another phase.  What is drawn ahead and not used is drawn again, alike, when its tick comes.
+    """
+
+    AHEAD = 32
+
+    def __init__(self, keys: np.ndarray, ticks: np.ndarray):
+        self.keys, self.ticks = keys, ticks
+        self.clear()
+
+    def clear(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.calls = self.place = 0
+
+    def next_sweep(self) -> None:
+        self.ticks = self.ticks + np.uint64(1)
+        self.place = (self.place + 1) % self.AHEAD if self.held else 0
+        if self.place == 0:
+            self.held = []
+        self.calls = 0
+
+    def rows(self, at: np.ndarray) -> Draws:
+        out = Draws(self.keys[at], self.ticks[at])
+        out.held, out.calls, out.place = [x[at] for x in self.held], self.calls, self.place
+        return out
+
+    def _uniform(self, counter: np.ndarray, keys: np.ndarray, attempt: int) -> np.ndarray:
+        """In (0, 1), both ends out."""
+        return ((squares(counter | np.uint64(attempt), keys) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+    def _normal(self, counter: np.ndarray, keys: np.ndarray, attempt: int) -> np.ndarray:
+        return np.sqrt(-2 * np.log(self._uniform(counter, keys, attempt))) * np.cos(2 * math.pi * self._uniform(counter, keys, attempt + 1))
+
+    def _gamma(self, counter: np.ndarray, keys: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Marsaglia and Tsang's method; what is rejected tries again with numbers of its own."""
+        d = np.where(a < 1, a + 1, a) - 1 / 3
+        c, out, open_ = 1 / np.sqrt(9 * d), np.empty(len(a)), np.arange(len(a))
+        for attempt in range(0, 240, 3):
+            z, u = self._normal(counter[open_], keys[open_], attempt), self._uniform(counter[open_], keys[open_], attempt + 2)
+            v = (1 + c[open_] * z) ** 3
+            good = v > 0
+            good &= np.log(u) < 0.5 * z * z + d[open_] * (1 - v + np.log(np.where(good, v, 1.0)))
+            out[open_[good]] = (d[open_] * v)[good]
+            open_ = open_[~good]
+            if not len(open_):
+                break
+        small = np.nonzero(a < 1)[0]
+        if len(small):
+            out[small] *= self._uniform(counter[small], keys[small], 255) ** (1 / a[small])
+        return out
+
+    def draw(self, kind: str, *shape: int, a: np.ndarray | float | None = None) -> np.ndarray:
+        """Features by shape: normal ("n"), uniform ("u") or gamma ("g", with shapes a) numbers."""
+        self.calls += 1
+        if self.calls > len(self.held):
+            f, n, ahead = len(self.keys), math.prod(shape), self.AHEAD - self.place
+            ticks = self.ticks[:, None] + np.arange(ahead, dtype=np.uint64)
+            counter = (ticks[:, :, None] << np.uint64(28)) | np.uint64(self.calls << 20) | (np.arange(n, dtype=np.uint64) << np.uint64(8))
+            keys = np.repeat(self.keys, ahead * n)
+            if kind == "g":
+                a = np.broadcast_to(np.broadcast_to(np.asarray(a, float), (f, *shape)).reshape(f, 1, n), (f, ahead, n)).ravel()
+                x = self._gamma(counter.ravel(), keys, a)
+            else:
+                x = (self._normal if kind == "n" else self._uniform)(counter.ravel(), keys, 0)
+            # places before this one are past
+            self.held.append(np.concatenate([np.zeros((f, self.place, *shape)), x.reshape(f, ahead, *shape)], axis=1))
+        return self.held[self.calls - 1][:, self.place]
+
+
 class Sampler:
     """State of a batch of features: arrays are features by what they index."""
 
-    def __init__(self, y: np.ndarray, e: np.ndarray, design: Design, pdash: float, d: float, s: float, fix_alpha: bool, streams: list[np.random.Generator]):
+    def __init__(self, y: np.ndarray, e: np.ndarray, design: Design, pdash: float, d: float, s: float, fix_alpha: bool, draws: Draws):
         self.y, self.e2, self.g, self.d, self.s, self.fix_alpha = y, e * e, design, d, s, fix_alpha
-        self.streams, f = streams, len(y)
+        self.draws, f = draws, len(y)
         self.v_beta = V_ALPHA if fix_alpha else V_BETA
         self.has_m, self.has_p = not _nil(design.m), [not _nil(p) for p in design.p]
         self.classes = [int(c.max()) + 1 for c in design.c]
@@ -88,13 +183,23 @@ class Sampler:
         self.gamma = np.zeros(f, int)
         self.logit = np.full(f, math.log(pdash / (1 - pdash)))
 
-    def _draw(self, kind: str, *shape: int, a: np.ndarray | None = None) -> np.ndarray:
-        """Random numbers, each feature's from its own stream."""
-        out = np.empty((len(self.streams), *shape))
-        for i, rng in enumerate(self.streams):
-            out[i] = rng.standard_normal(shape) if kind == "n" else rng.random(shape) if kind == "u" else rng.standard_gamma(a[i], shape)
+    def rows(self, at: np.ndarray) -> Sampler:
+        """The chains of some of the features, as they stand."""
+        out = copy.copy(self)
+        out.y, out.e2, out.gamma, out.logit = self.y[at], self.e2[at], self.gamma[at], self.logit[at]
+        out.draws = self.draws.rows(at)
+        out.state = [{k: v[at] for k, v in t.items()} for t in self.state]
+        cut = lambda v: tuple(x[at] for x in v) if isinstance(v, tuple) else v[at]
+        out.pseudo = self.pseudo and [{k: cut(v) for k, v in q.items()} for q in self.pseudo]
         return out
 
+    def put(self, at: np.ndarray, other: Sampler, own: np.ndarray) -> None:
+        """Takes the chains `own` of another batch back as those of the features `at`."""
+        self.gamma[at], self.logit[at], self.draws.ticks[at] = other.gamma[own], other.logit[own], other.draws.ticks[own]
+        for t, o in zip(self.state, other.state):
+            for k in t:
+                t[k][at] = o[k][own]
+
     def fit(self, m: int) -> np.ndarray:
         t = self.state[m]
         return t["alpha"][:, None] + t["beta"] @ self.g.m.T + t["eta"] @ self.g.p[m].T
@@ -114,7 +219,7 @@ class Sampler:
         if not self.fix_alpha:
             w = self.weights(m)
             v = 1 / (w.sum(1) + 1 / V_ALPHA)
-            z = self._draw("n")
+            z = self.draws.draw("n")
             rest = self.y - self.fit(m) + t["alpha"][:, None]
             mixed("alpha", v * (w * rest).sum(1) + np.sqrt(v) * z, lambda: q["alpha"][0] + q["alpha"][1] * z)
         if self.has_m:
@@ -122,12 +227,12 @@ class Sampler:
             a = np.einsum("ij,fi,ik->fjk", x, w, x) + np.eye(x.shape[1]) / self.v_beta
             rest = self.y - self.fit(m) + t["beta"] @ x.T
             mean = np.linalg.solve(a, np.einsum("ij,fi->fj", x, w * rest)[..., None])[..., 0]
-            z = self._draw("n", x.shape[1])
+            z = self.draws.draw("n", x.shape[1])
             low = np.linalg.cholesky(a)
             own = mean + np.linalg.solve(np.swapaxes(low, 1, 2), z[..., None])[..., 0]
             mixed("beta", own, lambda: q["beta"][0] + q["beta"][1] * z)
         if self.has_p[m]:
-            p, z = self.g.p[m], self._draw("n", self.g.p[m].shape[1])
+            p, z = self.g.p[m], self.draws.draw("n", self.g.p[m].shape[1])
             old = t["eta"].copy()
             for c in range(p.shape[1]):
                 w = self.weights(m)
@@ -136,11 +241,11 @@ class Sampler:
                 t["eta"][:, c] = v * ((w * rest) @ p[:, c]) + np.sqrt(v) * z[:, c]
             own, t["eta"] = t["eta"], old
             mixed("eta", own, lambda: q["eta"][0] + q["eta"][1] * z)
-            shape = np.where(real, self.d + 0.5, q["lam_shape"] if q else self.d + 0.5)
-            gam = self._draw("g", p.shape[1], a=shape)
-            mixed("lam", (self.s + t["eta"] ** 2 / 2) / gam, lambda: q["lam_rate"] / gam)
+            gam = self.draws.draw("g", p.shape[1], a=self.d + 0.5)
+            other = q and self.draws.draw("g", p.shape[1], a=q["lam_shape"])
+            mixed("lam", (self.s + t["eta"] ** 2 / 2) / gam, lambda: q["lam_rate"] / other)
         n = self.classes[m]
-        z, u = self._draw("n", n), self._draw("u", n)
+        z, u = self.draws.draw("n", n), self.draws.draw("u", n)
         new = t["s2"] * np.exp(WALK_SD * z)
         res2, cls = (self.y - self.fit(m)) ** 2, self.g.c[m]
         one = (self.e2 + new[:, cls], self.e2 + t["s2"][:, cls])
@@ -148,13 +253,13 @@ class Sampler:
         ratio = term @ (cls[:, None] == np.arange(n)) - K * t["rho"][:, None] / 2 * (1 / new - 1 / t["s2"]) - K / 2 * (np.log(new) - np.log(t["s2"]))
         own = np.where(ratio > np.log(u), new, t["s2"])
         if q is not None:
-            gam = self._draw("g", n, a=q["s2_shape"].mean(axis=1))
+            gam = self.draws.draw("g", n, a=q["s2_shape"])
             mixed("s2", own, lambda: q["s2_rate"] / gam)
         else:
             t["s2"] = own
-        shape = np.where(real, n * K / 2 + Q, q["rho_shape"] if q else n * K / 2 + Q)
-        gam = self._draw("g", a=shape)
-        mixed("rho", gam / (R + K / 2 * (1 / t["s2"]).sum(1)), lambda: gam / q["rho_rate"])
+        gam = self.draws.draw("g", a=n * K / 2 + Q)
+        other = q and self.draws.draw("g", a=q["rho_shape"])
+        mixed("rho", gam / (R + K / 2 * (1 / t["s2"]).sum(1)), lambda: other / q["rho_rate"])
 
     def log_posterior(self, m: int) -> np.ndarray:
         t, n = self.state[m], self.classes[m]
@@ -172,26 +277,26 @@ class Sampler:
         t, q = self.state[m], self.pseudo[m]
         normal = lambda x, c: -np.log(c[1]) - 0.5 * ((x - c[0]) / c[1]) ** 2
         out = np.zeros(len(self.y)) if self.fix_alpha else normal(t["alpha"], q["alpha"])
-        lg = log_gamma
         if self.has_m:
             out = out + normal(t["beta"], q["beta"]).sum(1)
         if self.has_p[m]:
-            a = q["lam_shape"][:, None]
+            a = q["lam_shape"]
             out = out + normal(t["eta"], q["eta"]).sum(1)
-            out = out + (a * np.log(q["lam_rate"]) - lg(a) - (a + 1) * np.log(t["lam"]) - q["lam_rate"] / t["lam"]).sum(1)
-        a = q["s2_shape"].mean(axis=1)[:, None]
-        out = out + (a * np.log(q["s2_rate"]) - lg(a) - (a + 1) * np.log(t["s2"]) - q["s2_rate"] / t["s2"]).sum(1)
+            out = out + (q["lam_log"] - (a + 1) * np.log(t["lam"]) - q["lam_rate"] / t["lam"]).sum(1)
+        a = q["s2_shape"]
+        out = out + (q["s2_log"] - (a + 1) * np.log(t["s2"]) - q["s2_rate"] / t["s2"]).sum(1)
         a = q["rho_shape"]
-        return out + a * np.log(q["rho_rate"]) - lg(a) + (a - 1) * np.log(t["rho"]) - q["rho_rate"] * t["rho"]
+        return out + q["rho_log"] + (a - 1) * np.log(t["rho"]) - q["rho_rate"] * t["rho"]
 
     def jump(self) -> np.ndarray:
         """Updates the model; returns the log odds of model 1."""
         lo = self.log_posterior(1) + self.log_pseudo(0) - self.log_posterior(0) - self.log_pseudo(1) + self.logit
-        u = self._draw("u")
+        u = self.draws.draw("u")
         self.gamma = (np.log(u / (1 - u)) < lo).astype(int)
         return lo
 
     def sweep(self, burn: bool) -> np.ndarray | None:
+        self.draws.next_sweep()
         for m in (0, 1):
             self.update(m, burn)
         return None if burn else self.jump()
@@ -199,6 +304,7 @@ class Sampler:
     def burn_in(self, iterations: int) -> None:
         sums: list[dict] = [{}, {}]
         count = 0
+        self.draws.clear()
         for it in range(iterations):
             self.sweep(True)
             if it < min(FIRST_RECORDED, iterations // 2):
@@ -221,45 +327,34 @@ class Sampler:
                     mz, ml = a[2] / count, a[3] / count
                     s = np.maximum(np.log(mz) - ml, 1e-9)
                     shape = (3 - s + np.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
-                    if name != "rho":
-                        pooled = shape.mean(axis=1)
-                        q[f"{name}_shape"] = pooled if name == "lam" else np.repeat(pooled[:, None], shape.shape[1], axis=1)
-                        q[f"{name}_rate"] = pooled[:, None] / mz
-                    else:
-                        q["rho_shape"], q["rho_rate"] = shape, shape / mz
+                    q[f"{name}_shape"], q[f"{name}_rate"] = shape, shape / mz
+                    q[f"{name}_log"] = shape * np.log(shape / mz) - log_gamma(shape)  # of the density, what does not change
             self.pseudo.append(q)
 
-    def _row(self, i: int) -> dict:
-        """What a feature's chain is: its state, model and stream."""
-        return {"state": [{k: v[i].copy() for k, v in t.items()} for t in self.state], "gamma": self.gamma[i], "stream": self.streams[i].bit_generator.state}
-
-    def _set_row(self, i: int, row: dict) -> None:
-        for t, own in zip(self.state, row["state"]):
-            for k, v in own.items():
-                t[k][i] = v
-        self.gamma[i] = row["gamma"]
-        self.streams[i].bit_generator.state = row["stream"]
-
     def tune(self, most: int) -> np.ndarray:
         """Moves the prior log odds until both models are visited; returns which features are tuned.
 
-        A tuned feature's chain goes on from where it was tuned, however long others of the batch take.
+        A tuned feature leaves the batch: its chain goes on from where it was tuned, and only the others are swept.
         """
-        done = np.zeros(len(self.y), bool)
-        kept: dict[int, dict] = {}
+        done, at, left = np.zeros(len(self.y), bool), np.arange(len(self.y)), self
+        self.draws.clear()
         for batch in range(most):
-            lo = np.mean([self.sweep(False) for _ in range(TUNE_BATCH)], axis=0)
-            for i in np.nonzero(~done & (np.abs(lo) < TUNE_BOUND))[0].tolist():
-                kept[i] = self._row(i)
-                done[i] = True
-            if done.all():
-                break
-            self.logit = np.where(done, self.logit, self.logit - np.sign(lo) / math.sqrt(2 + batch))
-        for i, row in kept.items():
-            self._set_row(i, row)
+            lo = np.mean([left.sweep(False) for _ in range(TUNE_BATCH)], axis=0)
+            tuned = np.abs(lo) < TUNE_BOUND
+            if tuned.any():
+                done[at[tuned]] = True
+                if left is not self:
+                    self.put(at[tuned], left, np.nonzero(tuned)[0])
+                if tuned.all():
+                    return done
+                at, left, lo = at[~tuned], left.rows(np.nonzero(~tuned)[0]), lo[~tuned]
+            left.logit = left.logit - np.sign(lo) / math.sqrt(2 + batch)
+        if left is not self:
+            self.put(at, left, np.arange(len(at)))
         return done
 
     def sample(self, iterations: int) -> dict[str, np.ndarray]:
+        self.draws.clear()
         seen = np.zeros(len(self.y))
         sums = [{k: np.zeros_like(v) for k, v in s.items()} for s in self.state]
         for _ in range(iterations):
@@ -309,8 +404,8 @@ def compare(
         for b in batches:
             for lo in range(0, len(b), batch):
                 part = b.iloc[lo : lo + batch]
-                streams = [np.random.Generator(np.random.PCG64([seed, zlib.crc32(str(n).encode())])) for n in part["feature"]]
-                t = Sampler(np.stack(part["y"]), np.stack(part["e"]), design, pdash, d, s, fix_alpha, streams)
+                keys = np.array([key_of(seed, str(n)) for n in part["feature"]], np.uint64)
+                t = Sampler(np.stack(part["y"]), np.stack(part["e"]), design, pdash, d, s, fix_alpha, Draws(keys, np.zeros(len(keys), np.uint64)))
                 t.burn_in(burnin)
                 tuned = t.tune(tune_batches)
                 got = t.sample(iterations)

@@ -321,6 +321,61 @@ def test_comparison_does_not_depend_on_batch_mates(spark):
         assert abs(r["posterior_probability"] - alone[f]["posterior_probability"]) < 1e-6
 
 
+def test_counter_based_draws():
+    """Moments and quantiles of each kind, independence of neighbours, and rows that do not depend on others."""
+    keys = np.array([comparison.key_of(1, f"f{k}") for k in range(400)], np.uint64)
+    d = comparison.Draws(keys, np.zeros(400, np.uint64))
+    d.next_sweep()
+    u, z = d.draw("u", 50), d.draw("n", 50)
+    assert 0 < u.min() and u.max() < 1 and np.abs(np.histogram(u, 20, (0, 1))[0] / 1000 - 1).max() < 0.15
+    assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.02 and abs((z**4).mean() - 3) < 0.2
+    assert abs(np.corrcoef(u[:, :-1].ravel(), u[:, 1:].ravel())[0, 1]) < 0.03 and abs(np.corrcoef(u[:-1].ravel(), u[1:].ravel())[0, 1]) < 0.03
+    a = np.tile([0.3, 1.0, 2.5, 40.0], (400, 20))
+    g = d.draw("g", 80, a=a)
+    for k in range(4):
+        x = g[:, k::4]
+        assert abs(x.mean() / a[0, k] - 1) < 0.05 and abs(x.var() / a[0, k] - 1) < 0.12
+    one = comparison.Draws(keys[7:9], np.zeros(2, np.uint64))
+    one.next_sweep()
+    assert (one.draw("u", 50) == u[7:9]).all() and (one.draw("n", 50) == z[7:9]).all() and (one.draw("g", 80, a=a[7:9]) == g[7:9]).all()
+    d.next_sweep()
+    assert abs(np.corrcoef(d.draw("u", 50).ravel(), u.ravel())[0, 1]) < 0.03
+
+
+def test_bayes_factors_agree_with_integration(spark):
+    """Means and coefficients are integrated out exactly, variances by draws from their priors."""
+    rng = np.random.default_rng(12)
+    y = np.array([[0.1, -0.2, 0.05, 1.1, 0.9, 1.3], [0.3, 0.1, -0.4, 0.2, -0.1, 0.3]])
+    e = np.full((2, 6), 0.2)
+    n, g = 400_000, comparison.two_groups(3, 3)
+    rho = rng.gamma(comparison.Q, 1 / comparison.R, n)
+    want = []
+    for f in range(2):
+        marginal = []
+        for m in (0, 1):
+            classes = int(g.c[m].max()) + 1
+            s2 = (comparison.K * rho[:, None] / 2) / rng.gamma(comparison.K / 2, 1, (n, classes))
+            lam = 2.0 / rng.gamma(1.4, 1, n)
+            var = e[f] ** 2 + s2[:, g.c[m]]
+            cols = [(np.ones(6), np.full(n, comparison.V_ALPHA))] + ([(g.p[1][:, 0], lam)] if m else [])
+            log = -0.5 * (np.log(2 * np.pi * var) + y[f] ** 2 / var).sum(1)
+            # one normal coefficient after another is integrated out of the precision matrix
+            a = np.zeros((n, len(cols), len(cols)))
+            b = np.zeros((n, len(cols)))
+            for i, (x, v) in enumerate(cols):
+                b[:, i] = (x * y[f] / var).sum(1)
+                log -= 0.5 * np.log(v)
+                for j, (w, _) in enumerate(cols):
+                    a[:, i, j] = (x * w / var).sum(1) + (1 / v if i == j else 0)
+            log += -0.5 * np.log(np.linalg.det(a)) + 0.5 * np.einsum("ni,ni->n", b, np.linalg.solve(a, b[..., None])[..., 0])
+            marginal.append(np.exp(log).mean())
+        want.append(marginal[1] / marginal[0])
+    long = spark.createDataFrame([(f"f{i}", f"s{k}", float(y[i, k]), 0.2) for i in range(2) for k in range(6)], "feature string, sample string, y double, e double")
+    got = {r["feature"]: r for r in comparison.compare(long, [f"s{k}" for k in range(6)], g, burnin=2048, iterations=16384).collect()}
+    for i in range(2):
+        assert got[f"f{i}"]["tuned"] and abs(math.log(got[f"f{i}"]["bayes_factor"] / want[i])) < 0.2, (i, got[f"f{i}"]["bayes_factor"], want[i])
+
+
 def test_common_set_and_bound_factors(spark):
     t = spark.createDataFrame([("a_A", 1), ("b_A", 2)], "feature string, x int")
     names = spark.createDataFrame([("b", 1), ("z", 2), ("a", 3)], "feature string, ordinal int")
