@@ -254,7 +254,7 @@ def hits_to_text(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def hits_to_binary(spark: SparkSession, a: argparse.Namespace) -> None:
-    """A hits file, of either form, to one binary file."""
+    """A hits file, of either form, to the parts of a binary file (cat joins them)."""
     hits.write_binary(hits.read(spark, a.hits), a.out)
 
 

@@ -13,12 +13,15 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
-from pathlib import Path
+from itertools import chain, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ambiquant.session import cut
+
 #: The first line of the files written here; readers go by the schema number, whatever it says.
 MAGIC = "AMBIQUANT_HITS"
 #: Fixed values of the binary layout: its schema number, and the byte before a length of 255 or more.
@@ -27,6 +30,8 @@ READS = "read string, transcripts array<string>"
 #: Rows of the three sections of a header.
 HEADER = "section string, name string, effective_length double, true_length int, transcripts array<string>"
 STEP = 1 << 16
+#: Fixed values of deflate and zlib: what ends a segment, an empty last block, and the modulus of checksums.
+MARK, END, ADLER = b"\0\0\xff\xff", b"\x03\0", 65521
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
@@ -229,53 +234,174 @@ def from_binary(bodies: DataFrame, batch: int = 10_000) -> DataFrame:
     return bodies.select(column).mapInPandas(run, READS)
 
 
-def read_binary(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The parts of binary files, as read_text gives them.
-
-    A file is one stream and so one task, and, as Spark reads it whole, at most 2 GB as
-    packed; larger inputs come as several files, or as Parquet.
+def _segment(raw: bytes) -> bytes:
+    """Deflated bytes that need nothing before them and end where a byte ends, without the mark of that."""
+    c = zlib.compressobj(1, zlib.DEFLATED, -15)
+    return (c.compress(raw) + c.flush(zlib.Z_FULL_FLUSH))[: -len(MARK)]
+
+
+def _inflated(piece: bytes) -> bytes | None:
+    """What a segment holds; null if the piece is none."""
+    z = zlib.decompressobj(-15)
+    try:
+        out = z.decompress(piece + MARK)
+    except zlib.error:
+        return None
+    return out if not z.unconsumed_tail and (not z.eof or len(z.unused_data) >= len(MARK)) else None
+
+
+def _joined_adler(a: int, b: int, length: int) -> int:
+    """The checksum of two stretches of bytes, from theirs and the second one's length."""
+    low, high = a & 0xFFFF, a >> 16
+    l2, h2 = b & 0xFFFF, b >> 16
+    return ((high + h2 + length * (low - 1)) % ADLER << 16) | (low + l2 - 1) % ADLER
+
+
+def _records_of(raw: bytes) -> list[tuple[str, tuple[int, ...]]] | None:
+    """Reads and feature numbers of whole records; null if the bytes are none."""
+    b, out, before = _Body(b""), [], b""
+    b.ready = raw
+    try:
+        while not b.done():
+            name = b.line()
+            if not name:
+                head, middle, tail = b.length(), b.line(), b.length()
+                if head + tail > len(before):
+                    return None
+                name = before[:head] + middle + before[len(before) - tail :]
+            out.append((name.decode(), b.numbers(b.number())))
+            before = name
+    except (ValueError, struct.error):
+        return None
+    return out
+
+
+def _whole(pieces: Iterator[bytes], first: bool) -> Iterator[tuple[dict | None, list]]:
+    """Header and records of the segments of one stretch of a file.
+
+    Bytes like a mark may lie inside a segment: what does not unpack to whole records is joined to what follows.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    held = b""
+    for piece in pieces:
+        held = held + MARK + piece if held else piece
+        if first:
+            # a file by other writers has one stream, and so has all its reads here
+            if held[:1] != b"\x78":
+                first = False
+            else:
+                z = zlib.decompressobj(-15)
+                try:
+                    body = _Body(b"")
+                    body.ready = z.decompress(held[2:] + MARK)
+                    head = _header(body)
+                    rest = _records_of(body.ready[body.place :])
+                except (ValueError, zlib.error, struct.error):
+                    continue
+                if rest is not None:
+                    yield head, rest
+                    held, first = b"", False
+                continue
+        if held[:2] == END or not held.strip(b"\0\xff"):
+            held = b""  # the end of the stream and its checksum
+            continue
+        raw = _inflated(held)
+        found = None if raw is None else _records_of(raw)
+        if found is not None:
+            yield None, found
+            held = b""
+    if held.strip(b"\0\xff"):
+        raise ValueError("the hits file is cut off, or a segment is larger than a piece of it")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for packed in b["content"]:
-                h = unpack_header(packed)
-                rows = [("meta", *m, None) for m in h["meta"]] + [("genes", g, None, None, ts) for g, ts in h["genes"]]
-                rows += [("identical", None, None, None, ts) for ts in h["identical"]]
-                yield pd.DataFrame(rows, columns=["section", "name", "effective_length", "true_length", "transcripts"]).astype({"true_length": "Int32"})
 
-    head = files.mapInPandas(run, HEADER).distinct()  # files of one run repeat their header
+def read_binary(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of a binary file, or of the folder that `write_binary` makes, as read_text gives them.
+
+    Segments are found by the mark between them, so a file is read by as many tasks as Spark cuts it
+    for.  A file that was packed in one piece (or not at all) is one segment and one task, of at most 2 GB.
+    Several files with headers may be read together; a folder's files share the one header.
+    """
+    raw = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MARK.decode("latin-1")).text(path)
+    rows = raw.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"))
+    schema = pa.schema([("file", pa.string()), ("section", pa.string()), ("name", pa.string()), ("effective_length", pa.float64()), ("true_length", pa.int32()), ("transcripts", pa.list_(pa.string())), ("numbers", pa.list_(pa.int32()))])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = ((v.as_py(), (f.as_py(), p.as_py())) for b in batches for v, f, p in zip(b.column("value"), b.column("file"), b.column("piece")))
+        for (file, piece), own in groupby(every, key=lambda x: x[1]):
+            pieces = (v for v, _ in own)
+            start = next(pieces, b"")
+            if piece == 0 and start[:1] != b"\x78" and start.find(b"\n") >= 0 and struct.pack("<I", SCHEMA) == start[start.find(b"\n") + 1 :][:4]:
+                # not packed at all: bytes like marks are bytes
+                body = _Body(MARK.join([start, *pieces]))
+                parts: Iterator = iter([(_header(body), _records_of(body.ready[body.place :] + body.packed[body.at :]))])
+            else:
+                parts = _whole(chain([start], pieces), piece == 0)
+            for head, reads in parts:
+                if head is not None:
+                    found = [(file, "names", None, None, None, [m[0] for m in head["meta"]], None)]
+                    found += [(file, "meta", *m, None, None) for m in head["meta"]] + [(file, "genes", g, None, None, ts, None) for g, ts in head["genes"]]
+                    yield batch(found + [(file, "identical", None, None, None, ts, None) for ts in head["identical"]])
+                if reads is None:
+                    raise ValueError("the hits file is cut off")
+                for lo in range(0, len(reads), STEP):
+                    yield batch([(file, "reads", r, None, None, None, list(n)) for r, n in reads[lo : lo + STEP]])
+
+    found = cut(rows.mapInArrow(run, "file string, section string, name string, effective_length double, true_length int, transcripts array<string>, numbers array<int>"))
+    head = found.drop("file", "numbers").distinct()  # files of one run repeat their header
     part = lambda section: head.filter(F.col("section") == section)
+    # a row a file, with the names of the annotation's features
+    names = found.filter("section = 'names'").select(F.col("file").alias("_file"), F.col("transcripts").alias("names"))
+    reads = found.filter("section = 'reads'").select("file", F.col("name").alias("read"), "numbers")
+    count = names.count()
+    if count == 0:
+        raise ValueError(f"{path}: no header of a hits file")
+    joined = reads.crossJoin(F.broadcast(names)) if count == 1 else reads.join(F.broadcast(names), F.col("file") == F.col("_file"))
     return {
         "meta": part("meta").select(F.col("name").alias("transcript"), "effective_length", "true_length"),
         "genes": part("genes").select(F.col("name").alias("gene"), "transcripts"),
         "identical": part("identical").select("transcripts"),
-        "reads": from_binary(files).filter(F.size("transcripts") > 0),
+        "reads": joined.select("read", F.transform("numbers", lambda i: F.element_at("names", i + 1)).alias("transcripts")).filter(F.size("transcripts") > 0),
     }
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The parts of a hits file, text or binary, as its first line tells."""
-    first = spark.read.text(path).limit(1).first()
-    return read_text(spark, path) if first is None or first[0][:1] in ("@", ">") else read_binary(spark, path)
+    """The parts of a hits file, text or binary, as its first lines tell: those of text hold no control characters."""
+    first = [r[0] for r in spark.read.text(path).take(20)]
+    text = all(c in "\t\r" or (c >= " " and c != "\ufffd") for line in first for c in line)
+    return read_text(spark, path) if text and (not first or first[0][:1] in ("@", ">")) else read_binary(spark, path)
 
 
 def write_binary(parts: dict[str, DataFrame], path: str, magic: str = MAGIC) -> None:
-    """One binary file, on the driver's disk.
+    """A folder of part files that are, one after another, a binary file: `cat path/part-*` joins them.
 
-    The layout is one stream whose numbers go by its header, so the driver writes it in
-    order: it holds the header (the annotation's features) and a partition of reads at a time.
+    Tasks pack segments of reads, each with a name in full at its start and nothing that it needs of others, and
+    Spark's text writer puts the mark of a segment's end after each.  Their checksums, 20 bytes a segment, are
+    joined for the end of the stream; after it one mark is left, which readers of such streams don't look at.  The
+    driver holds the header, which is as large as the annotation.
     """
+    spark = parts["reads"].sparkSession
     meta = [tuple(r) for r in parts["meta"].select("transcript", "effective_length", "true_length").orderBy("transcript").collect()]
     genes = [tuple(r) for r in parts["genes"].select("gene", "transcripts").orderBy("gene").collect()]
     identical = [r[0] for r in parts["identical"].select("transcripts").collect()]
-    stream, number = zlib.compressobj(1), {m[0]: i for i, m in enumerate(meta)}
-    with Path(path).open("wb") as f:
-        f.write(stream.compress(header_bytes(meta, genes, identical, magic)))
-        for record in read_bytes(parts["reads"].select("read", "transcripts").toLocalIterator(), number):
-            f.write(stream.compress(record))
-        f.write(stream.flush())
+    head = header_bytes(meta, genes, identical, magic)
+    number = spark.sparkContext.broadcast({m[0]: i for i, m in enumerate(meta)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b"".join(read_bytes(zip(b.column("read").to_pylist(), b.column("transcripts").to_pylist()), number.value))
+            if raw:
+                yield pa.record_batch({"body": pa.array([_segment(raw)], pa.binary()), "adler": pa.array([zlib.adler32(raw)], pa.int64()), "size": pa.array([len(raw)], pa.int64())})
+
+    packed = parts["reads"].select("read", "transcripts").sortWithinPartitions("read").mapInArrow(run, "body binary, adler bigint, size bigint")
+    segments = cut(packed.withColumn("n", F.monotonically_increasing_id()))
+    adler = zlib.adler32(head)
+    for r in segments.select("n", "adler", "size").orderBy("n").collect():
+        adler = _joined_adler(adler, r["adler"], r["size"])
+    ends = [spark.createDataFrame([(x,)], "body binary").coalesce(1) for x in (b"\x78\x01" + _segment(head), END + struct.pack(">I", adler))]
+    whole = ends[0].union(segments.select("body")).union(ends[1]).select(F.col("body").cast("string").alias("value"))
+    whole.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", MARK.decode("latin-1")).text(path)
 
 
 def inspect(parts: dict[str, DataFrame], first: int = 3) -> dict[str, tuple[list, int]]:

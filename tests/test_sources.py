@@ -1,3 +1,6 @@
+import random
+import zlib
+
 import pytest
 
 from ambiquant.sources import hits, tables
@@ -79,3 +82,57 @@ def test_class_stream(spark, tmp_path):
     q.processAllAvailable()
     assert spark.table("class_counts").count() == 3
     q.stop()
+
+
+def test_binary_hits_in_parallel(spark, tmp_path):
+    """Many segments in several part files: joined they are one stream for the plain reader; Spark reads each form in several tasks."""
+    rnd = random.Random(3)
+    names = [f"t{k:03d}" for k in range(300)]
+    rows = [(f"run:{rnd.randrange(10**6)}:{i}", sorted(rnd.sample(names, rnd.randint(0, 4)))) for i in range(30_000)]
+    parts = {
+        "reads": spark.createDataFrame(rows, hits.READS).repartition(5),
+        "meta": spark.createDataFrame([(n, 1.5, 9) for n in names], "transcript string, effective_length double, true_length int"),
+        "genes": spark.createDataFrame([("g", names[:2])], "gene string, transcripts array<string>"),
+        "identical": spark.createDataFrame([(names[:2],)], "transcripts array<string>"),
+    }
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    hits.write_binary(parts, str(tmp_path / "h"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before["spark.sql.execution.arrow.maxRecordsPerBatch"])
+    whole = b"".join(f.read_bytes() for f in sorted((tmp_path / "h").glob("part-*")))
+    assert sorted(hits.unpack(whole)) == sorted(rows) and hits.unpack_header(whole)["genes"] == [("g", names[:2])]
+    z = zlib.decompressobj()
+    z.decompress(whole)
+    assert z.eof and z.unused_data == hits.MARK  # the checksum is right
+    (tmp_path / "one.bin").write_bytes(whole)
+    (tmp_path / "plain.bin").write_bytes(hits.pack(rows, [(n, 1.5, 9) for n in names]))
+    (tmp_path / "bare.bin").write_bytes(zlib.decompress(hits.pack(rows[:5000], [(n, 1.5, 9) for n in names])))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for name, n in (("h", 30_000), ("one.bin", 30_000), ("plain.bin", 30_000), ("bare.bin", 5000)):
+            got = hits.read(spark, str(tmp_path / name))
+            found = sorted((r[0], list(r[1])) for r in got["reads"].collect())
+            assert found == sorted((r, t) for r, t in rows[:n] if t), name
+            assert got["meta"].count() == 300
+            if name in ("h", "one.bin"):
+                assert spark.read.text(str(tmp_path / name)).rdd.getNumPartitions() > 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_marks_inside_segments():
+    """Pieces that a mark inside a segment cuts are joined again."""
+    numbers = {"a": 0, "b": 1}
+    raw = b"".join(hits.read_bytes([(f"r{i}", ["a", "b"][: i % 3]) for i in range(2000)], numbers))
+    segment = hits._segment(raw)
+    want = [(f"r{i}", tuple(range(i % 3))) for i in range(2000)]
+    for cut in (1, 7, len(segment) // 2):
+        if hits._inflated(segment[:cut]) is None or hits._records_of(hits._inflated(segment[:cut])) is None:
+            glued = [segment[:cut], segment[cut:]]
+            assert hits.MARK.join(glued) != segment
+    assert [r for _, part in hits._whole(iter([segment, segment]), False) for r in part] == want * 2
+    with pytest.raises(ValueError):
+        list(hits._whole(iter([segment[:-20]]), False))
+    assert hits._joined_adler(zlib.adler32(b"abc" * 999), zlib.adler32(b"xyz" * 777), 2331) == zlib.adler32(b"abc" * 999 + b"xyz" * 777)
