@@ -82,6 +82,22 @@ def test_input_order_and_pairs_by_flags(spark, tmp_path):
             assert hits.read(spark, str(tmp_path / "hits_x"))["reads"].count() == 40
 
 
+def test_lengths_by_fitted_positions(spark, tmp_path):
+    """Reads start three times as often at a G: a feature with many has a greater length."""
+    rnd = random.Random(5)
+    seqs = {"a": "".join(rnd.choice("ACGT") for _ in range(500)), "b": "".join(rnd.choice("ACGT") for _ in range(450)), "c": "G" * 45 + "".join(rnd.choice("AGGG") for _ in range(400)), "short": "ACGT" * 5}
+    (tmp_path / "x.fa").write_text("".join(f">{n} gene:g{n}\n{s}\n" for n, s in seqs.items()))
+    rows = []
+    for n in "ab":
+        places = range(21, len(seqs[n]) - 21)
+        rows += [(n, p + 1) for p in rnd.choices(places, [3 if seqs[n][p] == "G" else 1 for p in places], k=9000)]
+    (tmp_path / "x.sam").write_text("@HD\tVN:1.0\n" + "".join(f"r{i}\t0\t{n}\t{p}\t9\t*\t*\t0\t0\tACGT\t*\tNM:i:0\n" for i, (n, p) in enumerate(rows)))
+    cli.main(["make-hits", "--sam", str(tmp_path / "x.sam"), "--fasta", str(tmp_path / "x.fa"), "--out", str(tmp_path / "h"), "--fit-positions"], spark)
+    got = {r["transcript"]: r["effective_length"] for r in hits.read(spark, str(tmp_path / "h"))["meta"].collect()}
+    assert set(got) == set(seqs) and got["short"] == 20 and got["c"] > 1.3 * len(seqs["c"])
+    assert abs((got["a"] + got["b"] - 2 * (40 - 4 + 1)) / (950 - 82) - 1) < 0.02
+
+
 def test_hits_in_both_forms(spark, tmp_path):
     p = lambda name: str(tmp_path / name)
     reads = [(f"run1:{i:04d}/1", ["a", "b"][: 1 + i % 2]) for i in range(300)] + [("x" * 600, ["b"]), ("x" * 599 + "y", ["a"])]
