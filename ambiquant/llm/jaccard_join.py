@@ -22,8 +22,12 @@ within r = 0.25 of each other differ by at most r in their distance to any pivot
 4. Dense regions.  If the pairs of sets in the cells are no fewer than DENSE times those of
    the region, it lies in a ball that its pivots cannot divide, and the cells are dropped
    again.  It is dealt into tiles: parts of at most ROWS sets, each pair of parts a task.
-5. In a region that fits, sets are sorted by their distance to a pivot; a set is compared
-   with those whose distance is at most r more, no other can link to it.
+5. In a region that fits, the recursion goes on inside its task: pivots far from each other are
+   chosen by farthest-first traversal, sets go home to the nearest, and border sets to
+   earlier cells c where d(y, c) <= min(d(y, home of y) + 2 r, radius of c + r), the radius
+   being the largest distance of a set at home.  It ends at cells of at most LEAF sets and at
+   those that a split leaves too many pairs; there sets are sorted by their distance to a
+   pivot, and a set is compared with those whose distance is at most r more.
 
 Every pair of different linked sets is found and counted once; links are given as stars
 (set, root of its component in the region) and numbers of links.  Labels go over stars
@@ -56,6 +60,8 @@ WORDS = 5
 PERCENT = 75
 #: Sets and bytes of sets that a region may have to be joined in one task, and pivots that split a larger one.
 ROWS, BYTES, PIVOTS = 400, 8 << 20, 16
+#: Sets that a cell inside a task may have without being split again, and pivots that split it.
+LEAF, CENTRES = 8, 8
 #: A split must leave less than this share of a region's pairs; and rows up to which a side may be broadcast.
 DENSE, FEW = 0.7, 1_000_000
 #: Sets in more regions than this are not asked whether a region lies in another; that only keeps regions that could go.
@@ -200,11 +206,18 @@ class Region:
     """Sets by their numbers, compared by counts of common shingles."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.n = np.array([len(s) for s in sets], dtype=np.int64)
-        self.values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        self.flat = flat.astype(np.int32)
-        self.at = np.cumsum(self.n) - self.n
-        self.marked = np.zeros(len(self.values), dtype=np.int64)
+        values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self._hold(np.array([len(s) for s in sets], dtype=np.int64), flat.astype(np.int32), np.zeros(len(values), dtype=np.int64))
+
+    def _hold(self, n: np.ndarray, flat: np.ndarray, marked: np.ndarray) -> None:
+        self.n, self.flat, self.marked = n, flat, marked
+        self.at = np.cumsum(n) - n
+
+    def take(self, places: np.ndarray) -> Region:
+        """The region of some of the sets, in the order given."""
+        out = Region.__new__(Region)
+        out._hold(self.n[places], np.concatenate([self.own(i) for i in places.tolist()]), self.marked)
+        return out
 
     def similar(self, own: np.ndarray, size: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Sizes of intersection and union of a set, given by numbers of shingles, with the sets from lo to hi."""
@@ -226,20 +239,64 @@ class Region:
 REACH = 1 - PERCENT / 100 + 1e-9
 
 
+def voronoi(region: Region) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Cells of a region: the places of their sets, and which of them are border sets; a linked pair has one cell where not both are.
+
+    The first pivot is the first set, each further one the set farthest from all before it.
+    """
+    pivots, far = [0], [region.distances(0)]
+    nearest = far[0].copy()
+    while len(pivots) < CENTRES and nearest.max() > REACH:
+        pivots.append(int(nearest.argmax()))
+        far.append(region.distances(pivots[-1]))
+        nearest = np.minimum(nearest, far[-1])
+    home = np.argmin(far, axis=0)
+    cells = []
+    for c, d in enumerate(far):
+        own = home == c
+        radius = d[own].max()
+        border = (home > c) & (d <= np.minimum(nearest + 2 * REACH, radius + REACH))
+        places = np.nonzero(own | border)[0]
+        cells.append((places, border[places]))
+    return cells
+
+
+def linked_pairs(region: Region) -> Iterator[tuple[int, np.ndarray]]:
+    """Each linked pair of sets of a region once, as (set, others), through cells of cells."""
+    # places in the region, and a bit for each level at which a set is a border set
+    open_: list[tuple[np.ndarray, np.ndarray, int]] = [(np.arange(len(region.n)), np.zeros(len(region.n), np.int64), 0)]
+    while open_:
+        places, border, level = open_.pop()
+        here = region.take(places)
+        if len(places) > LEAF and level < 62:
+            cells = voronoi(here)
+            if sum(len(c) ** 2 for c, _ in cells) < DENSE * len(places) ** 2:
+                open_ += [(places[c], border[c] | (b.astype(np.int64) << level), level + 1) for c, b in cells if len(c) > 1]
+                continue
+        far = here.distances(0)
+        order = np.argsort(far, kind="stable")
+        far, here, places, border = far[order], here.take(order), places[order], border[order]
+        upto = np.searchsorted(far, far + REACH, side="right")
+        for i in range(len(places)):
+            lo, hi = i + 1, int(upto[i])
+            if lo >= hi:
+                continue
+            common, union = here.similar(here.own(i), int(here.n[i]), lo, hi)
+            near = np.nonzero((100 * common >= PERCENT * union) & (border[lo:hi] & border[i] == 0))[0] + lo
+            if len(near):
+                yield int(places[i]), places[near]
+
+
 def join_region(sets: list[np.ndarray], flags: list[int], before: list, weights: list[int]) -> tuple[list[int], list[int]]:
     """Of each set: the first set of its component, and the documents of the sets that it links with here.
 
     A pair counts if no bit is set in the flags of both, and no earlier region (before) is common.
     """
     size = len(sets)
-    far = Region(sets).distances(0)
-    order = np.argsort(far, kind="stable")
-    far, region = far[order], Region([sets[i] for i in order.tolist()])
-    flag = np.array(flags, np.int64)[order]
-    weight = np.array(weights, np.int64)[order]
-    earlier = [set(before[i]) for i in order.tolist()]
-    some = np.array([bool(e) for e in earlier])
-    upto = np.searchsorted(far, far + REACH, side="right")
+    flag = np.array(flags, np.int64)
+    weight = np.array(weights, np.int64)
+    earlier = [set(b) for b in before]
+    some = [bool(e) for e in earlier]
     root, links = np.arange(size), np.zeros(size, np.int64)
 
     def find(i: int) -> int:
@@ -248,14 +305,7 @@ def join_region(sets: list[np.ndarray], flags: list[int], before: list, weights:
             i = int(root[i])
         return i
 
-    for i in range(size):
-        lo, hi = i + 1, int(upto[i])
-        if lo >= hi:
-            continue
-        common, union = region.similar(region.own(i), int(region.n[i]), lo, hi)
-        near = np.nonzero(100 * common >= PERCENT * union)[0] + lo
-        if not len(near):
-            continue
+    for i, near in linked_pairs(Region(sets)):
         own = find(i)
         for j in np.unique(root[near]).tolist():
             other = find(j)
@@ -264,18 +314,11 @@ def join_region(sets: list[np.ndarray], flags: list[int], before: list, weights:
                 root[other] = own
         root[near] = own
         near = near[flag[near] & flag[i] == 0]
-        if some[i]:
-            near = near[[not (some[j] and earlier[i] & earlier[j]) for j in near.tolist()]] if len(near) else near
+        if some[i] and len(near):
+            near = near[[not (some[j] and earlier[i] & earlier[j]) for j in near.tolist()]]
         links[i] += weight[near].sum()
         links[near] += weight[i]
-    first: dict[int, int] = {}
-    roots, counts = [0] * size, [0] * size
-    for i, place in enumerate(order.tolist()):
-        r = find(i)
-        first[r] = min(first.get(r, place), place)
-    for i, place in enumerate(order.tolist()):
-        roots[place], counts[place] = first[find(i)], int(links[i])
-    return roots, counts
+    return [find(i) for i in range(size)], links.tolist()
 
 
 #: A set in a region: `before` are its seed regions before this one's; a bit of `flags` says that it is a border set there.

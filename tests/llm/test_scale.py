@@ -7,7 +7,7 @@ import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from ambiquant.llm import chat, mixing, suffix_dedup, toxicity
+from ambiquant.llm import chat, jaccard_join, mixing, quality, suffix_dedup, topk, toxicity
 from ambiquant.llm.blocks import mix64
 
 
@@ -88,3 +88,36 @@ def test_long_texts_are_scored_in_stretches():
             parts.append(words[at : at + k])
             at += k
         assert abs(model.logit_of_long(iter(parts)) - model.logits([words])[0]) < 1e-5
+
+
+def test_cells_of_cells_give_each_linked_pair_once(monkeypatch):
+    """Clusters, a chain and unlike sets in one region, with repeated sets; most pairs never meet."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for c in range(12):
+        base = rng.choice(10**6, 60, replace=False)
+        for _ in range(20):
+            sets.append(np.unique(np.where(rng.random(60) < rng.choice([0, 0.03, 0.1, 0.14]), rng.integers(0, 10**6, 60), base)))
+    chain = rng.choice(10**6, 400, replace=False)
+    sets += [np.unique(chain[3 * k : 3 * k + 60]) for k in range(100)] + [np.unique(rng.integers(0, 300, 40)) for _ in range(40)]
+    sets = [sets[i].astype(np.uint64) for i in rng.permutation(len(sets))]
+    want = set()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(a, sets[j]))
+            if 100 * common >= 75 * (len(a) + len(sets[j]) - common):
+                want.add((j, i))
+    divided, compared = [], []
+    real, similar = jaccard_join.voronoi, jaccard_join.Region.similar
+    monkeypatch.setattr(jaccard_join, "voronoi", lambda r: divided.append(len(r.n)) or real(r))
+    monkeypatch.setattr(jaccard_join.Region, "similar", lambda self, own, size, lo, hi: compared.append(hi - lo) or similar(self, own, size, lo, hi))
+    found = [tuple(sorted((i, j))) for i, near in jaccard_join.linked_pairs(jaccard_join.Region(sets)) for j in near.tolist()]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 1000
+    assert len(divided) > 5 and sum(compared) < len(sets) ** 2 / 4
+
+
+def test_linked_pairs_of_one_set_and_of_equal_sets():
+    one = np.arange(5, dtype=np.uint64)
+    assert list(jaccard_join.linked_pairs(jaccard_join.Region([one]))) == []
+    found = [(i, j) for i, near in jaccard_join.linked_pairs(jaccard_join.Region([one] * 30)) for j in near.tolist()]
+    assert len(found) == 30 * 29 // 2 == len({tuple(sorted(p)) for p in found})
