@@ -101,7 +101,9 @@ def _row(docs: DataFrame) -> Column:
 
 
 def measure(docs: DataFrame, least_docs: int = 20, max_share: float = 0.02, min_left: int = 30) -> DataFrame:
-    """doc_id, the base measures, base_failed, n_lines, n_lines_removed, words_removed, removed (hashes) and kept.
+    """doc_id, the base measures, base_failed, n_lines, n_lines_removed, words_removed, removed and kept.
+
+    removed: numbers, from 0, of the removed lines among the lines with a word.
 
     least_docs, max_share: documents of a host that may share a line, as a number and as a
     share of its distinct documents; the larger counts.  min_left: the percentage of a
@@ -119,20 +121,18 @@ def measure(docs: DataFrame, least_docs: int = 20, max_share: float = 0.02, min_
     hot = repeated_lines(d, least_docs, max_share).select(
         "_host", "_hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     )
-    lines = d.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_row2"), "_host", F.explode(F.array_distinct("_hashes")).alias("_hash"))
+    lines = d.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_row2"), "_host", F.posexplode(F.arrays_zip("_hashes", "_counts")).alias("_at", "_line"))
+    lines = lines.select("_id", "_row2", "_host", "_at", F.col("_line._hashes").alias("_hash"), F.col("_line._counts").alias("_words"))
     lines = lines.withColumn("_salt", F.pmod("_row2", F.lit(SALTS)).cast("int"))
-    removed = lines.join(hot, ["_host", "_hash", "_salt"]).groupBy("_id", "_row2").agg(F.collect_set("_hash").alias("removed"))
+    # as a set, as repeated rows bring each line again
+    removed = lines.join(hot, ["_host", "_hash", "_salt"]).groupBy("_id", "_row2").agg(F.collect_set(F.struct("_at", "_words")).alias("_gone"))
     d = d.join(removed, (F.col("_row") == F.col("_row2")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    d = d.withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
-    gone = F.filter(F.arrays_zip("_hashes", "_counts"), lambda z: F.array_contains(F.col("removed"), z["_hashes"]))
-    d = d.withColumn("_gone", F.when(F.size("removed") > 0, gone))
     d = d.withColumns(
         {
+            "removed": F.coalesce(F.col("_gone._at"), F.array().cast("array<int>")),
             "n_lines": F.size("_hashes").cast("bigint"),
-            "n_lines_removed": F.when(F.size("removed") > 0, F.size("_gone")).otherwise(F.lit(0)).cast("bigint"),
-            "words_removed": F.coalesce(
-                F.aggregate("_gone", F.lit(0), lambda a, z: a + z["_counts"]), F.lit(0)
-            ).cast("bigint"),
+            "n_lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"),
+            "words_removed": F.coalesce(F.aggregate("_gone", F.lit(0), lambda a, z: a + z["_words"]), F.lit(0)).cast("bigint"),
         }
     )
     left = F.col("n_words") - F.col("words_removed")
@@ -150,15 +150,19 @@ def filter_documents(docs: DataFrame, least_docs: int = 20, max_share: float = 0
 
     n_chars, if there is such a column, is counted anew.
     """
-    number, row, row2, gone = unused(docs, "_id", "_row", "_row2", "_gone")
+    number, row, row2, gone, lines, worded = unused(docs, "_id", "_row", "_row2", "_gone", "_lines", "_worded")
     m = measure(docs, least_docs, max_share, min_left).filter("kept").select(
         F.col("doc_id").alias(number), F.col("_row").alias(row2), F.col("removed").alias(gone)
     ).dropDuplicates([number, row2])
     d = docs.withColumn(row, _row(docs))
     d = d.join(m, (F.col(row) == F.col(row2)) & F.col("doc_id").eqNullSafe(F.col(number)))
-    rest = F.array_join(
-        F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(NOT_SPACE) & F.array_contains(F.col(gone), F.xxhash64(normal(x))))), "\n"
-    )
+    # numbers of the removed lines among all lines; arrays that are looked up by number are used twice
+    # each, as the optimiser would put one that is used once into the loop, to be made anew for each line
+    d = d.withColumn(lines, F.when(F.size(gone) > 0, F.split("text", "\n")))
+    d = d.withColumn(worded, F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(NOT_SPACE), i)), lambda i: i.isNotNull()))
+    d = d.withColumn(gone, F.when(F.size(worded) > 0, F.transform(gone, lambda i: F.get(worded, i))).otherwise(F.col(gone)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     d = d.withColumn("text", F.when(F.size(gone) > 0, rest).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -121,3 +121,18 @@ def test_linked_pairs_of_one_set_and_of_equal_sets():
     assert list(jaccard_join.linked_pairs(jaccard_join.Region([one]))) == []
     found = [(i, j) for i, near in jaccard_join.linked_pairs(jaccard_join.Region([one] * 30)) for j in near.tolist()]
     assert len(found) == 30 * 29 // 2 == len({tuple(sorted(p)) for p in found})
+
+
+def test_removal_of_lines_is_linear_in_lines(spark):
+    """A text four times as long, with all its lines but a third removed, costs some four times as much."""
+    took = []
+    tag = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    for n in (4_000, 16_000):
+        own = lambda d, k: f"own{tag(k)} words{tag(k)} {'abcd'[d]}{tag(k)} line of page"
+        texts = ["\n\n".join(own(d, k) if k % 3 == 0 else f"s{tag(k)} t{tag(k)} u{tag(k)}" for k in range(n)) for d in range(4)]
+        d = spark.createDataFrame([(k, t, "h") for k, t in enumerate(texts)], "doc_id bigint, text string, source string").repartition(1)
+        began = time.time()
+        kept = {r["doc_id"]: r["text"] for r in quality.filter_documents(d, 2, 0.02, 10).collect()}
+        took.append(time.time() - began)
+        assert kept == {k: "\n".join(x for x in t.split("\n") if not x.startswith("s")) for k, t in enumerate(texts)}
+    assert took[1] < 6 * took[0] + 5
