@@ -11,8 +11,9 @@ prove that all but a few vectors are below its k-th best score, found so far or
 below; these possible members, or at the end of the index all that reach the bound, are
 rescored with exact integers.
 
-A task holds a block of vectors (at most BLOCK) and a chunk of queries (at most CHUNK), so
-neither side is broadcast, and the table is sent once for each chunk of queries.  Parts of a
+A task holds a block of vectors (some BLOCK) and a chunk of queries (some CHUNK), so
+neither side is broadcast, and the table is sent once for each chunk of queries.  Repeated
+rows are dealt over the blocks by the partition they are read in; as queries they are one, with a number of copies.  Parts of a
 block are read by descending norm; a query carries its k-th best exact score from part to
 part, and passes over parts whose largest norm cannot reach it.  A block gives k rows a
 query, and the k best of all blocks are merged, with a limit before the shuffle.
@@ -144,8 +145,8 @@ def quantised(vectors: DataFrame) -> DataFrame:
     return good.filter(~F.exists("v", bad)).select("vec_id", F.col("v").cast("array<double>").alias("v"))
 
 
-def _packed(table: pa.Table, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and quantised vectors, in the order of id and vector, padded to the longest."""
+def _packed(table: pa.Table, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, quantised vectors and copies, in the order of id and vector, padded to the longest."""
     lists = table.column("v").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     ids = table.column("vec_id").to_numpy()
@@ -155,10 +156,10 @@ def _packed(table: pa.Table, scale: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(ids), int(sizes.max(initial=1))), np.int64)
     out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = values.astype(np.int64)
     order = np.lexsort((*out.T[::-1], ids))
-    return ids[order], out[order]
+    return ids[order], out[order], table.column("copies").to_numpy()[order]
 
 
-FORM = "part int, ids binary, values binary"
+FORM = "part int, ids binary, copies binary, values binary"
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
@@ -171,22 +172,27 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     partitions = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = max(1, -(-n // BLOCK), min(partitions, n // PART))
     chunks = max(1, -(-wanted // CHUNK))
-    held = q.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    asked = q.filter(F.pmod("vec_id", F.lit(every)) == 0).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
+    held = q.withColumn("part", F.pmod(F.xxhash64("vec_id", "v", F.spark_partition_id()), F.lit(blocks)).cast("int")).withColumn("copies", F.lit(1).cast("bigint"))
+    # queries of one vec_id that agree as quantised, but for zeros at the end, are one
+    digits = F.concat(F.lit(","), F.array_join(F.transform("v", lambda x: F.floor(x * scale).cast("string")), ","))
+    asked = q.filter(F.pmod("vec_id", F.lit(every)) == 0).withColumn("_form", F.regexp_replace(digits, "(,0)+$", ""))
+    asked = asked.groupBy("vec_id", "_form").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("copies"))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "_form"), F.lit(chunks)).cast("int"))
 
     # every chunk meets every block: both are packed first, then sent once for each meeting
     def packed(key: tuple, table: pa.Table) -> pa.Table:
-        ids, values = _packed(table, scale)
+        ids, values, copies = _packed(table, scale)
         return pa.table(
             {
                 "part": pa.array([key[0].as_py()], pa.int32()),
                 "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
+                "copies": pa.array([copies.astype(np.int64).tobytes()], pa.binary()),
                 "values": pa.array([values.tobytes()], pa.binary()),
             }
         )
 
-    left = held.select("part", "vec_id", "v").groupBy("part").applyInArrow(packed, FORM)
-    right = asked.select("part", "vec_id", "v").groupBy("part").applyInArrow(packed, FORM)
+    left = held.select("part", "vec_id", "v", "copies").groupBy("part").applyInArrow(packed, FORM)
+    right = asked.select("part", "vec_id", "v", "copies").groupBy("part").applyInArrow(packed, FORM)
     left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumnRenamed("part", "at")
     right = right.withColumnRenamed("part", "chunk").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -202,24 +208,21 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
             width = max(values.shape[1], own.shape[1])
             values = np.pad(values, ((0, 0), (0, width - values.shape[1])))
             own = np.pad(own, ((0, 0), (0, width - own.shape[1])))
-            # rows that agree are one query; its ranks are given to each
-            fresh = np.concatenate([[True], (numbers[1:] != numbers[:-1]) | (own[1:] != own[:-1]).any(axis=1)])
-            at = np.nonzero(fresh)[0]
-            copies = np.diff(np.append(at, len(numbers)))
-            best = search_block(ids, values, numbers[at], own[at], k)
-            for i, c, (found, scores) in zip(at.tolist(), copies.tolist(), best):
+            copies = np.frombuffer(asked_.column("copies")[0].as_py(), np.int64)
+            best = search_block(ids, values, numbers, own, k)
+            for i, (c, (found, scores)) in enumerate(zip(copies.tolist(), best)):
                 digest = hashlib.blake2b(np.trim_zeros(own[i], "b").tobytes(), digest_size=16).digest()
                 rows += [(int(numbers[i]), digest, c, v, s) for v, s in zip(found, scores)]
         if any(not -_WHOLE <= r[4] < _WHOLE for r in rows):
             raise OverflowError("a score is no 64-bit integer")
         names = ["query_id", "query", "copies", "vec_id", "score"]
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         release()
         return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(names, kinds))})
 
-    schema = "query_id bigint, query binary, copies int, vec_id bigint, score bigint"
+    schema = "query_id bigint, query binary, copies bigint, vec_id bigint, score bigint"
     some = left.groupBy("at", "chunk").cogroup(right.groupBy("at", "chunk")).applyInArrow(search, schema)
     order = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
     ranked = some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    each = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    each = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     return each.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -136,3 +136,18 @@ def test_removal_of_lines_is_linear_in_lines(spark):
         took.append(time.time() - began)
         assert kept == {k: "\n".join(x for x in t.split("\n") if not x.startswith("s")) for k, t in enumerate(texts)}
     assert took[1] < 6 * took[0] + 5
+
+
+def test_topk_of_repeated_rows(spark):
+    """A third of all rows are one row, as candidates and as queries; some agree with it only as quantised or but for zeros at the end."""
+    rng = np.random.default_rng(21)
+    v = [(i, [float(x) for x in rng.integers(-50, 50, 4) / 256]) for i in range(400)]
+    v += [(100, [0.25, 0.5])] * 200 + [(100, [0.25, 0.5, 0.0, 0.0]), (100, [0.2501, 0.5, 0.001]), (100, [0.25, 0.5, -0.001])]
+    d = spark.createDataFrame(v, "vec_id bigint, embedding array<double>").repartition(7)
+    whole = [(i, np.floor(256 * np.array([*e, *[0.0] * (4 - len(e))])).astype(int)) for i, e in v]
+    want = []
+    for i, e in whole:
+        if i % 50 == 0:
+            want += [(i, r + 1, k, -x) for r, (x, k) in enumerate(sorted((-int(x @ e), k) for k, x in whole if k != i)[:5])]
+    found = [tuple(r) for r in topk.top_k(d).collect()]
+    assert sorted(found) == sorted(want) and len(found) == 5 * (8 + 203)
