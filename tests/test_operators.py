@@ -503,3 +503,27 @@ def test_permutation_keeps_values(spark):
     p = sm.permuted(long, 3)
     assert sorted(r["y"] for r in p.collect()) == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
     assert rows(p) == rows(sm.permuted(long.repartition(3), 3))
+
+
+def test_uneven_rows_are_looked_up():
+    rng = np.random.default_rng(4)
+    at = [np.sort(rng.choice(2_000_000 if k == 0 else 60, 40, replace=False)) for k in range(30)]
+    values = [rng.integers(0, 9, 40).astype(float) for _ in at]
+    i, j = np.triu_indices(30, 1)
+    got = collapse._sums(np.full(30, 40), np.concatenate(at), np.concatenate(values), j, i)
+    for k in range(len(i)):
+        u, v = dict(zip(at[j[k]], values[j[k]])), dict(zip(at[i[k]], values[i[k]]))
+        x, y = (np.array([z[t] for t in u if t in v]) for z in (u, v))
+        assert got[:, k].tolist() == [len(x), x.sum(), y.sum(), x @ y, x @ x, y @ y]
+
+
+def test_connected_follows_what_two_edges_leave_open(spark):
+    """Graphs in which the least and the largest hub of each feature don't connect all that is connected."""
+    rng = np.random.default_rng(6)
+    for _ in range(2):
+        edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(k, k) for k in range(60)] + [(x, 100) for x in (100, 101, 102, 103, 104)] + [(x, x) for x in (101, 102, 103, 104)]
+        root = {x: x for e in edges for x in e}
+        for _ in range(len(root)):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        assert dict(rows(cl.connected(spark.createDataFrame(edges, "a bigint, b bigint"), cut))) == root
