@@ -505,6 +505,27 @@ def test_permutation_keeps_values(spark):
     assert rows(p) == rows(sm.permuted(long.repartition(3), 3))
 
 
+def test_covariances_of_classes_copy_traces_little(spark):
+    """A component's traces go to few tiles; means and packed arrays tell the same; repeated lines and pairs count once."""
+    names = spark.range(5000).select(F.col("id").alias("feature"), F.lit(0).alias("component"))
+    few = spark.range(5000).select(F.lit("s").alias("sample"), F.col("id").alias("feature"), F.lit(0).alias("iter"), F.lit(1.0).alias("value"))
+    assert collapse.parts_of(names, few).select("part").distinct().count() == 2
+    rng = np.random.default_rng(8)
+    lines = [(s, f, int(i), float(rng.integers(1, 50))) for s in "st" for f in range(40) for i in range(int(rng.integers(1, 9)) + (3000 if f == 0 else 0))]
+    traces = spark.createDataFrame(lines, "sample string, feature bigint, iter int, value double")
+    inc = spark.createDataFrame([(int(c), int(f)) for c in range(90) for f in rng.integers(0, 42, 3)] * 2, "class_id bigint, feature bigint")
+    pairs = collapse.sharing(inc)
+    groups = spark.createDataFrame([(f, 0) for f in range(42)], "feature bigint, component int")
+    want = sorted(rows(collapse.covariances(traces, pairs, groups)), key=repr)
+    assert sorted(rows(collapse.covariances_of_classes(traces, inc, groups)), key=repr) == want and len(want) > 100
+    mean = {(r[0], r[1]): r[2:] for r in rows(collapse.mean_correlations(collapse.covariances(traces, pairs, groups)))}
+    got = {(r[0], r[1]): r[2:] for r in rows(collapse.covariances_of_classes(traces, inc, groups, mean=True))}
+    assert got.keys() == mean.keys() and all(np.allclose(got[k], mean[k], atol=1e-12) for k in got)
+    packed = collapse.covariances_of_classes(traces, inc, groups, packed=True).collect()
+    flat = sorted((r["sample"], a, b, c) for r in packed for a, b, c in zip(r["a"], r["b"], r["cov"]))
+    assert flat == sorted((s, a, b, c or 0.0) for s, a, b, c, _ in want)
+
+
 def test_uneven_rows_are_looked_up():
     rng = np.random.default_rng(4)
     at = [np.sort(rng.choice(2_000_000 if k == 0 else 60, 40, replace=False)) for k in range(30)]
