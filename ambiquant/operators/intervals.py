@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,21 +98,27 @@ def offset_exons(exons: DataFrame, indels: DataFrame) -> DataFrame:
 
 
 def without_overlaps(indels: DataFrame) -> DataFrame:
-    """Indels by position, without those that overlap the last one kept; only islands of several are scanned, a task for each."""
+    """Indels by position, without those that overlap the last one kept in their island.
+
+    Islands are dealt to tasks, which read theirs in order and hold one end at a time, so neither many islands nor a long one are a burden.
+    """
     columns = indels.columns
+    order = ["chrom", "island", "pos", "ref", "alt"]
     marked = islands(indels.withColumn("last", F.col("pos") + F.length("ref") - 1), ["pos", "ref", "alt"])
-    marked = marked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("chrom", "island")))
-
-    def scan(df: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], -1
-        d = df.sort_values(["pos", "ref", "alt"], kind="stable")
-        for pos, ref in zip(d["pos"], d["ref"]):
-            ok = pos > last
-            keep.append(ok)
-            last = pos + len(ref) - 1 if ok else last
-        return d[keep][columns]
-
-    return marked.filter("_n = 1").select(columns).unionByName(marked.filter("_n > 1").groupBy("chrom", "island").applyInPandas(scan, indels.schema))
+    dealt = marked.select(*columns, "island", "last").repartition("chrom", "island").sortWithinPartitions(*order)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, reach = None, None
+        for b in batches:
+            keep = []
+            for chrom, island, pos, last in zip(*(b.column(c).to_pylist() for c in ("chrom", "island", "pos", "last"))):
+                ok = (chrom, island) != at or pos > reach
+                if ok:
+                    at, reach = (chrom, island), last
+                keep.append(ok)
+            yield b.select(columns).filter(pa.array(keep, pa.bool_()))
+
+    return dealt.mapInArrow(scan, indels.schema)
 
 
 def spans(exons: DataFrame) -> DataFrame:

@@ -548,3 +548,15 @@ def test_connected_follows_what_two_edges_leave_open(spark):
             for a, b in edges:
                 root[a] = root[b] = min(root[a], root[b])
         assert dict(rows(cl.connected(spark.createDataFrame(edges, "a bigint, b bigint"), cut))) == root
+
+
+def test_overlaps_have_no_call_an_island(spark):
+    d = spark.range(3000).select(F.lit("c").alias("chrom"), (F.col("id") * 3).cast("int").alias("pos"), F.expr("repeat('A', CAST(1 + id % 5 AS INT))").alias("ref"), F.lit("A").alias("alt"))
+    kept = iv.without_overlaps(d)
+    assert "FlatMapGroups" not in kept._jdf.queryExecution().toString()
+    want, last = [], -1
+    for k in range(3000):
+        if 3 * k > last:
+            want.append(3 * k)
+            last = 3 * k + k % 5
+    assert sorted(r["pos"] for r in kept.collect()) == want
