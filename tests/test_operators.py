@@ -560,3 +560,18 @@ def test_overlaps_have_no_call_an_island(spark):
             want.append(3 * k)
             last = 3 * k + k % 5
     assert sorted(r["pos"] for r in kept.collect()) == want
+
+
+def test_gibbs_arrays_are_its_traces(spark):
+    """By chains, and by whole components without a shuffle of traces."""
+    c = cl.equivalence_classes(spark.createDataFrame([(str(k), t) for k, t in enumerate([["a", "b"]] * 9 + [["b"]] * 4 + [["c"]] * 5 + [["d", "e", "f"]] * 7)], "read string, transcripts array<string>"))
+    lengths = spark.createDataFrame([(x, 1.0) for x in "abcdef"], "transcript string, l double")
+    t = cut(abundance.gibbs(c, lengths, iterations=1024, kept=512))
+    held = {}
+    for f, i, v in t.collect():
+        held.setdefault(f, {})[i] = v
+    want = {f: [x[i] for i in range(512)] for f, x in held.items()}
+    rhat = dict(rows(abundance.convergence(t, kept=512)))
+    for whole in (1 << 25, 2 * 512, 0):
+        got = abundance.gibbs_arrays(c, lengths, iterations=1024, kept=512, whole=whole).withColumn("rhat", abundance.convergence_of(F.col("values"))).collect()
+        assert {r["feature"]: r["values"] for r in got} == want and all(abs(r["rhat"] - rhat[r["feature"]]) < 1e-9 for r in got)
