@@ -567,6 +567,51 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.train(d.limit(0), labels)[0].constant == 0.0
 
 
+def test_fit_of_long_texts_in_pieces_and_best_cut(monkeypatch):
+    """Texts in pieces fit like whole ones; parameters survive being made rows; the cut against all cuts."""
+    rng = np.random.default_rng(4)
+    texts, y = [rng.integers(0, 60, n) for n in (0, 1, 4, 5, 6, 40, 33, 12)], np.array([0, 1, 0, 1, 1, 0, 1, 0])
+    tables = []
+    for at_once in (1000, 5, 1):
+        monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", at_once)
+        m = toxicity.Model(slots=60, filters=3, seed=2)
+        m.embedding[:60] = np.random.default_rng(3).normal(0, 0.7, (60, 8))
+        m.fit(texts, y, epochs=3, batch=4)
+        tables.append(m.table())
+        again = toxicity.Model(slots=60, filters=3, seed=8)
+        again.set_table(m.table())
+        assert np.array_equal(again.table(), m.table()) and np.array_equal(again.logits(texts), m.logits(texts))
+        assert np.allclose(m.logits_of_all(texts), m.logits(texts))
+    assert np.allclose(tables[0], tables[1], atol=1e-4) and np.allclose(tables[0], tables[2], atol=1e-4)
+    for text in ("", " \n", "One two, ΟΔΟΣ! one"):
+        assert toxicity.unpacked_words(toxicity.packed_words(text, 1 << 19)).tolist() == toxicity.word_ids(text, 1 << 19)
+    for _ in range(50):
+        at, zeros, ones = rng.permutation(40)[:12] - 20, rng.integers(0, 3, 12), rng.integers(0, 3, 12)
+        zeros[0] = ones[1] = 1
+        balance = lambda c: zeros[at < c].sum() / zeros.sum() + ones[at >= c].sum() / ones.sum()
+        assert abs(balance(toxicity.best_cut(at, zeros, ones) * toxicity.STEPS) - max(map(balance, range(-21, 22)))) < 1e-9
+
+
+def test_toxicity_is_fitted_on_every_labelled_document(spark, monkeypatch):
+    """Words that only documents far down the order of hashes have, or only long ones; several groups, other partitions."""
+    monkeypatch.setattr(toxicity, "GROUP_BYTES", 1, raising=False)
+    ids = [r[0] for r in spark.range(9000).filter(toxicity.remainder(F.col("id")) != 0).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = []
+    for i, k in enumerate(ids):
+        word = "kind" if i % 2 == 0 else "grobian" if i >= 6000 else "knave" if i % 50 == 1 else "scum"
+        rows.append((k, " ".join(["some"] * (4200 if word == "knave" or i % 150 == 0 else 1) + [word, f"w{i % 40}", "words"]), "en"))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, i % 2) for i, k in enumerate(ids)], "doc_id bigint, toxic int")
+    model, cuts = toxicity.train(d, labels)
+    said = ["some grobian w3 words", "some knave w4 words", "some scum w5 words", "some kind w6 words"]
+    odd = spark.createDataFrame([(-k, t, "en") for k, t in enumerate(said)], "doc_id bigint, text string, lang string")
+    assert [r["predicted"] for r in toxicity.score(odd, model, cuts).orderBy(F.desc("doc_id")).collect()] == [1, 1, 1, 0]
+    rows_, groups = toxicity.labelled(d, labels)
+    assert groups > 2 and rows_.count() == len(ids) and rows_.select("_g").distinct().count() == groups
+    other, other_cuts = toxicity.train(d.repartition(7), labels)
+    assert np.array_equal(other.table(), model.table()) and (other.shift, other_cuts) == (model.shift, cuts)
+
+
 @here
 def test_toxicity(spark):
     rows = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").limit(0))
