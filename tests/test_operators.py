@@ -575,3 +575,33 @@ def test_gibbs_arrays_are_its_traces(spark):
     for whole in (1 << 25, 2 * 512, 0):
         got = abundance.gibbs_arrays(c, lengths, iterations=1024, kept=512, whole=whole).withColumn("rhat", abundance.convergence_of(F.col("values"))).collect()
         assert {r["feature"]: r["values"] for r in got} == want and all(abs(r["rhat"] - rhat[r["feature"]]) < 1e-9 for r in got)
+
+
+def test_gibbs_is_summarised_where_it_is_drawn(spark):
+    """No trace leaves the task that drew its component; a large component's chains send their draws in pieces."""
+    c = cl.equivalence_classes(spark.createDataFrame([(str(k), t) for k, t in enumerate([["a", "b"]] * 9 + [["b"]] * 4 + [["c"]] * 5 + [["d", "e", "f"]] * 7)], "read string, transcripts array<string>"))
+    lengths = spark.createDataFrame([(x, 1.0) for x in "abcdef"], "transcript string, l double")
+    t = cut(abundance.gibbs(c, lengths, iterations=1024, kept=512))
+    want = {r["feature"]: r for r in sm.summarise(t).join(abundance.convergence(t, kept=512), "feature").collect()}
+    for whole in (1 << 25, 2 * 512, 20):
+        found = abundance.gibbs_summaries(c, lengths, iterations=1024, kept=512, whole=whole)
+        got = {r["feature"]: r for r in found.collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[f][x] / want[f][x] - 1) < 1e-9 for f in want for x in ("log_mu", "sd", "mcse", "iact", "rhat"))
+    _, rows_of, draw = abundance._chains(c, lengths, 1024, 512, 0.1, 0.1, None, 1, 200, 8)
+    sent = abundance._by_chain(rows_of, draw, 8, 20).select(F.size("values").alias("n"), "first").collect()
+    assert max(r["n"] for r in sent) <= 20 and max(r["first"] for r in sent) > 0 and sum(r["n"] for r in sent) == 6 * 512
+
+
+def test_draws_are_those_of_sums_by_class():
+    """Classes drawn in pieces take the same random numbers as all of a size at once."""
+    rng = np.random.default_rng(2)
+    codes = [np.sort(rng.choice(50, s, replace=False)).astype(np.int32) for s in (3, 2, 3, 3, 2, 4) * 1500]
+    c = abundance.Chain([[np.arange(50, dtype=np.int32), np.concatenate(codes), np.array([len(x) for x in codes], np.int32), np.ones(len(codes), np.int64)]], np.arange(50, dtype=np.int32), np.ones(50))
+    one, mu = np.random.default_rng(7), np.full(50, 2.0) + np.arange(50)
+    x = np.zeros(50)
+    for size in (2, 3, 4):
+        at = np.array([z for z in codes if len(z) == size])
+        upto = np.cumsum(mu[at], axis=1)
+        x += np.bincount(at[np.arange(len(at)), ((one.random(len(at)) * upto[:, -1])[:, None] >= upto[:, :-1]).sum(axis=1)], minlength=50)
+    assert (c.draws(mu, 0, 1, 1, 0.1, 0.1, np.random.default_rng(7))[0] == np.maximum(one.gamma(0.1 + x, np.full(50, 1 / 1.1)), 1e-300)).all()
