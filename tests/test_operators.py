@@ -605,3 +605,46 @@ def test_draws_are_those_of_sums_by_class():
         upto = np.cumsum(mu[at], axis=1)
         x += np.bincount(at[np.arange(len(at)), ((one.random(len(at)) * upto[:, -1])[:, None] >= upto[:, :-1]).sum(axis=1)], minlength=50)
     assert (c.draws(mu, 0, 1, 1, 0.1, 0.1, np.random.default_rng(7))[0] == np.maximum(one.gamma(0.1 + x, np.full(50, 1 / 1.1)), 1e-300)).all()
+
+
+def test_pairs_of_classes_are_made_in_their_tiles(spark, monkeypatch):
+    """No pair is shuffled, a component of one part has its traces once, and pairs come some at a time; parts of a component tell the same."""
+    rng = np.random.default_rng(12)
+    lines = [("st"[i % 2], f, i, float(rng.integers(1, 50))) for f in range(60) for i in range(int(rng.integers(1, 12)))]
+    traces = spark.createDataFrame(lines, "sample string, feature bigint, iter int, value double")
+    inc = spark.createDataFrame([(int(c), int(f)) for c in range(120) for f in rng.integers(0, 62, 4)], "class_id bigint, feature bigint")
+    groups = spark.createDataFrame([(f, f // 61) for f in range(62)], "feature bigint, component int")
+    pairs = collapse.sharing(inc).filter("b < 61")
+    want = sorted(rows(collapse.covariances(traces, pairs, groups)), key=repr)
+    found = collapse.covariances_of_classes(traces, inc, groups)
+    assert sorted(rows(found), key=repr) == want and len(want) > 300
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "classes" in plan and "(a#" not in plan and "FlatMapCoGroups" not in plan
+    for values in (40, 90):
+        monkeypatch.setattr(collapse, "VALUES", values)
+        assert collapse.parts_of(groups, traces, collapse.WIDE).select("part").distinct().count() > 2
+        assert sorted(rows(collapse.covariances_of_classes(traces, inc, groups)), key=repr) == want
+    monkeypatch.setattr(collapse, "PAIRS", 20)
+    feature, of = (np.array([r[k] for r in inc.collect()]) for k in (1, 0))
+    steps = [list(zip(i.tolist(), j.tolist())) for i, j in collapse._pairs(feature, of, 62)]
+    assert sorted(sum(steps, [])) == sorted(rows(collapse.sharing(inc))) and len(steps) > 20
+
+
+def test_components_by_classes(spark):
+    """Classes beyond the least and largest of each feature join components, too; names and repeated rows don't matter."""
+    rng = np.random.default_rng(13)
+    for n in (70, 90):
+        inc = [(int(c), int(f)) for c, f in zip(rng.integers(0, n, 2 * n), rng.integers(0, 80, 2 * n))] + [(200 + k, 100 + (k + j) % 9) for k in range(9) for j in (0, 0, 1)] + [(300, 140), (301, 140), (301, 141), (302, 140), (302, 150), (303, 141), (303, 151), (304, 141)]
+        edges = [(min(f for k, f in inc if k == c), m) for c, m in inc]
+        want = rows(cl.connected(spark.createDataFrame(edges, "a bigint, b bigint"), cut))
+        assert rows(cl.connected_by_classes(spark.createDataFrame(inc, "class_id bigint, transcript bigint").repartition(3), cut)) == want
+
+
+def test_lines_are_shuffled_once_for_traces(spark, tmp_path):
+    """Traces and their classes are dealt by part once, without a column twice."""
+    spark.createDataFrame([(k % 7, k % 5, 1, k, float(k)) for k in range(60)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    from ambiquant.plans import proxy
+
+    plan = collapse._vectors(proxy._two_samples(spark, str(tmp_path)), True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.split("Exchange hashpartitioning")[1].split("Project [")[1].split("\n")[0].count(",") == 4
