@@ -640,6 +640,25 @@ def test_components_by_classes(spark):
         assert rows(cl.connected_by_classes(spark.createDataFrame(inc, "class_id bigint, transcript bigint").repartition(3), cut)) == want
 
 
+def test_components_of_one_part_are_merged_in_their_tile(spark, monkeypatch):
+    """The same sets as from pairs, whether a component has one part or several; traces have the classes of their values."""
+    rng = np.random.default_rng(14)
+    lines = [("st"[i % 2], f, i, float(rng.integers(1, 50)), int(rng.integers(0, 90)) + 1000 * (f // 30)) for f in range(60) for i in range(int(rng.integers(2, 14)))]
+    traces = spark.createDataFrame(lines, "sample string, feature bigint, iter int, value double, class_id bigint").repartition(3)
+    inc = traces.select("class_id", "feature")
+    groups = spark.createDataFrame([(f, f // 30) for f in range(60)], "feature bigint, component int")
+    same = lambda x, y: sorted(rows(x), key=repr) == sorted(rows(y), key=repr)
+    assert same(collapse.covariances_of_classes(traces, None, groups), collapse.covariances_of_classes(traces, inc, groups))
+    pairs = collapse.covariances(traces, collapse.sharing(inc), groups)
+    variances = traces.groupBy("sample", "feature").agg(F.var_samp("value").alias("var"))
+    want = collapse.collapse(pairs, variances, groups, -0.3)
+    assert len(rows(want)) < 50
+    found = collapse.collapse_classes(traces, groups, -0.3)
+    assert same(found, want) and "cov" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(collapse, "VALUES", 60)
+    assert same(collapse.collapse_classes(traces, groups, -0.3), want)
+
+
 def test_lines_are_shuffled_once_for_traces(spark, tmp_path):
     """Traces and their classes are dealt by part once, without a column twice."""
     spark.createDataFrame([(k % 7, k % 5, 1, k, float(k)) for k in range(60)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
