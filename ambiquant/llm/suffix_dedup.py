@@ -55,6 +55,8 @@ K = 24
 HOT, HOTTER = 128, 4096
 #: Windows in a string at most; longer runs are cut, and overlap by SPAN - 1 bytes.
 LONGEST = 4096
+#: Bytes of small shards that are put in order together.
+TOGETHER = 1 << 16
 #: Bytes that are hashed at a time; their arrays stay in a core's cache.
 STEP = 1 << 15
 
@@ -264,6 +266,29 @@ def transform(strings: list[bytes]) -> bytes:
     return text[order - 1].tobytes()  # before the first symbol of a string stands the end of another
 
 
+def transforms(shards: list[list[bytes]]) -> list[bytes]:
+    """`transform` of each shard.  Small shards are put in order together and dealt to their own, so that the cost follows
+    their bytes: a block has as many shards as there are buckets, so their number grows with the square of the input."""
+    out: list[bytes] = []
+    lo = 0
+    while lo < len(shards):
+        hi, size, sizes = lo, 0, []
+        while hi < len(shards) and (hi == lo or size < TOGETHER):
+            sizes.append(sum(map(len, shards[hi])) + len(shards[hi]))
+            size += sizes[-1]
+            hi += 1
+        if hi == lo + 1:
+            out.append(transform(shards[lo]))
+        else:
+            text = np.frombuffer(b"\xff".join([*(x for shard in shards[lo:hi] for x in shard), b""]), dtype=np.uint8) + np.uint8(1)
+            order = suffix_order(text)
+            home = np.repeat(np.arange(hi - lo, dtype=np.uint16 if hi - lo < 1 << 16 else np.int64), sizes)[order]
+            raw, ends = text[order[np.argsort(home, kind="stable")] - 1].tobytes(), np.cumsum(sizes).tolist()
+            out += [raw[end - n : end] for end, n in zip(ends, sizes)]
+        lo = hi
+    return out
+
+
 def repeated(shards: list[tuple[bytes, np.ndarray]]) -> list[np.ndarray]:
     """Merges shards: their BWTs and their strings' documents.
 
@@ -292,26 +317,31 @@ def repeated(shards: list[tuple[bytes, np.ndarray]]) -> list[np.ndarray]:
     live, live_which, step = cur, which, 0
     while len(live):
         where[live], owner[live] = step, live_which
-        steps[live_which] = step
         more = bwt[live] != 0
         if not more.all():
+            steps[live_which[~more]] = step
             live, live_which = live[more], live_which[more]
         live = back[live]
         step += 1
     string_at = np.cumsum(steps + 1) - (steps + 1)
+    # what a round reads of a suffix lies together: symbols before it above, the longer suffix below, with a bit if that has no four symbols before it
+    low, stop = np.uint64(0xFFFFFFFF), np.uint64(1 << 31)
+    step2 = pair.astype(np.uint64) << np.uint64(32) | twice.astype(np.uint64) | ends4[twice] * stop
+    step4 = quad.astype(np.uint64) << np.uint64(32) | fourth.astype(np.uint64) | ends4[fourth] * stop
     # the refinement: `now` lists suffixes in the order of the interleave
-    now = np.nonzero(~ends2)[0].astype(np.int32)
+    now = np.nonzero(~ends2)[0]
+    del back, twice, fourth, pair, quad, ends2, ends4
     group = np.zeros(len(now), np.int32)
-    low = np.uint64(0xFFFFFFFF)
     for at in range(2, SPAN + 1, 4):
-        symbols, longer = (pair, twice) if at == 2 else (quad, fourth)
         if not len(now):
             break
+        read = (step2 if at == 2 else step4).take(now)
         # symbols above, order so far below: sorting these deals the suffixes stably
-        dealt = np.sort(symbols[now].astype(np.uint64) << np.uint64(32) | np.arange(len(now), dtype=np.uint64))
+        dealt = (read & ~low) | np.arange(len(now), dtype=np.uint64)
+        dealt.sort()
         by = (dealt & low).astype(np.int64)
         dealt >>= np.uint64(32)
-        group = group[by]
+        group = group.take(by)
         new = np.empty(len(by), dtype=bool)
         new[0] = True
         np.not_equal(dealt[1:], dealt[:-1], out=new[1:])
@@ -319,11 +349,11 @@ def repeated(shards: list[tuple[bytes, np.ndarray]]) -> list[np.ndarray]:
         # a suffix that is alone in its group, or has no symbols before it, can repeat no more
         keep = ~new
         keep[:-1] |= ~new[1:]
-        now = longer[now[by]]
+        after = read.take(by)
         if at < SPAN:
-            keep &= ~ends4[now]
+            keep &= (after & stop) == 0
         group = np.cumsum(new, dtype=np.int32)[keep]
-        now = now[keep]
+        now = (after[keep] & (stop - np.uint64(1))).astype(np.int64)
     bits = np.zeros(len(bwt), dtype=bool)
     if len(now):
         documents = np.concatenate([d for _, d in shards])[owner[now]]
@@ -344,10 +374,9 @@ def _covered(docs: DataFrame, result, schema: str) -> DataFrame:
     def shards(key: tuple, table: pa.Table, said: pa.Table) -> pa.Table:
         block = Block(*ordered(table))
         by, texts, places = block.strings(bodies(said).get(1, {}), buckets)
-        rows = []
-        for home in sorted(by):
-            owners = [block.number[np.searchsorted(block.begins, places[i][0], side="right") - 1] for i in by[home]]
-            rows.append((home, transform([texts[i] for i in by[home]]), np.array(owners, np.int64).tobytes()))
+        homes = sorted(by)
+        owners = block.number[np.searchsorted(block.begins, np.array([p[0] for p in places], np.int64), side="right") - 1].astype(np.int64)
+        rows = [(home, bwt, owners[by[home]].tobytes()) for home, bwt in zip(homes, transforms([[texts[i] for i in by[home]] for home in homes]))]
         del block, by, texts, places
         release()
         return pa.table(

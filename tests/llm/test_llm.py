@@ -676,3 +676,20 @@ def test_pipeline_with_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path / "b"))
         assert docs.count() == 0
+
+
+def test_small_shards_are_put_in_order_together(monkeypatch):
+    """A block sends a shard to each bucket: many small ones are one sort, with the same transforms."""
+    from ambiquant.llm import suffix_dedup as sd
+
+    rng = np.random.default_rng(21)
+    shards = [[bytes(rng.integers(97, 100, int(rng.integers(50, 90))).astype(np.uint8)) for _ in range(int(rng.integers(1, 4)))] for _ in range(300)]
+    shards[7] = shards[8] = shards[9]
+    shards[20] = [b"a" * 4000] * 30
+    want, calls, order = [sd.transform(x) for x in shards], [], sd.suffix_order
+    monkeypatch.setattr(sd, "suffix_order", lambda text: calls.append(len(text)) or order(text))
+    for together in (1, 5000, sd.TOGETHER):
+        monkeypatch.setattr(sd, "TOGETHER", together)
+        calls.clear()
+        assert sd.transforms(shards) == want and sd.transforms([]) == []
+    assert len(calls) < 10
